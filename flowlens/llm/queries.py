@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import oracles
 from flowlens.llm.chat_format import format_windows, read_back
+from flowlens.llm.language_id import fit, held_out, identify
 from flowlens.llm.line_dedup import dedup_lines
+from flowlens.llm.mixing import amounts, mix
 from flowlens.llm.quality_rules import apply_policy, ledger
 from flowlens.llm.substring_dedup import remove_repeats
 
@@ -45,6 +47,18 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out()))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = amounts(mix(table(spark, folder, "documents").select("doc_id", "text", "source")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     out = apply_policy(ledger(table(spark, folder, "documents").select("doc_id", "text")), "v3")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,6 +67,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_language_id": op3_language_id,
+    "op10_mixing": op10_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op6_line_dedup": op6_line_dedup,
 }
