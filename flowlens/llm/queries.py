@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import oracles
 from flowlens.llm.chat_format import format_windows, read_back
+from flowlens.llm.decontaminate import find_leaks
 from flowlens.llm.language_id import fit, held_out, identify
+from flowlens.llm.license_scan import scan
 from flowlens.llm.line_dedup import dedup_lines
 from flowlens.llm.mixing import amounts, mix
 from flowlens.llm.quality_rules import apply_policy, ledger
@@ -59,6 +61,15 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    out = scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     out = apply_policy(ledger(table(spark, folder, "documents").select("doc_id", "text")), "v3")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,6 +78,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_license_scan": op9_license_scan,
     "op3_language_id": op3_language_id,
     "op10_mixing": op10_mixing,
     "op7_quality_rules": op7_quality_rules,
