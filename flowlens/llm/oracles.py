@@ -82,3 +82,13 @@ select t.conv_id, cast(n_turns as bigint) as n_turns, sha256(said) as turns_sha2
   sha256(learned) as loss_sha256, cast(c.n as bigint) as formatted_chars
 from told t join chars c on t.conv_id = c.conv_id
 """
+
+WARC = """
+with p as (
+  select page_id, url, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select *, case when n >= 100 then min(page_id) over (partition by d) else page_id end as first from p)
+select page_id, url, cast(n as bigint) as payload_bytes, d as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first = page_id then null else first end as refers_to
+from f
+"""

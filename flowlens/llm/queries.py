@@ -16,6 +16,7 @@ from flowlens.llm.line_dedup import dedup_lines
 from flowlens.llm.mixing import amounts, mix
 from flowlens.llm.quality_rules import apply_policy, ledger
 from flowlens.llm.substring_dedup import remove_repeats
+from flowlens.llm.warc import read_records, write_archives
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = read_records(write_archives(table(spark, folder, "pages").select("page_id", "url", "html")))
+    return records.select(F.col("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -78,6 +84,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
+    "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op3_language_id": op3_language_id,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_warc": oracles.WARC,
     "op2_chat_format": oracles.CHAT_FORMAT,
     "op7_quality_rules": oracles.QUALITY_RULES,
 }
