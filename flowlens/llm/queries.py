@@ -14,6 +14,7 @@ from flowlens.llm.language_id import fit, held_out, identify
 from flowlens.llm.license_scan import scan
 from flowlens.llm.line_dedup import dedup_lines
 from flowlens.llm.mixing import amounts, mix
+from flowlens.llm.ngram_join import jaccard_components
 from flowlens.llm.quality_rules import apply_policy, ledger
 from flowlens.llm.substring_dedup import remove_repeats
 from flowlens.llm.warc import read_records, write_archives
@@ -71,6 +72,10 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"), width=5, percent=80)
+
+
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     out = scan(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
+    "op8_ngram_join": op8_ngram_join,
     "op9_license_scan": op9_license_scan,
     "op3_language_id": op3_language_id,
     "op10_mixing": op10_mixing,
