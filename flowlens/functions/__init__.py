@@ -1 +1 @@
-"""flowlens.functions"""
+"""Column expressions shared by the operators."""

@@ -1 +1 @@
-"""flowlens.plans"""
+"""Named queries over the given tables."""

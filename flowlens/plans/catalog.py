@@ -1,4 +1,4 @@
-"""Named queries over the given tables, with their SQL twins."""
+"""The registry of queries: name -> function of (spark, folder), with the SQL twin where there is one."""
 
 from __future__ import annotations
 
@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag").count()
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from flowlens.plans import q_data, q_evaluate, q_explain, q_features, q_models, q_prep, q_score, q_stream  # noqa: E402, F401
+from flowlens.plans.q_models import flagship  # noqa: E402, F401

@@ -1 +1,77 @@
-"""flowlens.streaming"""
+"""Structured Streaming over the same operators."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from flowlens.operators.sample import bernoulli
+
+
+def read_stream(spark: SparkSession, folder: str, schema, files: int = 1, glob: str | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream, `files` at a time."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+
+
+def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """df with a watermark; the time column must be a timestamp with zone for that."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
+def tally(df: DataFrame, label: str) -> DataFrame:
+    """Running rows by class; for complete or update mode."""
+    return df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+
+
+def sampled(df: DataFrame, label: str, key: Sequence[str], rates: dict[str, float], seed: str) -> DataFrame:
+    """Rows kept at a rate by class: stateless, and the same after a restart."""
+    return bernoulli(df, label, key, rates, seed)
+
+
+def deduplicated(df: DataFrame, key: Sequence[str], ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """The first row of each key within the watermark, which bounds the state."""
+    return event_time(df, ts, delay).dropDuplicatesWithinWatermark(list(key))
+
+
+def windowed(df: DataFrame, label: str, ts: str = "ts", size: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """(start, end, class, n); df has a watermark on ts in a stream."""
+    window = F.window(ts, size, slide) if slide else F.window(ts, size)
+    out = df.groupBy(window.alias("w"), F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "class", "n")
+
+
+def sessions(df: DataFrame, source: str, ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
+    """(source, start, end, n) of runs of events with less than `gap` between them."""
+    out = df.groupBy(F.session_window(ts, gap).alias("w"), source).agg(F.count("*").alias("n"))
+    return out.select(source, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now into a memory table; for tests and small results."""
+    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def evaluate_batches(df: DataFrame, state: str, code: str = "code", proba: str = "proba", checkpoint: str | None = None) -> StreamingQuery:
+    """Appends each micro-batch's confusion counts, by batch number, to the Parquet folder `state`.
+
+    A batch that runs again replaces its own counts, so the sums (see confusion_so_far) stay right.
+    """
+    from flowlens.operators.evaluate import known, predicted
+
+    def add(batch: DataFrame, number: int) -> None:
+        n = known(batch, code).groupBy(F.col(code).alias("code"), predicted(proba).alias("pred")).agg(F.count("*").alias("n"))
+        n.write.mode("overwrite").parquet(f"{state.rstrip('/')}/batch={number}")
+
+    writer = df.writeStream.foreachBatch(add).trigger(availableNow=True)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def confusion_so_far(spark: SparkSession, state: str) -> DataFrame:
+    return spark.read.parquet(state).groupBy("code", "pred").agg(F.sum("n").alias("n"))
