@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import class_rank, rounded
 from flowlens.operators.sample import class_counts
 
@@ -30,7 +31,7 @@ def targets(counts: dict[str, int], ratio: float = 0.25, expansion: float = 20.0
 def target_table(df: DataFrame, label: str, ratio: float = 0.25, expansion: float = 20.0, least: int = 0) -> DataFrame:
     counts = class_counts(df, label)
     rows = [(c, counts[c], t, capped) for c, (t, capped) in targets(counts, ratio, expansion, least).items()]
-    return df.sparkSession.createDataFrame(rows, "class string, n long, target long, capped boolean")
+    return local_table(df.sparkSession, rows, "class string, n long, target long, capped boolean")
 
 
 def oversample(df: DataFrame, label: str, key: Sequence[str], wanted: dict[str, int], seed: str) -> DataFrame:
@@ -41,7 +42,7 @@ def oversample(df: DataFrame, label: str, key: Sequence[str], wanted: dict[str,
     if not more:
         return df.withColumn("copy", F.lit(0))
     plan = [(c, t // counts[c], t % counts[c]) for c, t in more.items()]
-    table = df.sparkSession.createDataFrame(plan, "_class string, _times long, _rest long")
+    table = local_table(df.sparkSession, plan, "_class string, _times long, _rest long")
     small = class_rank(df.where(F.col(label).isin(*more)), label, key, seed, "_rank").join(F.broadcast(table), F.col(label) == F.col("_class"))
     times = F.col("_times") + F.when(F.col("_rank") <= F.col("_rest"), 1).otherwise(0)
     grown = small.withColumn("copy", F.explode(F.sequence(F.lit(0), (times - 1).cast("int")))).select(*df.columns, "copy")
@@ -91,7 +92,7 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: dict, k: int
     need = [(c, wanted[c] - counts[c], counts[c]) for c in wanted if c in counts and wanted[c] > counts[c]]
     spark = df.sparkSession
     kind = dict(df.dtypes)[label]
-    plan = spark.createDataFrame(need, f"_c {kind}, _need long, _n long")
+    plan = local_table(spark, need, f"_c {kind}, _need long, _n long")
     new = plan.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_need").cast("int") - 1))).withColumn("_pick", _draw(seed, "row", F.col("_n")))
     rows = df.where(F.col(label).isin(*(c for c, _, _ in need))).select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v"))
     numbered = rows.withColumn("_pick", F.row_number().over(Window.partitionBy("_c").orderBy("_k")) - 1)

@@ -35,7 +35,7 @@ def unknown_count(df: DataFrame, code: str = "code") -> DataFrame:
 def confusion(df: DataFrame, codec: DataFrame, code: str = "code", proba: str = "proba") -> DataFrame:
     """(code, pred, n) of all pairs of classes, zeros included."""
     n = known(df, code).groupBy(F.col(code).alias("code"), predicted(proba).alias("pred")).agg(F.count("*").alias("n"))
-    grid = codec.select("code").crossJoin(codec.select(F.col("code").alias("pred")))
+    grid = codec.select("code").crossJoin(F.broadcast(codec.select(F.col("code").alias("pred"))))
     return grid.join(n, ["code", "pred"], "left").select("code", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

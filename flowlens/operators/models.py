@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import hash01
 
 
@@ -40,7 +41,7 @@ class Model:
         """(feature, importance), summing to 1; empty if the model has none."""
         total = sum(self.importance or []) or 1.0
         rows = [(f, w / total) for f, w in zip(self.features, self.importance or [], strict=False)]
-        return spark.createDataFrame(rows, "feature string, importance double")
+        return local_table(spark, rows, "feature string, importance double")
 
 
 @dataclass(frozen=True)
@@ -52,12 +53,14 @@ class Centroids:
     k: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        distances = [F.sqrt(sum(((F.col(f) - m) ** 2 for f, m in zip(self.features, self.means[c], strict=True)), F.lit(0.0))) if c in self.means else F.lit(float("inf")) for c in range(self.k)]
-        out = df.withColumn("_d", F.array(*distances))
+        far = F.lit(float("inf"))
+        out = df.withColumn("_x", F.array(*(F.col(f).cast("double") for f in self.features)))
+        squares = lambda m: F.aggregate(F.zip_with("_x", F.array(*(F.lit(v) for v in m)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)
+        out = out.withColumn("_d", F.array(*(F.sqrt(squares(self.means[c])) if c in self.means else far for c in range(self.k))))
         weight = F.transform("_d", lambda d: F.exp(F.array_min("_d") - d))
         out = out.withColumn("_w", weight)
         total = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w)
-        return out.withColumn("_t", total).withColumn("proba", F.transform("_w", lambda w: w / F.col("_t"))).drop("_d", "_w", "_t")
+        return out.withColumn("_t", total).withColumn("proba", F.transform("_w", lambda w: w / F.col("_t"))).drop("_x", "_d", "_w", "_t")
 
 
 def fit_centroids(df: DataFrame, features: Sequence[str], code: str, k: int) -> Centroids:

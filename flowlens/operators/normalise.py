@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.sources import dims
 
 #: Characters that stand for a dash in labels.
@@ -69,7 +70,7 @@ def label_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     squeeze = lambda s: re.sub(r"[\s_]+", "", s).lower()
     known = {squeeze(x): x for x in dims.RAW_COUNTS} | {squeeze(k): v for k, v in dims.VARIANTS.items()}
-    lookup = spark.createDataFrame(list(known.items()), "folded string, canonical string")
+    lookup = local_table(spark, list(known.items()), "folded string, canonical string")
     raw = df.select(F.col(label).alias("raw")).where(F.col("raw").isNotNull()).distinct()
     cleaned = raw.withColumn("cleaned", clean_label(nfkc("raw"))).withColumn("folded", fold(F.col("cleaned")))
     joined = cleaned.join(F.broadcast(lookup), "folded", "left")

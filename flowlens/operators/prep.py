@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.functions.local import local_table
 from flowlens.operators.clean import finite
 
 SCALERS = ("standard", "minmax", "robust", "none")
@@ -47,7 +48,7 @@ class Stats:
 
     def table(self, df: DataFrame) -> DataFrame:
         schema = "feature string, raw_median double, constant boolean, lower double, upper double, median double, centre double, spread double"
-        return df.sparkSession.createDataFrame([(r.feature, r.raw_median, r.constant, r.lower, r.upper, r.median, r.centre, r.spread) for r in self.rows], schema)
+        return local_table(df.sparkSession, [(r.feature, r.raw_median, r.constant, r.lower, r.upper, r.median, r.centre, r.spread) for r in self.rows], schema)
 
 
 def quantile(c: str | Column, q: float | list[float], accuracy: int | None = None) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import class_rank, hash01, hash_int, ratio, rounded
 
 
@@ -17,7 +18,7 @@ def class_counts(df: DataFrame, label: str) -> dict[str, int]:
 
 
 def quota_table(df: DataFrame, quotas: dict[str, int], label: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(quotas.items()) or [("", 0)], f"`{label}` string, quota long")
+    return local_table(df.sparkSession, list(quotas.items()) or [("", 0)], f"`{label}` string, quota long")
 
 
 def sampling_plan(df: DataFrame, label: str, caps: dict[str, int]) -> DataFrame:
@@ -109,7 +110,7 @@ def split(df: DataFrame, label: str, key: Sequence[str], test: float, val: float
     """df with `split`: test, val or train, stratified by class in hash order."""
     sizes = {c: split_sizes(n, test, val) for c, n in class_counts(df, label).items()}
     ends = [(c, s[2], s[2] + s[1]) for c, s in sizes.items()]
-    table = df.sparkSession.createDataFrame(ends or [("", 0, 0)], "_class string, _test long, _val long")
+    table = local_table(df.sparkSession, ends or [("", 0, 0)], "_class string, _test long, _val long")
     ranked = class_rank(df.where(F.col(label).isNotNull()), label, key, seed, "_rank")
     out = ranked.join(F.broadcast(table), ranked[label] == table["_class"])
     part = F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_val"), "val").otherwise("train")

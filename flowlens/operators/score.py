@@ -45,13 +45,13 @@ def repairs(df: DataFrame, stats: Stats, label: str | None = None, classes: Sequ
 
 
 def checked_proba(c: Column) -> Column:
-    """Probabilities that sum to 1: negatives within rounding become 0, all zero becomes uniform; a
-    negative or non-finite value raises an error."""
+    """Probabilities that sum to 1: negatives within rounding become 0, all zero becomes uniform, sums
+    within rounding of 1 stay as they are; a negative or non-finite value raises an error."""
     bad = F.exists(c, lambda p: p.isNull() | F.isnan(p) | (p < -1e-9) | (p == F.lit(float("inf"))))
     part = F.transform(c, lambda p: F.greatest(p, F.lit(0.0)))
     total = F.aggregate(part, F.lit(0.0), lambda a, p: a + p)
     even = F.transform(part, lambda p: F.lit(1.0) / F.size(c))
-    fine = F.when(total == 0, even).otherwise(F.transform(part, lambda p: F.try_divide(p, total)))
+    fine = F.when(total == 0, even).when(F.abs(total - 1) < 1e-9, part).otherwise(F.transform(part, lambda p: F.try_divide(p, total)))
     return F.when(bad, F.raise_error(F.lit("probabilities must be finite and not negative")).cast("array<double>")).otherwise(fine)
 
 

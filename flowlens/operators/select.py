@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import ratio
 from flowlens.operators.prep import quantile
 from flowlens.operators.sample import bootstrap, budgeted
@@ -110,7 +111,7 @@ def rfe(df: DataFrame, features: Sequence[str], label_code: str, n: int, step: f
             left.remove(c)
         turn += 1
     rows = [(c, 1) for c in left] + [(c, turn + r + 1) for c, r in rank.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, rank int")
+    return local_table(df.sparkSession, rows, "feature string, rank int")
 
 
 RANKERS = {"anova": anova, "chi2": chi2, "mutual_info": mutual_information}

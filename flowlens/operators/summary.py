@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import ratio, rounded
 from flowlens.sources import dims
 
@@ -57,7 +58,7 @@ def confidence_histogram(verdicts: DataFrame, bins: int = 20) -> DataFrame:
     spark = verdicts.sparkSession
     at = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int")
     n = verdicts.groupBy(at.alias("bin"), "is_attack").agg(F.count("*").alias("n"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_attack"))
+    grid = local_table(spark, [(i,) for i in range(bins)], "bin int").select("bin", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_attack"))
     return grid.join(n, ["bin", "is_attack"], "left").select("bin", "is_attack", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

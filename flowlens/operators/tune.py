@@ -10,6 +10,7 @@ from statistics import median, stdev
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.operators import evaluate as ev
 from flowlens.operators.sample import folds
 
@@ -61,4 +62,4 @@ def search(
         if value is not None and (best[0] is None or (value > best[0] if rising else value < best[0])):
             best = (value, params)
     rows.unpersist()
-    return best[1], df.sparkSession.createDataFrame(out, "trial int, params string, status string, value double, spread double, folds array<double>")
+    return best[1], local_table(df.sparkSession, out, "trial int, params string, status string, value double, spread double, folds array<double>")

@@ -1 +1,156 @@
-"""Queries."""
+"""Queries: explanations of a centroid classifier, which SQL can repeat."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.functions.portable import rounded
+from flowlens.operators import explain, models
+from flowlens.operators.normalise import encode
+from flowlens.plans import beds
+from flowlens.plans.beds import FEATURES, KEY, KEYS, LI
+from flowlens.plans.catalog import query
+
+N = 400
+
+
+def sample(spark, folder):
+    """A bounded sample with codes; attributions multiply rows by the number of features."""
+    return encode(beds.li(spark, folder).orderBy(explain.key_hash("x", KEY), *KEY).limit(N), "label", beds.codec(spark))
+
+
+def classifier(spark, folder):
+    return models.fit_centroids(encode(beds.li(spark, folder), "label", beds.codec(spark)), FEATURES, "code", 4)
+
+
+SAMPLE = f"""{LI}, xs as (select *, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as code, row_number() over (order by {KEYS}) as i from (select * from li order by {beds.md5('x')}, {KEYS} limit {N})),
+mid as (select {', '.join(f'quantile_cont({c}, 0.5) as m_{c}' for c in FEATURES)} from xs),
+cen as (select list_position(['base', 'deep', 'big', 'rare'], label) - 1 as k, {', '.join(f'avg({c}) as c_{c}' for c in FEATURES)} from li group by 1),
+fs as (select unnest(['', {', '.join(f"'{c}'" for c in FEATURES)}]) as feature)"""
+
+
+def scored(rows: str, by: str) -> str:
+    """Probabilities of `rows` (by, features) as (by, k, p)."""
+    d = " + ".join(f"({c} - c_{c}) * ({c} - c_{c})" for c in FEATURES)
+    return f"""dist as (select {by}, k, sqrt({d}) as d from {rows}, cen), wts as (select *, exp(min(d) over (partition by {by}) - d) as w from dist),
+prob as (select {by}, k, w / sum(w) over (partition by {by}) as p from wts)"""
+
+
+def _odds(p: str) -> str:
+    q = f"least(greatest({p}, 1e-12), 1 - 1e-12)"
+    return f"ln({q} / (1 - {q}))"
+
+
+OCC = f"""{SAMPLE}, var as (select i, feature, code, {', '.join(f"case when feature = '{c}' then m_{c} else {c} end as {c}" for c in FEATURES)} from xs, mid, fs),
+{scored('var', 'i, feature')},
+whole as (select i, k, p from (select *, row_number() over (partition by i order by p desc, k) as r from prob where feature = '') where r = 1),
+occ as (select w.i, b.feature, w.k, {_odds('w.p')} - {_odds('b.p')} as c from whole w join prob b on w.i = b.i and w.k = b.k and b.feature != '')"""
+
+
+def contributions(spark, folder):
+    rows = sample(spark, folder)
+    _, medians = explain.background(rows, FEATURES, KEY, N)
+    return rows, explain.occlusion(rows, FEATURES, KEY, classifier(spark, folder).transform, medians)
+
+
+@query("occlusion", f"with {OCC} select {KEYS}, feature, round_even(c, 4) as contribution from occ join xs on occ.i = xs.i")
+def _(spark, folder):
+    return contributions(spark, folder)[1].select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
+
+
+@query("occlusion_of_class", f"with {OCC}, one as (select a.i, b.feature, {_odds('a.p')} - {_odds('b.p')} as c from prob a join prob b on a.i = b.i and a.k = b.k where a.k = 2 and a.feature = '' and b.feature != '') select {KEYS}, feature, round_even(c, 4) as contribution from one join xs on one.i = xs.i")
+def _(spark, folder):
+    rows = sample(spark, folder)
+    _, medians = explain.background(rows, FEATURES, KEY, N)
+    out = explain.occlusion(rows, FEATURES, KEY, classifier(spark, folder).transform, medians, target=2)
+    return out.select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
+
+
+@query("top_contributions", f"""with {OCC}, r as (select *, row_number() over (partition by i order by round(abs(c), 9) desc, feature) as place from occ)
+select {KEYS}, feature, cast(place as integer) as place, case when c > 0 then 'supports' when c < 0 then 'opposes' else 'neutral' end as direction from r join xs on r.i = xs.i where place <= 1""")
+def _(spark, folder):
+    return explain.ranked_contributions(contributions(spark, folder)[1], KEY, 1).select(*KEY, "feature", "place", "direction")
+
+
+GLOBAL = f"{OCC}, imp as (select label, feature, avg(abs(c)) as importance from occ join xs on occ.i = xs.i group by 1, 2)"
+
+
+def by_class(spark, folder):
+    rows, found = contributions(spark, folder)
+    return explain.global_importance(found.join(rows.select(*KEY, "label"), KEY), "label")
+
+
+@query("class_importance", f"with {GLOBAL} select label, feature, round_even(importance, 5) as importance from imp")
+def _(spark, folder):
+    return by_class(spark, folder).withColumn("importance", rounded(F.col("importance"), 5))
+
+
+@query("global_importance", f"""with {GLOBAL}, t as (select feature, sum(importance) as importance from imp group by 1), s as (select *, importance / sum(importance) over () as share, row_number() over (order by round(importance, 9) desc, feature) as position from t)
+select feature, round_even(importance, 5) as importance, round_even(share, 5) as share, cast(position as integer) as position, round_even(sum(share) over (order by position), 5) as cumulative from s""")
+def _(spark, folder):
+    out = explain.importance_shares(by_class(spark, folder))
+    return out.select("feature", "position", *(rounded(F.col(c), 5).alias(c) for c in ("importance", "share", "cumulative")))
+
+
+@query("signature_features", f"""with {GLOBAL}, r as (select label, feature, importance / avg(importance) over (partition by feature) as ratio from imp),
+  p as (select *, row_number() over (partition by label order by round(ratio, 9) desc, feature) as place from r) select label, feature, round_even(ratio, 5) as ratio, cast(place as integer) as place from p where place <= 2""")
+def _(spark, folder):
+    return explain.signatures(by_class(spark, folder), "label", 2).withColumn("ratio", rounded(F.col("ratio"), 5))
+
+
+@query("background_medians", f"with {SAMPLE} " + " union all ".join(f"select '{c}' as feature, round_even(m_{c}, 6) as median from mid" for c in FEATURES))
+def _(spark, folder):
+    _, medians = explain.background(beds.li(spark, folder), FEATURES, KEY, N, "x")
+    from flowlens.functions.local import local_table
+
+    return local_table(spark, sorted(medians.items()), "feature string, median double").withColumn("median", rounded(F.col("median")))
+
+
+PERM = f"""{SAMPLE}, reps as (select unnest([1, 2]) as rep), cells as (select i, feature, rep, {KEYS}, case feature {' '.join(f"when '{c}' then {c}" for c in FEATURES)} end as v from xs, fs, reps where feature != ''),
+moved as (select rep, feature, row_number() over (partition by rep, feature order by md5(concat_ws('|', 'permute', cast(rep as varchar), feature, {beds._KEY})), {KEYS}) as i, v from cells),
+pv as (select x.i, rep, feature, code, {', '.join(f"case when feature = '{c}' then v else {c} end as {c}" for c in FEATURES)} from xs x join moved m on x.i = m.i
+  union all select i, 0, '', code, {', '.join(FEATURES)} from xs),
+{scored('pv', 'i, rep, feature')},
+said as (select i, rep, feature, k from (select *, row_number() over (partition by i, rep, feature order by p desc, k) as r from prob) where r = 1)"""
+
+
+@query("permutation_importance", f"""with {PERM}, a as (select feature, avg(case when k = code then 1.0 else 0.0 end) as acc from said join xs on said.i = xs.i group by 1)
+select feature, round_even((select acc from a where feature = '') - acc, 6) as raw_drop, round_even(greatest((select acc from a where feature = '') - acc, 0), 6) as importance from a where feature != ''""")
+def _(spark, folder):
+    out = explain.permutation_importance(sample(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform, 2)
+    return out.select("feature", rounded(F.col("raw_drop")).alias("raw_drop"), rounded(F.col("importance")).alias("importance"))
+
+
+@query("recall_drop", f"""with {PERM}, a as (select feature, code, avg(case when k = code then 1.0 else 0.0 end) as acc from said join xs on said.i = xs.i where rep <= 1 group by 1, 2)
+select a.feature, cast(a.code as integer) as code, round_even(b.acc - a.acc, 6) as "drop" from a join a b on a.code = b.code and b.feature = '' where a.feature != ''""")
+def _(spark, folder):
+    out = explain.recall_drop(sample(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform)
+    return out.withColumn("drop", rounded(F.col("drop")))
+
+
+@query("linear_contributions", f"with {LI}, m as (select avg(l_quantity) as a, avg(l_tax) as b from li) select {KEYS}, 'l_quantity' as feature, round_even(0.5 * (l_quantity - a), 6) as contribution from li, m union all select {KEYS}, 'l_tax', round_even(-2.0 * (l_tax - b), 6) from li, m")
+def _(spark, folder):
+    df = beds.li(spark, folder)
+    means = df.agg(F.avg("l_quantity"), F.avg("l_tax")).first()
+    out = explain.linear_contributions(df, ["l_quantity", "l_tax"], KEY, [0.5, -2.0], {"l_quantity": means[0], "l_tax": means[1]})
+    return out.withColumn("contribution", rounded(F.col("contribution")))
+
+
+@query("stratified_background", f"""with {LI}, r as (select *, row_number() over (partition by label order by {beds.md5('bg')}, {KEYS}) as r from li) select {KEYS}, label from r where r <= 50""")
+def _(spark, folder):
+    rows, _ = explain.background(beds.li(spark, folder), FEATURES, KEY, 50, "bg", "label")
+    return rows.select(*KEY, "label")
+
+
+@query("sentences")
+def _(spark, folder):
+    from flowlens.operators import narrate
+    from flowlens.plans.q_score import verdicts
+    from flowlens.sources import dims
+
+    table = verdicts(spark, folder)
+    _, found = contributions(spark, folder)
+    top = explain.ranked_contributions(found, KEY, 2).withColumn("value", F.lit(0.0))
+    return narrate.sentences(table.join(top.select(*KEY).distinct(), KEY, "left_semi"), top, dims.gloss_table(spark), KEY)
+
+

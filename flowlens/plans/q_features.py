@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import rounded
 from flowlens.operators import balance, select
 from flowlens.operators.sample import class_counts
@@ -80,7 +81,7 @@ def _(spark, folder):
     r = {(x["a"], x["b"]): x["r"] for x in select.correlations(df, names).collect()}
     priority = {x["feature"]: x["score"] for x in select.anova(df, names, "label").collect()}
     kept, why = select.prune(r, names, priority)
-    return spark.createDataFrame([(c, c in kept, why.get(c, "")) for c in names], "feature string, kept boolean, reason string")
+    return local_table(spark, [(c, c in kept, why.get(c, "")) for c in names], "feature string, kept boolean, reason string")
 
 
 @query("rank_stability")
@@ -90,7 +91,7 @@ def _(spark, folder):
 
 @query("ranking_with_stability", f"with {RANKING} select feature, cast(position as integer) as position, case when feature in ('l_discount', 'l_quantity') then cast(1 as double) else cast(-1 as double) end as frequency from ranking")
 def _(spark, folder):
-    stable = spark.createDataFrame([("l_discount", 1.0), ("l_quantity", 1.0)], "feature string, frequency double")
+    stable = local_table(spark, [("l_discount", 1.0), ("l_quantity", 1.0)], "feature string, frequency double")
     out = select.with_stability(select.rank_features(beds.li(spark, folder), FEATURES, "label"), stable)
     return out.select("feature", "position", F.coalesce("frequency", F.lit(-1.0)).alias("frequency"))
 
@@ -178,7 +179,7 @@ def _(spark, folder):
     from flowlens.operators import prep, summary
 
     df = beds.li(spark, folder)
-    glosses = spark.createDataFrame([("l_tax", "tax rate")], "feature string, gloss string")
+    glosses = local_table(spark, [("l_tax", "tax rate")], "feature string, gloss string")
     out = summary.feature_reference(select.rank_features(df, FEATURES, "label"), glosses, prep.fit(df, FEATURES, 0.99).table(df), 2)
     return out.withColumn("median", rounded(F.col("median")))
 

@@ -1,3 +1,89 @@
-"""Queries."""
+"""Queries: classifiers, search, the end-to-end run."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.functions.portable import rounded
+from flowlens.operators import clean, evaluate, models, prep, tune
+from flowlens.operators.normalise import encode
+from flowlens.operators.sample import budgeted, split
+from flowlens.plans import beds
+from flowlens.plans.beds import FEATURES, KEY, KEYS
+from flowlens.plans.catalog import query
+from flowlens.plans.q_data import CLEAN, SPLIT
+
+#: The run in SQL: clean, split, fit on the training rows, score the test rows by nearest centroid.
+_TRAIN = "tr as (select * from splits where split = 'train')"
+_B = "b as (select " + ", ".join(f"quantile_cont({c}, {1 - 0.999!r}) as lo_{c}, quantile_cont({c}, 0.999) as hi_{c} from tr" if i == len(FEATURES) - 1 else f"quantile_cont({c}, {1 - 0.999!r}) as lo_{c}, quantile_cont({c}, 0.999) as hi_{c}" for i, c in enumerate(FEATURES)) + ")"
+_clip = lambda c: f"case when {c} is null then null else least(greatest({c}, lo_{c}), hi_{c}) end"
+RUN = f"""{CLEAN}, src as (select * from cleaned), {SPLIT}, {_TRAIN}, {_B},
+cl as (select {KEYS}, label, split, {', '.join(f'{_clip(c)} as {c}' for c in FEATURES)} from splits, b),
+md as (select {', '.join(f'quantile_cont({c}, 0.5) as md_{c}' for c in FEATURES)} from cl where split = 'train'),
+fl as (select {KEYS}, label, split, {', '.join(f'coalesce({c}, md_{c}) as {c}' for c in FEATURES)} from cl, md),
+st as (select {', '.join(f'avg({c}) as c_{c}, stddev_pop({c}) as d_{c}' for c in FEATURES)} from fl where split = 'train'),
+z as (select {KEYS}, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as y, split, {', '.join(f'({c} - c_{c}) / d_{c} as {c}' for c in FEATURES)} from fl, st),
+cen as (select y as k, {', '.join(f'avg({c}) as m_{c}' for c in FEATURES)} from z where split = 'train' group by 1),
+di as (select {KEYS}, y, k, sqrt({' + '.join(f'({c} - m_{c}) * ({c} - m_{c})' for c in FEATURES)}) as d from z, cen where split = 'test'),
+said as (select y, k from (select *, row_number() over (partition by {KEYS} order by d, k) as r from di) where r = 1),
+cls as (select a.k as code, count(*) filter (y = a.k) as support, count(*) filter (s.k = a.k) as predicted, count(*) filter (y = a.k and s.k = a.k) as tp from (select unnest([0, 1, 2, 3]) as k) a, said s group by 1)"""
+
+
+def held_out(spark, folder, fit):
+    """Test rows of the cleaned table, scored by fit(training rows)."""
+    rows = clean.clean(beds.lid(spark, folder), FEATURES, "label", KEY)
+    parts = encode(split(rows, "label", KEY, 0.2, 0.1, "7"), "label", beds.codec(spark))
+    train = parts.where("split = 'train'")
+    stats = prep.fit(train, FEATURES)
+    ready = prep.transform(parts, stats, [*KEY, "label", "code", "split"])
+    return fit(ready.where("split = 'train'")).transform(ready.where("split = 'test'"))
+
+
+@query("holdout_metrics", f"with {RUN} select code, support, predicted, round_even(coalesce(tp / nullif(predicted, 0), 0), 6) as precision, round_even(coalesce(tp / nullif(support, 0), 0), 6) as recall from cls")
 def flagship(spark, folder):
-    raise NotImplementedError
+    """Per-class precision and recall of a classifier on held-out rows."""
+    scored = held_out(spark, folder, lambda d: models.fit_centroids(d, FEATURES, "code", 4))
+    out = evaluate.per_class(evaluate.confusion(scored, beds.codec(spark)))
+    return out.select("code", "support", "predicted", rounded(F.col("precision")).alias("precision"), rounded(F.col("recall")).alias("recall"))
+
+
+@query("centroid_vectors", """with c as (select e.label, i, avg(cast(x as double)) as m from (select label, unnest(embedding) as x, unnest(range(1, 65)) as i from embeddings) e group by 1, 2),
+  v as (select vec_id, label, unnest(embedding) as x, unnest(range(1, 65)) as i from embeddings), d as (select vec_id, v.label, c.label as k, sqrt(sum((x - m) * (x - m))) as d from v join c on v.i = c.i group by 1, 2, 3)
+select vec_id, cast(label as integer) as label, cast(k as integer) as pred from (select *, row_number() over (partition by vec_id order by d, k) as r from d) where r = 1""")
+def _(spark, folder):
+    df = beds.em(spark, folder).withColumn("code", F.col("label"))
+    model = models.fit_centroids(df, beds.EM_FEATURES, "code", 10)
+    return model.transform(df).select("vec_id", "label", evaluate.predicted().alias("pred"))
+
+
+def _register(kind: str, params: dict) -> None:
+    @query(f"model_{kind}")
+    def _(spark, folder):
+        scored = held_out(spark, folder, lambda d: models.fit(kind, d, FEATURES, "code", 4, **params))
+        return evaluate.per_class(evaluate.confusion(scored, beds.codec(spark)))
+
+
+for _kind, _params in {
+    "logistic": {"maxIter": 20}, "bayes": {}, "tree": {"maxDepth": 8}, "forest": {"numTrees": 20, "maxDepth": 8}, "extra": {"numTrees": 20, "maxDepth": 8},
+    "mlp": {"hidden": [16], "maxIter": 30}, "boosted": {"maxIter": 5, "maxDepth": 3},
+}.items():
+    _register(_kind, _params)
+
+
+@query("model_importance")
+def _(spark, folder):
+    rows = encode(beds.li(spark, folder), "label", beds.codec(spark))
+    return models.fit("forest", rows, FEATURES, "code", 4, numTrees=20, maxDepth=6).importances(spark)
+
+
+@query("model_search")
+def _(spark, folder):
+    rows = encode(budgeted(beds.li(spark, folder), "label", KEY, 3000, 50, "tune"), "label", beds.codec(spark))
+    fit = lambda d, p: models.fit("tree", d, FEATURES, "code", 4, **p)
+    return tune.search(rows, "label", KEY, beds.codec(spark), fit, {"maxDepth": [2, 4, 8], "minInstancesPerNode": [1, 5]}, trials=2, k=2)[1]
+
+
+@query("foreign_model")
+def _(spark, folder):
+    model = models.foreign(FEATURES, 2, lambda pdf: [(1 - d, d) for d in (pdf["l_discount"] / 0.1).clip(0, 1)])
+    return model.transform(beds.li(spark, folder)).select(*KEY, F.col("proba")[1].alias("p"))

@@ -1 +1,69 @@
-"""Queries."""
+"""Queries: streams over the events table, run to the end of what is there."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from flowlens import streaming
+from flowlens.plans import beds
+from flowlens.plans.catalog import query
+
+
+def events(spark, folder):
+    """The events file as a stream."""
+    schema = beds.table(spark, folder, "events").schema
+    return streaming.read_stream(spark, folder, schema, glob="events.parquet")
+
+
+def finished(df, mode):
+    return streaming.run_available(df, f"s{uuid.uuid4().hex}", mode)
+
+
+@query("stream_tally", "select event_type as class, count(*) as n from events group by 1")
+def _(spark, folder):
+    return finished(streaming.tally(events(spark, folder), "event_type"), "complete")
+
+
+@query("stream_scoring", "select event_id, case when value >= 50 then 'high' else 'low' end as verdict from events")
+def _(spark, folder):
+    scored = events(spark, folder).select("event_id", F.when(F.col("value") >= 50, "high").otherwise("low").alias("verdict"))
+    return finished(scored, "append")
+
+
+@query("stream_sample", """select event_id, event_type from events where cast('0x' || substr(md5(concat_ws('|', 's', cast(event_id as varchar))), 1, 8) as bigint) / 4294967296.0
+  < case event_type when 'view' then 0.1 when 'click' then 0.5 else 1 end""")
+def _(spark, folder):
+    kept = streaming.sampled(events(spark, folder), "event_type", ["event_id"], {"view": 0.1, "click": 0.5}, "s")
+    return finished(kept.select("event_id", "event_type"), "append")
+
+
+@query("stream_dedup", "select event_id, event_type from events")
+def _(spark, folder):
+    twice = events(spark, folder).withColumn("copy", F.explode(F.when(F.col("event_id") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return finished(streaming.deduplicated(twice, ["event_id"]).select("event_id", "event_type"), "append")
+
+
+@query("stream_windows", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type as class, count(*) as n from events group by 1, 2")
+def _(spark, folder):
+    timed = streaming.event_time(events(spark, folder), "ts", "10 minutes")
+    out = finished(streaming.windowed(timed, "event_type"), "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "class", "n")
+
+
+@query("stream_sliding_windows", """select strftime(date_trunc('hour', ts) - to_minutes(cast(30 * o as integer)) + case when minute(ts) >= 30 then interval 30 minute else interval 0 minute end, '%Y-%m-%d %H:%M') as start, event_type as class, count(*) as n
+  from events, (select unnest([0, 1]) as o) group by 1, 2""")
+def _(spark, folder):
+    timed = streaming.event_time(events(spark, folder), "ts", "10 minutes")
+    out = finished(streaming.windowed(timed, "event_type", slide="30 minutes"), "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "class", "n")
+
+
+@query("stream_sessions", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+  s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, s""")
+def _(spark, folder):
+    timed = streaming.event_time(events(spark, folder), "ts", "10 minutes")
+    out = finished(streaming.sessions(timed, "user_id"), "complete")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

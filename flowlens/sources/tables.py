@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.functions.local import local_table
 from flowlens.operators.normalise import canonical_columns, column_name, drop_identifiers, merged, normalise_labels, numbers
 from flowlens.sources import dims
 
@@ -88,8 +89,8 @@ def load_flows(spark: SparkSession, folder: str, merge_rare: bool = True) -> Dat
 
 def missing_files(spark: SparkSession, folder: str, expected: Sequence[str] = tuple(dims.EXPECTED_FILES)) -> DataFrame:
     """Expected files that the folder lacks."""
-    names = spark.createDataFrame([(p.rpartition("/")[2].replace("%20", " "),) for p in discover(spark, folder)], "file string")
-    return spark.createDataFrame([(f,) for f in expected], "file string").join(names, "file", "left_anti")
+    names = local_table(spark, [(p.rpartition("/")[2].replace("%20", " "),) for p in discover(spark, folder)], "file string")
+    return local_table(spark, [(f,) for f in expected], "file string").join(names, "file", "left_anti")
 
 
 def settings_digest(settings: dict) -> str:
