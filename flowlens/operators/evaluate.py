@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from flowlens.functions.portable import ratio, rounded
 
 SLICES = 4096
-EVERY = Window.partitionBy()
 
 
 def predicted(proba: str = "proba") -> Column:

@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import hash01
@@ -122,7 +123,8 @@ def _boosted(rows: DataFrame, assembler: VectorAssembler, features: list[str], k
     for c in sorted(there):
         extra = {"weightCol": weight} if weight else {}
         extra |= {"validationIndicatorCol": held} if held else {}
-        booster = ml.GBTClassifier(featuresCol="_x", labelCol="_b", rawPredictionCol=f"_r{c}", probabilityCol=f"_p{c}", predictionCol=f"_o{c}", seed=7, **{"maxIter": 20, "maxDepth": 4, **params}, **extra)
+        booster = ml.GBTClassifier(featuresCol="_x", labelCol="_b", predictionCol=f"_o{c}", seed=7, **{"maxIter": 20, "maxDepth": 4, **params}, **extra)
+        booster = booster.setRawPredictionCol(f"_r{c}").setProbabilityCol(f"_p{c}")
         models[c] = booster.fit(rows.withColumn("_b", (F.col("_y") == c).cast("double")))
     rows.unpersist()
 
@@ -150,7 +152,7 @@ def foreign(features: Sequence[str], k: int, predict: Callable[[pd.DataFrame], l
             for pdf in it:
                 yield pdf.assign(proba=[[float(p) for p in row] for row in predict(pdf[features])])
 
-        return table.mapInPandas(batches, table.schema.add("proba", "array<double>"))
+        return table.mapInPandas(batches, T.StructType([*table.schema.fields, T.StructField("proba", T.ArrayType(T.DoubleType()))]))
 
     return Model(features, k, run)
 

@@ -92,7 +92,7 @@ def _(spark, folder):
     return out.select("feature", "position", *(rounded(F.col(c), 5).alias(c) for c in ("importance", "share", "cumulative")))
 
 
-@query("signature_features", f"""with {GLOBAL}, r as (select label, feature, importance / avg(importance) over (partition by feature) as ratio from imp),
+@query("signature_features", f"""with {GLOBAL}, r as (select label, feature, coalesce(importance / nullif(avg(importance) over (partition by feature), 0), 0) as ratio from imp),
   p as (select *, row_number() over (partition by label order by round(ratio, 9) desc, feature) as place from r) select label, feature, round_even(ratio, 5) as ratio, cast(place as integer) as place from p where place <= 2""")
 def _(spark, folder):
     return explain.signatures(by_class(spark, folder), "label", 2).withColumn("ratio", rounded(F.col("ratio"), 5))
