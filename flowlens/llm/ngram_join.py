@@ -1,11 +1,10 @@
 """N-gram Jaccard join through a token-group matrix.
 
-Texts with one shingle set are one class. Classes that share a popular min-hash are compared within
-bounded blocks; what links there forms the groups, all else is a group of its own. The matrix says
-which group holds which shingle, for the rare ones that a qualifying pair must share. A class is a
-query: the matrix gives the groups it may link to, the union of a group's shingles bounds the
-overlap, and only qualifying groups are opened and compared. Links between groups then merge into
-components.
+Texts with one shingle set are one class. Classes that share a popular min-hash form a group, all
+else is a group of its own; a first look within bounded blocks of a group finds easy links. The
+matrix says which group holds which shingle, for the rare ones that a qualifying pair must share. A
+class is a query: the matrix gives the groups it may link to, the union of a group's shingles bounds
+the overlap, and only qualifying groups are opened and compared. Links then merge into components.
 """
 
 from __future__ import annotations
@@ -26,9 +25,9 @@ from flowlens.llm.textops import Words, buckets, is_long, mix64, pack, range_has
 
 KEYS = 6
 SEEDS = mix64(np.arange(1, KEYS + 1, dtype=np.uint64))
-SKETCH_BITS, SKETCH_PARTS = 18, 64
-#: Members and queries of an opened block, at most about.
-MEMBERS, QUERIES = 256, 1024
+SKETCH_BITS, SKETCH_PARTS = 22, 64
+#: Texts of a block of the first look; shingles of members, and queries, of an opened block; about.
+LOOK, SHINGLES, QUERIES = 256, 250_000, 4096
 BLOCK_BYTES = 8 << 20
 
 
@@ -82,14 +81,16 @@ def _describe(width: int):
         for b in batches:
             texts, n, digests, keys = utf8(b.column(1)), [], [], []
             pending: list[np.ndarray] = []
+            held = 0
             for s in shingle_sets(texts, width):
                 n.append(len(s))
                 digests.append(digest(s))
                 keys.append(min_hashes(s).view(np.int64).tolist() if len(s) else [])
                 pending.append(s)
-                if len(pending) == 256:
+                held += len(s)
+                if held >= 1 << 20:
                     counts += np.bincount(np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
-                    pending = []
+                    pending, held = [], 0
             if pending:
                 counts += np.bincount(np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
             none = pa.nulls(len(n))
@@ -119,7 +120,8 @@ def _sketch(described: DataFrame) -> np.ndarray:
     size = len(counts) // SKETCH_PARTS
     for r in rows:
         counts[r["part"] * size : (r["part"] + 1) * size] = unpack(r["counts"])[0]
-    return counts
+    scale = max(1, int(counts.mean()) // 1000)
+    return np.minimum(counts // scale, 65535).astype(np.uint16)
 
 
 def _send_prefixes(width: int, percent: int, bits: int, counts: Broadcast):
@@ -220,22 +222,33 @@ def _cluster(width: int, percent: int):
 
 
 def _open(width: int, percent: int):
-    """Links of a block's queries to its group, whose members are connected already."""
+    """Links of a block's queries to its members: one for each component among the members."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets = list(shingle_sets(_texts(table), width))
-        member, ids = table.column("member").to_pylist(), table.column("id").to_pylist()
-        group = table.column("grp")[0].as_py()
-        members = [s for s, m in zip(sets, member, strict=True) if m]
-        if not members:
+        member = np.array(table.column("member").to_pylist())
+        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        sets = list(shingle_sets(_texts(table.filter(pa.array(member))), width))
+        if not sets:
             return _edges([])
-        union = np.unique(np.concatenate(members))
-        out = []
-        for i, s, m in zip(ids, sets, member, strict=True):
-            if m or 100 * common(s, union) < percent * len(s):
+        sizes = np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        owner = owner[order]
+        union, first = np.unique(tokens[order], return_index=True)
+        last = np.append(first[1:], len(tokens))
+        own_ids, own_comps = ids[member], comps[member]
+        asking, out = table.filter(pa.array(~member)), []
+        for i, c, s in zip(ids[~member].tolist(), comps[~member].tolist(), shingle_sets(_texts(asking), width), strict=True):
+            at = np.searchsorted(union, s)
+            at[at == len(union)] = 0
+            at = at[union[at] == s]
+            if not len(s) or 100 * len(at) < percent * len(s):  # the bound: overlap with the union
                 continue
-            if any(similar(s, x, percent) for x in members):
-                out.append((i, group))
+            n = last[at] - first[at]
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+            both = np.bincount(owner[places], minlength=len(sets))
+            linked = np.flatnonzero((100 * both >= percent * (sizes + len(s) - both)) & (own_comps != c))
+            out += [(i, int(own_ids[k])) for k in linked[np.unique(own_comps[linked], return_index=True)[1]]]
         return _edges(out)
 
     return run
@@ -267,7 +280,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     popular = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(by_hash)["id"].alias("p"), F.max(by_hash)["id"].alias("q")).where("size > 1")
     popular = stored(popular, "join-keys")
     chosen = keyed.join(popular, "key").groupBy("id").agg(F.max(F.struct("size", "key", "p", "q")).alias("k")).select("id", "k.*")
-    blocks = F.ceil(F.col("size") / MEMBERS)
+    blocks = F.ceil(F.col("size") / LOOK)
     block = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
     placed = stored(chosen.select("id", "key", "p", "q", block.alias("block")), "join-placed")
     pivots = placed.select("key", "block", F.explode(F.array("p", "q")).alias("id")).distinct().withColumn("pivot", F.lit(True))
@@ -281,28 +294,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits = buckets(spark).bit_length() - 1
     sent = known.mapInArrow(_send_prefixes(width, percent, bits, frequency), "bucket int, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared_tokens, "token bigint, id bigint, n bigint")
-    firsts = classes.select("id").distinct()
-    labels = firsts.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-    labels = stored(labels, "join-groups")
-    tokens = stored(shared.join(labels, "id").select("token", "id", "n", "grp"), "join-tokens")
-    matrix = tokens.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = tokens.select("token", F.col("id").alias("query"), "n", F.col("grp").alias("own"))
+    firsts = classes.groupBy("id").agg(F.max("n").alias("size"))
+    keys = placed.select("id", F.col("key").alias("grp"))
+    labels = firsts.join(keys, "id", "left").join(grouped.withColumnRenamed("node", "id"), "id", "left")
+    labels = stored(labels.select("id", "size", F.coalesce("grp", "id").alias("grp"), F.coalesce("component", "id").alias("comp")), "join-groups")
+    tokens = stored(shared.join(labels, "id").select("token", "id", "n", "grp", "comp"), "join-tokens")
+    matrix = tokens.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    queries = tokens.select("token", F.col("id").alias("query"), "n", F.col("grp").alias("own"), "comp")
     fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
-    wanted = queries.join(matrix, "token").where((F.col("own") < F.col("grp")) & fits).select("query", "grp").distinct()
+    apart = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))
+    wanted = queries.join(matrix, "token").where((F.col("own") <= F.col("grp")) & apart & fits).select("query", "comp", "grp").distinct()
     wanted = stored(wanted, "join-wanted")
 
     # Open the groups: bounded blocks of members and of queries meet.
     asked = wanted.groupBy("grp").agg(F.count("*").alias("asking"))
-    sizes = labels.groupBy("grp").agg(F.count("*").alias("size")).join(asked, "grp")
-    sizes = sizes.select("grp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("qb"))
+    sizes = labels.groupBy("grp").agg(F.sum("size").alias("shingles")).join(asked, "grp")
+    sizes = sizes.select("grp", F.ceil(F.col("shingles") / SHINGLES).cast("int").alias("mb"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("qb"))
     sizes = stored(sizes, "join-sizes")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     at = lambda c, n: F.pmod(F.xxhash64(c, F.lit(2)), F.col(n)).cast("int")
-    members = labels.join(sizes, "grp").select("id", "grp", at("id", "mb").alias("m"), each("qb").alias("q"), F.lit(True).alias("member"))
-    asking = wanted.join(sizes, "grp").select(F.col("query").alias("id"), "grp", each("mb").alias("m"), at("query", "qb").alias("q"), F.lit(False).alias("member"))
+    members = labels.join(sizes, "grp").select("id", "comp", "grp", at("id", "mb").alias("m"), each("qb").alias("q"), F.lit(True).alias("member"))
+    asking = wanted.join(sizes, "grp").select(F.col("query").alias("id"), "comp", "grp", each("mb").alias("m"), at("query", "qb").alias("q"), F.lit(False).alias("member"))
     opened = packed.join(members.unionByName(asking), "id").groupBy("grp", "m", "q").applyInArrow(_open(width, percent), "u bigint, v bigint")
 
-    # Links between groups, and those within, make the components.
+    # Both kinds of links make the components.
     links = hints.union(opened)
     final = components(links)
     smallest = classes.select("digest", F.col("id").alias("first")).join(final.withColumnRenamed("node", "first"), "first", "left")
