@@ -18,8 +18,11 @@ SLICES = 4096
 
 
 def predicted(proba: str = "proba") -> Column:
-    """The code of the largest probability, the lowest of ties."""
-    return (F.array_position(F.col(proba), F.array_max(F.col(proba))) - 1).cast("int")
+    """The code of the largest probability, the lowest of ties; -1 without probabilities.
+
+    Never null, so that a join on it adds no filter that computes the probabilities again.
+    """
+    return F.coalesce((F.array_position(F.col(proba), F.array_max(F.col(proba))) - 1).cast("int"), F.lit(-1))
 
 
 def known(df: DataFrame, code: str = "code") -> DataFrame:

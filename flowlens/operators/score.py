@@ -80,7 +80,7 @@ def verdict_table(scored: DataFrame, codec: DataFrame, profiles: DataFrame, key:
     table = profiles.select(F.col("class").alias("_class"), "severity")
     out = scored.crossJoin(F.broadcast(names))
     name = lambda c: F.element_at("_names", c.cast("int"))
-    out = out.withColumn("prediction", name(F.col("pred"))).join(F.broadcast(table), F.col("prediction") == F.col("_class"), "left")
+    out = out.withColumn("prediction", F.coalesce(name(F.col("pred")), F.lit(""))).join(F.broadcast(table), F.col("prediction") == F.col("_class"), "left")
     severity = F.when(F.col("prediction") == benign, 0).otherwise(F.coalesce("severity", F.lit(dims.UNKNOWN_SEVERITY)))
     columns = [
         *(F.col(k) for k in key), F.col("prediction"), rounded(F.col("confidence")).alias("confidence"),

@@ -56,8 +56,8 @@ def distribution(verdicts: DataFrame) -> DataFrame:
 def confidence_histogram(verdicts: DataFrame, bins: int = 20) -> DataFrame:
     """(bin, is_attack, n) over [0, 1] in equal bins, the last one closed, empty ones included."""
     spark = verdicts.sparkSession
-    at = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int")
-    n = verdicts.groupBy(at.alias("bin"), "is_attack").agg(F.count("*").alias("n"))
+    at = F.coalesce(F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int"), F.lit(-1))
+    n = verdicts.groupBy(at.alias("bin"), F.coalesce("is_attack", F.lit(False)).alias("is_attack")).agg(F.count("*").alias("n"))
     grid = local_table(spark, [(i,) for i in range(bins)], "bin int").select("bin", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_attack"))
     return grid.join(n, ["bin", "is_attack"], "left").select("bin", "is_attack", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -32,7 +32,7 @@ cls as (select a.k as code, count(*) filter (y = a.k) as support, count(*) filte
 def held_out(spark, folder, fit):
     """Test rows of the cleaned table, scored by fit(training rows)."""
     rows = clean.clean(beds.lid(spark, folder), FEATURES, "label", KEY)
-    parts = encode(split(rows, "label", KEY, 0.2, 0.1, "7"), "label", beds.codec(spark))
+    parts = encode(split(rows, "label", KEY, 0.2, 0.1, "7"), "label", beds.codec(spark)).persist()  # read by every fit
     train = parts.where("split = 'train'")
     stats = prep.fit(train, FEATURES)
     ready = prep.transform(parts, stats, [*KEY, "label", "code", "split"])

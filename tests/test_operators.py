@@ -7,7 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from flowlens.functions.portable import class_rank
-from flowlens.operators import balance, clean, evaluate, explain, models, narrate, normalise, prep, sample, score, select
+from flowlens import streaming
+from flowlens.operators import balance, clean, evaluate, explain, models, narrate, normalise, prep, sample, score, select, tune
 from flowlens.sources import dims, tables
 
 
@@ -190,3 +191,46 @@ def test_linear_contributions_add_up(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "k int, a double, b double")
     out = explain.linear_contributions(df, ["a", "b"], ["k"], [2.0, -1.0], {"a": 1.0, "b": 1.0})
     assert out.agg(F.sum("contribution")).first()[0] == (2 * 2.0 - 3.0) - (2 * 1.0 - 1.0)
+
+
+def test_expanded_probabilities(spark):
+    df = spark.createDataFrame([([0.25, 0.75],)], "p array<double>")
+    assert df.select(models.expanded(F.col("p"), [0, 2], 4).alias("x")).first()["x"] == [0.25, 0.0, 0.75, 0.0]
+
+
+def test_search_keeps_defaults_unless_beaten(spark):
+    df = spark.range(120).select("id", (F.col("id") % 2).cast("int").alias("code"), F.when(F.col("id") % 2 == 0, "n").otherwise("a").alias("c"), (F.col("id") % 2).cast("double").alias("x"))
+    fit = lambda rows, p: models.fit("tree", rows, ["x"], "code", 2, **p)
+    best, trials = tune.search(df, "c", ["id"], dims.class_table(spark, ["n", "a"]), fit, {"maxDepth": [99]}, trials=1, k=2)
+    got = {r["trial"]: r["status"] for r in trials.collect()}
+    assert best == {} and got[-1] == "done" and got[0].startswith("failed")
+
+
+def test_knn_imputer(spark):
+    df = spark.createDataFrame([(i, float(i % 2) * 10, float(i % 2) * 100) for i in range(20)] + [(99, 10.0, None)], "k int, a double, b double")
+    assert prep.knn_impute(df, ["a", "b"], ["k"], 3).where("k = 99").first()["b"] == 100.0
+
+
+def test_micro_batches_add_up(spark, tmp_path):
+    rows = proba(spark, [(i % 3, [(i % 7) / 20, (i % 5) / 20, 0.1]) for i in range(60)])
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streaming.read_stream(spark, str(tmp_path / "in"), rows.schema)
+    streaming.evaluate_batches(stream, str(tmp_path / "state"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    got = {(r["code"], r["pred"]): r["n"] for r in streaming.confusion_so_far(spark, str(tmp_path / "state")).collect()}
+    want = {(r["code"], r["pred"]): r["n"] for r in evaluate.confusion(rows, dims.class_table(spark, ["x", "y", "z"])).where("n > 0").collect()}
+    assert got == want
+
+
+def test_batch_equals_stream_for_windows(spark, tmp_path):
+    df = spark.range(200).select((F.timestamp_seconds(F.col("id") * 600)).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = streaming.event_time(streaming.read_stream(spark, str(tmp_path / "in"), df.schema), "ts", "10 minutes")
+    got = streaming.run_available(streaming.windowed(stream, "c"), "windows_test", "complete")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streaming.windowed(df, "c").collect()))
+
+
+def test_sentence(spark):
+    verdict = spark.createDataFrame([(1, "Bot", 0.95)], "k int, prediction string, confidence double")
+    top = spark.createDataFrame([(1, "Flow Duration", 1, 3.0)], "k int, feature string, place int, value double")
+    text = narrate.sentences(verdict, top, dims.gloss_table(spark), ["k"]).first()["sentence"]
+    assert text == "This record is very likely Bot (95.0%), resting on the flow duration (far above normal)."
