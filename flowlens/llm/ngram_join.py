@@ -27,7 +27,7 @@ KEYS = 6
 SEEDS = mix64(np.arange(1, KEYS + 1, dtype=np.uint64))
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Texts of a block of the first look; shingles of members, and queries, of an opened block; about.
-LOOK, SHINGLES, QUERIES = 256, 250_000, 4096
+LOOK, SHINGLES, QUERIES = 256, 50_000, 256
 BLOCK_BYTES = 8 << 20
 
 

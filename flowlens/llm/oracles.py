@@ -36,6 +36,7 @@ m as (
   select d.doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(l) as n_lines,
     len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutter,
     length(regexp_replace(t, '[^!]+', '', 'g')) as n_ex, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_cap,
     length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) as n_let
   from d left join covered c on d.doc_id = c.doc_id),
@@ -45,7 +46,7 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
   not (base_failed or 100 * n_symbols > 25 * n_words or (n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines)
     or (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words))
-    or 100 * n_ex > 50 * n_words or (n_let >= 100 and 100 * n_cap > 70 * n_let)) as kept
+    or 100 * n_stutter > 30 * n_words or 100 * n_ex > 50 * n_words or (n_let >= 100 and 100 * n_cap > 70 * n_let)) as kept
 from b
 """
 

@@ -22,12 +22,13 @@ RULES = {
     4: "word_length",
     5: "exclamations",
     6: "capitals",
+    7: "stutter",
 }
-BASE_MASK = 0b0000011
+BASE_MASK = 0b00000011
 #: Version -> mask of the rules that reject.
-POLICIES = {"v1": 0b0000011, "v2": 0b0011111, "v3": 0b1111111}
+POLICIES = {"v1": 0b00000011, "v2": 0b00011111, "v3": 0b01111111, "v4": 0b11111111}
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_capitals", "n_letters"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters", "n_exclamations", "n_capitals", "n_letters"]
 
 
 def _chars_left(text: Column, gone: str) -> Column:
@@ -43,6 +44,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_words", F.size("_w").cast("long"))
         .withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
         .drop("_w")
+        .withColumn("n_stutters", F.expr("cast(size(filter(_h, (h, i) -> i > 0 and h = get(_h, i - 1))) as bigint)"))
         .withColumn("_h", F.expr(f"if(n_words < {WINDOW}, array(), transform(sequence(0, n_words - {WINDOW}), i -> xxhash64({parts})))"))
         .withColumn("_h", F.expr("if(size(array_distinct(_h)) < size(_h), sort_array(transform(_h, (h, i) -> struct(h as h, i as i))), null)"))
         .withColumn("_h", F.expr("sort_array(transform(filter(_h, (x, k) -> coalesce(get(_h, k - 1).h = x.h, false) or coalesce(get(_h, k + 1).h = x.h, false)), x -> x.i))"))
@@ -70,6 +72,7 @@ def failures() -> dict[str, Column]:
         "duplicate_lines": (100 * F.col("n_dup_lines") > 50 * F.col("n_lines")) & (F.col("n_lines") >= 4),
         "word_length": (n > 0) & ((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         "exclamations": 100 * F.col("n_exclamations") > 50 * n,
+        "stutter": 100 * F.col("n_stutters") > 30 * n,
         "capitals": (100 * F.col("n_capitals") > 70 * F.col("n_letters")) & (F.col("n_letters") >= 100),
     }
 
@@ -88,13 +91,13 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("fail_bits", bits)
 
 
-def apply_policy(df: DataFrame, version: str = "v3") -> DataFrame:
+def apply_policy(df: DataFrame, version: str = "v4") -> DataFrame:
     """A ledger with base_failed and kept under the policy; rules of BASE_MASK always reject."""
     hit = lambda mask: F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")) != 0
     return df.withColumn("base_failed", hit(BASE_MASK)).withColumn("kept", ~hit(BASE_MASK | POLICIES[version]))
 
 
-def ablation(df: DataFrame, version: str = "v3") -> DataFrame:
+def ablation(df: DataFrame, version: str = "v4") -> DataFrame:
     """For each rule of the policy: rows that fail it, and rows that only it rejects.
 
     The rows are first counted by their masked bits, at most 2**len(RULES) groups.

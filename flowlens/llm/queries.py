@@ -82,7 +82,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    out = apply_policy(ledger(table(spark, folder, "documents").select("doc_id", "text")), "v3")
+    out = apply_policy(ledger(table(spark, folder, "documents").select("doc_id", "text")), "v4")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

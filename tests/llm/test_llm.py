@@ -212,7 +212,7 @@ def test_retrieval_finds_all_above_the_threshold(spark, small):
 def test_quality_by_brute_force(docs, texts, spark):
     more = {20: "a b c d e f g h i " * 3, 21: "dup\ndup\n\n \nx\n" * 9, 22: "#$ % & " * 30, 23: "q w e r t y u i o p a s d f g h j k l z x " * 2}
     df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string")).withColumn("fail_bits", F.lit("mine"))
-    out = quality_rules.apply_policy(quality_rules.ledger(df), "v3")
+    out = quality_rules.apply_policy(quality_rules.ledger(df), "v4")
     got = {r["doc_id"]: r for r in out.collect()}
     for i, t in {**texts, **more}.items():
         w, t = words(t), t or ""
@@ -222,8 +222,9 @@ def test_quality_by_brute_force(docs, texts, spark):
         lines = [x for x in t.split("\n") if words(x)]
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover)), i
+        assert r["n_stutters"] == sum(a == b for a, b in zip(w, w[1:], strict=False))
         assert r["base_failed"] == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
-    rules = {r["rule"]: r for r in quality_rules.ablation(out, "v3").collect()}
+    rules = {r["rule"]: r for r in quality_rules.ablation(out, "v4").collect()}
     assert rules["few_words"]["n_fail"] == sum(len(words(t)) < 20 for t in {**texts, **more}.values())
     assert quality_rules.ledger(df.limit(0)).count() == 0
 
