@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from flowlens.llm.substring_dedup import packed_by_group, places_of
 from flowlens.llm.textops import (
     buckets,
+    fresh,
     is_long,
     pack,
     pack_places,
@@ -170,5 +171,6 @@ def dedup_lines(
         new = [pa.array(out, pa.string()), *(pa.array([x[k] for x in numbers], pa.int64()) for k in range(3))]
         return pa.table([*(docs.column(c) for c in kept_names), *new], names=[*kept_names, text_col, *counts])
 
-    left = squeezed(df, text_col).withColumn("grp", spread_column(F.coalesce(F.col(id_col), F.xxhash64(text_col)), groups))
-    return left.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(rebuild, schema)
+    group = fresh(df, "grp")
+    left = squeezed(df, text_col).withColumn(group, spread_column(F.coalesce(F.col(id_col), F.xxhash64(text_col)), groups))
+    return left.groupBy(group).cogroup(found.groupBy("grp")).applyInArrow(rebuild, schema)

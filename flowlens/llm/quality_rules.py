@@ -38,24 +38,24 @@ def _chars_left(text: Column, gone: str) -> Column:
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the measurements of MEASURES; null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = ", ".join(f"get(_h, i + {k})" for k in range(WINDOW))
+    parts = ", ".join(f"get(_ledger_h, i + {k})" for k in range(WINDOW))
     return (
-        df.withColumn("_w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-        .withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-        .drop("_w")
-        .withColumn("n_stutters", F.expr("cast(size(filter(_h, (h, i) -> i > 0 and h = get(_h, i - 1))) as bigint)"))
-        .withColumn("_h", F.expr(f"if(n_words < {WINDOW}, array(), transform(sequence(0, n_words - {WINDOW}), i -> xxhash64({parts})))"))
-        .withColumn("_h", F.expr("if(size(array_distinct(_h)) < size(_h), sort_array(transform(_h, (h, i) -> struct(h as h, i as i))), null)"))
-        .withColumn("_h", F.expr("sort_array(transform(filter(_h, (x, k) -> coalesce(get(_h, k - 1).h = x.h, false) or coalesce(get(_h, k + 1).h = x.h, false)), x -> x.i))"))
-        .withColumn("n_repeat_words", F.expr(f"coalesce(aggregate(transform(_h, (x, k) -> if(k = 0, {WINDOW}, least({WINDOW}, x - get(_h, k - 1)))), 0L, (a, x) -> a + x), 0L)"))
-        .drop("_h")
+        df.withColumn("_ledger_w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+        .withColumn("n_words", F.size("_ledger_w").cast("long"))
+        .withColumn("_ledger_h", F.transform("_ledger_w", lambda w: F.xxhash64(w)))
+        .drop("_ledger_w")
+        .withColumn("n_stutters", F.expr("cast(size(filter(_ledger_h, (h, i) -> i > 0 and h = get(_ledger_h, i - 1))) as bigint)"))
+        .withColumn("_ledger_h", F.expr(f"if(n_words < {WINDOW}, array(), transform(sequence(0, n_words - {WINDOW}), i -> xxhash64({parts})))"))
+        .withColumn("_ledger_h", F.expr("if(size(array_distinct(_ledger_h)) < size(_ledger_h), sort_array(transform(_ledger_h, (h, i) -> struct(h as h, i as i))), null)"))
+        .withColumn("_ledger_h", F.expr("sort_array(transform(filter(_ledger_h, (x, k) -> coalesce(get(_ledger_h, k - 1).h = x.h, false) or coalesce(get(_ledger_h, k + 1).h = x.h, false)), x -> x.i))"))
+        .withColumn("n_repeat_words", F.expr(f"coalesce(aggregate(transform(_ledger_h, (x, k) -> if(k = 0, {WINDOW}, least({WINDOW}, x - get(_ledger_h, k - 1)))), 0L, (a, x) -> a + x), 0L)"))
+        .drop("_ledger_h")
         .withColumn("word_chars", _chars_left(text, r"[\x20\x09-\x0D]+"))
         .withColumn("n_symbols", _chars_left(text, r"[^#*$%&|<>]+"))
-        .withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
-        .withColumn("n_lines", F.size("_l").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .drop("_l")
+        .withColumn("_ledger_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
+        .withColumn("n_lines", F.size("_ledger_l").cast("long"))
+        .withColumn("n_dup_lines", (F.size("_ledger_l") - F.size(F.array_distinct("_ledger_l"))).cast("long"))
+        .drop("_ledger_l")
         .withColumn("n_exclamations", _chars_left(text, r"[^!]+"))
         .withColumn("n_capitals", _chars_left(text, r"[^A-Z]+"))
         .withColumn("n_letters", _chars_left(text, r"[^A-Za-z]+"))

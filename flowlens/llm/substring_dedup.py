@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from flowlens.llm.textops import (
     Words,
     buckets,
+    fresh,
     is_long,
     mix64,
     pack,
@@ -222,5 +223,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = [pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, arrow_span)]
         return pa.table([*(docs.column(c) for c in kept_names), *new], names=[*kept_names, text_col, "n_words", "n_removed", "removed_spans"])
 
-    left = squeezed(df, text_col).withColumn("grp", spread_column(F.coalesce(F.col(id_col), F.xxhash64(text_col)), groups))
-    return left.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(rebuild, schema)
+    group = fresh(df, "grp")
+    left = squeezed(df, text_col).withColumn(group, spread_column(F.coalesce(F.col(id_col), F.xxhash64(text_col)), groups))
+    return left.groupBy(group).cogroup(found.groupBy("grp")).applyInArrow(rebuild, schema)

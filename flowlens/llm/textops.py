@@ -189,5 +189,13 @@ def unsqueezed(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return [None if x is None else z.decompress(x) for x in column.to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def is_long(df: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn(id_col, F.col(id_col).cast("long"))
