@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows.
 
-Turns become marked, escaped pieces. Prefix sums of turn tokens cut a conversation into turn-aligned
+Turns become marked, escaped pieces. A running sum of turn tokens cuts a conversation into turn-aligned
 spans; each window holds the system turn, a limited history of turns before its span, then the span.
 The loss covers assistant texts of the span alone, so each is learned once. DataFrame expressions
 throughout.
@@ -45,13 +45,17 @@ def format_windows(
     budget: int = 512,
     history: int = 128,
     least: int = 64,
+    held: bool = True,
 ) -> DataFrame:
     """conv_id, window, n_context, n_tokens, formatted, loss_spans: a row per window.
 
     n_context: leading turns repeated from before the window's span. loss_spans: array of
-    (start, length) in code points of `formatted`. A span starts where the tokens before it pass a
-    multiple of budget - system - history (`least` at least); a turn over the budget stands whole
-    in a window of its own. Turns go by turn number, ties by role, then text, nulls first. Null
+    (start, length) in code points of `formatted`. A span takes turns while their tokens stay within
+    budget - system - history (`least` at least, if the system turn leaves it); history is what the
+    span leaves of the budget, `history` at most. So n_tokens is within the budget, unless one turn
+    with the system turn is larger; that turn stands whole in a window of its own. held=False starts
+    a span where the tokens before it pass a multiple of that room, as the SQL twin of
+    op2_chat_format does; its windows can pass the budget. Turns go by turn number, ties by role, then text, nulls first. Null
     roles and texts count as empty; a null conversation id is a conversation. Columns of df besides
     the four are ignored.
     """
@@ -71,20 +75,32 @@ def format_windows(
         .withColumn("is_system", (F.col("seq") == 1) & (F.col("role") == "system"))
         .withColumn("before", F.sum(body).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - body)
         .withColumn("system_tokens", F.sum(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("room", F.greatest(F.lit(budget) - history - F.col("system_tokens"), F.lit(least)))
-        .withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("before") / F.col("room"))))
-        .withColumn("new", F.when(F.col("span") != F.coalesce(F.lag("span").over(order), F.lit(0)), 1).otherwise(0))
-        .withColumn("own", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
+    if held:
+        free = F.lit(budget) - F.col("system_tokens")
+        turns = _starts(turns.withColumn("room", F.greatest(free - history, F.least(free, F.lit(least)))))
+        steps = F.when(F.col("room") < 1, 0).otherwise(F.least(2 * F.floor(F.lit(history) / F.col("room")) + 2, F.lit(history // TURN_TOKENS + 1)))
+    else:
+        turns = (
+            turns.withColumn("room", F.greatest(F.lit(budget) - history - F.col("system_tokens"), F.lit(least)))
+            .withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("before") / F.col("room"))))
+            .withColumn("new", F.when(F.col("span") != F.coalesce(F.lag("span").over(order), F.lit(0)), 1).otherwise(0))
+        )
+        steps = F.floor(F.lit(history) / F.col("room")) + 2
+    turns = (
+        turns.withColumn("own", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("last", F.max("own").over(Window.partitionBy("conv_id")))
     )
-    reach = F.when(F.col("is_system"), F.col("last")).otherwise(F.least("last", F.col("own") + F.floor(F.lit(history) / F.col("room")) + 2))
+    reach = F.when(F.col("is_system"), F.col("last")).otherwise(F.least("last", F.col("own") + steps))
     piece = F.concat(F.lit(START), F.col("head"), F.lit("\n"), F.col("body"), F.lit(END))
     window = Window.partitionBy("conv_id", "window")
+    spent = F.sum(F.when(F.col("target") | F.col("is_system"), F.col("tokens")).otherwise(0)).over(window)
     placed = (
         turns.withColumn("window", F.explode(F.sequence(F.col("own"), reach.cast("bigint"))))
         .withColumn("target", F.col("window") == F.col("own"))
         .withColumn("begin", F.min(F.when(F.col("target") & ~F.col("is_system"), F.col("before"))).over(window))
-        .where(F.col("target") | F.col("is_system") | (F.col("begin") - F.col("before") <= history))
+        .withColumn("allowed", F.least(F.lit(history), F.lit(budget) - spent) if held else F.lit(history))
+        .where(F.col("target") | F.col("is_system") | (F.col("begin") - F.col("before") <= F.col("allowed")))
         .withColumn("head", escaped_role(F.col("role")))
         .withColumn("body", escaped(F.col("text")))
         .withColumn("piece", piece)
@@ -101,6 +117,23 @@ def format_windows(
     return rows.select("conv_id", "window", "n_context", "n_tokens", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
+def _starts(turns: DataFrame) -> DataFrame:
+    """turns with new: 1 where a span starts (but the first), for the next turn would pass the room."""
+
+    def step(s: Column, t: Column) -> Column:
+        fits = s["n"] + t["tokens"] <= t["room"]
+        return F.struct(
+            F.when(t["is_system"], s["n"]).when(fits | (s["n"] == 0), s["n"] + t["tokens"]).otherwise(t["tokens"]).alias("n"),
+            F.when(t["is_system"] | fits | (s["n"] == 0), s["at"]).otherwise(F.concat(s["at"], F.array(t["seq"]))).alias("at"),
+        )
+
+    told = F.array_sort(F.collect_list(F.struct("seq", F.col("tokens").cast("bigint").alias("tokens"), "is_system", F.col("room").cast("bigint").alias("room"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.expr("cast(array() as array<int>)").alias("at"))
+    cuts = turns.groupBy("conv_id").agg(F.aggregate(told, none, step)["at"].alias("at")).select(F.col("conv_id").alias("_conv"), F.explode("at").alias("_at"))
+    marked = turns.join(cuts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("seq") == F.col("_at")), "left")
+    return marked.withColumn("new", F.when(F.col("_at").isNotNull(), 1).otherwise(0)).drop("_conv", "_at")
+
+
 def read_back(windows: DataFrame) -> DataFrame:
     """Windows as conversations: conv_id, n_turns, dialogue, loss_text, formatted_chars.
 

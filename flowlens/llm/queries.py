@@ -36,11 +36,20 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_lines_removed", "n_chunks_removed", kept.alias("kept_sha256"))
 
 
-def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+def chat_turns(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.sql(f"select -1L as conv_id, turn, role, '{said}' as text from values (0L, 'user'), (1L, 'assistant') as v(turn, role)")
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    back = read_back(format_windows(turns))
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+
+
+def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows themselves, each within the budget."""
+    out = format_windows(chat_turns(spark, folder))
+    return out.select("conv_id", "window", "n_context", "n_tokens", F.sha2("formatted", 256).alias("formatted_sha256"))
+
+
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    back = read_back(format_windows(chat_turns(spark, folder), held=False))  # as its SQL twin cuts
     return back.select(
         "conv_id",
         "n_turns",
@@ -89,6 +98,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
+    "op2_chat_windows": op2_chat_windows,
     "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
     "op8_ngram_join": op8_ngram_join,

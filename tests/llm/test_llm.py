@@ -344,3 +344,34 @@ def test_mixture(spark):
     taken = mixing.mixed(df, m)
     assert taken.agg(F.sum(F.regexp_count("text", F.lit("word|one|two")))).first()[0] == (out["taken"] * out["copies"]).sum()
     assert mixing.amounts(mixing.mix(df.limit(0), **kwargs)).count() == 0
+
+
+def test_chat_windows_hold_their_budget(spark):
+    text = lambda n: " ".join(["w"] * (n - 4))
+    sizes = {1: [200, 150, 300], 2: [600, 90, 500, 20], 3: [5 + k * 37 % 180 for k in range(60)], 4: [40, 60, 70, 30], 5: [30, 40, 50]}
+    system = {4: 460, 5: 700}
+    rows = [(c, 0, "system", text(n)) for c, n in system.items()]
+    rows += [(c, k, "assistant", text(n)) for c, s in sizes.items() for k, n in enumerate(s, 1)]
+    rows += [(None, k, "user", text(100)) for k in range(9)]
+    out = format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = defaultdict(list)
+    for r in out.orderBy("conv_id", "window").collect():
+        got[r["conv_id"]].append(r)
+    for c, s in sizes.items():
+        free = 512 - system.get(c, 0)
+        room = max(free - 128, min(free, 64))
+        spans, begin = [[]], {}
+        for k, n in enumerate(s):
+            if spans[-1] and sum(spans[-1]) + n > room:
+                spans.append([])
+            begin.setdefault(len(spans) - 1, k)
+            spans[-1].append(n)
+        want = []
+        for w, span in enumerate(spans):
+            past, left = [], min(128, free - sum(span))
+            while begin[w] > len(past) and sum(past) + s[begin[w] - len(past) - 1] <= left:
+                past.append(s[begin[w] - len(past) - 1])
+            want.append((len(past) + (c in system and w > 0), system.get(c, 0) + sum(past) + sum(span)))
+            assert want[-1][1] <= 512 or len(span) == 1
+        assert [(r["n_context"], r["n_tokens"]) for r in got[c]] == want
+    assert all(r["n_tokens"] <= 512 for r in got[None]) and len(got[None]) == 3
