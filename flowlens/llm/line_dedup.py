@@ -2,7 +2,8 @@
 
 A text's lines are hashed; a rolling hash over consecutive line hashes sets the ends of chunks, so
 that a line added before a passage does not shift the chunks behind it. Chunks of two lines or more
-that stand elsewhere too are removed, but for the first, after their bytes are compared.
+that stand elsewhere too are removed, but for the first, after their bytes are compared. Runs that
+hold no whole chunk are found by 128-bit hashes of every two (`least`) consecutive lines.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def chunks(text: bytes, window: int, spacing: int, least: int, most: int) -> lis
     """The text's lines in content-defined chunks.
 
     A chunk ends at a line where the hash of the last `window` line hashes is 0 modulo `spacing`,
-    once it has `least` lines, or at `most` lines.
+    once it has `least` lines, or at `most` lines. A rest of fewer than `least` lines belongs to the
+    chunk before it.
     """
     out, chunk, recent = [], [], []
     for line in text.split(b"\n"):
@@ -56,11 +58,21 @@ def chunks(text: bytes, window: int, spacing: int, least: int, most: int) -> lis
         if len(chunk) >= most or (len(chunk) >= least and (rolled >> 17) % spacing == 0):
             out.append(chunk)
             chunk = []
-    if chunk:
+    if chunk and len(chunk) < least and out:
+        out[-1] += chunk
+    elif chunk:
         out.append(chunk)
     return out
 
 
+def runs(lines: list[bytes], least: int) -> Iterator[tuple[int, bytes]]:
+    """(first line, hash) of every `least` consecutive lines with some word."""
+    words = [bool(line.strip()) for line in lines]
+    for k in range(len(lines) - least + 1):
+        if any(words[k : k + least]):
+            yield k, xxhash.xxh3_128_digest(b"\n".join(lines[k : k + least]))
+
+
 def dedup_lines(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -70,10 +82,11 @@ def dedup_lines(
     least: int = 2,
     most: int = 64,
 ) -> DataFrame:
-    """df without repeated multi-line chunks.
+    """df without repeated multi-line chunks and repeated runs of lines.
 
     Of equal chunks with `least` (at least two) lines and some word, that in the smallest id, then
-    earliest in its text, stays. The columns of df stay, but for `text_col` (what is left; null
+    earliest in its text, stays; so with equal runs of `least` lines, but that a run which overlaps
+    the first in one document is no repeat. The columns of df stay, but for `text_col` (what is left; null
     stays null) and new n_lines, n_lines_removed and n_chunks_removed, which replace columns of
     these names. An empty text has one empty line. A null id neither removes nor loses lines. Rows
     with one id count as one document: chunks at the same place of both are no repeats, and a place
@@ -88,6 +101,8 @@ def dedup_lines(
     df = is_long(df, id_col)
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
     cut = (window, spacing, least, most)
+    #: Places of a document: twice the number of a chunk, or twice that of a run's first line and one.
+    overlap = lambda a, b: a[0] == b[0] and abs(b[1] - a[1]) < 2 * least
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -97,9 +112,20 @@ def dedup_lines(
                 seen: dict[bytes, tuple[int, int]] = {}
                 by: dict[int, list[tuple[int, int, bytes]]] = {}
                 known: dict[int, list[tuple[int, int]]] = {}
+                met: dict[bytes, tuple[int, int]] = {}
+                hashed: dict[int, list[tuple[int, int, bytes]]] = {}
                 for k in np.argsort(ids[i:j], kind="stable"):
                     doc = int(ids[i + k])
+                    for line, run in runs(all_texts[i + k].split(b"\n"), least):
+                        place = (doc, 2 * line + 1)
+                        first = met.setdefault(run, place)
+                        to = (int.from_bytes(run[:8], "big")) >> shift
+                        if first == place or overlap(first, place):
+                            hashed.setdefault(to, []).append((*place, run))
+                        else:
+                            known.setdefault((to * 31 + doc) % size, []).append(place)
                     for at, lines in enumerate(chunks(all_texts[i + k], *cut)):
+                        at = 2 * at
                         if len(lines) < least:
                             continue
                         body = b"\n".join(lines)
@@ -116,6 +142,10 @@ def dedup_lines(
                     got = list(dict.fromkeys(got))
                     doc, at = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
                     rows.append((to, pack(*pack_places(doc, at), np.array([len(g[2]) for g in got], np.int32)), z.compress(b"".join(g[2] for g in got))))
+                for to, got in hashed.items():
+                    got = list(dict.fromkeys(got))
+                    doc, at = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
+                    rows.append((to, pack(*pack_places(doc, at)), b"".join(g[2] for g in got)))
                 for to, pairs in known.items():
                     rows.append((to, pack(*pack_places(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))), None))
                 if rows:
@@ -128,12 +158,24 @@ def dedup_lines(
         z = zstandard.ZstdDecompressor()
         first: dict[bytes, tuple[int, int]] = {}
         later: list[tuple[int, int]] = []
+        head: dict[bytes, tuple[int, int]] = {}
+        again: list[tuple[bytes, tuple[int, int]]] = []
         for places, bodies in zip(table.column("places").to_pylist(), table.column("bodies").to_pylist(), strict=True):
             ids, counts, pos, *sizes = unpack(places)
             pairs = list(zip(*(x.tolist() for x in unpack_places(ids, counts, pos)), strict=True))
             if bodies is None:
                 later += pairs
                 continue
+            if not sizes:
+                for n, pair in enumerate(pairs):
+                    run = bodies[16 * n : 16 * n + 16]
+                    had = head.setdefault(run, pair)
+                    if pair < had:
+                        head[run] = pair
+                        again.append((run, had))
+                    elif pair > had:
+                        again.append((run, pair))
+                continue
             raw, at = z.decompress(bodies), 0
             for pair, n in zip(pairs, sizes[0].tolist(), strict=True):
                 body = raw[at : at + n]
@@ -144,6 +186,7 @@ def dedup_lines(
                     later.append(had)
                 elif pair > had:
                     later.append(pair)
+        later += [pair for run, pair in again if not overlap(head[run], pair)]
         doc, pos = np.array([p[0] for p in later], np.int64), np.array([p[1] for p in later], np.int64)
         return packed_by_group(doc, pos, groups)
 
@@ -165,9 +208,13 @@ def dedup_lines(
                 numbers.append((n, 0, 0))
                 continue
             parts = chunks(t, *cut)
-            kept = [line for k, lines in enumerate(parts) if k not in drop for line in lines]
+            stays = [2 * k not in drop for k, lines in enumerate(parts) for _ in lines]
+            for place in drop:
+                if place % 2:
+                    stays[place // 2 : place // 2 + least] = [False] * least
+            kept = [line for line, stay in zip(t.split(b"\n"), stays, strict=True) if stay]
             out.append(b"\n".join(kept).decode())
-            numbers.append((n, n - len(kept), sum(k in drop for k in range(len(parts)))))
+            numbers.append((n, n - len(kept), sum(2 * k in drop for k in range(len(parts)))))
         new = [pa.array(out, pa.string()), *(pa.array([x[k] for x in numbers], pa.int64()) for k in range(3))]
         return pa.table([*(docs.column(c) for c in kept_names), *new], names=[*kept_names, text_col, *counts])
 

@@ -375,3 +375,27 @@ def test_chat_windows_hold_their_budget(spark):
             assert want[-1][1] <= 512 or len(span) == 1
         assert [(r["n_context"], r["n_tokens"]) for r in got[c]] == want
     assert all(r["n_tokens"] <= 512 for r in got[None]) and len(got[None]) == 3
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    line = lambda *a: " ".join(map(str, a)) + " of some words"
+    shared = [line("shared", k) for k in range(12)]
+    whole = "\n".join(line("copied", k) for k in range(31))
+    rows, want, i = [(0, "\n".join(shared))], {0: "\n".join(shared)}, 1
+    for n in (2, 3, 4, 5):
+        for at in range(12 - n + 1):
+            own = [line("own", i, k) for k in range(9)]
+            rows.append((i, "\n".join(own[:4] + shared[at : at + n] + own[4:])))
+            want[i] = "\n".join(own)
+            i += 1
+    for n in range(1, 32):  # exact copies of texts with any rest
+        for copy in (0, 1):
+            text = "\n".join(f"{n} {x}" for x in whole.split("\n")[:n])
+            rows.append((i, text))
+            want[i] = "" if copy and n > 1 else text
+            i += 1
+    rows += [(i, "\n".join(["alike"] * 3)), (i + 1, "\n".join(["twin"] * 6)), (i + 2, "one line\nshared line"), (i + 3, "shared line\nother line")]
+    want |= {i: "\n".join(["alike"] * 3), i + 1: "twin\ntwin", i + 2: "one line\nshared line", i + 3: "shared line\nother line"}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == want
