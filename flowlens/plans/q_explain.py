@@ -47,55 +47,70 @@ whole as (select i, k, p from (select *, row_number() over (partition by i order
 occ as (select w.i, b.feature, w.k, {_odds('w.p')} - {_odds('b.p')} as c from whole w join prob b on w.i = b.i and w.k = b.k and b.feature != '')"""
 
 
-def contributions(spark, folder):
-    rows = sample(spark, folder)
-    _, medians = explain.background(rows, FEATURES, KEY, N)
-    return rows, explain.occlusion(rows, FEATURES, KEY, classifier(spark, folder).transform, medians)
+WHOLE = SAMPLE.replace(f"from (select * from li order by {beds.md5('x')}, {KEYS} limit {N})", "from li").replace("from xs)", f"from (select * from li order by {beds.md5('x')}, {KEYS} limit {N}))")
 
 
-@query("occlusion", f"with {OCC} select {KEYS}, feature, round_even(c, 4) as contribution from occ join xs on occ.i = xs.i")
-def _(spark, folder):
-    return contributions(spark, folder)[1].select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
+def every(name: str, sql: str, twin: bool = True):
+    """Registers a query of (spark, folder, whole) under its name, for the sample, and with _all for every row; medians are the sample's in both.
 
+    twin=False: no SQL for every row, for contributions near the ends of the log odds differ in the last digits.
+    """
 
-@query("occlusion_of_class", f"with {OCC}, one as (select a.i, b.feature, {_odds('a.p')} - {_odds('b.p')} as c from prob a join prob b on a.i = b.i and a.k = b.k where a.k = 2 and a.feature = '' and b.feature != '') select {KEYS}, feature, round_even(c, 4) as contribution from one join xs on one.i = xs.i")
-def _(spark, folder):
-    rows = sample(spark, folder)
-    _, medians = explain.background(rows, FEATURES, KEY, N)
-    out = explain.occlusion(rows, FEATURES, KEY, classifier(spark, folder).transform, medians, target=2)
+    def add(f):
+        query(name, sql)(f)
+        query(f"{name}_all", sql.replace(SAMPLE, WHOLE) if twin else None)(lambda spark, folder: f(spark, folder, True))
+        return f
+
+    return add
+
+
+def contributions(spark, folder, whole=False, target=None):
+    """Contributions by key and label."""
+    rows = encode(beds.li(spark, folder), "label", beds.codec(spark)) if whole else sample(spark, folder)
+    _, medians = explain.background(beds.li(spark, folder), FEATURES, KEY, N, "x")
+    return explain.occlusion(rows, FEATURES, [*KEY, "label"], classifier(spark, folder).transform, medians, target)
+
+
+@every("occlusion", f"with {OCC} select {KEYS}, feature, round_even(c, 4) as contribution from occ join xs on occ.i = xs.i", twin=False)
+def _(spark, folder, whole=False):
+    return contributions(spark, folder, whole).select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
+
+
+@every("occlusion_of_class", f"with {OCC}, one as (select a.i, b.feature, {_odds('a.p')} - {_odds('b.p')} as c from prob a join prob b on a.i = b.i and a.k = b.k where a.k = 2 and a.feature = '' and b.feature != '') select {KEYS}, feature, round_even(c, 4) as contribution from one join xs on one.i = xs.i", twin=False)
+def _(spark, folder, whole=False):
+    out = contributions(spark, folder, whole, target=2)
     return out.select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
 
 
-@query("top_contributions", f"""with {OCC}, r as (select *, row_number() over (partition by i order by round(abs(c), 9) desc, feature) as place from occ)
+@every("top_contributions", f"""with {OCC}, r as (select *, row_number() over (partition by i order by round(abs(c), 9) desc, feature) as place from occ)
 select {KEYS}, feature, cast(place as integer) as place, case when c > 0 then 'supports' when c < 0 then 'opposes' else 'neutral' end as direction from r join xs on r.i = xs.i where place <= 1""")
-def _(spark, folder):
-    return explain.ranked_contributions(contributions(spark, folder)[1], KEY, 1).select(*KEY, "feature", "place", "direction")
+def _(spark, folder, whole=False):
+    return explain.ranked_contributions(contributions(spark, folder, whole), KEY, 1).select(*KEY, "feature", "place", "direction")
 
 
 GLOBAL = f"{OCC}, imp as (select label, feature, avg(abs(c)) as importance from occ join xs on occ.i = xs.i group by 1, 2)"
 
 
-def by_class(spark, folder):
-    rows, found = contributions(spark, folder)
-    return explain.global_importance(found.join(rows.select(*KEY, "label"), KEY), "label")
+def by_class(spark, folder, whole):
+    return explain.global_importance(contributions(spark, folder, whole), "label")
 
 
-@query("class_importance", f"with {GLOBAL} select label, feature, round_even(importance, 5) as importance from imp")
-def _(spark, folder):
-    return by_class(spark, folder).withColumn("importance", rounded(F.col("importance"), 5))
+@every("class_importance", f"with {GLOBAL} select label, feature, round_even(importance, 5) as importance from imp")
+def _(spark, folder, whole=False):
+    return by_class(spark, folder, whole).withColumn("importance", rounded(F.col("importance"), 5))
 
 
-@query("global_importance", f"""with {GLOBAL}, t as (select feature, sum(importance) as importance from imp group by 1), s as (select *, importance / sum(importance) over () as share, row_number() over (order by round(importance, 9) desc, feature) as position from t)
+@every("global_importance", f"""with {GLOBAL}, t as (select feature, sum(importance) as importance from imp group by 1), s as (select *, importance / sum(importance) over () as share, row_number() over (order by round(importance, 9) desc, feature) as position from t)
 select feature, round_even(importance, 5) as importance, round_even(share, 5) as share, cast(position as integer) as position, round_even(sum(share) over (order by position), 5) as cumulative from s""")
-def _(spark, folder):
-    out = explain.importance_shares(by_class(spark, folder))
+def _(spark, folder, whole=False):
+    out = explain.importance_shares(by_class(spark, folder, whole))
     return out.select("feature", "position", *(rounded(F.col(c), 5).alias(c) for c in ("importance", "share", "cumulative")))
 
 
-@query("signature_features", f"""with {GLOBAL}, r as (select label, feature, coalesce(importance / nullif(avg(importance) over (partition by feature), 0), 0) as ratio from imp),
+@every("signature_features", f"""with {GLOBAL}, r as (select label, feature, coalesce(importance / nullif(avg(importance) over (partition by feature), 0), 0) as ratio from imp),
   p as (select *, row_number() over (partition by label order by round(ratio, 9) desc, feature) as place from r) select label, feature, round_even(ratio, 5) as ratio, cast(place as integer) as place from p where place <= 2""")
-def _(spark, folder):
-    return explain.signatures(by_class(spark, folder), "label", 2).withColumn("ratio", rounded(F.col("ratio"), 5))
+def _(spark, folder, whole=False):
+    return explain.signatures(by_class(spark, folder, whole), "label", 2).withColumn("ratio", rounded(F.col("ratio"), 5))
 
 
 @query("background_medians", f"with {SAMPLE} " + " union all ".join(f"select '{c}' as feature, round_even(m_{c}, 6) as median from mid" for c in FEATURES))
@@ -144,13 +159,13 @@ def _(spark, folder):
 
 @query("sentences")
 def _(spark, folder):
-    from flowlens.operators import narrate
+    from flowlens.operators import narrate, prep
     from flowlens.plans.q_score import verdicts
     from flowlens.sources import dims
 
-    table = verdicts(spark, folder)
-    _, found = contributions(spark, folder)
-    top = explain.ranked_contributions(found, KEY, 2).withColumn("value", F.lit(0.0))
-    return narrate.sentences(table.join(top.select(*KEY).distinct(), KEY, "left_semi"), top, dims.gloss_table(spark), KEY)
+    stats = prep.fit(beds.li(spark, folder), FEATURES)
+    standard = F.coalesce(*(F.when(F.col("feature") == r.feature, (prep.clip(F.col("value"), r.lower, r.upper) - r.centre) / r.spread) for r in stats.rows))
+    top = explain.ranked_contributions(contributions(spark, folder, True), KEY, 2).withColumn("value", standard)
+    return narrate.sentences(verdicts(spark, folder), top, dims.gloss_table(spark), KEY)
 
 
