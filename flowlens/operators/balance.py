@@ -5,17 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import class_rank, rounded
 from flowlens.operators.sample import class_counts
 
-#: Rows of a class up to which neighbours are exact, and rows of a table for Tomek links.
-EXACT, TOMEK = 20_000, 40_000
+#: Rows of a block, about; pairs of blocks are compared.
+BLOCK = 8192
 
 
 def targets(counts: dict[str, int], ratio: float = 0.25, expansion: float = 20.0, least: int = 0) -> dict[str, tuple[int, bool]]:
@@ -49,32 +51,78 @@ def oversample(df: DataFrame, label: str, key: Sequence[str], wanted: dict[str,
     return df.where(~F.col(label).isin(*more) | F.col(label).isNull()).withColumn("copy", F.lit(0)).unionByName(grown)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, classes: Sequence[str | int] | None = None, exact: int = EXACT) -> DataFrame:
+def _vectors(table: pa.Table) -> np.ndarray:
+    v = table.column("_v").combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _nearest(k: int):
+    """The k nearest rows of a block to each row of another, by distance rounded to 6 digits, then key."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"_k": left.column("_k").slice(0, 0), "_n": left.column("_k").slice(0, 0), "_d": pa.array([], pa.float64())})
+        right = right.take(pc.sort_indices(right.column("_k")))
+        q, d = _vectors(left), _vectors(right)
+        # a row is no neighbour of itself, and a key lies in one block
+        codes = {x: n for n, x in enumerate(dict.fromkeys(right.column("_k").to_pylist()))}
+        own_q, own_d = (np.array([codes.get(x, -1) for x in t.column("_k").to_pylist()]) for t in (left, right))
+        same = left.column("_i")[0].as_py() == left.column("_j")[0].as_py()
+        norms = (d * d).sum(axis=1)
+        who, near, far = [], [], []
+        for at in range(0, len(q), 128):
+            x = q[at : at + 128]
+            length = (x * x).sum(axis=1)
+            squares = length[:, None] + norms[None, :] - 2 * (x @ d.T)
+            if same:
+                squares[own_q[at : at + 128, None] == own_d[None, :]] = np.inf
+            top = np.partition(squares, min(k, len(d)) - 1, axis=1)[:, min(k, len(d)) - 1]
+            # room for the error of the product and for ties once rounded
+            slack = 1e-11 * (length + norms.max()) + 4e-6 * np.sqrt(np.maximum(top, 0)) + 1e-11
+            r, c = np.nonzero((squares <= (top + slack)[:, None]) & np.isfinite(squares))
+            exact = np.concatenate([np.zeros(0), *(np.sqrt(((x[r[n : n + 65536]] - d[c[n : n + 65536]]) ** 2).sum(axis=1)) for n in range(0, len(r), 65536))])
+            order = np.lexsort((c, np.round(exact, 6), r))
+            r, c, exact = r[order], c[order], exact[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            who.append(r[keep] + at)
+            near.append(c[keep])
+            far.append(exact[keep])
+        return pa.table({"_k": left.column("_k").take(pa.array(np.concatenate(who))), "_n": right.column("_k").take(pa.array(np.concatenate(near))), "_d": pa.array(np.concatenate(far))})
+
+    return run
+
+
+def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, classes: Sequence[str | int] | None = None, block: int = BLOCK) -> DataFrame:
     """(key, neighbour, distance, place): the k nearest rows of the same class, itself excluded.
 
-    vector: array<double>. Distances are rounded to 6 digits, ties go by key; k shrinks to the class.
-    Classes over `exact` rows use locality-sensitive hashing, and `approximate` says so.
+    vector: array<double>, finite. Distances are rounded to 6 digits, ties go by key; k shrinks to the
+    class. Exact at any size: a class is cut into blocks of about `block` rows by hash of the key, each
+    pair of blocks is one group and returns k rows a row; these merge by key. The work grows with the
+    square of a class.
     """
     rows = df if classes is None else df.where(F.col(label).isin(*classes))
-    rows = rows.select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_c").count().collect()}
-    small, large = [c for c, n in counts.items() if n <= exact], [c for c, n in counts.items() if n > exact]
-    a, b = rows.where(F.col("_c").isin(*small)).alias("a"), rows.where(F.col("_c").isin(*small)).alias("b")
-    pairs = a.join(b, (F.col("a._c") == F.col("b._c")) & (F.col("a._k") != F.col("b._k")))
-    near = pairs.select(F.col("a._k").alias("_k"), F.col("b._k").alias("_n"), rounded(F.sqrt(squared_distance(F.col("a._v"), F.col("b._v")))).alias("_d"))
+    rows = rows.select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("_c").isNotNull())
+    kinds = dict(rows.dtypes)
+    sizes = rows.groupBy("_c").count().select(F.col("_c").alias("_own"), F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
+    cut = rows.join(F.broadcast(sizes), F.col("_c") == F.col("_own")).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = cut.select("_c", F.col("_b").alias("_i"), every.alias("_j"), "_k", "_v")
+    again = lambda c: F.col(c).alias(c)
+    right = cut.select(again("_c"), every.alias("_i"), F.col("_b").alias("_j"), again("_k"), again("_v"))
+    by = ["_c", "_i", "_j"]
+    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_nearest(k), f"_k {kinds['_k']}, _n {kinds['_k']}, _d double").withColumn("_d", rounded(F.col("_d")))
     place = F.row_number().over(Window.partitionBy("_k").orderBy("_d", "_n"))
-    out = near.withColumn("place", place).where(F.col("place") <= k).withColumn("approximate", F.lit(False))
-    for c in large:
-        own = rows.where(F.col("_c") == c).withColumn("_x", array_to_vector("_v"))
-        model = BucketedRandomProjectionLSH(inputCol="_x", outputCol="_h", bucketLength=2.0, numHashTables=4, seed=7).fit(own)
-        joined = model.approxSimilarityJoin(own, own, float("inf"), "_d").where("datasetA._k != datasetB._k")
-        part = joined.select(F.col("datasetA._k").alias("_k"), F.col("datasetB._k").alias("_n"), rounded(F.col("_d")).alias("_d"))
-        out = out.unionByName(part.withColumn("place", place).where(F.col("place") <= k).withColumn("approximate", F.lit(True)))
-    return out.select(F.col("_k").alias(key), F.col("_n").alias("neighbour"), F.col("_d").alias("distance"), "place", "approximate")
+    out = near.withColumn("place", place).where(F.col("place") <= k)
+    return out.select(F.col("_k").alias(key), F.col("_n").alias("neighbour"), F.col("_d").alias("distance"), "place")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(_c, _k, _pick): the number of each key in its class, from 0 in order of keys; no task holds a class."""
+    keys = rows.select("_c", "_k").sort("_c", "_k")
+    schema = T.StructType([*keys.schema.fields, T.StructField("_pick", T.LongType())])
+    numbered = rows.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    first = numbered.groupBy(F.col("_c").alias("_own")).agg(F.min("_pick").alias("_first"))
+    return numbered.join(F.broadcast(first), F.col("_c") == F.col("_own")).select("_c", "_k", (F.col("_pick") - F.col("_first")).alias("_pick"))
 
 
 def _draw(seed: str, what: str, n: Column) -> Column:
@@ -95,7 +143,7 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: dict, k: int
     plan = local_table(spark, need, f"_c {kind}, _need long, _n long")
     new = plan.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_need").cast("int") - 1))).withColumn("_pick", _draw(seed, "row", F.col("_n")))
     rows = df.where(F.col(label).isin(*(c for c, _, _ in need))).select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v"))
-    numbered = rows.withColumn("_pick", F.row_number().over(Window.partitionBy("_c").orderBy("_k")) - 1)
+    numbered = _numbered(rows).join(rows.drop("_c"), "_k")
     near = neighbours(df, key, label, vector, k, [c for c, _, _ in need]).select(F.col(key).alias("_k"), F.col("neighbour").alias("_m"), F.col("place").alias("_p"))
     seeded = new.join(numbered, ["_c", "_pick"]).withColumn("_kk", F.least(F.lit(k).cast("long"), F.col("_n") - 1))
     seeded = seeded.withColumn("_p", F.when(F.col("_kk") > 0, _draw(seed, "near", F.greatest(F.col("_kk"), F.lit(1))) + 1))
@@ -105,15 +153,13 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: dict, k: int
     return joined.select(F.col("_c").alias(label), F.col("_i").alias("i"), between.alias(vector))
 
 
-def tomek_links(df: DataFrame, key: str, label: str, vector: str, most: int = TOMEK) -> DataFrame:
+def tomek_links(df: DataFrame, key: str, label: str, vector: str, block: int = BLOCK) -> DataFrame:
     """(key, other): mutual nearest neighbours of different classes, each pair once from either side.
 
-    Over `most` rows raise an error: every pair of rows is compared.
+    Every pair of rows is compared, block by block as in neighbours().
     """
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows; sample first")
     rows = df.select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v"), F.lit(0).alias("_all"))
-    nearest = neighbours(rows, "_k", "_all", "_v", 1, exact=most).select("_k", "neighbour")
+    nearest = neighbours(rows, "_k", "_all", "_v", 1, block=block).select("_k", "neighbour")
     both = nearest.alias("a").join(nearest.alias("b"), (F.col("a.neighbour") == F.col("b._k")) & (F.col("b.neighbour") == F.col("a._k")))
     pairs = both.select(F.col("a._k").alias("_k"), F.col("a.neighbour").alias("_m"))
     classes = rows.select("_k", "_c")
@@ -121,8 +167,8 @@ def tomek_links(df: DataFrame, key: str, label: str, vector: str, most: int = TO
     return out.select(F.col("_k").alias(key), F.col("_m").alias("other"))
 
 
-def drop_tomek(df: DataFrame, key: str, label: str, vector: str, most: int = TOMEK) -> DataFrame:
-    return df.join(tomek_links(df, key, label, vector, most).select(key).distinct(), key, "left_anti").select(*df.columns)
+def drop_tomek(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    return df.join(tomek_links(df, key, label, vector).select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
 def before_after(before: DataFrame, after: DataFrame, label: str) -> DataFrame:

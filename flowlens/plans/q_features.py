@@ -145,7 +145,7 @@ knn as (select *, row_number() over (partition by vec_id order by distance, neig
 
 @query("class_neighbours", f"with {KNN} select vec_id, neighbour, distance, cast(place as integer) as place from knn where place <= 5")
 def _(spark, folder):
-    return balance.neighbours(beds.em_vectors(spark, folder, True), "vec_id", "label", "v", 5).drop("approximate")
+    return balance.neighbours(beds.em_vectors(spark, folder, True), "vec_id", "label", "v", 5)
 
 
 _D = lambda what: f"cast('0x' || substr(md5(concat_ws('|', 'smote-{what}', cast(label as varchar), cast(i as varchar))), 1, 8) as bigint)"

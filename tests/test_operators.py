@@ -234,3 +234,16 @@ def test_sentence(spark):
     top = spark.createDataFrame([(1, "Flow Duration", 1, 3.0)], "k int, feature string, place int, value double")
     text = narrate.sentences(verdict, top, dims.gloss_table(spark), ["k"]).first()["sentence"]
     assert text == "This record is very likely Bot (95.0%), resting on the flow duration (far above normal)."
+
+
+def test_neighbours_by_brute_force_over_blocks(spark):
+    points = [(f"k{i:03d}", i % 2, [float(i * 7 % 23), float(i * i % 11), float(i % 3)]) for i in range(150)] + [(f"t{i}", 0, [1.0, 1.0, 1.0]) for i in range(20)]
+    df = spark.createDataFrame(points, "k string, c int, v array<double>").repartition(3)
+    far = lambda a, b: round(math.dist(a[2], b[2]), 6)
+    near = lambda a, of, n: [(a[0], b[0], d, p) for p, (d, b) in enumerate(sorted((far(a, b), b) for b in of if b[0] != a[0])[:n], 1)]
+    want = sorted(x for a in points for x in near(a, [b for b in points if b[1] == a[1]], 5))
+    assert sorted(map(tuple, balance.neighbours(df, "k", "c", "v", 5, block=16).collect())) == want
+    first = {a[0]: near(a, points, 1)[0][1] for a in points}
+    label = {a[0]: a[1] for a in points}
+    links = sorted((a, b) for a, b in first.items() if first[b] == a and label[a] != label[b])
+    assert links and sorted(map(tuple, balance.tomek_links(df, "k", "c", "v", block=16).collect())) == links
