@@ -143,34 +143,52 @@ KNN = f"""{_EM}, pairs as (select a.vec_id, a.label, b.vec_id as neighbour, {_DI
 knn as (select *, row_number() over (partition by vec_id order by distance, neighbour) as place from pairs)"""
 
 
-@query("class_neighbours", f"with {KNN} select vec_id, neighbour, distance, cast(place as integer) as place from knn where place <= 5")
-def _(spark, folder):
-    return balance.neighbours(beds.em_vectors(spark, folder, True), "vec_id", "label", "v", 5)
+#: For queries named _all: every row; for smote_all, labels 0 to 4 as one class, which makes the classes unequal.
+_EVERY = _EM.replace(" where label < 5 or vec_id % 5 = 0", "")
+_MERGED = _EVERY.replace("vec_id, label,", "vec_id, case when label < 5 then 0 else label end as label,")
+
+
+def every(name: str, sql: str, rows: str = _EVERY):
+    """Registers a query of (spark, folder, whole) under its name, for the rows of _EM, and with _all for every row."""
+
+    def add(f):
+        query(name, sql)(f)
+        query(f"{name}_all", sql.replace(_EM, rows))(lambda spark, folder: f(spark, folder, True))
+        return f
+
+    return add
+
+
+@every("class_neighbours", f"with {KNN} select vec_id, neighbour, distance, cast(place as integer) as place from knn where place <= 5")
+def _(spark, folder, whole=False):
+    return balance.neighbours(beds.em_vectors(spark, folder, not whole), "vec_id", "label", "v", 5)
 
 
 _D = lambda what: f"cast('0x' || substr(md5(concat_ws('|', 'smote-{what}', cast(label as varchar), cast(i as varchar))), 1, 8) as bigint)"
 
 
-@query("smote", f"""with {KNN}, n as (select label, count(*) as n, max(count(*)) over () as most from emv group by 1),
+@every("smote", f"""with {KNN}, n as (select label, count(*) as n, max(count(*)) over () as most from emv group by 1),
   g as (select label, n, unnest(range(0, cast(ceil(0.5 * most) as bigint) - n)) as i from n where ceil(0.5 * most) > n),
   s as (select *, {_D('row')} % n as pick, least(5, n - 1) as kk, ({_D('between')} % 1000000) / 1e6 as u from g),
   o as (select *, row_number() over (partition by label order by vec_id) - 1 as pick from emv),
   j as (select s.label, s.i, s.u, o.v, o.vec_id, {_D('near').replace('label', 's.label').replace('(i ', '(s.i ')} % kk + 1 as p from s join o on s.label = o.label and s.pick = o.pick)
 select j.label, cast(j.i as integer) as i, round_even(list_sum(list_transform(list_zip(j.v, w.v), lambda z: z[1] + j.u * (z[2] - z[1]))), 5) as total
-from j join knn on j.vec_id = knn.vec_id and knn.place = j.p join emv w on w.vec_id = knn.neighbour""")
-def _(spark, folder):
-    df = beds.em_vectors(spark, folder, True)
+from j join knn on j.vec_id = knn.vec_id and knn.place = j.p join emv w on w.vec_id = knn.neighbour""", _MERGED)
+def _(spark, folder, whole=False):
+    df = beds.em_vectors(spark, folder, not whole)
+    if whole:
+        df = df.withColumn("label", F.when(F.col("label") < 5, F.lit(0)).otherwise(F.col("label")).cast(df.schema["label"].dataType))
     n = {r[0]: r[1] for r in df.groupBy("label").count().collect()}
     want = -(-max(n.values()) // 2)
     out = balance.smote(df, "vec_id", "label", "v", {c: max(m, want) for c, m in n.items()})
     return out.select("label", "i", rounded(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("tomek_links", f"""with {_EM}, d as (select a.vec_id, a.label, b.vec_id as other, b.label as other_label, {_DIST} as distance from emv a join emv b on a.vec_id != b.vec_id),
+@every("tomek_links", f"""with {_EM}, d as (select a.vec_id, a.label, b.vec_id as other, b.label as other_label, {_DIST} as distance from emv a join emv b on a.vec_id != b.vec_id),
   n as (select * from (select *, row_number() over (partition by vec_id order by distance, other) as r from d) where r = 1)
 select a.vec_id, a.other from n a join n b on a.other = b.vec_id and b.other = a.vec_id where a.label != a.other_label""")
-def _(spark, folder):
-    return balance.tomek_links(beds.em_vectors(spark, folder, True), "vec_id", "label", "v")
+def _(spark, folder, whole=False):
+    return balance.tomek_links(beds.em_vectors(spark, folder, not whole), "vec_id", "label", "v")
 
 
 @query("feature_reference", f"with {RANKING}, m as (" + " union all ".join(f"select '{c}' as feature, quantile_cont({c}, 0.5) as median from li" for c in FEATURES) + """)

@@ -27,3 +27,13 @@ def test_every_row_has_a_sentence(spark, small):
     n = beds.li(spark, small).count()
     r = out.agg(F.count("*").alias("n"), *(F.sum(F.col("sentence").contains(x).cast("int")).alias(k) for k, x in (("why", "resting on"), ("high", "(above normal)"), ("low", "(below normal)")))).first()
     assert r["n"] == r["why"] == n and r["high"] > 0 and r["low"] > 0
+
+
+@pytest.mark.parametrize("name", ["class_neighbours_all", "smote_all", "tomek_links_all"])
+def test_balances_every_row(spark, small, tables, name):  # noqa: F811
+    got = catalog.QUERIES[name](spark, small).toPandas()
+    assert rows(got) == rows(tables.execute(catalog.ORACLES[name]).df())
+    if name == "class_neighbours_all":
+        assert set(got["vec_id"]) == {r[0] for r in beds.table(spark, small, "embeddings").select("vec_id").collect()}
+    if name == "smote_all":
+        assert len(got) > 0 and 0 not in set(got["label"])
