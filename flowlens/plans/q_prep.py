@@ -108,4 +108,4 @@ def _(spark, folder):
 
 @query("knn_impute")
 def _(spark, folder):
-    return prep.knn_impute(beds.lid(spark, folder), FEATURES, KEY, reference=500).select(*KEY, "label", *FEATURES)
+    return prep.knn_impute(beds.lid(spark, folder), FEATURES, KEY).select(*KEY, "label", *FEATURES)

@@ -247,3 +247,35 @@ def test_neighbours_by_brute_force_over_blocks(spark):
     label = {a[0]: a[1] for a in points}
     links = sorted((a, b) for a, b in first.items() if first[b] == a and label[a] != label[b])
     assert links and sorted(map(tuple, balance.tomek_links(df, "k", "c", "v", block=16).collect())) == links
+
+
+def test_knn_imputer_searches_all_rows(spark):
+    points = [(i, float(i * 37 % 6007), float(i * 91 % 499), float(i % 83)) for i in range(6000)]
+    points += [(10_000 + n, float(n * 131 % 6007), None, float(n) if n % 2 else None) for n in range(40)] + [(20_000, None, None, None), (20_001, 5.0, None, 5.0), (20_001, 5.0, None, 5.0)]
+    df = spark.createDataFrame(points, "k int, a double, b double, c double").repartition(3)
+
+    def filled(p):
+        own = [j for j in (1, 2, 3) if p[j] is not None]
+        out = list(p)
+        for j in {1, 2, 3} - set(own):
+            near = []
+            for r in points:
+                both = [f for f in own if r[f] is not None]
+                if both and r[j] is not None:
+                    near.append((sum((r[f] - p[f]) ** 2 for f in both) * 3 / len(both), r[j]))
+            near.sort()
+            out[j] = [sum(v for _, v in near[:5]) / 5, near[4][0] < near[5][0]] if near else None
+        return out
+
+    got = [tuple(r) for r in prep.knn_impute(df, ["a", "b", "c"], ["k"]).where("k >= 10000").orderBy("k").collect()]
+    want = sorted((filled(p) for p in points if p[0] >= 10_000), key=lambda p: p[0])
+    assert len(got) == len(want)
+    sure = 0
+    for g, w in zip(got, want, strict=True):
+        for x, y in zip(g, w, strict=True):
+            if not isinstance(y, list):
+                assert x == y
+            elif y[1]:
+                sure += 1
+                assert x == pytest.approx(y[0])
+    assert sure > 10
