@@ -29,6 +29,7 @@ from flowlens.llm.textops import (
     slices,
     spread_column,
     squeezed,
+    text_bytes,
     unpack,
     unpack_places,
     unsqueezed,
@@ -95,7 +96,7 @@ def dedup_lines(
     if least < 2 or most < least or window < 1 or spacing < 1:
         raise ValueError("2 <= least <= most, window and spacing positive")
     spark = df.sparkSession
-    size = buckets(spark)
+    size = buckets(spark, text_bytes(df, text_col))
     groups = size + 1
     shift = 64 - (size.bit_length() - 1)
     df = is_long(df, id_col)

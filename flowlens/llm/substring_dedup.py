@@ -1,9 +1,10 @@
 """Substring dedup: repeated token windows are removed.
 
-Every window of `width` consecutive words gets a Rabin-Karp hash. Tasks send each distinct hash
-of a block of texts once, packed with its first place, to the bucket of its leading bits; a bucket
-counts its hashes and returns the places of all but the first. The places of a document meet its
-text again, where covered words merge into maximal removal intervals.
+Every window of `width` consecutive words gets a Rabin-Karp hash modulo 2**61 - 1, and EXTRA bytes of
+a second one with another base. Tasks send each distinct hash of a block of texts once, packed with
+its first place, to the bucket of its leading bits; a bucket counts its hashes and returns the places
+of all but the first. The places of a document meet its text again, where covered words merge into
+maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.llm.textops import (
+    BASES,
     Words,
     buckets,
     fresh,
@@ -30,6 +32,7 @@ from flowlens.llm.textops import (
     spread,
     spread_column,
     squeezed,
+    text_bytes,
     unpack,
     unpack_places,
     unsqueezed,
@@ -37,23 +40,25 @@ from flowlens.llm.textops import (
 )
 
 BLOCK_BYTES = 8 << 20
+EXTRA = 3  # bytes of the second hash
 SPAN = "array<struct<start:bigint,stop:bigint>>"
 
 
-def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and first word (from 0 in its text) of every window inside one text."""
-    hashes, docs, places = [], [], []
+def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, text number and first word (from 0 in its text) of every window inside one text."""
+    hashes, second, docs, places = [], [], [], []
     for a, b in slices(texts):
         w = Words(texts[a:b])
         h = rolling(w.hash, width)
         if len(h):
             inside = np.flatnonzero(w.doc[: len(h)] == w.doc[width - 1 :])
             hashes.append(h[inside])
+            second.append(rolling(w.hash, width, BASES[1])[inside] >> np.uint64(64 - 8 * EXTRA))
             docs.append(w.doc[inside] + a)
             places.append(inside - w.first[w.doc[inside]])
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(second), np.concatenate(docs), np.concatenate(places)
 
 
 def _send(bits: int, width: int):
@@ -63,11 +68,11 @@ def _send(bits: int, width: int):
     def block(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         order = np.argsort(ids, kind="stable")
         ids, texts = ids[order], [texts[i] for i in order]
-        h, doc, pos = _windows(texts, width)
+        h, more, doc, pos = _windows(texts, width)
         doc = ids[doc]
         by = np.argsort(h, kind="stable")
         again = np.zeros(len(h), dtype=bool)
-        again[by[1:]] = h[by[1:]] == h[by[:-1]]
+        again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (more[by[1:]] == more[by[:-1]])
         if again.any():  # repeats within the block need no comparison elsewhere
             at = np.flatnonzero(again)
             first = by[np.maximum.accumulate(np.where(again[by], 0, np.arange(len(by))))]
@@ -87,7 +92,8 @@ def _send(bits: int, width: int):
         for a, b in zip(edges[:-1], edges[1:], strict=False):
             part = at[a:b]
             low = h[part].view(np.uint8).reshape(-1, 8)[:, :keep]
-            yield int(to[a]), pack(*pack_places(doc[part], pos[part]), *low.T)
+            extra = more[part].view(np.uint8).reshape(-1, 8)[:, :EXTRA]
+            yield int(to[a]), pack(*pack_places(doc[part], pos[part]), *extra.T, *low.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,28 +123,30 @@ def _count(groups: int):
     """A bucket's rows to the places of windows that also start earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, docs, places, known_doc, known_pos = [], [], [], [], []
+        hashes, second, docs, places, known_doc, known_pos = [], [], [], [], [], []
         for blob in table.column("blob").to_pylist():
             ids, counts, pos, *low = unpack(blob)
             doc, pos = unpack_places(ids, counts, pos)
             if low:
-                h = np.zeros((len(doc), 8), dtype=np.uint8)
-                h[:, : len(low)] = np.stack(low, axis=1)
+                h, more = np.zeros((2, len(doc), 8), dtype=np.uint8)
+                more[:, :EXTRA] = np.stack(low[:EXTRA], axis=1)
+                h[:, : len(low) - EXTRA] = np.stack(low[EXTRA:], axis=1)
                 hashes.append(h.view(np.uint64).reshape(-1))
+                second.append(more.view(np.uint64).reshape(-1))
                 docs.append(doc)
                 places.append(pos)
             else:
                 known_doc.append(doc)
                 known_pos.append(pos)
         if hashes:
-            h, doc, pos = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+            h, more, doc, pos = np.concatenate(hashes), np.concatenate(second), np.concatenate(docs), np.concatenate(places)
             by = np.argsort(h, kind="stable")
             same = h[by[1:]] == h[by[:-1]]
             many = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            h, doc, pos = h[many], doc[many], pos[many]
-            by = np.lexsort((pos, doc, h))
-            h, doc, pos = h[by], doc[by], pos[by]
-            new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+            h, more, doc, pos = h[many], more[many], doc[many], pos[many]
+            by = np.lexsort((pos, doc, more, h))
+            h, more, doc, pos = h[by], more[by], doc[by], pos[by]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])[: len(h)]
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, int)
             later = (doc != doc[first]) | (pos != pos[first])
             known_doc.append(doc[later])
@@ -182,12 +190,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of these names. Empty and null texts have no word. A null id neither removes nor loses words.
     Rows with one id count as one document: a window at the same place of both is no repeat, and
     what is removed from one is removed at the same places of the other. Two windows count as
-    equal if their 64-bit hashes are equal.
+    equal if 88 bits of hashes are equal. Ids must be integers.
     """
     if width < 1:
         raise ValueError("width must be positive")
     spark = df.sparkSession
-    size = buckets(spark)
+    size = buckets(spark, text_bytes(df, text_col))
     groups = size + 1
     df = is_long(df, id_col)
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ from pyspark.sql import types as T
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Prime of the window hashes, and two bases below it.
+PRIME = (1 << 61) - 1
+BASES = (0x1B873593CC9E2D51 % PRIME, 0x0A09E667F3BCC909 % PRIME)
+_P, _61, _32, _29 = np.uint64(PRIME), np.uint64(61), np.uint64(32), np.uint64(29)
+_LOW32, _LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -34,37 +36,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-BYTE_LOWER = BYTE.copy()
-BYTE_LOWER[65:91] = BYTE[97:123]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up = np.full(size, BASE, dtype=np.uint64)
-        down = np.full(size, INVERSE, dtype=np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[0] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return have
-
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hash of values[start:end] for every pair, from prefix sums."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
-def rolling(values: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n consecutive values."""
-    count = max(0, len(values) - n + 1)
-    at = np.arange(count)
-    return range_hash(values, at, at + n)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+LANES = 8  # of eight bytes; longer words are hashed by xxh3
+
+
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every data[start:end]: eight bytes at a time, mixed after each eight."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    lanes = np.ndarray(len(padded) - 7, dtype=np.uint64, buffer=padded, strides=(1,))
+    size = ends - starts
+    h = mix64(size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+    h = mix64(h ^ (lanes[starts] & _MASKS[np.minimum(size, 8)]))
+    more = np.flatnonzero(size > 8)
+    for at in range(8, 8 * LANES, 8):
+        if not len(more):
+            return h
+        h[more] = mix64(h[more] ^ (lanes[starts[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]))
+        more = more[size[more] > at + 8]
+    for k in more.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return h
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, c: int) -> np.ndarray:
+    """a * c modulo PRIME, for values below it."""
+    hi, lo = a >> _32, a & _LOW32
+    c_hi, c_lo = np.uint64(c >> 32), np.uint64(c & 0xFFFFFFFF)
+    mid, low = hi * c_lo + lo * c_hi, lo * c_lo
+    return _folded(((hi * c_hi) << np.uint64(3)) + (mid >> _29) + ((mid & _LOW29) << _32) + (low & _P) + (low >> _61))
+
+
+def rolling(values: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
+    """Rabin-Karp hash, modulo PRIME, of every n consecutive values; hashes of 1, 2, 4, ... combine."""
+    count = len(values) - n + 1
+    if count < 1:
+        return np.zeros(0, dtype=np.uint64)
+    own, width, out, have = _folded(values), 1, None, 0
+    while True:
+        if n & width:
+            out = own if out is None else _folded(_times(own[: len(own) - have], pow(base, have, PRIME)) + out[width:])
+            have += width
+        if 2 * width > n:
+            return mix64(out[:count] + np.uint64(n * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+        own = _folded(_times(own[:-width], pow(base, width, PRIME)) + own[width:])
+        width *= 2
 
 
 class Words:
@@ -75,12 +97,13 @@ class Words:
     def __init__(self, texts: list[bytes], lower: bool = False, separator: np.ndarray | None = None):
         space = SPACE if separator is None else separator
         self.data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+        self.data = LOWER[self.data] if lower else self.data
         blank = np.empty(len(self.data) + 1, dtype=bool)
         blank[0] = True
         blank[1:] = space[self.data]
         self.starts = np.flatnonzero(blank[:-1] & ~blank[1:])
         self.ends = np.flatnonzero(~blank[:-1] & blank[1:])
-        self.hash = range_hash((BYTE_LOWER if lower else BYTE)[self.data], self.starts, self.ends)
+        self.hash = byte_hash(self.data, self.starts, self.ends)
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         edges = np.concatenate([[0], np.cumsum(sizes)])
         self.first = np.searchsorted(self.starts, edges)  # of each text, and the end
@@ -107,6 +130,9 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+SMALL = 512  # bytes that stay as they are
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes, byte planes apart."""
     parts = []
@@ -114,12 +140,13 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.zeros((a.itemsize, 0), np.uint8)
         parts.append((a.dtype.str, len(a), planes.tobytes()))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+    raw = pickle.dumps(parts, protocol=5)
+    return b"\0" + raw if len(raw) < SMALL else b"\1" + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     out = []
-    for kind, n, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):
+    for kind, n, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[0] else blob[1:]):
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(raw, dtype=np.uint8).reshape(size, n)
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n) if n else np.zeros(0, dtype=kind))
@@ -147,9 +174,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets(spark: SparkSession) -> int:
-    """A power of two, four buckets a shuffle partition at least: the key space of packed rows."""
-    return 1 << max(8, (4 * partitions(spark) - 1).bit_length())
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+
+
+#: Bytes of text whose packed windows make a bucket, about; a bucket is one group of a task.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(spark: SparkSession, size: int) -> int:
+    """A power of two for `size` bytes of text: the key space of packed rows.
+
+    Buckets hold BUCKET_BYTES of text at most, and are four a shuffle partition at least.
+    """
+    least = max(4 * partitions(spark), -(-size // BUCKET_BYTES))
+    return 1 << max(8, (least - 1).bit_length())
 
 
 def spread(ids: np.ndarray, n: int) -> np.ndarray:
