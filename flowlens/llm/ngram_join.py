@@ -2,9 +2,10 @@
 
 Texts with one shingle set are one class. Classes that share a popular min-hash form a group, all
 else is a group of its own; a first look within bounded blocks of a group finds easy links. The
-matrix says which group holds which shingle, for the rare ones that a qualifying pair must share. A
-class is a query: the matrix gives the groups it may link to, the union of a group's shingles bounds
-the overlap, and only qualifying groups are opened and compared. Links then merge into components.
+matrix holds the union of each group's rare shingles, of which a qualifying pair must share a stated
+number. A class is a query: the matrix bounds its overlap with each group's union, and only groups
+that reach the number are opened: their texts are shipped, the whole union of a block's shingles
+bounds the overlap again, and what is left is compared. Links then merge into components.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.graph import components
 from flowlens.llm.storage import stored
-from flowlens.llm.textops import Words, buckets, is_long, mix64, pack, range_hash, rolling, slices, squeezed, unpack, utf8
+from flowlens.llm.textops import Words, buckets, is_long, mix64, pack, rolling, slices, squeezed, text_bytes, unpack, utf8
 
 KEYS = 6
 SEEDS = mix64(np.arange(1, KEYS + 1, dtype=np.uint64))
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Texts of a block of the first look; shingles of members, and queries, of an opened block; about.
-LOOK, SHINGLES, QUERIES = 256, 50_000, 256
+LOOK, SHINGLES, QUERIES = 64, 50_000, 256
 BLOCK_BYTES = 8 << 20
+#: A rare shingle more for each so many of a text; its links share as many more.
+STEP = 20
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -40,7 +43,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             if j - i >= width:
                 yield np.unique(h[i : j - width + 1])
             elif j > i:
-                yield range_hash(w.hash[i:j], np.array([0]), np.array([j - i]))
+                yield rolling(w.hash[i:j], j - i)
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -115,7 +118,9 @@ def _sketch(described: DataFrame) -> np.ndarray:
         total = sum(unpack(x)[0] for x in table.column("counts").to_pylist())
         return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
 
-    rows = described.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = described.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("salt"))
+    some = rows.groupBy("part", "salt").applyInArrow(add, "part int, counts binary")
+    rows = some.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     size = len(counts) // SKETCH_PARTS
     for r in rows:
@@ -125,7 +130,11 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
 
 def _send_prefixes(width: int, percent: int, bits: int, counts: Broadcast):
-    """The rare shingles of each text, of which it must share one with any text it links to."""
+    """The rare shingles of each text.
+
+    A link shares `percent` of the larger set. So of the n - least + k rarest shingles of both, in
+    one order, it shares k at least; k grows with n.
+    """
     shift, keep = np.uint64(64 - bits), 8 - bits // 8
 
     def block(ids: np.ndarray, texts: list[bytes]) -> list[tuple[int, bytes]]:
@@ -138,7 +147,7 @@ def _send_prefixes(width: int, percent: int, bits: int, counts: Broadcast):
                 continue
             seen.add(name)
             n = len(s)
-            p = n - (percent * n + 99) // 100 + 1
+            p = n - (percent * n + 99) // 100 + 1 + n // STEP
             rare = np.lexsort((s, frequency[s >> np.uint64(64 - SKETCH_BITS)]))[:p]
             hashes.append(s[rare])
             docs.append(np.full(p, ids[i]))
@@ -262,7 +271,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty sets link with nothing. component_id: the smallest id reachable by links, itself included
     (null for a null id, which links with nothing). Rows of one id are judged each by its own text;
     where two such texts are each the first of their class, their components count as one. Shingles
-    count as equal if their 64-bit hashes are.
+    count as equal if their 61-bit hashes are. Ids must be integers.
     """
     spark = df.sparkSession
     docs = is_long(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -275,12 +284,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = stored(sets.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "join-classes")
 
     # Blocks of classes that share a popular min-hash; two pivots stand in every block of a key.
-    keyed = classes.select("id", F.explode("keys").alias("key"))
+    keyed = classes.select("id", "n", F.explode("keys").alias("key"))
     by_hash = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    popular = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(by_hash)["id"].alias("p"), F.max(by_hash)["id"].alias("q")).where("size > 1")
+    popular = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min(by_hash)["id"].alias("p"), F.max(by_hash)["id"].alias("q")).where("size > 1")
     popular = stored(popular, "join-keys")
-    chosen = keyed.join(popular, "key").groupBy("id").agg(F.max(F.struct("size", "key", "p", "q")).alias("k")).select("id", "k.*")
-    blocks = F.ceil(F.col("size") / LOOK)
+    chosen = keyed.join(popular, "key").groupBy("id").agg(F.max(F.struct("size", "key", "p", "q", "shingles")).alias("k")).select("id", "k.*")
+    blocks = F.greatest(F.ceil(F.col("size") / LOOK), F.ceil(F.col("shingles") / SHINGLES))
     block = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
     placed = stored(chosen.select("id", "key", "p", "q", block.alias("block")), "join-placed")
     pivots = placed.select("key", "block", F.explode(F.array("p", "q")).alias("id")).distinct().withColumn("pivot", F.lit(True))
@@ -291,7 +300,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = components(hints)
 
     # The token-group matrix, over the shingles that a link must share.
-    bits = buckets(spark).bit_length() - 1
+    bits = buckets(spark, text_bytes(known, "text")).bit_length() - 1
     sent = known.mapInArrow(_send_prefixes(width, percent, bits, frequency), "bucket int, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared_tokens, "token bigint, id bigint, n bigint")
     firsts = classes.groupBy("id").agg(F.max("n").alias("size"))
@@ -303,8 +312,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     queries = tokens.select("token", F.col("id").alias("query"), "n", F.col("grp").alias("own"), "comp")
     fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
     apart = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))
-    wanted = queries.join(matrix, "token").where((F.col("own") <= F.col("grp")) & apart & fits).select("query", "comp", "grp").distinct()
-    wanted = stored(wanted, "join-wanted")
+    met = queries.join(matrix, "token").where((F.col("own") <= F.col("grp")) & apart & fits)
+    overlap = met.groupBy("query", "comp", "n", "grp").agg(F.count("*").alias("overlap"))  # with the group's union
+    least = F.floor(F.ceil(percent * F.col("n") / 100) / STEP) + 1
+    wanted = stored(overlap.where(F.col("overlap") >= least).select("query", "comp", "grp").distinct(), "join-wanted")
 
     # Open the groups: bounded blocks of members and of queries meet.
     asked = wanted.groupBy("grp").agg(F.count("*").alias("asking"))
