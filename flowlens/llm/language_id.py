@@ -18,15 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm.storage import stored
 from flowlens.llm.textops import mix64, pack, replaced, unpack
 
 BITS = 14
 SIZE = 1 << BITS
 ORDERS = (1, 2, 3, 4)
 EVIDENCE = 48.0  # n-grams that count as independent, at most
-LETTER = re.compile(r"[^\W\d_]")
-#: Bounds of learning: labelled texts sampled a language, about, and languages.
-SAMPLE, LANGUAGES = 3000, 256
+WORDLY = re.compile(r"[^\W\d_]")
+#: Bound of learning: labelled texts sampled a language, about.
+SAMPLE = 3000
+PIECE = 1 << 20
+HELD = 64  # languages whose counts a task holds at once
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[48:58] = 48
@@ -43,25 +46,24 @@ class Model:
     trust: np.ndarray
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashed byte n-grams of the whole lower-cased text."""
-    v = _FOLD[np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)] + np.uint32(1)
-    out, h = [], np.zeros(len(v), dtype=np.uint32)
-    for n in ORDERS:
-        if len(v) < n:
-            break
-        h = h[: len(v) - n + 1] * np.uint32(0x01000193) + v[n - 1 :]
-        out.append(((h ^ np.uint32(n * 0x3C6EF372)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+def has_letter(text: str) -> bool:
+    """Whether the text has a character of the Unicode categories L."""
+    return any(m.group().isalpha() for m in WORDLY.finditer(text))  # \w has other numbers too
 
 
-def counted(text: str, piece: int = 1 << 20) -> np.ndarray:
-    """Counts of the text's n-grams; a long text goes in overlapping pieces."""
-    if len(text) <= piece:
-        return np.bincount(grams(text), minlength=SIZE)
+def counted(text: str, piece: int = PIECE) -> np.ndarray:
+    """Counts of the hashed byte n-grams of the whole lower-cased text, `piece` bytes at a time."""
+    v = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)
     total = np.zeros(SIZE, dtype=np.int64)
-    for at in range(0, len(text), piece):
-        total += np.bincount(grams(text[at : at + piece]), minlength=SIZE)
+    for at in range(0, len(v), piece):
+        own = _FOLD[v[at : at + piece + ORDERS[-1] - 1]] + np.uint32(1)  # n-grams that start in the piece
+        h = np.zeros(len(own), dtype=np.uint32)
+        for n in ORDERS:
+            if len(own) < n:
+                break
+            h = h[: len(own) - n + 1] * np.uint32(0x01000193) + own[n - 1 :]
+            got = ((h[:piece] ^ np.uint32(n * 0x3C6EF372)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+            total += np.bincount(got, minlength=SIZE)
     return total
 
 
@@ -82,24 +84,20 @@ def codewords(k: int) -> np.ndarray:
     columns = np.arange(math.ceil(12 * math.log2(k)), dtype=np.uint64)[None, :]
     random = mix64(row * np.uint64(0x9E3779B97F4A7C15) + mix64(columns + np.uint64(1))) >> np.uint64(63)
     codes = np.where(np.concatenate([digits, random], axis=1) > 0, 1, -1).astype(np.int8)
-    return codes[:, np.abs(codes.sum(axis=1 - 1)) < k]
+    return codes[:, np.abs(codes.sum(axis=0)) < k]
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from labelled rows: all if few, else about `sample` texts a language, chosen by hash.
 
-    Rows with a null text or language teach nothing. More than LANGUAGES languages raise an error.
+    Rows with a null text or language teach nothing; other columns are ignored; no row at all gives
+    a model without languages. The driver holds the names of the languages and, for each bit of their
+    codewords (which grow with the logarithm of their number), two vectors of SIZE.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    languages = sorted(sizes)
-    if not languages:
-        return Model([], np.ones((0, 0)), np.zeros((SIZE, 0)), np.zeros(0))
     unit = 1 << 30
-    limit = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(unit, math.ceil(unit * sample / n))))))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(unit)) < F.element_at(limit, F.col("lang")))
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(unit), F.ceil(unit * sample / F.count("*"))).alias("limit"))
+    chosen = rows.join(stored(sizes, "lang-sizes"), "lang").where(F.pmod(F.xxhash64("text"), F.lit(unit)) < F.col("limit")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -107,32 +105,56 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 had = total.setdefault(lang, np.zeros(SIZE, dtype=np.int64))
                 had += counted(text)
+            if len(total) > HELD:
+                yield packed(total)
+                total = {}
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([pack(x) for x in total.values()], pa.binary())], names=["lang", "counts"])
+            yield packed(total)
+
+    def packed(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([pack(x) for x in total.values()], pa.binary())], names=["lang", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(unpack(x)[0] for x in table.column("counts").to_pylist())
         return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
 
     schema = "lang string, counts binary"
-    got = {r["lang"]: unpack(r["counts"])[0] for r in chosen.mapInArrow(count, schema).groupBy("lang").applyInArrow(add, schema).collect()}
-    languages = sorted(got)
+    learned = stored(chosen.mapInArrow(count, schema).groupBy("lang").applyInArrow(add, schema), "lang-counts")
+    languages = sorted(r["lang"] for r in learned.select("lang").collect())
     codes = codewords(len(languages))
-    share = np.stack([(got[x] + 0.5) / (got[x].sum() + 0.5 * SIZE) for x in languages])
-    columns, trust = [], []
-    for bit in codes.T:
-        p, q = share[bit > 0].mean(axis=0), share[bit < 0].mean(axis=0)
-        odds = np.log(p) - np.log(q)
-        columns.append(odds)
-        trust.append(float(((p - q) * odds).sum()))
-    weights = np.stack(columns, axis=1) if columns else np.zeros((SIZE, 0))
-    trusted = np.array(trust) / max(1e-12, sum(trust)) * max(1, len(trust))
-    return Model(languages, codes, weights.astype(np.float32), trusted)
+    row = df.sparkSession.sparkContext.broadcast({x: codes[k] for k, x in enumerate(languages)})
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each bit, sums of the n-gram shares of the languages on either side."""
+        sums = np.zeros((2, codes.shape[1], SIZE))
+        for b in batches:
+            for lang, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = unpack(blob)[0]
+                share = (got + 0.5) / (got.sum() + 0.5 * SIZE)
+                up = row.value[lang] > 0
+                sums[0, up] += share
+                sums[1, ~up] += share
+        yield pa.RecordBatch.from_arrays([pa.array(range(codes.shape[1]), pa.int32()), pa.array([pack(sums[0, k], sums[1, k]) for k in range(codes.shape[1])], pa.binary())], names=["bit", "sums"])
+
+    def join(table: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in table.column("sums").to_pylist()]
+        total = [pack(sum(p[0] for p in parts), sum(p[1] for p in parts))]
+        return pa.table({"bit": table.column("bit").slice(0, 1), "sums": pa.array(total, pa.binary())})
+
+    weights, trust = np.zeros((SIZE, codes.shape[1])), np.zeros(codes.shape[1])
+    if codes.shape[1]:
+        for r in learned.mapInArrow(halves, "bit int, sums binary").groupBy("bit").applyInArrow(join, "bit int, sums binary").collect():
+            up, down = unpack(r["sums"])
+            n = int((codes[:, r["bit"]] > 0).sum())
+            p, q = up / n, down / (len(languages) - n)
+            weights[:, r["bit"]] = np.log(p) - np.log(q)
+            trust[r["bit"]] = ((p - q) * weights[:, r["bit"]]).sum()
+    return Model(languages, codes, weights.astype(np.float32), trust / max(1e-12, trust.sum()) * max(1, len(trust)))
 
 
 def decode(model: Model, text: str | None, margin: float = 0.5) -> tuple[str | None, float, bool]:
     """Language, score and whether another language is nearly as near."""
-    if text is None or not LETTER.search(text):
+    if text is None or not has_letter(text):
         return "und", 0.0, False
     if not model.languages:
         return None, 0.0, True
@@ -159,7 +181,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = replaced(df.schema, new)
     kept = [df.columns.index(f.name) for f in schema.fields[: -len(new)]]
     text_at = df.columns.index(text_col)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # LANGUAGES bounds its size
+    shared = df.sparkSession.sparkContext.broadcast(model)  # codewords, and SIZE weights a bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
