@@ -7,10 +7,11 @@ sorted by archive and offset, neighbouring ranges coalesce into single reads.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -23,6 +24,8 @@ INDEX = "archive string, offset bigint, length bigint, record_id bigint, url str
 RECORD = "record_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 LEAST = 100  # bytes of a payload that revisits may refer to
 SALTS = 16
+#: Reading tasks up to which each reads about `most` bytes; beyond, bytes of a task.
+TASKS, TASK_BYTES = 20_000, 256 << 20
 CRLF = b"\r\n"
 
 
@@ -44,6 +47,7 @@ def _record(i: int | None, url: str | None, payload: bytes, digest: str, refers_
         b"WARC-Record-ID: " + name,
         b"WARC-Date: " + date.encode(),
         *([b"WARC-Target-URI: " + _clean(url)] if url is not None else []),
+        *([b"X-Source-URI: " + quote(url, safe="").encode()] if url is not None and _clean(url).decode() != url else []),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
     ]
     if refers_to is not None:
@@ -64,13 +68,14 @@ def _parse(raw: bytes) -> dict:
     http, _, payload = block.partition(CRLF * 2)
     n = next(int(x.split(b": ", 1)[1]) for x in http.split(CRLF) if x.startswith(b"Content-Length"))
     digest = fields[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
+    url = fields[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in fields else None
     page = lambda x: int(x[12:-1]) if x and x.startswith(b"<urn:x-page:") else None
     kind = fields[b"WARC-Type"].decode()
     if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a record does not hold the payload of its digest")
     return {
         "record_id": page(fields[b"WARC-Record-ID"]),
-        "url": fields[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in fields else None,
+        "url": unquote(fields[b"X-Source-URI"].decode()) if b"X-Source-URI" in fields else url,
         "payload_bytes": n,
         "payload_digest": digest,
         "record_type": kind,
@@ -144,11 +149,15 @@ def write_archives(
 def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
     """The records of index rows, as RECORD.
 
-    Ranges of an archive less than `gap` bytes apart are read together, up to `most` bytes at once.
+    Ranges of an archive less than `gap` bytes apart are read together, up to `most` bytes at once;
+    tasks get about as many bytes each. URLs come back as they were: WARC-Target-URI has blanks and
+    control characters escaped, and X-Source-URI then tells the original.
     Rows repeated in the index give repeated records. A revisit has the size and digest of the full
     payload, but no payload. A response whose payload does not match its digest raises an error.
     """
-    ranges = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / most)).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(math.ceil(total / most), max(TASKS, math.ceil(total / TASK_BYTES))))
+    ranges = index.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / most)).sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
