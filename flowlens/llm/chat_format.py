@@ -45,7 +45,6 @@ def format_windows(
     budget: int = 512,
     history: int = 128,
     least: int = 64,
-    held: bool = True,
 ) -> DataFrame:
     """conv_id, window, n_context, n_tokens, formatted, loss_spans: a row per window.
 
@@ -53,11 +52,10 @@ def format_windows(
     (start, length) in code points of `formatted`. A span takes turns while their tokens stay within
     budget - system - history (`least` at least, if the system turn leaves it); history is what the
     span leaves of the budget, `history` at most. So n_tokens is within the budget, unless one turn
-    with the system turn is larger; that turn stands whole in a window of its own. held=False starts
-    a span where the tokens before it pass a multiple of that room, as the SQL twin of
-    op2_chat_format does; its windows can pass the budget. Turns go by turn number, ties by role, then text, nulls first. Null
-    roles and texts count as empty; a null conversation id is a conversation. Columns of df besides
-    the four are ignored.
+    with the system turn is larger; that turn stands whole in a window of its own. Turns go by turn
+    number, ties by role, then text, nulls first; equal rows are turns of their own. Null roles and
+    texts count as empty; a null conversation id is a conversation. Columns of df besides the four
+    are ignored; an empty table gives no window.
     """
     if min(budget, least) < 1 or history < 0:
         raise ValueError("budget and least must be positive, history not negative")
@@ -76,17 +74,9 @@ def format_windows(
         .withColumn("before", F.sum(body).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - body)
         .withColumn("system_tokens", F.sum(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
-    if held:
-        free = F.lit(budget) - F.col("system_tokens")
-        turns = _starts(turns.withColumn("room", F.greatest(free - history, F.least(free, F.lit(least)))))
-        steps = F.when(F.col("room") < 1, 0).otherwise(F.least(2 * F.floor(F.lit(history) / F.col("room")) + 2, F.lit(history // TURN_TOKENS + 1)))
-    else:
-        turns = (
-            turns.withColumn("room", F.greatest(F.lit(budget) - history - F.col("system_tokens"), F.lit(least)))
-            .withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor(F.col("before") / F.col("room"))))
-            .withColumn("new", F.when(F.col("span") != F.coalesce(F.lag("span").over(order), F.lit(0)), 1).otherwise(0))
-        )
-        steps = F.floor(F.lit(history) / F.col("room")) + 2
+    free = F.lit(budget) - F.col("system_tokens")
+    turns = _starts(turns.withColumn("room", F.greatest(free - history, F.least(free, F.lit(least)))))
+    steps = F.when(F.col("room") < 1, 0).otherwise(F.least(2 * F.floor(F.lit(history) / F.col("room")) + 2, F.lit(history // TURN_TOKENS + 1)))
     turns = (
         turns.withColumn("own", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("last", F.max("own").over(Window.partitionBy("conv_id")))
@@ -99,7 +89,7 @@ def format_windows(
         turns.withColumn("window", F.explode(F.sequence(F.col("own"), reach.cast("bigint"))))
         .withColumn("target", F.col("window") == F.col("own"))
         .withColumn("begin", F.min(F.when(F.col("target") & ~F.col("is_system"), F.col("before"))).over(window))
-        .withColumn("allowed", F.least(F.lit(history), F.lit(budget) - spent) if held else F.lit(history))
+        .withColumn("allowed", F.least(F.lit(history), F.lit(budget) - spent))
         .where(F.col("target") | F.col("is_system") | (F.col("begin") - F.col("before") <= F.col("allowed")))
         .withColumn("head", escaped_role(F.col("role")))
         .withColumn("body", escaped(F.col("text")))

@@ -53,7 +53,7 @@ from b
 _ESC = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 
 CHAT_FORMAT = rf"""
-with all_turns as (
+with recursive all_turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -68,13 +68,24 @@ p as (
     sum(case when s.is_system then 0 else s.tokens end) over (partition by s.conv_id order by s.seq)
       - case when s.is_system then 0 else s.tokens end as before
   from s left join (select conv_id, tokens from s where is_system) y on s.conv_id = y.conv_id),
-r as (select *, greatest(512 - 128 - system_tokens, 64) as room from p),
-k as (select *, case when is_system then 0 else before // room end as span from r),
-own as (select *, dense_rank() over (partition by conv_id order by span) - 1 as win from k),
-starts as (select conv_id, win, min(case when not is_system then before end) as begin from own group by conv_id, win),
+r as (
+  select *, greatest(512 - system_tokens - 128, least(512 - system_tokens, 64)) as room,
+    row_number() over (partition by conv_id order by seq) - max(is_system::int) over (partition by conv_id) as k
+  from p),
+g as (
+  select conv_id, k, tokens as n, 0 as win from r where k = 1
+  union all
+  select r.conv_id, r.k, case when g.n + r.tokens <= r.room then g.n + r.tokens else r.tokens end,
+    g.win + case when g.n + r.tokens <= r.room then 0 else 1 end
+  from g join r on r.conv_id = g.conv_id and r.k = g.k + 1),
+own as (select r.*, coalesce(g.win, 0) as win from r left join g on r.conv_id = g.conv_id and r.k = g.k),
+starts as (
+  select conv_id, win, min(case when not is_system then before end) as begin,
+    least(128, 512 - max(system_tokens) - sum(case when is_system then 0 else tokens end)) as allowed
+  from own group by conv_id, win),
 chars as (
   select o.conv_id, sum(o.chars) as n from own o join starts w on o.conv_id = w.conv_id
-    and (o.win = w.win or (w.win > o.win and (o.is_system or w.begin - o.before <= 128))) group by o.conv_id),
+    and (o.win = w.win or (w.win > o.win and (o.is_system or w.begin - o.before <= w.allowed))) group by o.conv_id),
 told as (
   select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by seq) as said,
     coalesce(string_agg(text, '' order by seq) filter (role = 'assistant'), '') as learned
@@ -88,8 +99,8 @@ WARC = """
 with p as (
   select page_id, url, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
 f as (select *, case when n >= 100 then min(page_id) over (partition by d) else page_id end as first from p)
-select page_id, url, cast(n as bigint) as payload_bytes, d as payload_digest,
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
   case when first = page_id then 'response' else 'revisit' end as record_type,
-  case when first = page_id then null else first end as refers_to
+  case when first = page_id then null else first end as refers_to, url
 from f
 """

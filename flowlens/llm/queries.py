@@ -49,7 +49,7 @@ def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    back = read_back(format_windows(chat_turns(spark, folder), held=False))  # as its SQL twin cuts
+    back = read_back(format_windows(chat_turns(spark, folder)))
     return back.select(
         "conv_id",
         "n_turns",
@@ -74,7 +74,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = read_records(write_archives(table(spark, folder, "pages").select("page_id", "url", "html")))
-    return records.select(F.col("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

@@ -313,10 +313,26 @@ def test_automaton_by_brute_force():
             assert set(auto.places[state]) == {k for k, s in enumerate(sequences) if any(tuple(s[i : i + length]) == own for i in range(len(s)))}
 
 
-def test_targets_share_and_cap():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
-    got = mixing.targets([10, 1000], [3, 1])
-    assert got == [30.0, 980.0] and mixing.targets([], []) == [] and mixing.targets([0, 5], [1, 1]) == [0.0, 5.0]
+def shared_out(sizes, weights, most=3.0):
+    """Targets by steps: every unit of words goes to sources by weight until one is full."""
+    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], float(sum(sizes))
+    while open_ and left > 1e-9:
+        step = min([left / sum(weights[i] for i in open_), *((most * sizes[i] - out[i]) / weights[i] for i in open_)])
+        for i in open_:
+            out[i] += weights[i] * step
+            left -= weights[i] * step
+        open_ = [i for i in open_ if most * sizes[i] - out[i] > 1e-9]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000], [0, 5], [1, 1, 1, 5000, 2, 70, 0, 9000, 3, 400], [7]])
+def test_targets_share_and_cap(spark, sizes):
+    rows = [(None if i == len(sizes) - 1 else f"s{i:03d}", n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows[::-1], "source string, source_size long")
+    got = mixing.targets(df, (1.0, 2.0, 3.0)).orderBy("source_no").collect()
+    assert [r["source"] for r in got] == [r[0] for r in rows]
+    want = shared_out(sizes, [1.0 + i % 3 for i in range(len(sizes))])
+    assert all(abs(r["target"] - w) < 1e-6 for r, w in zip(got, want, strict=True))
 
 
 def test_splitting_tree_keeps_quotas():
@@ -334,15 +350,15 @@ def test_mixture(spark):
     kwargs = {"block_words": 500, "block_texts": 5, "shard_words": 2000}
     m = mixing.mix(df, **kwargs)
     out = mixing.amounts(m).toPandas()
-    assert (out["taken"] <= 3 * out["size"]).all()
+    assert (out["taken"] <= 3 * out["size"]).all() and len(out) == len(rows)
     for _, part in out.groupby("source", dropna=False):
-        assert abs((part["taken"] * part["copies"]).sum() - part["target"].iloc[0]) <= 45
-    assert abs(out.groupby("source", dropna=False)["target"].first().sum() - (out["size"] * out["copies"]).sum()) < 1e-6
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 45
+    assert abs(out.groupby("source", dropna=False)["target"].first().sum() - out["size"].sum()) < 1e-6
     again = mixing.amounts(mixing.mix(df.repartition(5), **kwargs)).toPandas()
     key = ["id", "source", "size", "taken"]
     assert sorted(map(str, out[key].to_numpy().tolist())) == sorted(map(str, again[key].to_numpy().tolist()))
     taken = mixing.mixed(df, m)
-    assert taken.agg(F.sum(F.regexp_count("text", F.lit("word|one|two")))).first()[0] == (out["taken"] * out["copies"]).sum()
+    assert taken.agg(F.sum(F.regexp_count("text", F.lit("word|one|two")))).first()[0] == out["taken"].sum()
     assert mixing.amounts(mixing.mix(df.limit(0), **kwargs)).count() == 0
 
 
@@ -399,3 +415,113 @@ def test_repeated_runs_of_lines_go_whole(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
     assert got == want
+
+
+def test_mixture_draws_equal_rows_apart(spark):
+    rows = [(1, f"same size {k % 3}", "a") for k in range(4)] + [(None, "two words", "a")] * 3 + [(2, "a b c d e f", "b")]
+    rows += [(k, "w " * 6, f"z{k % 2}") for k in range(3, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_mix_size", F.lit(7)).withColumn("MIX_SHARD", F.lit(1))
+    m = mixing.mix(df, block_words=4, block_texts=1, shard_words=10)
+    out = mixing.amounts(m).toPandas()
+    assert len(out) == len(rows)
+    for _, part in out.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max()
+    taken = mixing.mixed(df, m)
+    assert taken.columns == ["doc_id", "text", "source", "_mix_size", "mix_shard", "mix_slot", "mix_epoch"]
+    assert taken.agg(F.sum(F.regexp_count("text", F.lit(r"[^ ]+")))).first()[0] == out["taken"].sum()
+    assert taken.where("doc_id = 1").groupBy("text", "mix_shard", "mix_slot").count().agg(F.max("count")).first()[0] in (1, None)
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.range(2000).select((F.col("id") % 3).alias("source_no"), F.xxhash64("id").alias("h"), F.col("id").alias("block"), (F.col("id") % 7).alias("v"))
+    by = defaultdict(list)
+    for r in mixing.running(rows, [], "h", "v").collect():
+        by[r["source_no"]].append((r["h"], r["v"], r["upto"]))
+    for got in by.values():
+        total = 0
+        for _, v, upto in sorted(got):
+            total += v
+            assert upto == total
+
+
+def thue_morse(k):
+    s = "a"
+    for _ in range(k):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_structured_words_do_not_collide(spark):
+    a = thue_morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([a, *tail])), (2, " ".join([b, *tail])), (3, a), (4, b), (5, " ".join(thue_morse(12))), (6, " ".join(thue_morse(12).translate(str.maketrans("ab", "ba"))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df).collect()}
+    want = removed(dict(rows), 20)
+    assert got == {i: n for i, (_, n, _) in want.items()} and got[2] == 0
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == jaccard(dict(rows)) and got[4][1] == 4
+
+
+def test_number_signs_are_no_letters(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    odd = spark.createDataFrame([("\u00b2 \u00bd",), ("\u2460\u2167",), ("\u00b2 a",)], "text string")
+    assert [r["lang_pred"] == "und" for r in language_id.identify(odd, model).collect()] == [True, True, False]
+
+
+def test_pieces_lose_no_ngram():
+    text = "".join(chr(97 + i * i % 23) + ("\u00e9" if i % 5 == 0 else " ") for i in range(700))
+    whole = language_id.counted(text)
+    n = len(text.encode())
+    assert whole.sum() == sum(n - k + 1 for k in language_id.ORDERS)
+    for piece in (1, 2, 3, 7, 100, n, n + 1):
+        assert (language_id.counted(text, piece) == whole).all()
+
+
+def test_many_languages(spark):
+    rows = [(f"l{k:03d}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}q" for x in "abcdefgh") + f" {k}x") for k in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit(df)
+    assert len(model.languages) == 300
+    assert language_id.identify(df, model).where("lang = lang_pred").count() > 290
+
+
+def test_urls_come_back(spark):
+    rows = [(1, "http://a/b c%20d\u00e9?x=1"), (2, " lead\r\nX-Odd: 1"), (3, ""), (4, None), (5, "http://plain/%20")]
+    pages = spark.createDataFrame([(i, u, f"text {i}") for i, u in rows], "page_id long, url string, html string")
+    got = {r["record_id"]: r["url"] for r in warc.read_records(warc.write_archives(pages)).collect()}
+    assert got == dict(rows)
+
+
+def test_join_in_small_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ngram_join, "SHINGLES", 300)
+    monkeypatch.setattr(ngram_join, "QUERIES", 3)
+    monkeypatch.setattr(ngram_join, "LOOK", 8)
+    rng = random.Random(11)
+    rows = {}
+    for k in range(150):
+        base = [f"w{k % 4}-{i}" for i in range(30 + 40 * (k % 3))]
+        for _ in range(rng.randrange(0, 6)):
+            base[rng.randrange(len(base))] = f"m{rng.randrange(60)}"
+        rows[k] = " ".join(base)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == jaccard(rows)
+
+
+def test_texts_beyond_a_slice(spark):
+    """Texts over a mebibyte, and more than a block of them."""
+    long = " ".join(f"n{i}" for i in range(200_000))
+    rows = [(1, long), (2, "x " + long.replace("n77 ", "other ")), (3, " ".join(f"k{i}" for i in range(300_000))), (4, long + "\n" + long), (5, "short one here")]
+    rows += [(10 + k, " ".join(f"b{k}-{i}" for i in range(150_000))) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sum(len(t) for _, t in rows) > 8 << 20
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in remove_repeats(df).collect()}
+    want = removed(dict(rows), 20)
+    assert got == {i: (n, m, hashlib.sha256(t.encode()).hexdigest()) for i, (n, m, t) in want.items()}
+    joined = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert joined == jaccard(dict(rows)) and joined[2][1] == 1
