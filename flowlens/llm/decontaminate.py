@@ -1,17 +1,18 @@
 """Benchmark decontamination with a BM25 index of the test items.
 
 Items are the indexed side: a posting list for each term, cut into blocks of items with the largest
-impact of each block. Every training passage is a query. As in block-max WAND, terms whose largest
-impacts cannot reach the threshold together open no block; blocks whose summed block maxima fall
-short are skipped; the rest are scored in full. What is above the threshold is then verified on the
-overlap of question and answer.
+impact of each block. Every training passage is a query. The threshold is fixed, so block-max WAND
+opens the blocks whose summed block maxima reach it, whatever order its pivot takes; here the sums of
+all blocks that a slice's passages touch are made at once, without the terms that together add next
+to nothing. What reaches the threshold is bounded again with all terms, then scored in full, then
+verified on the overlap of question and answer.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.storage import stored
 from flowlens.llm.textops import Words, is_long, slices, utf8
 
 #: Bytes other than ASCII letters, digits and non-ASCII.
@@ -26,17 +28,20 @@ SEPARATOR = np.ones(256, dtype=bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = SEPARATOR[128:] = False
 
 CHUNK = 64  # words; a passage is two neighbouring chunks, so it holds any run of CHUNK words
-BLOCK = 8  # items of a posting block
-LEAST = 5  # words of an item
+BLOCK = 4  # entries of a posting block
+WHOLE = 5  # items of fewer words must stand in a text as they are
 INDEX_BYTES = 16 << 20  # benchmark text indexed, and broadcast, at once
+CELLS = 1 << 22  # sums of passages by blocks made at once
+SLACK = 0.1  # of the threshold, which terms of small impact may add together
 K1, B = 1.2, 0.75
 PLACE = "item_id bigint, score double, question_overlap double, answer_overlap double, start bigint"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Terms by rising largest impact; ends/block/top: a term's posting blocks and their largest
-    impacts; post_*: the postings of each block entry; question and answer: hashes of an entry's words."""
+    """Terms by rising largest impact; block_at, block, block_top: a term's posting blocks and their
+    largest impacts; block_key: term and block as one number; post_*: the postings of each block;
+    item: the item of an entry; question and answer of an item: hashes of their words."""
 
     terms: np.ndarray
     number: np.ndarray
@@ -44,12 +49,28 @@ class Index:
     block_at: np.ndarray
     block: np.ndarray
     block_top: np.ndarray
+    block_key: np.ndarray
     post_at: np.ndarray
-    post_item: np.ndarray
+    post_entry: np.ndarray
     post_impact: np.ndarray
-    items: list[int]
+    item: np.ndarray
+    ids: list[int]
     parts: list[tuple[np.ndarray, np.ndarray]]
 
+    @property
+    def blocks(self) -> int:
+        return len(self.item) // BLOCK + 1
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of all entries of a benchmark: their number and mean words; entries with a term, by term."""
+
+    entries: int
+    words: float
+    terms: np.ndarray
+    frequency: np.ndarray
+
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """The text up to its last sentence, and that sentence; of a single sentence, its last quarter."""
@@ -62,46 +83,47 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:-n]), " ".join(words[-n:])
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (id, text); long items are indexed in runs of CHUNK words."""
-    ids, words, parts = [], [], []
+def entries(text: str, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Question, answer, and the runs that are indexed: all words, in equal runs of CHUNK at most."""
+    q, a = (Words([x.encode()], True, SEPARATOR).hash for x in question_and_answer(text))
+    both = np.concatenate([q, a])
+    return q, a, np.array_split(both, -(-len(both) // CHUNK)) if len(both) >= max(1, least) else []
+
+
+def build(items: list[tuple[int, str]], known: Statistics | None = None, least: int = 3) -> Index:
+    """The index of (id, text), with the statistics of the whole benchmark (default: of the items)."""
+    ids, parts, words, item = [], [], [], []
     for i, text in items:
-        q, a = (Words([x.encode()], True, SEPARATOR).hash for x in question_and_answer(text))
-        both = np.concatenate([q, a])
-        for at in range(0, len(both), CHUNK):
-            own = both[at : at + CHUNK]
-            if len(own) < LEAST:
-                continue
-            cut = min(max(len(q) - at, 0), len(own))
-            if not 0 < cut < len(own):
-                cut = len(own) - max(1, len(own) // 4)
+        q, a, runs = entries(text, least)
+        if runs:
+            item += [len(ids)] * len(runs)
+            words += runs
             ids.append(i)
-            words.append(own)
-            parts.append((own[:cut], own[cut:]))
-    n = len(ids)
-    if not n:
-        e = np.zeros(0, dtype=np.int64)
-        return Index(np.zeros(0, np.uint64), e, np.zeros(0), np.zeros(1, np.int64), e, np.zeros(0), np.zeros(1, np.int64), e, np.zeros(0), [], [])
-    sizes = np.array([len(x) for x in words])
-    terms, at = np.unique(np.concatenate(words), return_inverse=True)
+            parts.append((q, a))
+    n = len(words)
+    sizes = np.array([len(x) for x in words], dtype=np.int64)
+    every = np.concatenate([np.zeros(0, np.uint64), *words])
+    terms, at = np.unique(every, return_inverse=True)
     pair, tf = np.unique(at * n + np.repeat(np.arange(n), sizes), return_counts=True)
-    term, item = pair // n, pair % n
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
-    impact /= np.bincount(item, impact, n)[item]  # of what the item scores against itself
+    term, entry = pair // max(n, 1), pair % max(n, 1)
+    if known is None:
+        known = Statistics(n, sizes.mean() if n else 0.0, terms, np.bincount(term, minlength=len(terms)))
+    df = known.frequency[np.searchsorted(known.terms, terms)] if n else np.zeros(0)
+    idf = np.log(1 + (known.entries - df + 0.5) / (df + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[entry] / max(known.words, 1e-9)))
+    impact /= np.bincount(entry, impact, n)[entry]  # of what the entry scores against itself
     largest = np.zeros(len(terms))
     np.maximum.at(largest, term, impact)
     rise = np.argsort(largest, kind="stable")
     number = np.empty(len(terms), dtype=np.int64)
     number[rise] = np.arange(len(terms))
-    order = np.lexsort((item, number[term]))
-    term, item, impact = number[term][order], item[order], impact[order]
-    key = term * (n // BLOCK + 1) + item // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    order = np.lexsort((entry, number[term]))
+    term, entry, impact = number[term][order], entry[order], impact[order]
+    key = term * (n // BLOCK + 1) + entry // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
     return Index(
-        terms, number, largest[rise], np.searchsorted(term[first], np.arange(len(terms) + 1)), item[first] // BLOCK,
-        np.maximum.reduceat(impact, first), np.append(first, len(key)), item, impact, ids, parts,
+        terms, number, largest[rise], np.searchsorted(term[first], np.arange(len(terms) + 1)), entry[first] // BLOCK,
+        np.maximum.reduceat(impact, first) if n else impact, key[first], np.append(first, len(key)), entry, impact, np.array(item, np.int64), ids, parts,
     )
 
 
@@ -117,47 +139,68 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, threshold: flo
 
     passage and term: distinct pairs by passage, then term number.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = threshold - 1e-9
     if not len(term):
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1], [True]]))
-    own = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    n = np.diff(edge)
+    own = np.repeat(np.arange(len(n)), n)
     sums = np.cumsum(index.largest[term])
     upto = sums - (sums - index.largest[term])[edge[:-1]][own]
-    essential = np.flatnonzero(upto >= threshold - 1e-9)
-    if not len(essential):
-        return none
-    low = np.where(upto < threshold - 1e-9, upto, 0.0)
-    low = np.maximum.reduceat(low, edge[:-1])  # the most that the other terms add
-    blocks = int(index.block.max()) + 1
-    at, owner = _ranges(index.block_at[term[essential]], index.block_at[term[essential] + 1])
-    key, back = np.unique(own[essential][owner] * blocks + index.block[at], return_inverse=True)
-    bound = np.bincount(back, index.block_top[at]) + low[key // blocks]
-    key = key[bound >= threshold - 1e-9]
-    if not len(key):
-        return none
-    # Score the open blocks: look up every term of the passage in the block.
-    entry_key = np.repeat(np.arange(len(index.terms)), np.diff(index.block_at)) * blocks + index.block
-    pairs, owner = _ranges(edge[key // blocks], edge[key // blocks + 1])
-    want = term[pairs] * blocks + (key % blocks)[owner]
-    got = np.searchsorted(entry_key, want)
-    got[got == len(entry_key)] = 0
-    hit = np.flatnonzero(entry_key[got] == want)
+    small = upto < SLACK * threshold
+    low = np.maximum.reduceat(np.where(small, upto, 0.0), edge[:-1])  # the most that the small ones add
+    use = np.flatnonzero(~small & (upto[edge[1:] - 1] >= least)[own])
+    keys, step = [], max(1, CELLS // index.blocks)
+    cuts = np.searchsorted(own[use], np.arange(0, len(n) + step, step))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a == b:
+            continue
+        part = use[a:b]
+        at, owner = _ranges(index.block_at[term[part]], index.block_at[term[part] + 1])
+        cell = (own[part][owner] - k * step) * index.blocks + index.block[at]
+        bound = np.bincount(cell, index.block_top[at], minlength=min(step, len(n) - k * step) * index.blocks)
+        some = np.flatnonzero(bound > 0)
+        some = some[bound[some] + low[some // index.blocks + k * step] >= least]
+        keys.append(some + k * step * index.blocks)
+    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    # Every term of the passage in each open block: their maxima bound again, their postings score.
+    pairs, owner = _ranges(edge[key // index.blocks], edge[key // index.blocks + 1])
+    want = term[pairs] * index.blocks + (key % index.blocks)[owner]
+    got = np.searchsorted(index.block_key, want)
+    got[got == len(index.block_key)] = 0
+    hit = np.flatnonzero(index.block_key[got] == want)
+    got, owner = got[hit], owner[hit]
+    hit = np.flatnonzero(np.bincount(owner, index.block_top[got], len(key))[owner] >= least)
     posts, who = _ranges(index.post_at[got[hit]], index.post_at[got[hit] + 1])
-    n = len(index.items)
-    pair, back = np.unique((key // blocks)[owner[hit][who]] * n + index.post_item[posts], return_inverse=True)
-    score = np.bincount(back, index.post_impact[posts])
-    keep = np.flatnonzero(score >= threshold - 1e-9)
-    return passage[edge[:-1]][pair[keep] // n], pair[keep] % n, score[keep]
+    size = len(index.item)
+    pair, back = np.unique((key // index.blocks)[owner[hit][who]] * size + index.post_entry[posts], return_inverse=True)
+    score = np.bincount(back, index.post_impact[posts], len(pair))
+    keep = np.flatnonzero(score >= least)
+    return passage[edge[:-1]][pair[keep] // size], pair[keep] % size, score[keep]
 
 
 def overlap(part: np.ndarray, passage: list[int], n: int = 3) -> float:
-    """The share of a part's runs of n words (all, if fewer) that the passage has."""
+    """The share of a part's runs of n words (all, if fewer) that the passage has; 1 of no words."""
     n = min(n, len(part))
     own = part.tolist()
     have = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
-    runs = [tuple(own[i : i + n]) in have for i in range(len(own) - n + 1)]
-    return sum(runs) / len(runs)
+    runs = [tuple(own[i : i + n]) in have for i in range(len(own) - n + 1)] if n else []
+    return sum(runs) / len(runs) if runs else 1.0
+
+
+def verified(question: np.ndarray, answer: np.ndarray, words: np.ndarray, start: int) -> tuple[float, float]:
+    """Overlaps of question and answer with the passage that begins at `start` of a text's words.
+
+    With an item longer than a chunk, words as many as the item's on either side belong to the
+    passage. An item of fewer than WHOLE words overlaps wholly or not at all.
+    """
+    size = len(question) + len(answer)
+    around = size if size > CHUNK else 0
+    own = words[max(0, start - around) : start + 2 * CHUNK + around].tolist()
+    if size < WHOLE:
+        whole = overlap(np.concatenate([question, answer]), own, size)
+        return whole, whole
+    return overlap(question, own), overlap(answer, own)
 
 
 def find_leaks(
@@ -170,16 +213,18 @@ def find_leaks(
     threshold: float = 0.6,
     question: float = 0.7,
     answer: float = 0.7,
+    least: int = 3,
 ) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap, start): a row per leaked item and text.
 
-    score: the largest BM25 score of a passage over what the item scores against itself; start: the
-    first word of that passage. A pair counts if its score is `threshold` or more and the passage
-    has the stated shares of three-word runs of question and answer. Words are runs of ASCII
-    letters, digits and non-ASCII, ASCII lower-cased. Null or empty texts and items, items under
-    LEAST words and null item ids match nothing; rows with a null id report under null. Rows equal
-    in id count once. The items are indexed INDEX_BYTES at a time, each over all texts, with the
-    statistics of that block.
+    score: the largest BM25 score of a passage over what the item (of a long item, the run of it that
+    scores) scores against itself; start: the first word of that passage. A pair counts if its score
+    is `threshold` or more and the passage has the stated shares of three-word runs of the whole
+    question and the whole answer; see verified(). Words are runs of ASCII letters, digits and
+    non-ASCII, ASCII lower-cased. Null or empty texts and items and null item ids match nothing, nor
+    do items of fewer than `least` words: a word or two is no passage. Rows with a null id report
+    under null. Rows equal in id count once. Other columns are ignored. Ids must be integers. The
+    items are indexed INDEX_BYTES at a time, each over all texts, with the statistics of all items.
     """
     spark = df.sparkSession
     docs = is_long(df.where(F.col(text_col).isNotNull()), id_col).select(id_col, text_col)
@@ -187,16 +232,43 @@ def find_leaks(
     bench = bench.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     turns = max(1, math.ceil(total / INDEX_BYTES))
+    bench = bench.withColumn("turn", F.pmod(F.xxhash64("i", "t"), F.lit(turns)).cast("int"))
+    known = _statistics(bench, least) if turns > 1 else lambda turn: None
     found = None
     for turn in range(turns):
-        own = bench if turns == 1 else bench.where(F.pmod(F.xxhash64("i"), F.lit(turns)) == turn)
-        index = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in own.orderBy("i", "t").collect()]))
+        own = bench.where(F.col("turn") == turn).orderBy("i", "t").collect()
+        index = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in own], known(turn), least))
         part = docs.mapInArrow(_search(index, id_col, threshold, question, answer), f"{id_col} bigint, {PLACE}")
         found = part if found is None else found.union(part)
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "start"), F.struct("score", -F.col("start"), "question_overlap", "answer_overlap"))
     return found.groupBy(id_col, "item_id").agg(best.alias("b")).select(id_col, "item_id", "b.*")
 
 
+def _statistics(bench: DataFrame, least: int) -> Callable[[int], Statistics]:
+    """turn -> statistics of the whole benchmark, for the terms of the turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for turn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for own in entries(text, least)[2]:
+                    term = np.unique(own).view(np.int64)
+                    words = np.where(np.arange(len(term)) > 0, 0, len(own))  # with the entry's first term
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), turn), pa.int32()), pa.array(term, pa.int64()), pa.array(words, pa.int64())], names=["turn", "term", "words"])
+
+    each = stored(bench.select("turn", "t").mapInArrow(run, "turn int, term bigint, words bigint"), "leak-terms")
+    r = each.agg(F.sum("words").alias("words"), F.count(F.when(F.col("words") > 0, 1)).alias("n")).first()
+    counts = each.groupBy("term").agg(F.count("*").alias("n"))
+    known = stored(each.select("turn", "term").distinct().join(counts, "term"), "leak-frequencies")
+
+    def of(turn: int) -> Statistics:
+        got = known.where(F.col("turn") == turn).select("term", "n").toPandas()
+        terms = got["term"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        return Statistics(r["n"], (r["words"] or 0) / max(1, r["n"]), terms[order], got["n"].to_numpy(dtype=np.int64)[order])
+
+    return of
+
+
 def _search(shared, id_col: str, threshold: float, question: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -219,11 +291,10 @@ def _search(shared, id_col: str, threshold: float, question: float, answer: floa
                 pair = np.unique(np.concatenate([chunk * wide + term, (chunk[begins] - 1) * wide + term[begins]]))
                 for passage, entry, score in zip(*retrieve(index, pair // wide, pair % wide, threshold), strict=True):
                     d = int(np.searchsorted(base, passage, side="right")) - 1
-                    start = int(passage - base[d]) * CHUNK
-                    words = w.hash[w.first[d] + start : min(w.first[d + 1], w.first[d] + start + 2 * CHUNK)].tolist()
-                    q, a = (overlap(x, words) for x in index.parts[entry])
+                    start, item = int(passage - base[d]) * CHUNK, index.item[entry]
+                    q, a = verified(*index.parts[item], w.hash[w.first[d] : w.first[d + 1]], start)
                     if q >= question and a >= answer:
-                        rows.append((ids[i + d], index.items[entry], float(score), q, a, start))
+                        rows.append((ids[i + d], index.ids[item], round(float(score), 9), q, a, start))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             if rows:
                 names = [id_col, "item_id", "score", "question_overlap", "answer_overlap", "start"]

@@ -175,20 +175,103 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def leak_words(t):
+    return re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", lower(t))
+
+
+def leaks(docs, items, threshold=0.6, share=0.7, least=3):
+    """Scores of every passage and run of an item, one by one."""
+    from math import log
+
+    runs = []
+    for i, t in items:
+        q, a = (leak_words(x) for x in decontaminate.question_and_answer(t or ""))
+        both = q + a
+        if i is None or len(both) < least:
+            continue
+        n, cut = -(-len(both) // 64), 0
+        for k in range(n):
+            size = len(both) // n + (k < len(both) % n)
+            runs.append((i, q, a, both[cut : cut + size]))
+            cut += size
+    n, mean = len(runs), sum(len(r[3]) for r in runs) / max(1, len(runs))
+    df = Counter(x for r in runs for x in set(r[3]))
+
+    def weight(run, x):
+        tf = run.count(x)
+        return log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(run) / mean))
+
+    def found(part, own, k):
+        k = min(k, len(part))
+        have = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
+        every = [tuple(part[j : j + k]) in have for j in range(len(part) - k + 1)] if k else []
+        return sum(every) / len(every) if every else 1.0
+
+    out = {}
+    for d, t in docs:
+        w = leak_words(t)
+        for at in range(0, len(w), 64):
+            here = set(w[at : at + 128])
+            for i, q, a, run in runs:
+                own = [weight(run, x) for x in set(run)]
+                score = sum(weight(run, x) for x in set(run) & here) / sum(own)
+                if score < threshold - 1e-9:
+                    continue
+                size = len(q) + len(a)
+                more = size if size > 64 else 0
+                near = w[max(0, at - more) : at + 128 + more]
+                x, y = (found(q + a, near, size),) * 2 if size < 5 else (found(q, near, 3), found(a, near, 3))
+                if x >= share and y >= share:
+                    best = (round(score, 9), -at)
+                    out[d, i] = max(out.get((d, i), best), best)
+    return {k: (s, -at) for k, (s, at) in out.items()}
+
+
+def found_leaks(df, items):
+    return {(r["doc_id"], r["item_id"]): (r["score"], r["start"]) for r in decontaminate.find_leaks(df, items).collect()}
+
+
 def test_leaks_and_clean_texts(spark):
     item = "The quick brown fox of the north jumps over eleven lazy dogs. It lands beyond the river bank."
     long = " ".join(f"word{i}" for i in range(150)) + ". the last answer."
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (None, item), (5, long)], "item_id long, text string")
+    given = [(1, item), (2, None), (3, ""), (4, "too short"), (None, item), (5, long), (6, "Capital of France? Paris"), (7, "!!")]
+    items = spark.createDataFrame(given, "item_id long, text string")
     filler = " ".join(f"filler{i}" for i in range(500))
+    wrong = " ".join(f"word{i}" for i in range(150)) + ". another reply altogether."
     rows = [(1, f"{filler} {item} {filler}"), (2, filler), (3, None), (4, ""), (5, item.upper()), (6, "The quick brown fox of the north jumps over eleven lazy dogs."), (7, long), (7, long), (None, item)]
+    rows += [(8, wrong), (9, f"{filler}, capital of France: Paris!"), (10, "the capital of France is Paris"), (11, f"{filler} {filler[:70]} {long}"), (12, "too short")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("mine"))
     found = decontaminate.find_leaks(docs, items)
-    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (5, 1), (7, 5), (None, 1)}
-    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, found).collect()} == {2, 3, 4, 6, None}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (5, 1), (7, 5), (None, 1), (9, 6), (11, 5)}
+    assert found_leaks(docs, items) == leaks(rows, given)
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, found).collect()} == {2, 3, 4, 6, None, 8, 10, 12}
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("size", [16 << 20, 4000])
+def test_leaks_by_brute_force(spark, small, monkeypatch, size):
+    """In one turn and in many, with edited copies near the threshold."""
+    import random
+
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    monkeypatch.setattr(decontaminate, "CELLS", 40)
+    rng = random.Random(2)
+    given = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    given += [(1000 + k, " ".join(x for _, t in given[7 * k : 7 * k + 5] for x in (t,))) for k in range(3)]
+    vocabulary = sorted({w for _, t in given for w in t.split()})
+    rows = []
+    for k in range(150):
+        w = given[k % len(given)][1].split()
+        for _ in range(int(len(w) * rng.choice([0, 0.05, 0.1, 0.2, 0.4]))):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        around = [rng.choice(vocabulary) for _ in range(rng.randrange(200))]
+        rows.append((k, " ".join(around + w + around)))
+    got = found_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(given, "item_id long, text string"))
+    want = leaks(rows, given)
+    assert got == want and 60 < len(want) and len({i for _, i in want if i >= 1000}) == 3
+
+
 def test_retrieval_finds_all_above_the_threshold(spark, small):
     """Against scores of every passage and item."""
     import numpy as np
@@ -201,14 +284,14 @@ def test_retrieval_finds_all_above_the_threshold(spark, small):
     passages += [np.unique(index.number[np.searchsorted(index.terms, np.concatenate(p))]) for p in index.parts]
     passage = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
     got = {(a, b): s for a, b, s in zip(*decontaminate.retrieve(index, passage, np.concatenate(passages), 0.1), strict=True)}
-    impact = np.zeros((n, len(index.items)))
+    impact = np.zeros((n, len(index.item)))
     for term in range(n):
         for e in range(index.block_at[term], index.block_at[term + 1]):
             at = slice(index.post_at[e], index.post_at[e + 1])
-            impact[term, index.post_item[at]] = index.post_impact[at]
+            impact[term, index.post_entry[at]] = index.post_impact[at]
     scores = np.stack([impact[p].sum(axis=0) for p in passages])
     want = {(a, b): scores[a, b] for a, b in zip(*np.nonzero(scores >= 0.1), strict=True)}
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > len(index.items)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > len(index.ids)
 
 
 def test_quality_by_brute_force(docs, texts, spark):
