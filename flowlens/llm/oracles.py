@@ -21,7 +21,7 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(k
 from d left join kept k on d.doc_id = k.doc_id
 """
 
-QUALITY_RULES = rf"""
+_RULES = rf"""
 with d as (
   select doc_id, coalesce(text, '') as t, {WORDS} as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
@@ -40,16 +40,31 @@ m as (
     length(regexp_replace(t, '[^!]+', '', 'g')) as n_ex, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_cap,
     length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) as n_let
   from d left join covered c on d.doc_id = c.doc_id),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+f as (
+  select *, n_words < 20 as r0, 100 * n_repeat_words > 30 * n_words as r1, 100 * n_symbols > 25 * n_words as r2,
+    n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines as r3,
+    n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words) as r4,
+    100 * n_ex > 50 * n_words as r5, n_let >= 100 and 100 * n_cap > 70 * n_let as r6, 100 * n_stutter > 30 * n_words as r7
+  from m),
+b as (
+  select *, r0::bigint + 2 * r1::bigint + 4 * r2::bigint + 8 * r3::bigint + 16 * r4::bigint + 32 * r5::bigint
+    + 64 * r6::bigint + 128 * r7::bigint as fail_bits from f)
+"""
+
+QUALITY_RULES = rf"""{_RULES}
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
   cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
-  cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-  not (base_failed or 100 * n_symbols > 25 * n_words or (n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines)
-    or (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words))
-    or 100 * n_stutter > 30 * n_words or 100 * n_ex > 50 * n_words or (n_let >= 100 and 100 * n_cap > 70 * n_let)) as kept
+  cast(n_repeat_words as bigint) as n_repeat_words, r0 or r1 as base_failed, fail_bits = 0 as kept, fail_bits
 from b
 """
 
+RULE_ABLATION = rf"""{_RULES}
+select bit, rule, count(*) filter (fail_bits // (1 << bit) % 2 = 1) as n_fail, count(*) filter (fail_bits = 1 << bit) as n_only
+from b, (values (0, 'few_words'), (1, 'repeated_words'), (2, 'symbols'), (3, 'duplicate_lines'), (4, 'word_length'),
+  (5, 'exclamations'), (6, 'capitals'), (7, 'stutter')) as v(bit, rule)
+group by bit, rule
+"""
+
 _ESC = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 
 CHAT_FORMAT = rf"""
@@ -104,3 +119,52 @@ select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
   case when first = page_id then null else first end as refers_to, url
 from f
 """
+
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NGRAM_JOIN = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as sh from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select u, v from p join n x on u = x.doc_id join n y on v = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select u, v from l union all select v, u from l),
+r as (select u, v from e union select r.u, e.v from r join e on r.v = e.u),
+c as (select u, min(v) as least from r group by u)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) as component_id
+from d left join n on d.doc_id = n.doc_id left join c on d.doc_id = c.u
+"""
+
+
+def _places(phrase: str) -> str:
+    words = ", ".join(f"'{w}'" for w in phrase.split())
+    size = len(phrase.split())
+    return f"list_filter(range(1, len(w) - {size - 2}), lambda i: w[i : i + {size - 1}] = [{words}])"
+
+
+LICENSE_BASE = rf"""
+with d as (select doc_id, regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select doc_id, len(w) as n, {_places("apache license version 2")} as a, {_places("cc by nc")} as c, {_places("under the mit license")} as m from d)
+select doc_id, cast(n as bigint) as n_words, cast(len(a) + len(c) + len(m) as bigint) as n_base,
+  list_min(a || c || m) - 1 as first_word, list_max(a || c || m) - 1 as last_word,
+  array_to_string(list_filter([case when len(a) > 0 then 'apache-2' end, case when len(c) > 0 then 'cc-by-nc' end,
+    case when len(m) > 0 then 'mit' end], lambda x: x is not null), ',') as base_labels
+from p
+"""
+
+MIXING_TARGETS = rf"""
+with d as (select doc_id, source, cast(len({WORDS}) as bigint) as size from documents),
+s as (select source, sum(size) as n from d group by source),
+k as (select source, n, 1.0::double + (row_number() over (order by source is null, encode(source)) - 1) % 3 as w from s),
+o as (
+  select *, row_number() over (order by n / w, w, source) as place,
+    coalesce(sum(n) over (order by n / w, w, source rows between unbounded preceding and 1 preceding), 0) as fuller,
+    sum(w) over (order by n / w, w, source rows between current row and unbounded following) as open_weight,
+    sum(n) over () as total
+  from k where n > 0),
+u as (select (total::double - 3.0 * fuller) / open_weight as unit from o where w * ((total::double - 3.0 * fuller) / open_weight) <= 3.0 * n order by place limit 1)
+select doc_id, size, cast(k.n as bigint) as source_size, case when k.n > 0 then least(k.w * u.unit, 3.0 * k.n) else 0.0 end::double as target
+from d join k on d.source is not distinct from k.source left join u on true
+"""

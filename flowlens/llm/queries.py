@@ -15,7 +15,7 @@ from flowlens.llm.license_scan import scan
 from flowlens.llm.line_dedup import dedup_lines
 from flowlens.llm.mixing import amounts, mix
 from flowlens.llm.ngram_join import jaccard_components
-from flowlens.llm.quality_rules import apply_policy, ledger
+from flowlens.llm.quality_rules import ablation, apply_policy, ledger
 from flowlens.llm.substring_dedup import remove_repeats
 from flowlens.llm.warc import read_records, write_archives
 
@@ -25,12 +25,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 20-word windows that also start earlier."""
     out = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), width=20)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without repeated runs of lines."""
     out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
     return out.select("doc_id", "n_lines", "n_lines_removed", "n_chunks_removed", kept.alias("kept_sha256"))
@@ -49,6 +51,7 @@ def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, read back from windows of 512 tokens at most."""
     back = read_back(format_windows(chat_turns(spark, folder)))
     return back.select(
         "conv_id",
@@ -61,6 +64,7 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, by a model of the folds that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     out = identify(docs.select("doc_id", "text"), model)
@@ -68,31 +72,52 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words that the mixture takes of it."""
     out = amounts(mix(table(spark, folder, "documents").select("doc_id", "text", "source")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, read back from the archives it was written to."""
     records = read_records(write_archives(table(spark, folder, "pages").select("page_id", "url", "html")))
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that leaks into it."""
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the component of its near copies."""
     return jaccard_components(table(spark, folder, "documents"), width=5, percent=80)
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its licence phrases and notices."""
     out = scan(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_license_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op9_license_scan that SQL can express."""
+    return op9_license_scan(spark, folder).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def op10_mixing_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op10_mixing that SQL can express."""
+    return op10_mixing(spark, folder).select("doc_id", "size", "source_size", "target")
+
+
+def op7_rule_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """For each rule: documents that fail it, and that it alone rejects under v4."""
+    return ablation(ledger(table(spark, folder, "documents").select("doc_id", "text")), "v4")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its measurements, failure bits and verdict under v4."""
     out = apply_policy(ledger(table(spark, folder, "documents").select("doc_id", "text")), "v4")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_rule_ablation": op7_rule_ablation,
+    "op9_license_base": op9_license_base,
+    "op10_mixing_targets": op10_mixing_targets,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +142,8 @@ ORACLES: dict[str, str] = {
     "op4_warc": oracles.WARC,
     "op2_chat_format": oracles.CHAT_FORMAT,
     "op7_quality_rules": oracles.QUALITY_RULES,
+    "op7_rule_ablation": oracles.RULE_ABLATION,
+    "op8_ngram_join": oracles.NGRAM_JOIN,
+    "op9_license_base": oracles.LICENSE_BASE,
+    "op10_mixing_targets": oracles.MIXING_TARGETS,
 }
