@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.sources.stage import stored
+
 
 def key_hash(seed: str, key: Sequence[str]) -> Column:
     """MD5 (hex) of seed and key; key columns should be integers or strings."""
@@ -27,6 +29,15 @@ def hash01(seed: str, key: Sequence[str]) -> Column:
     return hash_int(seed, key) / F.lit(float(1 << 32))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with new columns computed once a row, however often they are read.
+
+    Projections merge, and a hash read by several expressions would be computed in each; a generator
+    of one row keeps them apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 where b is 0 or either is null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -37,17 +48,29 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.bround(c.cast("double"), digits)
 
 
-def class_rank(df: DataFrame, label: str, key: Sequence[str], seed: str, name: str = "rank") -> DataFrame:
-    """df with each row's place (from 1) in its class by hash order.
+def hashed_rows(df: DataFrame, key: Sequence[str], seed: str) -> DataFrame:
+    """df with _hash, and its first three hex digits as _digits."""
+    return once(df, {"_hash": key_hash(seed, key)}).withColumn("_digits", F.substring("_hash", 1, 3))
+
+
+def slice_counts(df: DataFrame, label: str, key: Sequence[str], seed: str) -> DataFrame:
+    """(_class, _own, _n): rows of each class by the first three hex digits of their hash; stored, for
+    it is small and both class sizes and places come from it."""
+    counts = hashed_rows(df, key, seed).groupBy(F.col(label).alias("_class"), F.col("_digits").alias("_own")).agg(F.count("*").alias("_n"))
+    return stored(counts, "class-slices")
+
+
+def class_rank(df: DataFrame, label: str, key: Sequence[str], seed: str, name: str = "rank", counts: DataFrame | None = None) -> DataFrame:
+    """df with each row's place (from 1) in its class by hash order; counts: slice_counts() of df, if known.
 
     A class may hold most rows, so no window spans one: rows are ranked within (class, first three
     hex digits), about 1/4096 of a class, and counts of the lower digits are added.
     """
-    hashed = df.withColumn("_hash", key_hash(seed, key)).withColumn("_digits", F.substring("_hash", 1, 3))
-    counts = hashed.groupBy(label, "_digits").agg(F.count("*").alias("_n"))
-    lower = Window.partitionBy(label).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col(label).alias("_class"), F.col("_digits").alias("_own"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    if counts is None:
+        counts = slice_counts(df, label, key, seed)
+    lower = Window.partitionBy("_class").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_class", "_own", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(label, "_digits").orderBy("_hash", *key)
-    ranked = hashed.withColumn("_inside", F.row_number().over(inside))
+    ranked = hashed_rows(df, key, seed).withColumn("_inside", F.row_number().over(inside))
     out = ranked.join(counts, ranked[label].eqNullSafe(counts["_class"]) & (ranked["_digits"] == counts["_own"]))
     return out.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.local import local_table
-from flowlens.functions.portable import class_rank, hash01, hash_int, ratio, rounded
+from flowlens.functions.portable import class_rank, hash01, hash_int, ratio, rounded, slice_counts
 
 
 def class_counts(df: DataFrame, label: str) -> dict[str, int]:
@@ -17,6 +17,11 @@ def class_counts(df: DataFrame, label: str) -> dict[str, int]:
     return {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
+def sizes_of(slices: DataFrame) -> dict[str, int]:
+    """Rows of each class, from slice_counts()."""
+    return {r[0]: r[1] for r in slices.where(F.col("_class").isNotNull()).groupBy("_class").agg(F.sum("_n")).collect()}
+
+
 def quota_table(df: DataFrame, quotas: dict[str, int], label: str) -> DataFrame:
     return local_table(df.sparkSession, list(quotas.items()) or [("", 0)], f"`{label}` string, quota long")
 
@@ -31,6 +36,15 @@ def sampling_plan(df: DataFrame, label: str, caps: dict[str, int]) -> DataFrame:
     return plan.select("class", "available", "cap", "kept", strategy.alias("strategy"), rounded(ratio(F.col("kept"), total)).alias("share"))
 
 
+def sampling_report(df: DataFrame, label: str, caps: dict[str, int], least: int = 3) -> DataFrame:
+    """(class, problem, kept): capped classes without a row, and classes that keep too few to stratify."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    table = quota_table(df, caps, "class").withColumnRenamed("quota", "cap").where("class != ''")
+    both = counts.join(table, "class", "full").withColumn("kept", F.least(F.coalesce("n", F.lit(0)), F.coalesce("cap", "n")))
+    problem = F.when(F.col("n").isNull(), "absent").when(F.col("kept") < least, "too few to stratify")
+    return both.select("class", problem.alias("problem"), "kept").where("problem is not null")
+
+
 def capped(df: DataFrame, label: str, key: Sequence[str], caps: dict[str, int], seed: str) -> DataFrame:
     """df with at most caps[class] rows of a class, the first in hash order.
 
@@ -108,10 +122,11 @@ def split_sizes(n: int, test: float, val: float) -> tuple[int, int, int]:
 
 def split(df: DataFrame, label: str, key: Sequence[str], test: float, val: float, seed: str) -> DataFrame:
     """df with `split`: test, val or train, stratified by class in hash order."""
-    sizes = {c: split_sizes(n, test, val) for c, n in class_counts(df, label).items()}
+    slices = slice_counts(df, label, key, seed)
+    sizes = {c: split_sizes(n, test, val) for c, n in sizes_of(slices).items()}
     ends = [(c, s[2], s[2] + s[1]) for c, s in sizes.items()]
     table = local_table(df.sparkSession, ends or [("", 0, 0)], "_class string, _test long, _val long")
-    ranked = class_rank(df.where(F.col(label).isNotNull()), label, key, seed, "_rank")
+    ranked = class_rank(df.where(F.col(label).isNotNull()), label, key, seed, "_rank", slices)
     out = ranked.join(F.broadcast(table), ranked[label] == table["_class"])
     part = F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_val"), "val").otherwise("train")
     return out.withColumn("split", part).select(*df.columns, "split")
@@ -139,10 +154,11 @@ def folds(df: DataFrame, label: str, key: Sequence[str], k: int, seed: str) -> D
 
 def holdout(df: DataFrame, label: str, key: Sequence[str], fraction: float, seed: str) -> DataFrame:
     """df with `held`: at least one row of a class of two or more, never the last one left."""
-    n = class_counts(df, label)
+    slices = slice_counts(df, label, key, seed)
+    n = sizes_of(slices)
     quota = {c: 0 if m < 2 else min(m - 1, max(1, half_even(m * fraction))) for c, m in n.items()}
     table = quota_table(df, quota, "_class")
-    ranked = class_rank(df.where(F.col(label).isNotNull()), label, key, seed, "_rank")
+    ranked = class_rank(df.where(F.col(label).isNotNull()), label, key, seed, "_rank", slices)
     out = ranked.join(F.broadcast(table), ranked[label] == table["_class"])
     return out.withColumn("held", F.col("_rank") <= F.col("quota")).select(*df.columns, "held")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.portable import hash_int
+from flowlens.functions.portable import hash_int, once
 from flowlens.sources import dims
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -37,7 +37,7 @@ def li(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lid(spark: SparkSession, folder: str) -> DataFrame:
-    rows = li(spark, folder).withColumn("_h", hash_int("d", KEY) % 1000)
+    rows = once(li(spark, folder), {"_h": hash_int("d", KEY) % 1000})
     h = F.col("_h")
     none = h.between(10, 14)
     out = rows.withColumns({
@@ -50,15 +50,15 @@ def lid(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_h", "_copy")
 
 
-def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b") -> DataFrame:
+def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b", shares: bool = True) -> DataFrame:
+    """shares=False: proba as the numbers whose shares the probabilities are."""
     rows = li(spark, folder)
     code = F.array_position(F.array(*(F.lit(c) for c in CLASSES)), F.col("label")).cast("int") - 1
     rows = rows.withColumn("code", code)
-    boost = hash_int(b, KEY) % 100 < 70
-    raw = [1 + hash_int(f"{p}{k}", KEY) % 97 + F.when((F.col("code") == k) & boost, 150).otherwise(0) for k in range(4)]
-    rows = rows.withColumns({f"_r{k}": r for k, r in enumerate(raw)})
+    rows = once(rows, {"_b": hash_int(b, KEY) % 100 < 70, **{f"_h{k}": hash_int(f"{p}{k}", KEY) % 97 for k in range(4)}})
+    rows = rows.withColumns({f"_r{k}": 1 + F.col(f"_h{k}") + F.when((F.col("code") == k) & F.col("_b"), 150).otherwise(0) for k in range(4)})
     total = F.col("_r0") + F.col("_r1") + F.col("_r2") + F.col("_r3")
-    proba = F.array(*(F.col(f"_r{k}") / total for k in range(4)))
+    proba = F.array(*(F.col(f"_r{k}") / total if shares else F.col(f"_r{k}").cast("double") for k in range(4)))
     return rows.select(*KEY, "label", "code", proba.alias("proba"))
 
 
@@ -75,11 +75,14 @@ def em(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)))
 
 
-def em_vectors(spark: SparkSession, folder: str, imbalanced: bool = False) -> DataFrame:
-    rows = table(spark, folder, "embeddings")
-    if imbalanced:
-        rows = rows.where((F.col("label") < 5) | (F.col("vec_id") % 5 == 0))
-    return rows.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+def em_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def em_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """em_vectors() with labels 0 to 4 as one class."""
+    df = em_vectors(spark, folder)
+    return df.withColumn("label", F.when(F.col("label") < 5, F.lit(0)).otherwise(F.col("label")).cast(df.schema["label"].dataType))
 
 
 _KEY = ", ".join(f"cast({k} as varchar)" for k in KEY)

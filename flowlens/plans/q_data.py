@@ -142,6 +142,13 @@ def _(spark, folder):
     return sample.sampling_plan(beds.li(spark, folder), "label", CAPS).na.fill(-1, ["cap"])
 
 
+@query("sampling_report", f"""with {LI}, c as (select label as class, count(*) as n from li group by 1), p as (select * from (values ('base', 5000), ('deep', 2), ('lost', 10)) as v(class, cap))
+select coalesce(c.class, p.class) as class, case when n is null then 'absent' else 'too few to stratify' end as problem, least(coalesce(n, 0), coalesce(cap, n, 0)) as kept
+from c full join p on c.class = p.class where n is null or least(n, coalesce(cap, n)) < 3""")
+def _(spark, folder):
+    return sample.sampling_report(beds.li(spark, folder), "label", {"base": 5000, "deep": 2, "lost": 10}, 3)
+
+
 @query("capped_sample", f"""with {LI} select {KEYS}, label from (select *, row_number() over (partition by label order by {beds.md5('42')}, {KEYS}) as r from li)
   where r <= case label when 'base' then 5000 when 'deep' then 1000 else r end""")
 def _(spark, folder):
@@ -199,12 +206,12 @@ def _(spark, folder):
     return sample.holdout(beds.li(spark, folder), "label", KEY, 0.15, "h").select(*KEY, "label", "held")
 
 
-_POISSON = " + ".join(f"case when u >= {s!r} then 1 else 0 end" for s in (
+POISSON = " + ".join(f"case when u >= {s!r} then 1 else 0 end" for s in (
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253))
 
 
 @query("bootstrap", f"""with {LI}, u as (select *, cast('0x' || substr(md5(concat_ws('|', 'boot', cast(rep as varchar), {beds._KEY})), 1, 8) as bigint) / 4294967296.0 as u from li, (select unnest([0, 1]) as rep))
-select rep as replicate, label, cast(sum({_POISSON}) as bigint) as n from u group by 1, 2""")
+select rep as replicate, label, cast(sum({POISSON}) as bigint) as n from u group by 1, 2""")
 def _(spark, folder):
     return sample.bootstrap(beds.li(spark, folder), KEY, "boot", 2).groupBy("replicate", "label").agg(F.count("*").alias("n"))
 
