@@ -1,4 +1,8 @@
-"""Structured Streaming over the same operators."""
+"""Structured Streaming over the same operators.
+
+Results go to files and checkpoints to the shared folder (see sources.stage), never to the driver.
+Windows and sessions run in append mode: a watermark closes them and frees their state.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.operators.sample import bernoulli
+from flowlens.sources.stage import new_folder
+
+END = "9999-01-01 00:00:00"
+
 
+def read_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A Parquet file, or a folder of them, as a stream: `files` at a time, or all there are."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, for a plain path must be a folder
 
-def read_stream(spark: SparkSession, folder: str, schema, files: int = 1, glob: str | None = None) -> DataFrame:
-    """A folder of Parquet files as a stream, `files` at a time."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+
+def closed(df: DataFrame, ts: str) -> DataFrame:
+    """A finite stream with one more row, at the end of time and null elsewhere.
+
+    It moves the watermark past every window, so that append mode gives all of them when the stream
+    ends; its own window never closes. Call it before event_time().
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "stream-end")
+    spark.range(1).select(*(F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in df.schema)).write.parquet(path)
+    return df.unionByName(read_stream(spark, path, df.schema))
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -50,18 +71,33 @@ def sessions(df: DataFrame, source: str, ts: str = "ts", gap: str = "30 minutes"
     return out.select(source, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now into a memory table; for tests and small results."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, mode: str = "append", folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now, and reads its result from `folder` (default: a new one).
+
+    Append mode uses the file sink. In complete mode each batch writes the whole result so far to a
+    folder of its own, over what a lost attempt of it left, and the last one is read; in update mode
+    all are read, with their number as `batch`. `checkpoint` defaults to a folder beside the result.
+    """
+    spark = df.sparkSession
+    folder = (folder or new_folder(spark, "stream")).rstrip("/")
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}-checkpoint")
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    if mode == "append":
+        writer.format("parquet").start(folder).awaitTermination()
+        return spark.read.schema(df.schema).parquet(folder)
+    writer.foreachBatch(add).start().awaitTermination()
+    out = spark.read.parquet(folder)
+    return out if mode == "update" else out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def evaluate_batches(df: DataFrame, state: str, code: str = "code", proba: str = "proba", checkpoint: str | None = None) -> StreamingQuery:
     """Appends each micro-batch's confusion counts, by batch number, to the Parquet folder `state`.
 
     A batch that runs again replaces its own counts, so the sums (see confusion_so_far) stay right.
+    `checkpoint` defaults to a folder beside the state.
     """
     from flowlens.operators.evaluate import known, predicted
 
@@ -70,7 +106,7 @@ def evaluate_batches(df: DataFrame, state: str, code: str = "code", proba: str =
         n.write.mode("overwrite").parquet(f"{state.rstrip('/')}/batch={number}")
 
     writer = df.writeStream.foreachBatch(add).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    return writer.option("checkpointLocation", checkpoint or f"{state.rstrip('/')}-checkpoint").start()
 
 
 def confusion_so_far(spark: SparkSession, state: str) -> DataFrame:
