@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.portable import ratio, rounded
+from flowlens.operators.score import checked_proba
+from flowlens.sources.stage import stored
 
 SLICES = 4096
 
@@ -121,7 +123,10 @@ def score_table(df: DataFrame, by: Sequence[str], score: str, positive: str) ->
 
 
 def cumulated(scores: DataFrame, by: Sequence[str], score: str) -> DataFrame:
-    """A score table with cum_pos and cum_neg: rows of that score or above; and totals p and n."""
+    """A score table with cum_pos and cum_neg: rows of that score or above; and totals p and n.
+
+    The table is stored first, for the sums of slices and the places inside them both read it."""
+    scores = stored(scores, "scores")
     sliced = scores.withColumn("_slice", F.least(F.greatest(F.floor(F.col(score) * SLICES), F.lit(0)), F.lit(SLICES)).cast("int"))
     totals = sliced.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -216,7 +221,11 @@ def worst(classes: DataFrame, n: int = 3) -> DataFrame:
 
 
 def compare(table: DataFrame, by: str, key: Sequence[str], rising: bool = False) -> DataFrame:
-    """Models by a metric, undefined last, with rank."""
+    """Models by a metric, undefined last, with rank; a row a model. A table with a column `split` also
+    gets mixed_split: whether its rows come from several splits and can't be compared."""
+    if "split" in table.columns:
+        every = Window.partitionBy()
+        table = table.withColumn("mixed_split", F.min("split").over(every) != F.max("split").over(every))
     value = F.when(~F.isnan(by), F.col(by))
     order = value.asc_nulls_last() if rising else value.desc_nulls_last()
     return table.withColumn("rank", F.rank().over(Window.orderBy(order))).orderBy("rank", *key)
@@ -232,8 +241,15 @@ def leaderboard(validation: DataFrame, test: DataFrame, metric: str, primary: st
     return out.withColumn("winner", winner).join(test, "model", "left").withColumn(f"test_{metric}", F.when(F.col("winner"), F.col(f"test_{metric}")))
 
 
-def evaluate(df: DataFrame, codec: DataFrame, benign_code: int, curves: bool = True) -> dict[str, DataFrame]:
-    """The whole report as tables; those that are not used do not run."""
+def evaluate(df: DataFrame, codec: DataFrame, benign_code: int, curves: bool = True, code: str = "code", proba: str = "proba") -> dict[str, DataFrame]:
+    """The whole report as tables; those that are not used do not run.
+
+    Probabilities are checked first (see score.checked_proba: a negative or non-finite one, or a row
+    without all classes, raises an error when it is read) and stored, for every table reads them.
+    """
+    n = codec.count()
+    complete = F.when(F.size(proba) == n, F.col(proba)).otherwise(F.raise_error(F.lit(f"a row needs {n} probabilities")).cast("array<double>"))
+    df = stored(df.select(F.col(code).alias("code"), checked_proba(complete).alias("proba")), "evaluated")
     cm = confusion(df, codec)
     classes = per_class(cm)
     out = {
@@ -245,3 +261,17 @@ def evaluate(df: DataFrame, codec: DataFrame, benign_code: int, curves: bool = T
         points = sweep(curve)
         out |= {"areas": one_vs_rest(df), "binary": binary(df, benign_code), "sweep": points, "recommended": recommended(points)}
     return out
+
+
+def summary(report: dict[str, DataFrame]) -> DataFrame:
+    """(metric, value) of a report with curves, a row for each single number."""
+
+    def tall(df: DataFrame) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns))
+        return df.select(F.explode(pairs).alias("x")).select("x.*")
+
+    one = [report["averages"], report["log_loss"], report["agreement"], calibration_error(report["calibration"]), report["unknown"], macro_areas(report["areas"])]
+    out = report["top_k"].select(F.concat(F.lit("top_"), F.col("k").cast("string")).alias("metric"), F.col("accuracy").alias("value"))
+    for df in one:
+        out = out.unionByName(tall(df))
+    return out

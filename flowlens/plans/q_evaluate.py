@@ -184,3 +184,26 @@ def _(spark, folder):
 def _(spark, folder):
     both = two_models(spark, folder)
     return ev.leaderboard(both, both.withColumnRenamed("accuracy", "test_accuracy"), "accuracy").na.fill(-1.0, ["test_accuracy"])
+
+
+_AVERAGES = ["accuracy", "balanced_accuracy", *(f"{a}_{c}" for c in ("precision", "recall", "f1") for a in ("macro", "weighted"))]
+
+
+_STORED = CLASSES.replace("pred as (select", "pred as materialized (select").replace("cm as (select", "cm as materialized (select").replace("cls as (select", "cls as materialized (select")
+
+
+@query("evaluation_report", f"""with {_STORED}, {CAL.removeprefix(PRED + ', ')}, {OVR.removeprefix(CELLS + ', ')}, {CURVE},
+av as materialized (select sum(tp) / sum(support) as accuracy, avg(recall) as balanced_accuracy, {", ".join(f"avg({c}) as macro_{c}, sum({c} * support) / sum(support) as weighted_{c}" for c in ("precision", "recall", "f1"))} from cls where support > 0),
+ts as (select code, cast(sum(n) as double) as t, cast(sum(case when code = pred then n else 0 end) as double) as c from cm group by 1), ps as (select pred as code, cast(sum(n) as double) as p from cm group by 1),
+ag as (select sum(t) as s, sum(c) as c, sum(t * p) as tp, sum(t * t) as tt, sum(p * p) as pp from ts join ps on ts.code = ps.code),
+rep as (""" + " union all ".join([
+    *(f"select '{c}' as metric, {c} as value from av" for c in _AVERAGES),
+    *(f"select 'top_{k}', avg(case when place <= {k} then 1.0 else 0.0 end) from pred" for k in (1, 2, 3)),
+    "select 'log_loss', avg(-ln(greatest(own, 1e-15))) from pred",
+    "select 'mcc', (c * s - tp) / sqrt((s * s - pp) * (s * s - tt)) from ag", "select 'kappa', (c / s - tp / (s * s)) / (1 - tp / (s * s)) from ag",
+    "select 'ece', sum(abs(confidence - accuracy) * n) / sum(n) from bins", "select 'unknown', 0", "select 'rows', count(*) from pred",
+    "select 'macro_auc', avg(round_even(auc, 6)) from ar", "select 'macro_ap', avg(round_even(ap, 6)) from ar",
+]) + ") select metric, round_even(cast(value as double), 6) as value from rep")
+def _(spark, folder):
+    """The report over probabilities that do not sum to 1: they count as shares."""
+    return ev.summary(ev.evaluate(beds.pr(spark, folder, shares=False), beds.codec(spark), 0))
