@@ -26,24 +26,25 @@ def background(df: DataFrame, features: Sequence[str], key: Sequence[str], n: in
     return rows, {f: float(got[f] or 0.0) for f in features}
 
 
-def log_odds(p: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+def log_odds(p: Column, edge: float = 1e-12) -> Column:
+    """Log odds of probabilities held `edge` from 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge))
     return F.ln(q / (1 - q))
 
 
-def occlusion(df: DataFrame, features: Sequence[str], key: Sequence[str], score: Scorer, medians: dict[str, float], target: int | None = None) -> DataFrame:
+def occlusion(df: DataFrame, features: Sequence[str], key: Sequence[str], score: Scorer, medians: dict[str, float], target: int | None = None, edge: float = 1e-12) -> DataFrame:
     """(key, feature, contribution, value): the fall in log odds of the target class when the feature
     takes its median. target: a class code; by default each row's predicted class."""
     keep = list(key)
     rows = df.select(*keep, *(F.col(f).cast("double").alias(f) for f in features))
     whole = score(rows).select(*keep, *features, F.col("proba").alias("_p0"))
     want = F.lit(target) if target is not None else predicted("_p0")
-    whole = whole.withColumn("_k", want).withColumn("_base", log_odds(F.element_at("_p0", F.col("_k") + 1)))
+    whole = whole.withColumn("_k", want).withColumn("_base", log_odds(F.element_at("_p0", F.col("_k") + 1), edge))
     variants = whole.withColumn("feature", F.explode(F.array(*(F.lit(f) for f in features))))
     value = F.coalesce(*(F.when(F.col("feature") == f, F.col(f)) for f in features))
     variants = variants.withColumn("value", value).withColumns({f: F.when(F.col("feature") == f, F.lit(medians[f])).otherwise(F.col(f)) for f in features})
     scored = score(variants)
-    return scored.select(*keep, "feature", (F.col("_base") - log_odds(F.element_at("proba", F.col("_k") + 1))).alias("contribution"), "value")
+    return scored.select(*keep, "feature", (F.col("_base") - log_odds(F.element_at("proba", F.col("_k") + 1), edge)).alias("contribution"), "value")
 
 
 def ranked_contributions(contributions: DataFrame, key: Sequence[str], n: int, digits: int = 9) -> DataFrame:
@@ -75,18 +76,34 @@ def signatures(by_class: DataFrame, label: str, n: int, digits: int = 9) -> Data
     return out.withColumn("place", place).where(F.col("place") <= n).select(label, "feature", "ratio", "place")
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, score: Scorer, repeats: int = 3, seed: str = "permute") -> DataFrame:
-    """(feature, raw_drop, importance): the fall in accuracy when a feature's values change places, mean
-    over repeats; importance is 0 where it would be negative. df should be a bounded sample."""
+def measured(scored: DataFrame, by: Sequence[str], code: str, metric: str) -> DataFrame:
+    """(by, value): accuracy, balanced_accuracy, macro_f1 or log_loss of each group of scored rows."""
+    if metric == "log_loss":
+        own = F.least(F.greatest(F.element_at("proba", F.col(code) + 1), F.lit(1e-15)), F.lit(1.0))
+        return scored.groupBy(*by).agg(F.avg(-F.ln(own)).alias("value"))
+    n = scored.groupBy(*by, F.col(code).alias("_y"), predicted().alias("_p")).agg(F.count("*").alias("n"))
+    said = n.groupBy(*by, F.col("_p").alias("_y")).agg(F.sum("n").alias("said"))
+    hit = F.sum(F.when(F.col("_y") == F.col("_p"), F.col("n")).otherwise(0)).alias("tp")
+    classes = n.groupBy(*by, "_y").agg(F.sum("n").alias("n"), hit).join(said, [*by, "_y"], "left").na.fill(0, ["said"])
+    value = {"accuracy": F.sum("tp") / F.sum("n"), "balanced_accuracy": F.avg(F.col("tp") / F.col("n")), "macro_f1": F.avg(2 * F.col("tp") / (F.col("n") + F.col("said")))}[metric]
+    return classes.groupBy(*by).agg(value.alias("value"))
+
+
+def permutation_importance(
+    df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, score: Scorer, repeats: int = 3, seed: str = "permute", metric: str = "accuracy",
+) -> DataFrame:
+    """(feature, raw_drop, importance): how much worse a metric of measured() gets when a feature's values
+    change places, mean over repeats; importance is 0 where it would be negative. df should be a
+    bounded sample: its rows are numbered in one window."""
     rows = df.select(*key, code, *(F.col(f).cast("double").alias(f) for f in features)).withColumn("_i", F.row_number().over(Window.orderBy(*key)))
-    base = score(rows).agg(F.avg((predicted() == F.col(code)).cast("double")).alias("b"))
+    base = measured(score(rows).withColumn("_one", F.lit(1)), ["_one"], code, metric).select(F.col("value").alias("b"))
     cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("_v")) for f in features)))
     grid = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select(*key, "repeat", cells.alias("_c")).select(*key, "repeat", "_c.*")
     mixed = F.md5(F.concat_ws("|", F.lit(seed), F.col("repeat").cast("string"), "feature", *(F.col(c).cast("string") for c in key)))
     moved = grid.withColumn("_i", F.row_number().over(Window.partitionBy("repeat", "feature").orderBy(mixed, *key))).select("repeat", "feature", "_i", "_v")
     variants = rows.join(moved, "_i").withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
-    hits = score(variants).groupBy("feature").agg(F.avg((predicted() == F.col(code)).cast("double")).alias("a"))
-    drop = F.col("b") - F.col("a")
+    hits = measured(score(variants), ["feature", "repeat"], code, metric).groupBy("feature").agg(F.avg("value").alias("a"))
+    drop = F.col("a") - F.col("b") if metric == "log_loss" else F.col("b") - F.col("a")
     return hits.crossJoin(F.broadcast(base)).select("feature", drop.alias("raw_drop"), F.greatest(drop, F.lit(0.0)).alias("importance"))
 
 

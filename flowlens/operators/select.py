@@ -165,3 +165,9 @@ def top_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return shared.select(F.lit(k).alias("k"), "shared", (F.col("shared") / F.lit(float(k))).alias("agreement"))
 
 
+def agreement_at(a: DataFrame, b: DataFrame, ks: Sequence[int] = (5, 10, 15)) -> DataFrame:
+    """(k, shared, agreement) of the first k features of two rankings, for each k."""
+    both = a.select("feature", F.col("position").alias("_a")).join(b.select("feature", F.col("position").alias("_b")), "feature")
+    sums = both.agg(*(F.count_if((F.col("_a") <= k) & (F.col("_b") <= k)).alias(f"k{k}") for k in ks))
+    rows = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("shared"), (F.col(f"k{k}") / F.lit(float(k))).alias("agreement")) for k in ks))
+    return sums.select(F.explode(rows).alias("x")).select("x.*")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions.portable import rounded
-from flowlens.operators import explain, models
+from flowlens.operators import explain, models, select
 from flowlens.operators.normalise import encode
 from flowlens.plans import beds
 from flowlens.plans.beds import FEATURES, KEY, KEYS, LI
 from flowlens.plans.catalog import query
+from flowlens.plans.q_features import ANOVA, CELLS
 
 N = 400
 
@@ -23,9 +24,9 @@ def classifier(spark, folder):
     return models.fit_centroids(encode(beds.li(spark, folder), "label", beds.codec(spark)), FEATURES, "code", 4)
 
 
-SAMPLE = f"""{LI}, xs as (select *, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as code, row_number() over (order by {KEYS}) as i from (select * from li order by {beds.md5('x')}, {KEYS} limit {N})),
-mid as (select {', '.join(f'quantile_cont({c}, 0.5) as m_{c}' for c in FEATURES)} from xs),
-cen as (select list_position(['base', 'deep', 'big', 'rare'], label) - 1 as k, {', '.join(f'avg({c}) as c_{c}' for c in FEATURES)} from li group by 1),
+SAMPLE = f"""{LI}, xs as materialized (select *, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as code, row_number() over (order by {KEYS}) as i from (select * from li order by {beds.md5('x')}, {KEYS} limit {N})),
+mid as materialized (select {', '.join(f'quantile_cont({c}, 0.5) as m_{c}' for c in FEATURES)} from xs),
+cen as materialized (select list_position(['base', 'deep', 'big', 'rare'], label) - 1 as k, {', '.join(f'avg({c}) as c_{c}' for c in FEATURES)} from li group by 1),
 fs as (select unnest(['', {', '.join(f"'{c}'" for c in FEATURES)}]) as feature)"""
 
 
@@ -33,11 +34,15 @@ def scored(rows: str, by: str) -> str:
     """Probabilities of `rows` (by, features) as (by, k, p)."""
     d = " + ".join(f"({c} - c_{c}) * ({c} - c_{c})" for c in FEATURES)
     return f"""dist as (select {by}, k, sqrt({d}) as d from {rows}, cen), wts as (select *, exp(min(d) over (partition by {by}) - d) as w from dist),
-prob as (select {by}, k, w / sum(w) over (partition by {by}) as p from wts)"""
+prob as materialized (select {by}, k, w / sum(w) over (partition by {by}) as p from wts)"""
+
+
+#: Probabilities are held this far from 0 and 1, so that log odds agree in all engines.
+EDGE = 1e-6
 
 
 def _odds(p: str) -> str:
-    q = f"least(greatest({p}, 1e-12), 1 - 1e-12)"
+    q = f"least(greatest({p}, {EDGE!r}), 1 - {EDGE!r})"
     return f"ln({q} / (1 - {q}))"
 
 
@@ -50,67 +55,77 @@ occ as (select w.i, b.feature, w.k, {_odds('w.p')} - {_odds('b.p')} as c from wh
 WHOLE = SAMPLE.replace(f"from (select * from li order by {beds.md5('x')}, {KEYS} limit {N})", "from li").replace("from xs)", f"from (select * from li order by {beds.md5('x')}, {KEYS} limit {N}))")
 
 
-def every(name: str, sql: str, twin: bool = True):
-    """Registers a query of (spark, folder, whole) under its name, for the sample, and with _all for every row; medians are the sample's in both.
-
-    twin=False: no SQL for every row, for contributions near the ends of the log odds differ in the last digits.
-    """
+def every(name: str, sql: str):
+    """Registers a query of (spark, folder) that explains every row, under its name and with _all; medians are those of the sample."""
 
     def add(f):
-        query(name, sql)(f)
-        query(f"{name}_all", sql.replace(SAMPLE, WHOLE) if twin else None)(lambda spark, folder: f(spark, folder, True))
+        for n in (name, f"{name}_all"):
+            query(n, sql.replace(SAMPLE, WHOLE))(f)
         return f
 
     return add
 
 
-def contributions(spark, folder, whole=False, target=None):
+def contributions(spark, folder, target=None):
     """Contributions by key and label."""
-    rows = encode(beds.li(spark, folder), "label", beds.codec(spark)) if whole else sample(spark, folder)
+    rows = encode(beds.li(spark, folder), "label", beds.codec(spark))
     _, medians = explain.background(beds.li(spark, folder), FEATURES, KEY, N, "x")
-    return explain.occlusion(rows, FEATURES, [*KEY, "label"], classifier(spark, folder).transform, medians, target)
+    return explain.occlusion(rows, FEATURES, [*KEY, "label"], classifier(spark, folder).transform, medians, target, EDGE)
 
 
-@every("occlusion", f"with {OCC} select {KEYS}, feature, round_even(c, 4) as contribution from occ join xs on occ.i = xs.i", twin=False)
-def _(spark, folder, whole=False):
-    return contributions(spark, folder, whole).select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
+@every("occlusion", f"with {OCC} select {KEYS}, feature, round_even(c, 4) + 0.0 as contribution from occ join xs on occ.i = xs.i")
+def _(spark, folder):
+    return contributions(spark, folder).select(*KEY, "feature", (rounded(F.col("contribution"), 4) + 0.0).alias("contribution"))
 
 
-@every("occlusion_of_class", f"with {OCC}, one as (select a.i, b.feature, {_odds('a.p')} - {_odds('b.p')} as c from prob a join prob b on a.i = b.i and a.k = b.k where a.k = 2 and a.feature = '' and b.feature != '') select {KEYS}, feature, round_even(c, 4) as contribution from one join xs on one.i = xs.i", twin=False)
-def _(spark, folder, whole=False):
-    out = contributions(spark, folder, whole, target=2)
-    return out.select(*KEY, "feature", rounded(F.col("contribution"), 4).alias("contribution"))
+@every("occlusion_of_class", f"with {OCC}, one as (select a.i, b.feature, {_odds('a.p')} - {_odds('b.p')} as c from prob a join prob b on a.i = b.i and a.k = b.k where a.k = 2 and a.feature = '' and b.feature != '') select {KEYS}, feature, round_even(c, 4) + 0.0 as contribution from one join xs on one.i = xs.i")
+def _(spark, folder):
+    out = contributions(spark, folder, 2)
+    return out.select(*KEY, "feature", (rounded(F.col("contribution"), 4) + 0.0).alias("contribution"))
 
 
 @every("top_contributions", f"""with {OCC}, r as (select *, row_number() over (partition by i order by round(abs(c), 9) desc, feature) as place from occ)
 select {KEYS}, feature, cast(place as integer) as place, case when c > 0 then 'supports' when c < 0 then 'opposes' else 'neutral' end as direction from r join xs on r.i = xs.i where place <= 1""")
-def _(spark, folder, whole=False):
-    return explain.ranked_contributions(contributions(spark, folder, whole), KEY, 1).select(*KEY, "feature", "place", "direction")
+def _(spark, folder):
+    return explain.ranked_contributions(contributions(spark, folder), KEY, 1).select(*KEY, "feature", "place", "direction")
 
 
 GLOBAL = f"{OCC}, imp as (select label, feature, avg(abs(c)) as importance from occ join xs on occ.i = xs.i group by 1, 2)"
 
 
-def by_class(spark, folder, whole):
-    return explain.global_importance(contributions(spark, folder, whole), "label")
+def by_class(spark, folder):
+    return explain.global_importance(contributions(spark, folder), "label")
 
 
 @every("class_importance", f"with {GLOBAL} select label, feature, round_even(importance, 5) as importance from imp")
-def _(spark, folder, whole=False):
-    return by_class(spark, folder, whole).withColumn("importance", rounded(F.col("importance"), 5))
+def _(spark, folder):
+    return by_class(spark, folder).withColumn("importance", rounded(F.col("importance"), 5))
 
 
 @every("global_importance", f"""with {GLOBAL}, t as (select feature, sum(importance) as importance from imp group by 1), s as (select *, importance / sum(importance) over () as share, row_number() over (order by round(importance, 9) desc, feature) as position from t)
 select feature, round_even(importance, 5) as importance, round_even(share, 5) as share, cast(position as integer) as position, round_even(sum(share) over (order by position), 5) as cumulative from s""")
-def _(spark, folder, whole=False):
-    out = explain.importance_shares(by_class(spark, folder, whole))
+def _(spark, folder):
+    out = explain.importance_shares(by_class(spark, folder))
     return out.select("feature", "position", *(rounded(F.col(c), 5).alias(c) for c in ("importance", "share", "cumulative")))
 
 
 @every("signature_features", f"""with {GLOBAL}, r as (select label, feature, coalesce(importance / nullif(avg(importance) over (partition by feature), 0), 0) as ratio from imp),
   p as (select *, row_number() over (partition by label order by round(ratio, 9) desc, feature) as place from r) select label, feature, round_even(ratio, 5) as ratio, cast(place as integer) as place from p where place <= 2""")
-def _(spark, folder, whole=False):
-    return explain.signatures(by_class(spark, folder, whole), "label", 2).withColumn("ratio", rounded(F.col("ratio"), 5))
+def _(spark, folder):
+    return explain.signatures(by_class(spark, folder), "label", 2).withColumn("ratio", rounded(F.col("ratio"), 5))
+
+
+_TOP = "row_number() over (order by round(score, 9) desc, feature)"
+
+
+@query("explanation_agreement", f"""with {GLOBAL}, {CELLS}, {ANOVA}, a as (select feature, row_number() over (order by round(importance, 9) desc, feature) as p from (select feature, sum(importance) as importance from imp group by 1)),
+  b as (select feature, {_TOP} as p from anova), k as (select unnest([1, 2, 3]) as k)
+select cast(k as integer) as k, count(b.p) filter (a.p <= k and b.p <= k) as shared, count(b.p) filter (a.p <= k and b.p <= k) / k as agreement from k, a join b on a.feature = b.feature group by k""".replace(SAMPLE, WHOLE))
+def _(spark, folder):
+    """The first features of the explanation against those of the ranking that selected them."""
+    explained = explain.importance_shares(by_class(spark, folder)).select("feature", "position")
+    scores = select.anova(beds.li(spark, folder), FEATURES, "label").select(F.lit("m").alias("method"), "feature", F.round("score", 9).alias("score"))
+    return select.agreement_at(explained, select.fuse(scores, "m"), (1, 2, 3))
 
 
 @query("background_medians", f"with {SAMPLE} " + " union all ".join(f"select '{c}' as feature, round_even(m_{c}, 6) as median from mid" for c in FEATURES))
@@ -136,6 +151,14 @@ def _(spark, folder):
     return out.select("feature", rounded(F.col("raw_drop")).alias("raw_drop"), rounded(F.col("importance")).alias("importance"))
 
 
+@query("permutation_importance_f1", f"""with {PERM}, a as (select rep, feature, code, count(*) as n, count(*) filter (k = code) as tp from said join xs on said.i = xs.i group by 1, 2, 3),
+  p as (select rep, feature, k as code, count(*) as said from said group by 1, 2, 3), f as (select a.rep, a.feature, avg(2 * tp / (n + coalesce(said, 0))) as f1 from a left join p on a.rep = p.rep and a.feature = p.feature and a.code = p.code group by 1, 2)
+select feature, round_even((select f1 from f where feature = '') - avg(f1), 6) as raw_drop, round_even(greatest((select f1 from f where feature = '') - avg(f1), 0), 6) as importance from f where feature != '' group by 1""")
+def _(spark, folder):
+    out = explain.permutation_importance(sample(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform, 2, metric="macro_f1")
+    return out.select("feature", rounded(F.col("raw_drop")).alias("raw_drop"), rounded(F.col("importance")).alias("importance"))
+
+
 @query("recall_drop", f"""with {PERM}, a as (select feature, code, avg(case when k = code then 1.0 else 0.0 end) as acc from said join xs on said.i = xs.i where rep <= 1 group by 1, 2)
 select a.feature, cast(a.code as integer) as code, round_even(b.acc - a.acc, 6) as "drop" from a join a b on a.code = b.code and b.feature = '' where a.feature != ''""")
 def _(spark, folder):
@@ -165,7 +188,7 @@ def _(spark, folder):
 
     stats = prep.fit(beds.li(spark, folder), FEATURES)
     standard = F.coalesce(*(F.when(F.col("feature") == r.feature, (prep.clip(F.col("value"), r.lower, r.upper) - r.centre) / r.spread) for r in stats.rows))
-    top = explain.ranked_contributions(contributions(spark, folder, True), KEY, 2).withColumn("value", standard)
-    return narrate.sentences(verdicts(spark, folder), top, dims.gloss_table(spark), KEY)
+    top = explain.ranked_contributions(contributions(spark, folder), KEY, 2).withColumn("value", standard)
+    return narrate.sentences(verdicts(spark, folder), top, dims.gloss_table(spark), KEY, beds.profiles(spark))
 
 

@@ -11,6 +11,7 @@ from flowlens.operators.sample import class_counts
 from flowlens.plans import beds
 from flowlens.plans.beds import FEATURES, KEY, LI
 from flowlens.plans.catalog import query
+from flowlens.plans.q_data import POISSON
 
 CELLS = "cells as (" + " union all ".join(f"select '{c}' as feature, label, cast({c} as double) as value from li" for c in FEATURES) + ")"
 ANOVA = """g as (select feature, label, count(*) as n, avg(value) as m, var_pop(value) as v from cells group by 1, 2),
@@ -74,26 +75,43 @@ def _(spark, folder):
     return select.select_features(beds.li(spark, folder), FEATURES, "label", KEY, 2).withColumn("score", rounded(F.col("score")))
 
 
-@query("prune_correlated")
+_FIVE = [*FEATURES, "double_tax"]
+_R = ", ".join(f"'{a}|{b}': abs(corr({a}, {b})), '{b}|{a}': abs(corr({a}, {b}))" for i, a in enumerate(_FIVE) for b in _FIVE[i + 1 :])
+
+
+@query("prune_correlated", f"""with recursive {LI.replace("li as (", "one as (", 1)}, li as (select *, l_tax * 2 as double_tax from one),
+{CELLS[:-1]} union all select 'double_tax', label, double_tax from li), {ANOVA}, r as (select map {{{_R}}} as r from li),
+o as (select a.feature, row_number() over (order by round(score, 9) desc, list_position({_FIVE!r}, a.feature)) as at from anova a),
+s as (select cast(0 as bigint) as at, cast([] as varchar[]) as kept, '' as feature, cast(null as varchar) as other
+  union all select o.at, case when n.other is null then list_append(s.kept, o.feature) else s.kept end, o.feature, n.other
+  from s join o on o.at = s.at + 1, r, lateral (select list_filter(s.kept, lambda k: r.r[o.feature || '|' || k] >= 0.95)[1] as other) n)
+select s.feature, other is null as kept, coalesce(printf('correlates with %s (%.3f)', other, r.r[s.feature || '|' || other]), '') as reason from s, r where s.at > 0""")
 def _(spark, folder):
     df = beds.li(spark, folder).withColumn("double_tax", F.col("l_tax") * 2)
-    names = [*FEATURES, "double_tax"]
-    r = {(x["a"], x["b"]): x["r"] for x in select.correlations(df, names).collect()}
-    priority = {x["feature"]: x["score"] for x in select.anova(df, names, "label").collect()}
-    kept, why = select.prune(r, names, priority)
-    return local_table(spark, [(c, c in kept, why.get(c, "")) for c in names], "feature string, kept boolean, reason string")
+    r = {(x["a"], x["b"]): x["r"] for x in select.correlations(df, _FIVE).collect()}
+    priority = {x["feature"]: round(x["score"], 9) for x in select.anova(df, _FIVE, "label").collect()}
+    kept, why = select.prune(r, _FIVE, priority)
+    return local_table(spark, [(c, c in kept, why.get(c, "")) for c in _FIVE], "feature string, kept boolean, reason string")
+
 
+STABLE = f"""tm as (select *, {POISSON} as t from (select *, cast('0x' || substr(md5(concat_ws('|', 'stab', cast(rep as varchar), {beds._KEY})), 1, 8) as bigint) / 4294967296.0 as u from li, (select unnest([0, 1, 2, 3, 4]) as rep))),
+wc as ({" union all ".join(f"select rep, '{c}' as feature, label, cast({c} as double) as value, t from tm" for c in FEATURES)}),
+wg as (select rep, feature, label, sum(t) as n, sum(t * value) / sum(t) as m, sum(t * value * value) / sum(t) - (sum(t * value) / sum(t)) ** 2 as v from wc where t > 0 group by 1, 2, 3),
+wa as (select *, sum(n * m) over (partition by rep, feature) / sum(n) over (partition by rep, feature) as a from wg),
+wf as (select rep, feature, (sum(n * (m - a) * (m - a)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) as score from wa group by 1, 2),
+stable as (select feature, count(*) filter (place <= 2) / 5.0 as frequency from (select *, row_number() over (partition by rep order by score desc, feature) as place from wf) group by 1)"""
 
-@query("rank_stability")
+
+@query("rank_stability", f"with {LI}, {STABLE} select feature, frequency, frequency < 0.6 as fragile from stable")
 def _(spark, folder):
     return select.stability(beds.li(spark, folder), FEATURES, "label", KEY, 2)
 
 
-@query("ranking_with_stability", f"with {RANKING} select feature, cast(position as integer) as position, case when feature in ('l_discount', 'l_quantity') then cast(1 as double) else cast(-1 as double) end as frequency from ranking")
+@query("ranking_with_stability", f"with {RANKING}, {STABLE} select r.feature, cast(position as integer) as position, frequency from ranking r left join stable t on r.feature = t.feature")
 def _(spark, folder):
-    stable = local_table(spark, [("l_discount", 1.0), ("l_quantity", 1.0)], "feature string, frequency double")
-    out = select.with_stability(select.rank_features(beds.li(spark, folder), FEATURES, "label"), stable)
-    return out.select("feature", "position", F.coalesce("frequency", F.lit(-1.0)).alias("frequency"))
+    df = beds.li(spark, folder)
+    out = select.with_stability(select.rank_features(df, FEATURES, "label"), select.stability(df, FEATURES, "label", KEY, 2))
+    return out.select("feature", "position", "frequency")
 
 
 @query("ranking_overlap", f"""with {LI}, {CELLS}, {ANOVA}, {CHI}, a as (select feature, row_number() over (order by round(score, 9) desc, feature) as p from anova), b as (select feature, row_number() over (order by round(score, 9) desc, feature) as p from chi)
@@ -137,31 +155,30 @@ def _(spark, folder):
     return balance.before_after(df, balance.oversample(df, "label", KEY, wanted, "over"), "label")
 
 
-_EM = "emv as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where label < 5 or vec_id % 5 = 0)"
+_EM = "emv as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)"
 _DIST = "round_even(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6)"
 KNN = f"""{_EM}, pairs as (select a.vec_id, a.label, b.vec_id as neighbour, {_DIST} as distance from emv a join emv b on a.label = b.label and a.vec_id != b.vec_id),
 knn as (select *, row_number() over (partition by vec_id order by distance, neighbour) as place from pairs)"""
 
 
-#: For queries named _all: every row; for smote_all, labels 0 to 4 as one class, which makes the classes unequal.
-_EVERY = _EM.replace(" where label < 5 or vec_id % 5 = 0", "")
-_MERGED = _EVERY.replace("vec_id, label,", "vec_id, case when label < 5 then 0 else label end as label,")
+#: Labels 0 to 4 as one class, which makes the classes unequal.
+_MERGED = _EM.replace("vec_id, label,", "vec_id, case when label < 5 then 0 else label end as label,")
 
 
-def every(name: str, sql: str, rows: str = _EVERY):
-    """Registers a query of (spark, folder, whole) under its name, for the rows of _EM, and with _all for every row."""
+def every(name: str, sql: str):
+    """Registers a query over every row under its name and with _all."""
 
     def add(f):
-        query(name, sql)(f)
-        query(f"{name}_all", sql.replace(_EM, rows))(lambda spark, folder: f(spark, folder, True))
+        for n in (name, f"{name}_all"):
+            query(n, sql)(f)
         return f
 
     return add
 
 
 @every("class_neighbours", f"with {KNN} select vec_id, neighbour, distance, cast(place as integer) as place from knn where place <= 5")
-def _(spark, folder, whole=False):
-    return balance.neighbours(beds.em_vectors(spark, folder, not whole), "vec_id", "label", "v", 5)
+def _(spark, folder):
+    return balance.neighbours(beds.em_vectors(spark, folder), "vec_id", "label", "v", 5)
 
 
 _D = lambda what: f"cast('0x' || substr(md5(concat_ws('|', 'smote-{what}', cast(label as varchar), cast(i as varchar))), 1, 8) as bigint)"
@@ -173,11 +190,9 @@ _D = lambda what: f"cast('0x' || substr(md5(concat_ws('|', 'smote-{what}', cast(
   o as (select *, row_number() over (partition by label order by vec_id) - 1 as pick from emv),
   j as (select s.label, s.i, s.u, o.v, o.vec_id, {_D('near').replace('label', 's.label').replace('(i ', '(s.i ')} % kk + 1 as p from s join o on s.label = o.label and s.pick = o.pick)
 select j.label, cast(j.i as integer) as i, round_even(list_sum(list_transform(list_zip(j.v, w.v), lambda z: z[1] + j.u * (z[2] - z[1]))), 5) as total
-from j join knn on j.vec_id = knn.vec_id and knn.place = j.p join emv w on w.vec_id = knn.neighbour""", _MERGED)
-def _(spark, folder, whole=False):
-    df = beds.em_vectors(spark, folder, not whole)
-    if whole:
-        df = df.withColumn("label", F.when(F.col("label") < 5, F.lit(0)).otherwise(F.col("label")).cast(df.schema["label"].dataType))
+from j join knn on j.vec_id = knn.vec_id and knn.place = j.p join emv w on w.vec_id = knn.neighbour""".replace(_EM, _MERGED))
+def _(spark, folder):
+    df = beds.em_merged(spark, folder)
     n = {r[0]: r[1] for r in df.groupBy("label").count().collect()}
     want = -(-max(n.values()) // 2)
     out = balance.smote(df, "vec_id", "label", "v", {c: max(m, want) for c, m in n.items()})
@@ -187,8 +202,22 @@ def _(spark, folder, whole=False):
 @every("tomek_links", f"""with {_EM}, d as (select a.vec_id, a.label, b.vec_id as other, b.label as other_label, {_DIST} as distance from emv a join emv b on a.vec_id != b.vec_id),
   n as (select * from (select *, row_number() over (partition by vec_id order by distance, other) as r from d) where r = 1)
 select a.vec_id, a.other from n a join n b on a.other = b.vec_id and b.other = a.vec_id where a.label != a.other_label""")
-def _(spark, folder, whole=False):
-    return balance.tomek_links(beds.em_vectors(spark, folder, not whole), "vec_id", "label", "v")
+def _(spark, folder):
+    return balance.tomek_links(beds.em_vectors(spark, folder), "vec_id", "label", "v")
+
+
+@query("resample_counts", f"""with {_EM.replace(_EM, _MERGED)}, n as (select label, count(*) as n, cast(ceil(0.5 * max(count(*)) over ()) as bigint) as want from emv group by 1)
+select strategy, cast(label as integer) as label, case when strategy in ('oversample', 'smote') then greatest(n, want) else n end as n, case when strategy in ('oversample', 'smote') then greatest(0, want - n) else 0 end as synthetic
+from n, (select unnest(['none', 'class_weight', 'oversample', 'smote']) as strategy)""")
+def _(spark, folder):
+    df = beds.em_merged(spark, folder)
+    counts = {r[0]: r[1] for r in df.groupBy("label").count().collect()}
+    wanted = {c: max(n, -(-max(counts.values()) // 2)) for c, n in counts.items()}
+    tables = [balance.resample(df, "vec_id", "label", "v", s, wanted).select(F.lit(s).alias("strategy"), "label", "synthetic") for s in balance.STRATEGIES[:4]]
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return whole.groupBy("strategy", "label").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("synthetic"))
 
 
 @query("feature_reference", f"with {RANKING}, m as (" + " union all ".join(f"select '{c}' as feature, quantile_cont({c}, 0.5) as median from li" for c in FEATURES) + """)
