@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import class_rank, rounded
 from flowlens.operators.sample import class_counts
+from flowlens.sources.stage import stored
 
 #: Rows of a block, about; pairs of blocks are compared.
 BLOCK = 8192
@@ -44,7 +45,7 @@ def oversample(df: DataFrame, label: str, key: Sequence[str], wanted: dict[str,
     if not more:
         return df.withColumn("copy", F.lit(0))
     plan = [(c, t // counts[c], t % counts[c]) for c, t in more.items()]
-    table = local_table(df.sparkSession, plan, "_class string, _times long, _rest long")
+    table = local_table(df.sparkSession, plan, f"_class {dict(df.dtypes)[label]}, _times long, _rest long")
     small = class_rank(df.where(F.col(label).isin(*more)), label, key, seed, "_rank").join(F.broadcast(table), F.col(label) == F.col("_class"))
     times = F.col("_times") + F.when(F.col("_rank") <= F.col("_rest"), 1).otherwise(0)
     grown = small.withColumn("copy", F.explode(F.sequence(F.lit(0), (times - 1).cast("int")))).select(*df.columns, "copy")
@@ -171,6 +172,30 @@ def drop_tomek(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     return df.join(tomek_links(df, key, label, vector).select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
+STRATEGIES = ("none", "class_weight", "oversample", "smote", "smote_tomek")
+
+
+def resample(df: DataFrame, key: str, label: str, vector: str, strategy: str, wanted: dict, k: int = 5, seed: str = "smote") -> DataFrame:
+    """(key, label, vector, synthetic) of training rows under a strategy; keys become strings.
+
+    none and class_weight leave the rows (weights go to the model, see prep.class_weights); oversample
+    repeats rows, smote adds new ones between neighbours, up to `wanted`; smote_tomek then drops the
+    rows of Tomek links. Repeated and new rows have a key of their own.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"the strategy is one of {STRATEGIES}")
+    rows = df.select(F.col(key).cast("string").alias(key), label, F.col(vector).cast("array<double>").alias(vector))
+    if strategy in ("none", "class_weight"):
+        return rows.withColumn("synthetic", F.lit(False))
+    if strategy == "oversample":
+        grown = oversample(rows, label, [key], wanted, seed)
+        again = F.when(F.col("copy") > 0, F.concat_ws("#", key, "copy")).otherwise(F.col(key))
+        return grown.select(again.alias(key), label, vector, (F.col("copy") > 0).alias("synthetic"))
+    new = smote(df, key, label, vector, wanted, k, seed).select(F.concat_ws("+", F.col(label).cast("string"), F.col("i").cast("string")).alias(key), label, vector, F.lit(True).alias("synthetic"))
+    out = rows.withColumn("synthetic", F.lit(False)).unionByName(new)
+    return drop_tomek(stored(out, "smote"), key, label, vector) if strategy == "smote_tomek" else out
+
+
 def before_after(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
     """(class, before, after, change, factor, imbalance): imbalance is the largest class over this one, after."""
     n = lambda d, name: d.groupBy(F.col(label).alias("class")).agg(F.count("*").alias(name))

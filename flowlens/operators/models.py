@@ -3,6 +3,9 @@ adds proba, array<double> in class-code order, 0 for classes absent when it was
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,12 +14,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml import classification as ml
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
-from flowlens.functions.portable import hash01
+from flowlens.functions.portable import key_hash
 
 
 def expanded(proba: Column, codes: Sequence[int], k: int) -> Column:
@@ -34,6 +37,7 @@ class Model:
     run: Callable[[DataFrame], DataFrame]
     importance: list[float] | None = None
     stages: PipelineModel | None = None
+    present: list[int] | None = None  # of a boosted model: the classes with a stage, in order
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.run(df)
@@ -102,45 +106,53 @@ def fit(kind: str, df: DataFrame, features: Sequence[str], code: str, k: int, we
         rows = rows.where(~F.col(held))
     fitted = _estimator(kind, dict(params), weight, k, len(features)).fit(assembler.transform(rows))
     stages = PipelineModel([assembler, fitted])
-
-    def run(table: DataFrame) -> DataFrame:
-        out = stages.transform(table)
-        return out.withColumn("proba", expanded(vector_to_array("probability"), range(fitted.numClasses), k)).drop("_x", "rawPrediction", "probability", "prediction")
-
     importance = None
     if hasattr(fitted, "featureImportances"):
         importance = fitted.featureImportances.toArray().tolist()
     elif hasattr(fitted, "coefficientMatrix"):
         importance = abs(fitted.coefficientMatrix.toArray()).mean(axis=0).tolist()
-    return Model(features, k, run, importance, stages)
+    return Model(features, k, _one(stages, k), importance, stages)
 
 
 def _boosted(rows: DataFrame, assembler: VectorAssembler, features: list[str], k: int, weight: str | None, held: str | None, params: dict) -> Model:
     """One binary boosted model per class; their probabilities, normalised."""
     there = {int(r[0]) for r in rows.select("_y").distinct().collect()}
     rows = rows.persist()
-    models = {}
+    boosters = []
     for c in sorted(there):
         extra = {"weightCol": weight} if weight else {}
         extra |= {"validationIndicatorCol": held} if held else {}
         booster = ml.GBTClassifier(featuresCol="_x", labelCol="_b", predictionCol=f"_o{c}", seed=7, **{"maxIter": 20, "maxDepth": 4, **params}, **extra)
         booster = booster.setRawPredictionCol(f"_r{c}").setProbabilityCol(f"_p{c}")
-        models[c] = booster.fit(rows.withColumn("_b", (F.col("_y") == c).cast("double")))
+        boosters.append(booster.fit(rows.withColumn("_b", (F.col("_y") == c).cast("double"))))
     rows.unpersist()
+    weights = [m.featureImportances.toArray() for m in boosters]
+    stages, present = PipelineModel([assembler, *boosters]), sorted(there)
+    return Model(features, k, _several(stages, present, k), sum(weights).tolist() if weights else None, stages, present)
+
+
+def _one(stages: PipelineModel, k: int) -> Callable[[DataFrame], DataFrame]:
+    """Probabilities of a single classifier over all k classes."""
 
     def run(table: DataFrame) -> DataFrame:
-        out = assembler.transform(table)
-        for m in models.values():
-            out = m.transform(out)
-        one = [F.element_at(vector_to_array(f"_p{c}"), 2) if c in models else F.lit(0.0) for c in range(k)]
-        out = out.withColumn("proba", F.array(*one))
+        n = stages.stages[-1].numClasses
+        return stages.transform(table).withColumn("proba", expanded(vector_to_array("probability"), range(n), k)).drop("_x", "rawPrediction", "probability", "prediction")
+
+    return run
+
+
+def _several(stages: PipelineModel, present: list[int], k: int) -> Callable[[DataFrame], DataFrame]:
+    """Probabilities of binary classifiers of the classes `present`, normalised."""
+
+    def run(table: DataFrame) -> DataFrame:
+        one = [F.element_at(vector_to_array(f"_p{c}"), 2) if c in present else F.lit(0.0) for c in range(k)]
+        out = stages.transform(table).withColumn("proba", F.array(*one))
         total = F.aggregate("proba", F.lit(0.0), lambda a, p: a + p)
         even = F.array(*(F.lit(1.0 / k) for _ in range(k)))
         out = out.withColumn("_t", total).withColumn("proba", F.when(F.col("_t") > 0, F.transform("proba", lambda p: p / F.col("_t"))).otherwise(even))
-        return out.drop("_x", "_t", *(f"{x}{c}" for c in models for x in ("_r", "_p", "_o")))
+        return out.drop("_x", "_t", *(f"{x}{c}" for c in present for x in ("_r", "_p", "_o")))
 
-    weights = [m.featureImportances.toArray() for m in models.values()]
-    return Model(features, k, run, sum(weights).tolist() if weights else None)
+    return run
 
 
 def foreign(features: Sequence[str], k: int, predict: Callable[[pd.DataFrame], list]) -> Model:
@@ -157,28 +169,75 @@ def foreign(features: Sequence[str], k: int, predict: Callable[[pd.DataFrame], l
     return Model(features, k, run)
 
 
-def save(model: Model, path: str, df: DataFrame, key: Sequence[str], drift: float = 1e-5, rows: int = 64) -> None:
-    """Writes to a staging path, reloads, compares the probabilities of a hash sample, then writes in place."""
-    if model.stages is None:
-        raise ValueError("this model has no Spark ML stages to write")
-    staging = f"{path}.staging"
-    model.stages.write().overwrite().save(staging)
-    sample = df.where(hash01("save", key) < 1.0).limit(rows)
-    again = PipelineModel.load(staging)
-    a = model.stages.transform(sample).select(*key, vector_to_array("probability").alias("a"))
-    b = again.transform(sample).select(*key, vector_to_array("probability").alias("b"))
-    gap = a.join(b, list(key)).agg(F.max(F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))).alias("g")).first()["g"]
-    if gap is None or gap > drift:
+def _digest(spark: SparkSession, folder: str) -> str:
+    """A digest of all files below a folder, whatever the folder's name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.regexp_extract("path", r"/stages/(.*)$", 1)
+    rows = files.select(F.concat_ws(" ", name, F.sha2("content", 256)).alias("line")).collect()  # a model has few files
+    return hashlib.sha256("\n".join(sorted(r["line"] for r in rows)).encode()).hexdigest()
+
+
+def _moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder in its file system, in the place of an older one."""
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{target}.old-{uuid.uuid4().hex}")
+    had = files.exists(new)
+    if had and not files.rename(new, aside):
+        raise OSError(f"{target} can't be moved")
+    if not files.rename(old, new):
+        if had:
+            files.rename(aside, new)
+        raise OSError(f"{source} can't be moved")
+    if had:
+        files.delete(aside, True)
+
+
+def save(model: Model | Centroids, path: str, df: DataFrame, key: Sequence[str], classes: Sequence[str] = (), metrics: dict[str, float] | None = None, drift: float = 1e-5, rows: int = 64) -> dict:
+    """Writes an artifact and returns its manifest: features in order, classes, metrics, provenance, digest.
+
+    It is written beside `path`, loaded again, compared on the first `rows` rows of df by hash, and
+    only then moved into place; an artifact that differs by more than `drift` leaves `path` as it was.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    manifest = {"format": 1, "features": model.features, "k": model.k, "classes": list(classes), "metrics": metrics or {}, "spark": spark.version, "session": spark.sparkContext.applicationId}
+    if isinstance(model, Centroids):
+        means = {str(c): m for c, m in sorted(model.means.items())}
+        manifest |= {"kind": "centroids", "means": means, "digest": hashlib.sha256(json.dumps(means).encode()).hexdigest()}
+    elif model.stages is None:
+        raise ValueError("a foreign model has nothing to write")
+    else:
+        model.stages.write().save(f"{staging}/stages")
+        manifest |= {"kind": "boosted" if model.present is not None else "single", "present": model.present, "digest": _digest(spark, f"{staging}/stages")}
+    local_table(spark, [(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
+    sample = df.orderBy(key_hash("save", key), *key).limit(rows)
+    a, b = (m.transform(sample).select(*key, F.col("proba").alias(name)) for m, name in ((model, "_a"), (load(spark, staging), "_b")))
+    gap = a.join(b, list(key)).agg(F.max(F.array_max(F.zip_with("_a", "_b", lambda x, y: F.abs(x - y)))).alias("g")).first()["g"]
+    if gap is None or not gap <= drift:
         raise ValueError(f"the reloaded model differs by {gap}")
-    again.write().overwrite().save(path)
-
-
-def load(path: str, features: Sequence[str], k: int) -> Model:
-    stages = PipelineModel.load(path)
-
-    def run(table: DataFrame) -> DataFrame:
-        out = stages.transform(table)
-        n = stages.stages[-1].numClasses
-        return out.withColumn("proba", expanded(vector_to_array("probability"), range(n), k)).drop("_x", "rawPrediction", "probability", "prediction")
-
-    return Model(list(features), k, run, None, stages)
+    _moved(spark, staging, path)
+    return manifest
+
+
+def manifest_of(spark: SparkSession, path: str) -> dict:
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{path.rstrip('/')}/manifest").collect()))
+
+
+def load(spark: SparkSession, path: str) -> Model | Centroids:
+    """The model of an artifact; an error if its files are not those of the manifest."""
+    path, told = path.rstrip("/"), manifest_of(spark, path)
+    features, k = told["features"], told["k"]
+    if told["kind"] == "centroids":
+        found = hashlib.sha256(json.dumps(told["means"]).encode()).hexdigest()
+    else:
+        found = _digest(spark, f"{path}/stages")
+    if found != told["digest"]:
+        raise ValueError(f"{path} is not as it was written")
+    if told["kind"] == "centroids":
+        return Centroids(features, {int(c): m for c, m in told["means"].items()}, k)
+    stages = PipelineModel.load(f"{path}/stages")
+    if told["kind"] == "boosted":
+        return Model(features, k, _several(stages, told["present"], k), None, stages, told["present"])
+    return Model(features, k, _one(stages, k), None, stages)

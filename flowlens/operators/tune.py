@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Sequence
 from statistics import median, stdev
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def search(
                     status = "pruned"
                     break
             firsts.append(values[0])
-        except Exception as e:  # a candidate may be impossible for the data
+        except (IllegalArgumentException, ValueError, TypeError) as e:  # parameters the estimator does not take
             status = f"failed: {str(e).splitlines()[0][:120]}"
         value = sum(values) / len(values) if status == "done" else None
         spread = stdev(values) if status == "done" and len(values) > 1 else None

@@ -12,6 +12,7 @@ from flowlens.plans import beds
 from flowlens.plans.beds import FEATURES, KEY, KEYS
 from flowlens.plans.catalog import query
 from flowlens.plans.q_data import CLEAN, SPLIT
+from flowlens.sources.stage import stored
 
 #: The run in SQL: clean, split, fit on the training rows, score the test rows by nearest centroid.
 _TRAIN = "tr as (select * from splits where split = 'train')"
@@ -31,8 +32,8 @@ cls as (select a.k as code, count(*) filter (y = a.k) as support, count(*) filte
 
 def held_out(spark, folder, fit):
     """Test rows of the cleaned table, scored by fit(training rows)."""
-    rows = clean.clean(beds.lid(spark, folder), FEATURES, "label", KEY)
-    parts = encode(split(rows, "label", KEY, 0.2, 0.1, "7"), "label", beds.codec(spark)).persist()  # read by every fit
+    rows = stored(clean.clean(beds.lid(spark, folder), FEATURES, "label", KEY), "cleaned")
+    parts = stored(encode(split(rows, "label", KEY, 0.2, 0.1, "7"), "label", beds.codec(spark)), "parts")  # read by every fit
     train = parts.where("split = 'train'")
     stats = prep.fit(train, FEATURES)
     ready = prep.transform(parts, stats, [*KEY, "label", "code", "split"])
@@ -56,6 +57,14 @@ def _(spark, folder):
     return model.transform(df).select("vec_id", "label", evaluate.predicted().alias("pred"))
 
 
+@query("expanded_probabilities", f"with {beds.PR} select {KEYS}, 0 as p_lost, round_even(p0, 6) as p_base, round_even(p2, 6) as p_big from pr")
+def _(spark, folder):
+    """Probabilities over the classes of a fit, as those of all classes."""
+    few = beds.pr(spark, folder).withColumn("few", F.array(F.col("proba")[0], F.col("proba")[2]))
+    out = few.select(*KEY, models.expanded(F.col("few"), [1, 3], 4).alias("p"))
+    return out.select(*KEY, F.col("p")[0].cast("int").alias("p_lost"), rounded(F.col("p")[1]).alias("p_base"), rounded(F.col("p")[3]).alias("p_big"))
+
+
 def _register(kind: str, params: dict) -> None:
     @query(f"model_{kind}")
     def _(spark, folder):

@@ -59,10 +59,11 @@ for _scaler in prep.SCALERS:
     _register(_scaler)
 
 
-@query("prep_constant", "select 'l_linenumber' as feature, false as constant union all select 'one', true")
+@query("prep_constant", "with t as (select l_linenumber, case when l_tax > 1 then 2.0 end as never, case when l_quantity > 49 then 5.0 end as five from lineitem) " + " union all ".join(
+    f"select '{c}' as feature, count(distinct {c}) <= 1 as constant from t" for c in ("l_linenumber", "never", "five")))
 def _(spark, folder):
-    df = beds.li(spark, folder).withColumn("one", F.lit(1.0))
-    return prep.fit(df, ["l_linenumber", "one"]).table(df).select("feature", "constant")
+    df = beds.li(spark, folder).withColumn("never", F.when(F.col("l_tax") > 1, 2.0)).withColumn("five", F.when(F.col("l_quantity") > 49, 5.0))
+    return prep.fit(df, ["l_linenumber", "never", "five"]).table(df).select("feature", "constant")
 
 
 @query("prep_inverse", f"with {FITTED} select label, " + ", ".join(f"round_even(avg({c}), 5) as {c}" for c in FEATURES) + " from fill group by label")

@@ -26,16 +26,20 @@ def discover(spark: SparkSession, folder: str) -> list[str]:
     return paths
 
 
-def read_csv(spark: SparkSession, path: str | list[str], charset: str = CHARSET) -> DataFrame:
+def header(spark: SparkSession, path: str, charset: str = CHARSET) -> list[str]:
+    """The cells of a CSV file's first line, which readers rename where they repeat."""
+    head = spark.read.option("encoding", charset).option("header", False).option("inferSchema", False).csv(path).first()
+    if head is None:
+        raise ValueError(f"{path} is empty")
+    return ["" if h is None else h for h in head]
+
+
+def read_csv(spark: SparkSession, path: str | list[str], charset: str = CHARSET, file: str | None = None) -> DataFrame:
     """A CSV table, all cells as text, under its own headers; repeated headers keep their first column.
 
-    The header is read apart from the rows, because readers rename repeated headers.
+    Several files must have one header. file: a column to take the path of each row's file.
     """
-    first = path if isinstance(path, str) else path[0]
-    head = spark.read.option("encoding", charset).option("header", False).option("inferSchema", False).csv(first).first()
-    if head is None:
-        raise ValueError(f"{first} is empty")
-    raw = ["" if h is None else h for h in head]
+    raw = header(spark, path if isinstance(path, str) else path[0], charset)
     names = [f"_c{i}" for i in range(len(raw))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", charset).csv(path)
@@ -44,7 +48,37 @@ def read_csv(spark: SparkSession, path: str | list[str], charset: str = CHARSET)
         if column_name(h) not in seen:
             seen.add(column_name(h))
             keep.append(F.col(names[i]).alias(h))
-    return df.select(*keep)
+    return df.select(*keep, *([F.col("_metadata.file_path").alias(file)] if file else []))
+
+
+def read_flow(spark: SparkSession, path: str, label: str = dims.LABEL, require_label: bool = True, rows: int | None = None, charset: str = CHARSET) -> DataFrame:
+    """A flow CSV under canonical headers; without a label column an error, or, if none is required, a
+    null one. rows: at most so many of the first."""
+    named, _ = canonical_columns(read_csv(spark, path, charset))
+    if label not in named.columns:
+        if require_label:
+            raise ValueError(f"{path} has no column {label}")
+        named = named.withColumn(label, F.lit(None).cast("string"))
+    return named if rows is None else named.limit(rows)
+
+
+def scan(spark: SparkSession, paths: Sequence[str], charset: str = CHARSET, file: str = "source_file") -> list[DataFrame]:
+    """The tables of many files, one for each header among them, with the file of each row."""
+    by: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        by.setdefault(tuple(header(spark, p, charset)), []).append(p)
+    return [read_csv(spark, same, charset, file) for same in by.values()]
+
+
+def file_counts(parts: Sequence[DataFrame], label: str, file: str = "source_file") -> DataFrame:
+    """(file, rows, labelled) of scanned tables."""
+    out = None
+    for part in parts:
+        named, _ = canonical_columns(part)
+        there = F.count_if(F.trim(F.col(label)) != "") if label in named.columns else F.lit(0).cast("long")
+        n = named.groupBy(F.element_at(F.split(F.col(file), "/"), -1).alias("file")).agg(F.count("*").alias("rows"), there.alias("labelled"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 def read_table(spark: SparkSession, path: str, charset: str = CHARSET) -> DataFrame:
@@ -83,8 +117,7 @@ def consolidate(parts: Sequence[DataFrame], features: Sequence[str], label: str,
 
 def load_flows(spark: SparkSession, folder: str, merge_rare: bool = True) -> DataFrame:
     """The flow table of a folder of raw CSV files."""
-    parts = [read_csv(spark, p) for p in discover(spark, folder)]
-    return consolidate(parts, dims.FEATURES, dims.LABEL, merge_rare)
+    return consolidate(scan(spark, discover(spark, folder)), dims.FEATURES, dims.LABEL, merge_rare)
 
 
 def missing_files(spark: SparkSession, folder: str, expected: Sequence[str] = tuple(dims.EXPECTED_FILES)) -> DataFrame:

@@ -1,5 +1,6 @@
 """Invariants and hand-written cases."""
 
+import json
 import math
 
 import pytest
@@ -180,8 +181,9 @@ def test_refuses_a_table_without_features(spark):
 def test_model_saves_and_loads(spark, tmp_path):
     df = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("code"), (F.col("id") % 2 + F.rand(3)).alias("x"))
     model = models.fit("logistic", df, ["x"], "code", 3)
-    models.save(model, str(tmp_path / "m"), df, ["id"])
-    again = models.load(str(tmp_path / "m"), ["x"], 3).transform(df).orderBy("id").first()
+    told = models.save(model, str(tmp_path / "m"), df, ["id"], ["no", "yes", "lost"], {"accuracy": 1.0})
+    assert told["features"] == ["x"] and models.manifest_of(spark, str(tmp_path / "m"))["metrics"] == {"accuracy": 1.0}
+    again = models.load(spark, str(tmp_path / "m")).transform(df).orderBy("id").first()
     assert len(again["proba"]) == 3 and again["proba"][2] == 0.0
     boosted = models.fit("boosted", df, ["x"], "code", 2, maxIter=2, maxDepth=2).transform(df)
     assert boosted.select(F.avg((evaluate.predicted() == F.col("code")).cast("double"))).first()[0] > 0.9
@@ -214,8 +216,8 @@ def test_knn_imputer(spark):
 def test_micro_batches_add_up(spark, tmp_path):
     rows = proba(spark, [(i % 3, [(i % 7) / 20, (i % 5) / 20, 0.1]) for i in range(60)])
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = streaming.read_stream(spark, str(tmp_path / "in"), rows.schema)
-    streaming.evaluate_batches(stream, str(tmp_path / "state"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    stream = streaming.read_stream(spark, str(tmp_path / "in"), rows.schema, 1)
+    streaming.evaluate_batches(stream, str(tmp_path / "state")).awaitTermination()
     got = {(r["code"], r["pred"]): r["n"] for r in streaming.confusion_so_far(spark, str(tmp_path / "state")).collect()}
     want = {(r["code"], r["pred"]): r["n"] for r in evaluate.confusion(rows, dims.class_table(spark, ["x", "y", "z"])).where("n > 0").collect()}
     assert got == want
@@ -224,9 +226,14 @@ def test_micro_batches_add_up(spark, tmp_path):
 def test_batch_equals_stream_for_windows(spark, tmp_path):
     df = spark.range(200).select((F.timestamp_seconds(F.col("id") * 600)).alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"))
     df.write.parquet(str(tmp_path / "in"))
-    stream = streaming.event_time(streaming.read_stream(spark, str(tmp_path / "in"), df.schema), "ts", "10 minutes")
-    got = streaming.run_available(streaming.windowed(stream, "c"), "windows_test", "complete")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streaming.windowed(df, "c").collect()))
+    stream = lambda: streaming.event_time(streaming.closed(streaming.read_stream(spark, str(tmp_path / "in"), df.schema), "ts"), "ts", "10 minutes")
+    want = sorted(map(tuple, streaming.windowed(df, "c").collect()))
+    assert sorted(map(tuple, streaming.run_available(streaming.windowed(stream(), "c")).collect())) == want
+    assert {tuple(r)[:4] for r in streaming.run_available(streaming.windowed(stream(), "c"), "update").collect() if r["c" if "c" in r else "class"]} == set(want)
+    again = str(tmp_path / "out")  # a second run of a stream adds nothing
+    for _ in range(2):
+        got = streaming.run_available(streaming.tally(streaming.read_stream(spark, str(tmp_path / "in"), df.schema), "c"), "complete", again)
+    assert sorted(map(tuple, got.collect())) == [("a", 67), ("b", 133)]
 
 
 def test_sentence(spark):
@@ -279,3 +286,89 @@ def test_knn_imputer_searches_all_rows(spark):
                 sure += 1
                 assert x == pytest.approx(y[0])
     assert sure > 10
+
+
+@pytest.mark.parametrize("kind", ["boosted", "tree", "centroids"])
+def test_artifacts_of_every_kind(spark, tmp_path, kind):
+    df = spark.range(200).select("id", (F.col("id") % 2 * 2).cast("int").alias("code"), (F.col("id") % 2 + F.rand(3)).alias("x"))
+    model = models.fit_centroids(df, ["x"], "code", 3) if kind == "centroids" else models.fit(kind, df, ["x"], "code", 3, maxDepth=2, **({"maxIter": 2} if kind == "boosted" else {}))
+    path = str(tmp_path / "m")
+    for _ in range(2):  # a second artifact takes the first one's place
+        told = models.save(model, path, df, ["id"])
+    assert told["digest"] == models.manifest_of(spark, path)["digest"]
+    a, b = (m.transform(df).orderBy("id").select("proba").collect() for m in (model, models.load(spark, path)))
+    assert a == b and len(a[0]["proba"]) == 3
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["m"]
+    spark.createDataFrame([(json.dumps({**told, "digest": "x"}),)], "value string").write.mode("overwrite").text(f"{path}/manifest")
+    with pytest.raises(ValueError):
+        models.load(spark, path)
+
+
+@pytest.mark.parametrize("kind", ["bayes", "tree", "forest", "extra", "mlp"])
+def test_models_learn(spark, kind):
+    df = spark.range(240).select("id", (F.col("id") % 3).cast("int").alias("code"), (F.col("id") % 3 + F.rand(3) / 2).alias("x"), F.rand(5).alias("y"))
+    params = {"bayes": {}, "tree": {"maxDepth": 4}, "forest": {"numTrees": 5, "maxDepth": 4}, "extra": {"numTrees": 5, "maxDepth": 4}, "mlp": {"hidden": [8], "maxIter": 200}}[kind]
+    out = models.fit(kind, df, ["x", "y"], "code", 3, **params).transform(df)
+    r = out.select(F.avg((evaluate.predicted() == F.col("code")).cast("double")).alias("a"), F.max(F.abs(F.aggregate("proba", F.lit(0.0), lambda s, p: s + p) - 1)).alias("gap")).first()
+    assert r["a"] > 0.9 and r["gap"] < 1e-9
+
+
+def test_rfe_and_stability_find_the_telling_feature(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("code"), F.when(F.col("id") % 2 == 0, "n").otherwise("a").alias("c"), (F.col("id") % 2 + F.rand(1) / 4).alias("good"), F.rand(2).alias("n1"), F.rand(3).alias("n2"))
+    ranks = {r["feature"]: r["rank"] for r in select.rfe(df, ["n1", "good", "n2"], "code", 1, trees=5, depth=4).collect()}
+    assert ranks["good"] == 1 and sorted(ranks.values()) == [1, 2, 3]
+    stable = {r["feature"]: r for r in select.stability(df, ["n1", "good", "n2"], "c", ["id"], 1, 4).collect()}
+    assert stable["good"]["frequency"] == 1.0 and not stable["good"]["fragile"] and all(r["fragile"] for f, r in stable.items() if f != "good")
+
+
+def test_strategies(spark):
+    points = [(i, i % 4 == 0, [float(i % 4 == 0) * 10 + i % 3, float(i % 5)]) for i in range(40)] + [(100, True, [0.0, 0.1]), (101, False, [10.0, 0.1])]
+    df = spark.createDataFrame(points, "k int, c boolean, v array<double>").withColumn("c", F.col("c").cast("int"))
+    n = lambda s: {(r["c"], r["synthetic"]): r["count"] for r in balance.resample(df, "k", "c", "v", s, {0: 31, 1: 20}).groupBy("c", "synthetic").count().collect()}
+    whole = {(0, False): 31, (1, False): 11}
+    assert n("none") == n("class_weight") == whole and n("oversample") == n("smote") == {**whole, (1, True): 9}
+    assert balance.resample(df, "k", "c", "v", "smote", {1: 20}).select("k").distinct().count() == 51
+    kept = {r["k"] for r in balance.resample(df, "k", "c", "v", "smote_tomek", {0: 31, 1: 20}).collect()}
+    both = balance.resample(df, "k", "c", "v", "smote", {0: 31, 1: 20})
+    linked = {r["k"] for r in balance.tomek_links(both, "k", "c", "v").collect()}
+    assert linked and kept == {r["k"] for r in both.collect()} - linked
+    with pytest.raises(ValueError):
+        balance.resample(df, "k", "c", "v", "other", {})
+
+
+def test_sentence_with_profiles(spark):
+    verdict = spark.createDataFrame([(1, "a", 0.5, "b", 0.4), (2, "a", 0.9, "b", 0.05)], "k int, prediction string, confidence double, runner_up string, runner_up_confidence double")
+    top = spark.createDataFrame([(1, "x", 1, 3.0)], "k int, feature string, place int, value double")
+    table = dims.profile_table(spark, [("a", "A", 4, "-", ["b"], "Look."), ("b", "B", 1, "-", [], "Rest.")])
+    got = {r["k"]: r["sentence"] for r in narrate.sentences(verdict, top, dims.gloss_table(spark), ["k"], table).collect()}
+    assert got[1] == "This record is probably a (50.0%), resting on the x (far above normal). Severity: high. b is nearly as likely (40.0%), which is often taken for it. Next: Look."
+    assert got[2] == "This record is very likely a (90.0%). Severity: high. Next: Look."
+
+
+def test_scan_keeps_the_files_apart(spark, tmp_path):
+    for name, text in {"a": "Flow Duration,Label\n1,x\n2,\n", "b": "Flow Duration,Label\n3,y\n", "c": "Label,Flow Duration,Label\nz,4,q\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    parts = tables.scan(spark, tables.discover(spark, str(tmp_path)))
+    assert len(parts) == 2
+    assert {tuple(r) for r in tables.file_counts(parts, "Label").collect()} == {("a.csv", 2, 1), ("b.csv", 1, 1), ("c.csv", 1, 1)}
+    out = tables.consolidate(parts, ["Flow Duration"], "Label", merge_rare=False)
+    assert {(r["Flow Duration"], r["Label"]) for r in out.collect()} == {(1.0, "x"), (3.0, "y"), (4.0, "z")}
+    (tmp_path / "d.txt").write_text("Flow Duration\n5\n6\n")
+    assert tables.read_flow(spark, str(tmp_path / "d.txt"), require_label=False, rows=1).count() == 1
+    with pytest.raises(ValueError):
+        tables.read_flow(spark, str(tmp_path / "d.txt"))
+
+
+def test_report_checks_its_probabilities(spark):
+    codec = dims.class_table(spark, ["x", "y"])
+    rows = lambda *p: spark.createDataFrame([(0, list(x)) for x in p], "code int, proba array<double>")
+    out = {r["metric"]: r["value"] for r in evaluate.summary(evaluate.evaluate(rows((3.0, 1.0), (1.0, 3.0), (0.0, 0.0)), codec, 0)).collect()}
+    assert out["rows"] == 3 and out["accuracy"] == pytest.approx(2 / 3, abs=1e-6) and out["top_2"] == 1.0
+    for bad in ((-1.0, 2.0), (float("nan"), 1.0), (1.0,)):
+        with pytest.raises(Exception, match="probabilities"):
+            evaluate.evaluate(rows(bad), codec, 0)
+
+
+def test_models_of_several_splits_are_marked(spark):
+    df = spark.createDataFrame([("a", 0.5, "test"), ("b", None, "val")], "model string, f1 double, split string")
+    assert [(r["model"], r["rank"], r["mixed_split"]) for r in evaluate.compare(df, "f1", ["model"]).collect()] == [("a", 1, True), ("b", 2, True)]

@@ -12,8 +12,9 @@ from flowlens.plans import catalog
 FAST = [
     "normalise_labels", "coerce_numbers", "clean_rows", "clean_report", "audit_counts", "capped_sample", "two_pass_sample", "budgeted_sample", "stratified_split", "stratified_folds",
     "holdout", "bootstrap", "prep_fit_robust", "prep_transform_standard", "prep_inverse", "class_weights_balanced", "rank_anova", "rank_chi2", "rank_mutual_information", "correlations",
-    "oversample", "class_neighbours", "smote", "tomek_links", "verdict_table", "repair_report", "verdict_overview", "triage", "class_metrics", "top_k_accuracy", "calibration_error",
-    "areas_with_ties", "binary_metrics", "threshold_sweep", "recommended_thresholds", "occlusion", "permutation_importance", "stream_tally", "stream_windows", "stream_sessions",
+    "oversample", "verdict_table", "repair_report", "verdict_overview", "triage", "class_metrics", "top_k_accuracy", "calibration_error",
+    "areas_with_ties", "binary_metrics", "threshold_sweep", "recommended_thresholds", "permutation_importance", "permutation_importance_f1", "evaluation_report", "sampling_report", "prune_correlated", "rank_stability", "prep_constant",
+    "stream_tally", "stream_scoring", "stream_sample", "stream_dedup", "stream_windows", "stream_sliding_windows", "stream_sessions",
 ]
 
 
@@ -42,3 +43,11 @@ def test_same_as_sql(spark, small, tables, name):
 def test_registry_names_its_oracles():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert len(catalog.QUERIES) > 100
+
+
+@pytest.mark.parametrize("name", ["stream_tally", "stream_windows", "stream_sessions", "stream_dedup"])
+def test_streams_over_a_folder_of_files(spark, small, tables, name, tmp_path):
+    """A table of many part files, in no order of time, gives what a single file gives."""
+    spark.read.parquet(f"{small}/events.parquet").repartition(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert len(got) and rows(got) == rows(tables.execute(catalog.ORACLES[name]).df())

@@ -1,39 +1,45 @@
-"""Queries over every row, where others read a sample."""
+"""Queries over every row, which SQL repeats."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.plans import beds, catalog, q_explain
+from flowlens.plans import beds, catalog
 from tests.test_queries import rows, tables  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["occlusion_all", "occlusion_of_class_all", "top_contributions_all", "class_importance_all", "global_importance_all", "signature_features_all"])
+@pytest.mark.parametrize("name", ["occlusion_of_class", "top_contributions", "global_importance", "signature_features"])
 def test_explains_every_row(spark, small, tables, name):  # noqa: F811
     got = catalog.QUERIES[name](spark, small).toPandas()
-    want = tables.execute(catalog.ORACLES[name[:-4]].replace(q_explain.SAMPLE, q_explain.WHOLE)).df()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    every = {"occlusion_all": 4, "occlusion_of_class_all": 4, "top_contributions_all": 1}.get(name)
+    want = tables.execute(catalog.ORACLES[name]).df()
+    every = {"occlusion_of_class": 4, "top_contributions": 1}.get(name)
     assert not every or len(got) == every * beds.li(spark, small).count()
-    if name in catalog.ORACLES:
-        assert rows(got) == rows(want)
-    else:
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    if every == 4:
         both = got.merge(want, on=[*beds.KEY, "feature"])
-        far = (both["contribution_x"] - both["contribution_y"]).abs()
-        assert len(both) == len(got) and (far > 2e-4).mean() < 1e-3 and far.max() < 0.1, (far.max(), (far > 2e-4).mean(), (far > 0).mean())
+        assert len(both) == len(got) and (both["contribution_x"] == both["contribution_y"]).all()
+    else:
+        assert rows(got) == rows(want)
 
 
 def test_every_row_has_a_sentence(spark, small):
     out = catalog.QUERIES["sentences"](spark, small)
     n = beds.li(spark, small).count()
-    r = out.agg(F.count("*").alias("n"), *(F.sum(F.col("sentence").contains(x).cast("int")).alias(k) for k, x in (("why", "resting on"), ("high", "(above normal)"), ("low", "(below normal)")))).first()
-    assert r["n"] == r["why"] == n and r["high"] > 0 and r["low"] > 0
+    r = out.agg(F.count("*").alias("n"), *(F.sum(F.col("sentence").contains(x).cast("int")).alias(k) for k, x in (("why", "resting on"), ("high", "(above normal)"), ("low", "(below normal)"), ("next", "Next: ")))).first()
+    assert r["n"] == r["why"] == r["next"] == n and r["high"] > 0 and r["low"] > 0
 
 
-@pytest.mark.parametrize("name", ["class_neighbours_all", "smote_all", "tomek_links_all"])
+@pytest.mark.parametrize("name", ["class_neighbours", "smote", "tomek_links", "resample_counts"])
 def test_balances_every_row(spark, small, tables, name):  # noqa: F811
     got = catalog.QUERIES[name](spark, small).toPandas()
     assert rows(got) == rows(tables.execute(catalog.ORACLES[name]).df())
-    if name == "class_neighbours_all":
+    if name == "class_neighbours":
         assert set(got["vec_id"]) == {r[0] for r in beds.table(spark, small, "embeddings").select("vec_id").collect()}
-    if name == "smote_all":
+    if name == "smote":
         assert len(got) > 0 and 0 not in set(got["label"])
+
+
+def test_names_with_all_are_the_same_queries():
+    both = [n for n in catalog.QUERIES if f"{n}_all" in catalog.QUERIES]
+    assert len(both) == 9
+    for n in both:
+        assert catalog.QUERIES[n] is catalog.QUERIES[f"{n}_all"] and catalog.ORACLES.get(n) == catalog.ORACLES.get(f"{n}_all")
