@@ -28,7 +28,7 @@ KEYS = 6
 SEEDS = mix64(np.arange(1, KEYS + 1, dtype=np.uint64))
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Texts of a block of the first look; shingles of members, and queries, of an opened block; about.
-LOOK, SHINGLES, QUERIES = 64, 50_000, 256
+LOOK, SHINGLES, QUERIES = 64, 32_000, 128
 BLOCK_BYTES = 8 << 20
 #: A rare shingle more for each so many of a text; its links share as many more.
 STEP = 20
