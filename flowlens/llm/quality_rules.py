@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.textops import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -38,24 +40,25 @@ def _chars_left(text: Column, gone: str) -> Column:
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the measurements of MEASURES; null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = ", ".join(f"get(_ledger_h, i + {k})" for k in range(WINDOW))
+    word, mark, line = (fresh(df, f"_ledger_{x}") for x in ("w", "h", "l"))
+    parts = ", ".join(f"get({mark}, i + {k})" for k in range(WINDOW))
     return (
-        df.withColumn("_ledger_w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-        .withColumn("n_words", F.size("_ledger_w").cast("long"))
-        .withColumn("_ledger_h", F.transform("_ledger_w", lambda w: F.xxhash64(w)))
-        .drop("_ledger_w")
-        .withColumn("n_stutters", F.expr("cast(size(filter(_ledger_h, (h, i) -> i > 0 and h = get(_ledger_h, i - 1))) as bigint)"))
-        .withColumn("_ledger_h", F.expr(f"if(n_words < {WINDOW}, array(), transform(sequence(0, n_words - {WINDOW}), i -> xxhash64({parts})))"))
-        .withColumn("_ledger_h", F.expr("if(size(array_distinct(_ledger_h)) < size(_ledger_h), sort_array(transform(_ledger_h, (h, i) -> struct(h as h, i as i))), null)"))
-        .withColumn("_ledger_h", F.expr("sort_array(transform(filter(_ledger_h, (x, k) -> coalesce(get(_ledger_h, k - 1).h = x.h, false) or coalesce(get(_ledger_h, k + 1).h = x.h, false)), x -> x.i))"))
-        .withColumn("n_repeat_words", F.expr(f"coalesce(aggregate(transform(_ledger_h, (x, k) -> if(k = 0, {WINDOW}, least({WINDOW}, x - get(_ledger_h, k - 1)))), 0L, (a, x) -> a + x), 0L)"))
-        .drop("_ledger_h")
+        df.withColumn(word, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+        .withColumn("n_words", F.size(word).cast("long"))
+        .withColumn(mark, F.transform(word, lambda w: F.xxhash64(w)))
+        .drop(word)
+        .withColumn("n_stutters", F.expr(f"cast(size(filter({mark}, (h, i) -> i > 0 and h = get({mark}, i - 1))) as bigint)"))
+        .withColumn(mark, F.expr(f"if(n_words < {WINDOW}, array(), transform(sequence(0, n_words - {WINDOW}), i -> xxhash64({parts})))"))
+        .withColumn(mark, F.expr(f"if(size(array_distinct({mark})) < size({mark}), sort_array(transform({mark}, (h, i) -> struct(h as h, i as i))), null)"))
+        .withColumn(mark, F.expr(f"sort_array(transform(filter({mark}, (x, k) -> coalesce(get({mark}, k - 1).h = x.h, false) or coalesce(get({mark}, k + 1).h = x.h, false)), x -> x.i))"))
+        .withColumn("n_repeat_words", F.expr(f"coalesce(aggregate(transform({mark}, (x, k) -> if(k = 0, {WINDOW}, least({WINDOW}, x - get({mark}, k - 1)))), 0L, (a, x) -> a + x), 0L)"))
+        .drop(mark)
         .withColumn("word_chars", _chars_left(text, r"[\x20\x09-\x0D]+"))
         .withColumn("n_symbols", _chars_left(text, r"[^#*$%&|<>]+"))
-        .withColumn("_ledger_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
-        .withColumn("n_lines", F.size("_ledger_l").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_ledger_l") - F.size(F.array_distinct("_ledger_l"))).cast("long"))
-        .drop("_ledger_l")
+        .withColumn(line, F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)))
+        .withColumn("n_lines", F.size(line).cast("long"))
+        .withColumn("n_dup_lines", (F.size(line) - F.size(F.array_distinct(line))).cast("long"))
+        .drop(line)
         .withColumn("n_exclamations", _chars_left(text, r"[^!]+"))
         .withColumn("n_capitals", _chars_left(text, r"[^A-Z]+"))
         .withColumn("n_letters", _chars_left(text, r"[^A-Za-z]+"))

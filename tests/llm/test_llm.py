@@ -296,7 +296,8 @@ def test_retrieval_finds_all_above_the_threshold(spark, small):
 
 def test_quality_by_brute_force(docs, texts, spark):
     more = {20: "a b c d e f g h i " * 3, 21: "dup\ndup\n\n \nx\n" * 9, 22: "#$ % & " * 30, 23: "q w e r t y u i o p a s d f g h j k l z x " * 2}
-    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string")).withColumn("fail_bits", F.lit("mine"))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string")).withColumn("fail_bits", F.lit("mine")).withColumn("_ledger_h", F.lit(5))
+    assert quality_rules.ledger(df).where("_ledger_h = 5").count() == df.count()
     out = quality_rules.apply_policy(quality_rules.ledger(df), "v4")
     got = {r["doc_id"]: r for r in out.collect()}
     for i, t in {**texts, **more}.items():
@@ -378,6 +379,30 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_licence_texts_find_themselves(spark):
+    rows = [(k, f"# header {k}\n\n * " + t.replace(" ", "\n * ", 3) + " trailing words of a file", label) for k, (label, t) in enumerate(license_scan.TEMPLATES)]
+    rows.append((99, " ".join(t.split()[k] for _, t in license_scan.TEMPLATES for k in (0, 2, 4)), ""))
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    for r in license_scan.scan(df).collect():
+        assert (r["want"] in r["labels"].split(",") and r["score"] == 1.0) if r["want"] else not r["labels"], r["doc_id"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_phrases_by_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "é", "word"]
+    rows = [(k, rng.choice([" ", "-", ", "]).join(rng.choice(parts).upper() if rng.random() < 0.2 else rng.choice(parts) for _ in range(rng.randrange(400)))) for k in range(60)]
+    rows += [(100 + k, " ".join(rng.choice(["under the MIT license", "Apache License, Version 2.0", "cc-by-nc", "the"]) for _ in range(30))) for k in range(10)]
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        w = leak_words(r["text"])
+        at = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
+
+
 def test_automaton_by_brute_force():
     import random
 
