@@ -18,21 +18,24 @@ def _ladder(c: Column, steps: Sequence[tuple[float, str]], rest: str) -> Column:
 
 
 def confidence_phrase(p: Column) -> Column:
+    """Phrases by least confidence."""
     steps = [(0.99, "almost certainly"), (0.9, "very likely"), (0.7, "likely"), (0.5, "probably"), (0.3, "possibly")]
     return _ladder(p, steps, "weakly suggestive of")
 
 
 def severity_word(s: Column) -> Column:
+    """Words of severity 1 to 5."""
     words = ["informational", "low", "medium", "high", "critical"]
     return F.coalesce(F.get(F.array(*(F.lit(w) for w in words)), s.cast("int") - 1), F.lit("unknown"))
 
 
 def level(v: Column) -> Column:
-    """A standardised value in words."""
+    """A standardised value in words. The words and their bounds."""
     return F.when(v >= 2, "far above normal").when(v >= 0.75, "above normal").when(v <= -2, "far below normal").when(v <= -0.75, "below normal").otherwise("close to normal")
 
 
 def calibration_verdict(ece: Column) -> Column:
+    """Words by bound of the error."""
     return F.when(ece < 0.05, "well calibrated").when(ece < 0.15, "somewhat overconfident").otherwise("poorly calibrated")
 
 
