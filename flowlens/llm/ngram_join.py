@@ -26,7 +26,8 @@ from flowlens.llm.textops import Words, buckets, is_long, mix64, pack, rolling,
 
 KEYS = 6
 SEEDS = mix64(np.arange(1, KEYS + 1, dtype=np.uint64))
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+#: Parts of the count sketch, and the bits of a cell's number at least and at most.
+SKETCH_PARTS, SKETCH_LEAST, SKETCH_MOST = 64, 16, 24
 #: Texts of a block of the first look; shingles of members, and queries, of an opened block; about.
 LOOK, SHINGLES, QUERIES = 64, 32_000, 128
 BLOCK_BYTES = 8 << 20
@@ -74,12 +75,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _describe(width: int):
+def sketch_bits(size: int) -> int:
+    """For `size` bytes of text: a cell for some 40 shingles, up to 2**SKETCH_MOST cells."""
+    return min(SKETCH_MOST, max(SKETCH_LEAST, (size >> 8).bit_length()))
+
+
+def _describe(width: int, cell_bits: int):
     """A row per text: id, n, digest, keys; and, of each task, its part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n", "digest", "keys", "part", "counts"]
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << cell_bits, dtype=np.int64)
         keys_type = pa.list_(pa.int64())
         for b in batches:
             texts, n, digests, keys = utf8(b.column(1)), [], [], []
@@ -92,10 +98,10 @@ def _describe(width: int):
                 pending.append(s)
                 held += len(s)
                 if held >= 1 << 20:
-                    counts += np.bincount(np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+                    counts += np.bincount(np.concatenate(pending) >> np.uint64(64 - cell_bits), minlength=len(counts))
                     pending, held = [], 0
             if pending:
-                counts += np.bincount(np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+                counts += np.bincount(np.concatenate(pending) >> np.uint64(64 - cell_bits), minlength=len(counts))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, keys_type), none.cast(pa.int32()), none.cast(pa.binary())],
@@ -111,8 +117,8 @@ def _describe(width: int):
     return run
 
 
-def _sketch(described: DataFrame) -> np.ndarray:
-    """Counts of shingles by leading bits: a fixed size, whatever the input."""
+def _sketch(described: DataFrame, cell_bits: int) -> np.ndarray:
+    """Counts of shingles by leading bits, of a bounded size whatever the input; they only order shingles."""
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(unpack(x)[0] for x in table.column("counts").to_pylist())
@@ -121,7 +127,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
     rows = described.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("salt"))
     some = rows.groupBy("part", "salt").applyInArrow(add, "part int, counts binary")
     rows = some.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    counts = np.zeros(1 << cell_bits, dtype=np.int64)
     size = len(counts) // SKETCH_PARTS
     for r in rows:
         counts[r["part"] * size : (r["part"] + 1) * size] = unpack(r["counts"])[0]
@@ -129,7 +135,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return np.minimum(counts // scale, 65535).astype(np.uint16)
 
 
-def _send_prefixes(width: int, percent: int, bits: int, counts: Broadcast):
+def _send_prefixes(width: int, percent: int, bits: int, cell_bits: int, counts: Broadcast):
     """The rare shingles of each text.
 
     A link shares `percent` of the larger set. So of the n - least + k rarest shingles of both, in
@@ -148,7 +154,7 @@ def _send_prefixes(width: int, percent: int, bits: int, counts: Broadcast):
             seen.add(name)
             n = len(s)
             p = n - (percent * n + 99) // 100 + 1 + n // STEP
-            rare = np.lexsort((s, frequency[s >> np.uint64(64 - SKETCH_BITS)]))[:p]
+            rare = np.lexsort((s, frequency[s >> np.uint64(64 - cell_bits)]))[:p]
             hashes.append(s[rare])
             docs.append(np.full(p, ids[i]))
             sizes.append(np.full(p, n, dtype=np.int32))
@@ -276,9 +282,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = is_long(df.select(id_col, text_col), id_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = docs.where("id is not null")
-    described = stored(docs.mapInArrow(_describe(width), "id bigint, n bigint, digest binary, keys array<bigint>, part int, counts binary"), "join-sets")
+    size = text_bytes(known, "text")
+    cell_bits = sketch_bits(size)
+    described = stored(docs.mapInArrow(_describe(width, cell_bits), "id bigint, n bigint, digest binary, keys array<bigint>, part int, counts binary"), "join-sets")
     sets = described.where("part is null").select("id", "n", "digest", "keys")
-    frequency = spark.sparkContext.broadcast(_sketch(described))  # a fixed size
+    frequency = spark.sparkContext.broadcast(_sketch(described, cell_bits))  # 32 MiB at most
 
     # Classes of equal sets, each by its smallest id.
     classes = stored(sets.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "join-classes")
@@ -300,8 +308,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = components(hints)
 
     # The token-group matrix, over the shingles that a link must share.
-    bits = buckets(spark, text_bytes(known, "text")).bit_length() - 1
-    sent = known.mapInArrow(_send_prefixes(width, percent, bits, frequency), "bucket int, blob binary")
+    bits = buckets(spark, size).bit_length() - 1
+    sent = known.mapInArrow(_send_prefixes(width, percent, bits, cell_bits, frequency), "bucket int, blob binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared_tokens, "token bigint, id bigint, n bigint")
     firsts = classes.groupBy("id").agg(F.max("n").alias("size"))
     keys = placed.select("id", F.col("key").alias("grp"))
