@@ -76,11 +76,10 @@ def verdicts(df: DataFrame, classes: Sequence[str], benign: str | None, proba: s
 def verdict_table(scored: DataFrame, codec: DataFrame, profiles: DataFrame, key: Sequence[str], benign: str, top: int = 0, code: str | None = "code") -> DataFrame:
     """Verdicts by name with severity (0 for the benign class), rounded half-even to 6 digits; with
     true_class and correct where a code is there (null for an unknown label); alternatives to `top`."""
-    names = codec.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "class")))).alias("_names"))
+    names = F.create_map(*(x for r in codec.select("code", "class").collect() for x in (F.lit(r["code"]), F.lit(r["class"]))))  # a class has a row
     table = profiles.select(F.col("class").alias("_class"), "severity")
-    out = scored.crossJoin(F.broadcast(names))
-    name = lambda c: F.element_at("_names", c.cast("int"))
-    out = out.withColumn("prediction", F.coalesce(name(F.col("pred")), F.lit(""))).join(F.broadcast(table), F.col("prediction") == F.col("_class"), "left")
+    name = lambda c: F.element_at(names, c.cast("int"))
+    out = scored.withColumn("prediction", F.coalesce(name(F.col("pred")), F.lit(""))).join(F.broadcast(table), F.col("prediction") == F.col("_class"), "left")
     severity = F.when(F.col("prediction") == benign, 0).otherwise(F.coalesce("severity", F.lit(dims.UNKNOWN_SEVERITY)))
     columns = [
         *(F.col(k) for k in key), F.col("prediction"), rounded(F.col("confidence")).alias("confidence"),
