@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.storage import stored
-from flowlens.llm.textops import fresh, partitions
+from flowlens.llm.textops import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Subtrees of the splitting tree at least, and shards of a subtree at most.
@@ -30,7 +30,7 @@ MOST = 900_000_000
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """df with source_no: its rows counted from 0 in order, range by range."""
-    spread = df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("range", F.spark_partition_id())
+    spread = df.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     spread = stored(spread, "mix-order")
     upto = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = spread.groupBy("range").agg(F.count("*").alias("n")).select("range", (upto - F.col("n")).alias("before"))  # a row a shuffle partition
@@ -47,7 +47,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: float = 3.0) -
     known = numbered(sources, F.col("source").isNull(), F.col("source").cast("binary"))
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     known = stored(known.withColumn("weight", F.get(cycle, (F.col("source_no") % len(weights)).cast("int"))), "mix-sources")
-    share, cap = F.lit(0.0), F.lit(most) * F.col("source_size")
+    cap = F.lit(most) * F.col("source_size")
     total = float(known.agg(F.sum("source_size")).first()[0] or 0)
     unit, full = 0.0, -1
     while True:  # the unit grows with each source found full, until no other is
