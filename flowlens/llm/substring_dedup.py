@@ -40,7 +40,7 @@ from flowlens.llm.textops import (
 )
 
 BLOCK_BYTES = 8 << 20
-EXTRA = 3  # bytes of the second hash
+EXTRA = 2  # bytes of the second hash
 SPAN = "array<struct<start:bigint,stop:bigint>>"
 
 
@@ -190,7 +190,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of these names. Empty and null texts have no word. A null id neither removes nor loses words.
     Rows with one id count as one document: a window at the same place of both is no repeat, and
     what is removed from one is removed at the same places of the other. Two windows count as
-    equal if 88 bits of hashes are equal. Ids must be integers.
+    equal if 80 bits of hashes are equal. Ids must be integers.
     """
     if width < 1:
         raise ValueError("width must be positive")
