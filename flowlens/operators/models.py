@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import key_hash
+from flowlens.sources.stage import moved
 
 
 def expanded(proba: Column, codes: Sequence[int], k: int) -> Column:
@@ -177,23 +178,6 @@ def _digest(spark: SparkSession, folder: str) -> str:
     return hashlib.sha256("\n".join(sorted(r["line"] for r in rows)).encode()).hexdigest()
 
 
-def _moved(spark: SparkSession, source: str, target: str) -> None:
-    """Renames a folder in its file system, in the place of an older one."""
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(f"{target}.old-{uuid.uuid4().hex}")
-    had = files.exists(new)
-    if had and not files.rename(new, aside):
-        raise OSError(f"{target} can't be moved")
-    if not files.rename(old, new):
-        if had:
-            files.rename(aside, new)
-        raise OSError(f"{source} can't be moved")
-    if had:
-        files.delete(aside, True)
-
-
 def save(model: Model | Centroids, path: str, df: DataFrame, key: Sequence[str], classes: Sequence[str] = (), metrics: dict[str, float] | None = None, drift: float = 1e-5, rows: int = 64) -> dict:
     """Writes an artifact and returns its manifest: features in order, classes, metrics, provenance, digest.
 
@@ -217,7 +201,7 @@ def save(model: Model | Centroids, path: str, df: DataFrame, key: Sequence[str],
     gap = a.join(b, list(key)).agg(F.max(F.array_max(F.zip_with("_a", "_b", lambda x, y: F.abs(x - y)))).alias("g")).first()["g"]
     if gap is None or not gap <= drift:
         raise ValueError(f"the reloaded model differs by {gap}")
-    _moved(spark, staging, path)
+    moved(spark, staging, path)
     return manifest
 
 

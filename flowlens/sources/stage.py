@@ -29,3 +29,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder in its file system, in the place of an older one."""
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{target}.old-{uuid.uuid4().hex}")
+    had = files.exists(new)
+    if had and not files.rename(new, aside):
+        raise OSError(f"{target} can't be moved")
+    if not files.rename(old, new):
+        if had:
+            files.rename(aside, new)
+        raise OSError(f"{source} can't be moved")
+    if had:
+        files.delete(aside, True)

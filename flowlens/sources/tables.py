@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from flowlens.functions.local import local_table
 from flowlens.operators.normalise import canonical_columns, column_name, drop_identifiers, merged, normalise_labels, numbers
 from flowlens.sources import dims
+from flowlens.sources.stage import moved
 
 CHARSET = "ISO-8859-1"
 
@@ -132,14 +134,17 @@ def settings_digest(settings: dict) -> str:
 
 
 def cached_split(spark: SparkSession, folder: str, settings: dict, make) -> DataFrame:
-    """make() once per settings: its table is written below `folder` and read again later."""
+    """make() once per settings: its table is written beside its place below `folder`, moved there when
+    whole, and read again later."""
     path = f"{folder.rstrip('/')}/split-{settings_digest(settings)}"
     try:
         return spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    make().write.parquet(path)
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    make().write.parquet(staging)
+    moved(spark, staging, path)
     return spark.read.parquet(path)
 
 

@@ -170,6 +170,19 @@ def test_split_cache(spark, tmp_path):
     for _ in range(2):
         assert tables.cached_split(spark, str(tmp_path), {"seed": 1}, make).count() == 3
     assert len(calls) == 1 and tables.settings_digest({"a": 1}) != tables.settings_digest({"a": 2})
+    broken = lambda: spark.range(3).select(F.raise_error(F.lit("lost")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        tables.cached_split(spark, str(tmp_path), {"seed": 2}, broken)
+    assert tables.cached_split(spark, str(tmp_path), {"seed": 2}, make).count() == 3
+
+
+def test_results_are_written(spark, tmp_path):
+    df = spark.range(3).toDF("x")
+    tables.write_tables({"a": df, "b": df.limit(1)}, str(tmp_path))
+    assert [spark.read.parquet(f"{tmp_path}/{n}").count() for n in "ab"] == [3, 1]
+    for kind in ("csv", "parquet"):
+        tables.write_verdicts(df, f"{tmp_path}/v", kind)
+    assert spark.read.parquet(f"{tmp_path}/v").count() == 3
 
 
 def test_refuses_a_table_without_features(spark):
