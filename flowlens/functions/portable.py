@@ -74,3 +74,13 @@ def class_rank(df: DataFrame, label: str, key: Sequence[str], seed: str, name: s
     ranked = hashed_rows(df, key, seed).withColumn("_inside", F.row_number().over(inside))
     out = ranked.join(counts, ranked[label].eqNullSafe(counts["_class"]) & (ranked["_digits"] == counts["_own"]))
     return out.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """df with each row's number, from 0, in an order without ties: rows are cut into ranges, numbered
+    inside them, and the sizes of earlier ranges added. No task holds more than a range."""
+    cut = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = cut.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (upto - F.col("_n")).alias("_before"))  # a row a partition
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return cut.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + at).select(*df.columns, name)

@@ -10,10 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
-from flowlens.functions.portable import class_rank, rounded
+from flowlens.functions.portable import class_rank, numbered, rounded
 from flowlens.operators.sample import class_counts
 from flowlens.sources.stage import stored
 
@@ -119,11 +118,9 @@ def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, cla
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """(_c, _k, _pick): the number of each key in its class, from 0 in order of keys; no task holds a class."""
-    keys = rows.select("_c", "_k").sort("_c", "_k")
-    schema = T.StructType([*keys.schema.fields, T.StructField("_pick", T.LongType())])
-    numbered = rows.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
-    first = numbered.groupBy(F.col("_c").alias("_own")).agg(F.min("_pick").alias("_first"))
-    return numbered.join(F.broadcast(first), F.col("_c") == F.col("_own")).select("_c", "_k", (F.col("_pick") - F.col("_first")).alias("_pick"))
+    every = numbered(rows.select("_c", "_k"), ["_c", "_k"], "_pick")
+    first = every.groupBy(F.col("_c").alias("_own")).agg(F.min("_pick").alias("_first"))
+    return every.join(F.broadcast(first), F.col("_c") == F.col("_own")).select("_c", "_k", (F.col("_pick") - F.col("_first")).alias("_pick"))
 
 
 def _draw(seed: str, what: str, n: Column) -> Column:

@@ -60,7 +60,7 @@ def global_importance(contributions: DataFrame, label: str) -> DataFrame:
 
 
 def importance_shares(by_class: DataFrame, digits: int = 9) -> DataFrame:
-    """(feature, importance, position, share, cumulative): summed over the classes."""
+    """(feature, importance, position, share, cumulative): summed over the classes; a row a feature."""
     total = by_class.groupBy("feature").agg(F.sum("importance").alias("importance"))
     order = Window.orderBy(F.desc(F.round("importance", digits)), "feature")
     share = ratio(F.col("importance"), F.sum("importance").over(Window.partitionBy()))
@@ -108,7 +108,7 @@ def permutation_importance(
 
 
 def recall_drop(df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, score: Scorer, seed: str = "permute") -> DataFrame:
-    """(feature, code, drop): the fall in each class's recall, one repeat."""
+    """(feature, code, drop): the fall in each class's recall, one repeat; df should be a bounded sample."""
     rows = df.select(*key, code, *(F.col(f).cast("double").alias(f) for f in features)).withColumn("_i", F.row_number().over(Window.orderBy(*key)))
     base = score(rows).groupBy(code).agg(F.avg((predicted() == F.col(code)).cast("double")).alias("b"))
     cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("_v")) for f in features)))

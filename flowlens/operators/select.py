@@ -119,7 +119,7 @@ RANKERS = {"anova": anova, "chi2": chi2, "mutual_info": mutual_information}
 
 def fuse(scores: DataFrame, first: str = "anova") -> DataFrame:
     """(feature, score, position) of (method, feature, score): mean reciprocal rank over the methods;
-    ties by the first method's score, then name."""
+    ties by the first method's score, then name. A row a feature."""
     ranked = scores.withColumn("rank", F.rank().over(Window.partitionBy("method").orderBy(F.desc("score"))))
     own = F.max(F.when(F.col("method") == first, F.col("score"))).alias("tie")
     out = ranked.groupBy("feature").agg(F.avg(1 / F.col("rank")).alias("score"), own)

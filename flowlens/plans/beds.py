@@ -30,10 +30,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def li(spark: SparkSession, folder: str) -> DataFrame:
+def li(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """rows: lineitem, if not to be read as a table."""
     q, d = F.col("l_quantity"), F.col("l_discount")
     label = F.when((q >= 49) & (d >= 0.1), "rare").when(q >= 45, "big").when(d >= 0.09, "deep").otherwise("base")
-    return table(spark, folder, "lineitem").select(*KEY, *FEATURES, label.alias("label"))
+    rows = table(spark, folder, "lineitem") if rows is None else rows
+    return rows.select(*KEY, *FEATURES, label.alias("label"))
 
 
 def lid(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,9 +52,9 @@ def lid(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_h", "_copy")
 
 
-def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b", shares: bool = True) -> DataFrame:
+def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b", shares: bool = True, rows: DataFrame | None = None) -> DataFrame:
     """shares=False: proba as the numbers whose shares the probabilities are."""
-    rows = li(spark, folder)
+    rows = li(spark, folder, rows)
     code = F.array_position(F.array(*(F.lit(c) for c in CLASSES)), F.col("label")).cast("int") - 1
     rows = rows.withColumn("code", code)
     rows = once(rows, {"_b": hash_int(b, KEY) % 100 < 70, **{f"_h{k}": hash_int(f"{p}{k}", KEY) % 97 for k in range(4)}})

@@ -11,6 +11,8 @@ from flowlens.operators.normalise import encode
 from flowlens.plans import beds
 from flowlens.plans.beds import BENIGN, CLASSES, FEATURES, KEY, KEYS, LI
 from flowlens.plans.catalog import query
+from flowlens.plans.q_evaluate import CM
+from flowlens.sources.stage import new_folder
 
 
 def stream(spark, folder, name):
@@ -56,6 +58,14 @@ def _(spark, folder):
     return streaming.run_available(out.select(*KEY, name.alias("prediction"), rounded(F.col("confidence"), 4).alias("confidence"), "is_attack", "status"))
 
 
+@query("stream_evaluation", f"with {CM} select * from cm where n > 0")
+def _(spark, folder):
+    """Confusion counts of micro-batches, added up."""
+    state = new_folder(spark, "confusion")
+    streaming.evaluate_batches(beds.pr(spark, folder, rows=stream(spark, folder, "lineitem")), state).awaitTermination()
+    return streaming.confusion_so_far(spark, state)
+
+
 @query("stream_sample", """select event_id, event_type from events where cast('0x' || substr(md5(concat_ws('|', 's', cast(event_id as varchar))), 1, 8) as bigint) / 4294967296.0
   < case event_type when 'view' then 0.1 when 'click' then 0.5 else 1 end""")
 def _(spark, folder):

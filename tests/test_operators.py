@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from flowlens.functions.portable import class_rank
 from flowlens import streaming
+from flowlens.functions.portable import class_rank, numbered
 from flowlens.operators import balance, clean, evaluate, explain, models, narrate, normalise, prep, sample, score, select, tune
 from flowlens.sources import dims, tables
 
@@ -385,3 +385,10 @@ def test_report_checks_its_probabilities(spark):
 def test_models_of_several_splits_are_marked(spark):
     df = spark.createDataFrame([("a", 0.5, "test"), ("b", None, "val")], "model string, f1 double, split string")
     assert [(r["model"], r["rank"], r["mixed_split"]) for r in evaluate.compare(df, "f1", ["model"]).collect()] == [("a", 1, True), ("b", 2, True)]
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 503).alias("a"), F.col("id").alias("b")).repartition(5)
+    got = sorted((r["number"], r["a"], r["b"]) for r in numbered(df, ["a", "b"]).collect())
+    assert [g[0] for g in got] == list(range(500)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert numbered(df.limit(0), ["a"]).count() == 0

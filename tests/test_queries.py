@@ -14,7 +14,7 @@ FAST = [
     "holdout", "bootstrap", "prep_fit_robust", "prep_transform_standard", "prep_inverse", "class_weights_balanced", "rank_anova", "rank_chi2", "rank_mutual_information", "correlations",
     "oversample", "verdict_table", "repair_report", "verdict_overview", "triage", "class_metrics", "top_k_accuracy", "calibration_error",
     "areas_with_ties", "binary_metrics", "threshold_sweep", "recommended_thresholds", "permutation_importance", "permutation_importance_f1", "evaluation_report", "sampling_report", "prune_correlated", "rank_stability", "prep_constant",
-    "stream_tally", "stream_scoring", "stream_sample", "stream_dedup", "stream_windows", "stream_sliding_windows", "stream_sessions",
+    "stream_tally", "stream_scoring", "stream_evaluation", "stream_sample", "stream_dedup", "stream_windows", "stream_sliding_windows", "stream_sessions",
 ]
 
 
