@@ -8,6 +8,7 @@ hold no whole chunk are found by 128-bit hashes of every two (`least`) consecuti
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ from flowlens.llm.textops import (
 
 BLOCK_BYTES = 8 << 20
 MASK = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15
 
 
 def chunks(text: bytes, window: int, spacing: int, least: int, most: int) -> list[list[bytes]]:
@@ -47,15 +49,12 @@ def chunks(text: bytes, window: int, spacing: int, least: int, most: int) -> lis
     once it has `least` lines, or at `most` lines. A rest of fewer than `least` lines belongs to the
     chunk before it.
     """
-    out, chunk, recent = [], [], []
+    out, chunk, recent, rolled = [], [], deque(), 0
+    gone = pow(BASE, window, MASK + 1)
     for line in text.split(b"\n"):
         chunk.append(line)
         recent.append(xxhash.xxh64_intdigest(line))
-        if len(recent) > window:
-            recent.pop(0)
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & MASK
+        rolled = (rolled * BASE + recent[-1] - (recent.popleft() * gone if len(recent) > window else 0)) & MASK
         if len(chunk) >= most or (len(chunk) >= least and (rolled >> 17) % spacing == 0):
             out.append(chunk)
             chunk = []
