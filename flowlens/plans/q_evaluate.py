@@ -8,7 +8,7 @@ from flowlens.functions.portable import rounded
 from flowlens.operators import evaluate as ev
 from flowlens.operators.narrate import calibration_verdict
 from flowlens.plans import beds
-from flowlens.plans.beds import CELLS, KEYS, LI, PR, pr_sql
+from flowlens.plans.beds import CELLS, KEYS, LI, pr_sql
 from flowlens.plans.catalog import query
 
 PRED = f"{CELLS}, pred as (select {KEYS}, y, max(case when r = 1 then k end) as pred, max(case when r = 1 then p end) as conf, max(case when k = y then p end) as own, max(case when k = y then r end) as place from ranked group by {KEYS}, y)"
