@@ -67,7 +67,7 @@ group by bit, rule
 
 _ESC = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
 
-CHAT_FORMAT = rf"""
+_CHAT = rf"""
 with recursive all_turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
@@ -97,7 +97,10 @@ own as (select r.*, coalesce(g.win, 0) as win from r left join g on r.conv_id =
 starts as (
   select conv_id, win, min(case when not is_system then before end) as begin,
     least(128, 512 - max(system_tokens) - sum(case when is_system then 0 else tokens end)) as allowed
-  from own group by conv_id, win),
+  from own group by conv_id, win)
+"""
+
+CHAT_FORMAT = rf"""{_CHAT},
 chars as (
   select o.conv_id, sum(o.chars) as n from own o join starts w on o.conv_id = w.conv_id
     and (o.win = w.win or (w.win > o.win and (o.is_system or w.begin - o.before <= w.allowed))) group by o.conv_id),
@@ -110,6 +113,15 @@ select t.conv_id, cast(n_turns as bigint) as n_turns, sha256(said) as turns_sha2
 from told t join chars c on t.conv_id = c.conv_id
 """
 
+_PIECE = f"""'<|im_start|>' || replace({_ESC.format("o.role")}, chr(10), '\\-') || chr(10) || {_ESC.format("o.text")} || '<|im_end|>' || chr(10)"""
+
+CHAT_WINDOWS = rf"""{_CHAT}
+select o.conv_id, cast(w.win as bigint) as window, count(*) filter (o.win < w.win) as n_context, cast(sum(o.tokens) as bigint) as n_tokens,
+  sha256(string_agg({_PIECE}, '' order by o.seq)) as formatted_sha256
+from own o join starts w on o.conv_id = w.conv_id and (o.win = w.win or (w.win > o.win and (o.is_system or w.begin - o.before <= w.allowed)))
+group by o.conv_id, w.win
+"""
+
 WARC = """
 with p as (
   select page_id, url, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),

@@ -141,6 +141,7 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op4_warc": oracles.WARC,
     "op2_chat_format": oracles.CHAT_FORMAT,
+    "op2_chat_windows": oracles.CHAT_WINDOWS,
     "op7_quality_rules": oracles.QUALITY_RULES,
     "op7_rule_ablation": oracles.RULE_ABLATION,
     "op8_ngram_join": oracles.NGRAM_JOIN,
