@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from flowlens.llm import oracles
+from flowlens.llm.bpe_codec import decode, encode, ids_digest
 from flowlens.llm.chat_format import format_windows, read_back
 from flowlens.llm.decontaminate import find_leaks
 from flowlens.llm.language_id import fit, held_out, identify
@@ -120,6 +123,15 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, encoded with the word-end vocabulary and decoded again."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    out = ids_digest(decode(encode(table(spark, folder, "documents").select("doc_id", "text"), spec).drop("text"), spec))
+    decoded = F.sha2("decoded", 256).alias("decoded_sha256")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", decoded)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -132,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op13_bpe": op13_bpe,
     "op7_rule_ablation": op7_rule_ablation,
     "op9_license_base": op9_license_base,
     "op10_mixing_targets": op10_mixing_targets,
