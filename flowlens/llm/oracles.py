@@ -180,3 +180,37 @@ u as (select (total::double - 3.0 * fuller) / open_weight as unit from o where w
 select doc_id, size, cast(k.n as bigint) as source_size, case when k.n > 0 then least(k.w * u.unit, 3.0 * k.n) else 0.0 end::double as target
 from d join k on d.source is not distinct from k.source left join u on true
 """
+
+
+def _vector_codes(parts: int, entries: int, rounds: int) -> str:
+    """Assign and average, round by round."""
+    assign = """
+a{r} as materialized (
+  select n, j, q, arg_min(e, d * 256 + e) as e, min(d) as d from (
+    select p.n, p.j, p.q, b.e, list_sum(list_transform(list_zip(p.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+    from p join b{r} b on p.j = b.j)
+  group by n, j, q)"""
+    average = """
+b{s} as materialized (
+  select b.j, b.e, coalesce(m.q, b.q) as q from b{r} b left join (
+    select j, e, list(cast(floor(s / c) as bigint) order by k) as q from (
+      select j, e, k, sum(x) as s, count(*) as c from (select j, e, unnest(q) as x, unnest(range(len(q))) as k from a{r}) group by j, e, k)
+    group by j, e) m on b.j = m.j and b.e = m.e)"""
+    steps = [t for r in range(rounds) for t in (assign.format(r=r), average.format(r=r, s=r + 1))]
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id) as n, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as materialized (
+  select n, j, v[j * (len(v) // {parts}) + 1 : (j + 1) * (len(v) // {parts})] as q from (select n, v, unnest(range({parts})) as j from kept)),
+b0 as materialized (select j, n - 1 as e, q from p where n <= {entries}),{",".join([*steps, assign.format(r=rounds)])},
+each as (select n, string_agg(printf('%02x', cast(e as int)), '' order by j) as code, cast(sum(d) as bigint) as error from a{rounds} group by n),
+books as (
+  select sha256(string_agg(cast(x as varchar), ',' order by j, e, k)) as h
+  from (select j, e, unnest(q) as x, unnest(range(len(q))) as k from b{rounds}))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select h from books) as codebooks_sha256
+from each join kept using (n)
+"""
+
+
+VECTOR_CODES = _vector_codes(8, 16, 6)

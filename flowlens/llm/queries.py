@@ -20,6 +20,7 @@ from flowlens.llm.mixing import amounts, mix
 from flowlens.llm.ngram_join import jaccard_components
 from flowlens.llm.quality_rules import ablation, apply_policy, ledger
 from flowlens.llm.substring_dedup import remove_repeats
+from flowlens.llm.vector_codes import compress, with_label_error
 from flowlens.llm.warc import read_records, write_archives
 
 
@@ -123,6 +124,13 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every vector of finite numbers, by codebooks of eight parts learned in six rounds."""
+    made = compress(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    books = F.lit(made.books_sha256()).alias("codebooks_sha256")
+    return with_label_error(made.codes).select("vec_id", "code", "error", "label_error", books)
+
+
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document, encoded with the word-end vocabulary and decoded again."""
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
@@ -144,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op12_vector_codes": op12_vector_codes,
     "op13_bpe": op13_bpe,
     "op7_rule_ablation": op7_rule_ablation,
     "op9_license_base": op9_license_base,
@@ -158,6 +167,7 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.QUALITY_RULES,
     "op7_rule_ablation": oracles.RULE_ABLATION,
     "op8_ngram_join": oracles.NGRAM_JOIN,
+    "op12_vector_codes": oracles.VECTOR_CODES,
     "op9_license_base": oracles.LICENSE_BASE,
     "op10_mixing_targets": oracles.MIXING_TARGETS,
 }
