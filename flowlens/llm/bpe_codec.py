@@ -14,6 +14,7 @@ level by level; a shorter word is joined within its task.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
@@ -33,7 +34,7 @@ from flowlens.llm.textops import fresh, replaced, slices, utf8
 
 LEAF = 1024  # symbols of a piece that is encoded at once
 SPLIT = 1 << 16  # bytes of a word whose leaves are dealt over the cluster
-CACHED = 1 << 20  # words a worker remembers,
+CACHED = 1 << 18  # words a worker remembers, and as many that it used before those,
 CACHED_BYTES = 64  # each of so many bytes at most
 IDS = T.ArrayType(T.IntegerType())
 #: With this pattern of pieces (a fixed value) a match that begins with a letter or digit ends before a stop.
@@ -65,11 +66,20 @@ class Codec:
         self.stops = splits.get("pattern") == {"Regex": LETTERS_APART} and not any(re.search("[.,;:!?]", t) for t in self.special)
         self.suffix = file["model"].get("end_of_word_suffix") or ""
         file |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.last = Tokenizer.from_str(json.dumps(file))  # pieces, or their ends
-        file["model"]["end_of_word_suffix"] = None
-        self.inner = Tokenizer.from_str(json.dumps(file))  # parts of a piece before its end
+        self.bare = file
         self.tokens = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @functools.cached_property
+    def last(self) -> Tokenizer:
+        """Of whole pieces and their ends."""
+        return Tokenizer.from_str(json.dumps(self.bare))
+
+    @functools.cached_property
+    def inner(self) -> Tokenizer:
+        """Of parts of a piece before its end."""
+        return Tokenizer.from_str(json.dumps(self.bare | {"model": self.bare["model"] | {"end_of_word_suffix": None}}))
 
     def ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -126,9 +136,10 @@ class Codec:
         for lo, hi in slices(texts):
             split = [(STOPS.sub(b" ", t) if self.stops else t).split() for t in texts[lo:hi]]
             if len(self.cache) > CACHED:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             new = list(set().union(*split).difference(self.cache))
-            self.learn(new)
+            self.cache.update((w, self.older[w]) for w in new if w in self.older)
+            self.learn([w for w in new if w not in self.cache])
             yield from (b"".join(map(self.cache.__getitem__, words)) for words in split)
             for w in new:
                 if len(w) > CACHED_BYTES:
@@ -152,8 +163,10 @@ def _encoded(docs: DataFrame, spec: str, text_col: str, out: str, leaf: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec, leaf)
         for b in batches:
-            ids = list(c.encoded(utf8(b.column(text_col))))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), lists(ids)], names=[*keep, out])
+            texts = utf8(b.column(text_col))
+            for lo, hi in slices(texts, 4 << 20):
+                ids = lists(list(c.encoded(texts[lo:hi])))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in keep), ids], names=[*keep, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -241,39 +254,30 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", out: str = "ids",
     return short if spread.isEmpty() else short.unionByName(_spread(spread, spec, text_col, out, leaf, split))
 
 
-def decode(df: DataFrame, spec: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, spec: str, ids_col: str = "ids", out: str = "decoded", digest: str | None = None) -> DataFrame:
     """df with the text of the ids: tokens with a blank between, as a vocabulary without a decoder has it.
 
-    Special tokens stay. Null ids give null, an id outside the vocabulary nothing; a column named as
-    `out` is replaced.
+    digest: a column for the hex SHA-256 of the ids as little-endian unsigned 32-bit integers, too.
+    Special tokens stay. Null ids give null, an id outside the vocabulary nothing; columns named as the
+    new ones are replaced.
     """
-    schema = replaced(df.schema, [T.StructField(out, T.StringType())])
-    keep, tokens = [f.name for f in schema.fields[:-1]], codec(spec, LEAF).tokens
+    schema = replaced(df.schema, [T.StructField(c, T.StringType()) for c in (out, digest) if c])
+    new = 1 + bool(digest)
+    keep, tokens = [f.name for f in schema.fields[:-new]], codec(spec, LEAF).tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(tokens, pa.large_string())
+        words, blank = pa.array(tokens, pa.large_string()), pa.scalar(" ", pa.large_string())
         for b in batches:
             ids = b.column(ids_col)
             flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
             known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(words))).fill_null(False).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(sizes)), sizes)[known]
             edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
-            text = pc.binary_join(pa.LargeListArray.from_arrays(edges, words.take(flat.filter(pa.array(known)))), pa.scalar(" ", pa.large_string())).cast(pa.string())
-            text = pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), text)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), text], names=[*keep, out])
+            text = pc.binary_join(pa.LargeListArray.from_arrays(edges, words.take(flat.filter(pa.array(known)))), blank).cast(pa.string())
+            columns = [pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), text)]
+            if digest:
+                raw = (None if x.values is None else np.asarray(x.values, dtype="<u4").tobytes() for x in ids)
+                columns.append(pa.array([None if r is None else hashlib.sha256(r).hexdigest() for r in raw], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *columns], names=[*keep, *schema.names[-new:]])
 
     return df.mapInArrow(run, schema)
-
-
-def ids_digest(df: DataFrame, ids_col: str = "ids", out: str = "ids_sha256") -> DataFrame:
-    """df with the hex SHA-256 of the ids as little-endian unsigned 32-bit integers; null for null."""
-    schema = replaced(df.schema, [T.StructField("_bytes", T.BinaryType())])
-    keep = [f.name for f in schema.fields[:-1]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(ids_col)
-            raw = [None if x.values is None else np.asarray(x.values, dtype="<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(raw, pa.binary())], names=[*keep, "_bytes"])
-
-    return df.mapInArrow(run, schema).withColumn(out, F.sha2("_bytes", 256)).drop("_bytes")

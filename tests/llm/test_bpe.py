@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowlens.llm import queries
-from flowlens.llm.bpe_codec import Codec, decode, encode, ids_digest
+from flowlens.llm.bpe_codec import Codec, decode, encode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -98,7 +98,7 @@ def test_repeated_rows_and_an_empty_table(spark, spec):
 
 def test_ids_that_do_not_exist(spark, spec, library):
     df = spark.createDataFrame([(1, [320, -1, 60_000, 49407]), (2, None), (3, [])], "doc_id long, ids array<int>")
-    got = {r["doc_id"]: r for r in ids_digest(decode(df, spec)).collect()}
+    got = {r["doc_id"]: r for r in decode(df, spec, digest="ids_sha256").collect()}
     assert got[1]["decoded"] == library.decode([320, 49407], skip_special_tokens=False)
     assert got[2]["decoded"] is None and got[2]["ids_sha256"] is None
     assert got[3]["decoded"] == "" and got[3]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
