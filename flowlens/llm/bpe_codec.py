@@ -36,6 +36,7 @@ LEAF = 1024  # symbols of a piece that is encoded at once
 SPLIT = 1 << 16  # bytes of a word whose leaves are dealt over the cluster
 CACHED = 1 << 18  # words a worker remembers, and as many that it used before those,
 CACHED_BYTES = 64  # each of so many bytes at most
+AT_ONCE = 1 << 20  # ids that are decoded at once
 IDS = T.ArrayType(T.IntegerType())
 #: With this pattern of pieces (a fixed value) a match that begins with a letter or digit ends before a stop.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -254,6 +255,14 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", out: str = "ids",
     return short if spread.isEmpty() else short.unionByName(_spread(spread, spec, text_col, out, leaf, split))
 
 
+def parted(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about AT_ONCE ids; a longer row stands alone."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(b.column(ids_col)), 0).to_numpy()) // AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(i, j - i) for i, j in zip(edges, edges[1:], strict=False))
+
+
 def decode(df: DataFrame, spec: str, ids_col: str = "ids", out: str = "decoded", digest: str | None = None) -> DataFrame:
     """df with the text of the ids: tokens with a blank between, as a vocabulary without a decoder has it.
 
@@ -267,7 +276,7 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out: str = "decoded",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, blank = pa.array(tokens, pa.large_string()), pa.scalar(" ", pa.large_string())
-        for b in batches:
+        for b in parted(batches, ids_col):
             ids = b.column(ids_col)
             flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
             known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(words))).fill_null(False).to_numpy(zero_copy_only=False)
