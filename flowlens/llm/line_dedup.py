@@ -1,14 +1,16 @@
-"""Line dedup: repeated runs of lines are removed.
-
-A text's lines are hashed; a rolling hash over consecutive line hashes sets the ends of chunks, so
-that a line added before a passage does not shift the chunks behind it. Chunks of two lines or more
-that stand elsewhere too are removed, but for the first, after their bytes are compared. Runs that
-hold no whole chunk are found by 128-bit hashes of every two (`least`) consecutive lines.
+"""Line dedup: repeated chunks of lines are removed, with the equal lines around them.
+
+A text's lines are hashed; a rolling hash over the last `window` line hashes sets the ends of chunks.
+An end depends on so many lines alone, so a line added before a passage does not shift the chunks
+behind it. Several families of ends, from different bits of the hashes, cut each text several times: a
+repeated run is found once it holds a whole chunk of one family. Hashes of chunks are counted in Spark;
+the first occurrence of each repeated chunk sends its bytes, and those of the chunks before and behind
+it, once to every group of texts that has the chunk. There the bytes are compared, and the equal run is
+extended line by line to both sides.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,205 +21,189 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.substring_dedup import packed_by_group, places_of
-from flowlens.llm.textops import (
-    buckets,
-    fresh,
-    is_long,
-    pack,
-    pack_places,
-    replaced,
-    slices,
-    spread_column,
-    squeezed,
-    text_bytes,
-    unpack,
-    unpack_places,
-    unsqueezed,
-    utf8,
-)
+from flowlens.llm.textops import buckets, fresh, is_long, replaced, slices, spread, spread_column, squeezed, text_bytes, unsqueezed, utf8
 
 BLOCK_BYTES = 8 << 20
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
+FAMILIES = 3
 
 
-def chunks(text: bytes, window: int, spacing: int, least: int, most: int) -> list[list[bytes]]:
-    """The text's lines in content-defined chunks.
+def cuts(lines: list[bytes], window: int, spacing: int, least: int, most: int, families: int) -> list[list[int]]:
+    """For each family the first lines of its chunks, and the number of lines.
 
-    A chunk ends at a line where the hash of the last `window` line hashes is 0 modulo `spacing`,
-    once it has `least` lines, or at `most` lines. A rest of fewer than `least` lines belongs to the
-    chunk before it.
+    A chunk ends at a line where the family's bits of the rolling hash are 0 modulo `spacing`, once it
+    has `least` lines, or at `most` lines. A rest of fewer than `least` lines belongs to the chunk before.
     """
-    out, chunk, recent, rolled = [], [], deque(), 0
-    gone = pow(BASE, window, MASK + 1)
-    for line in text.split(b"\n"):
-        chunk.append(line)
-        recent.append(xxhash.xxh64_intdigest(line))
-        rolled = (rolled * BASE + recent[-1] - (recent.popleft() * gone if len(recent) > window else 0)) & MASK
-        if len(chunk) >= most or (len(chunk) >= least and (rolled >> 17) % spacing == 0):
-            out.append(chunk)
-            chunk = []
-    if chunk and len(chunk) < least and out:
-        out[-1] += chunk
-    elif chunk:
-        out.append(chunk)
+    rolled = hashes = [xxhash.xxh64_intdigest(line) for line in lines]
+    if window > 1:
+        gone, rolled, value = pow(BASE, window, MASK + 1), [], 0
+        for k, h in enumerate(hashes):
+            value = (value * BASE + h - (hashes[k - window] * gone if k >= window else 0)) & MASK
+            rolled.append(value)
+    out = []
+    for family in range(families):
+        shift, starts, at = 3 + 15 * (family % 4), [0], 0
+        for k, h in enumerate(rolled, 1):
+            if k - at >= least and (k - at >= most or (h >> shift) % spacing == 0):
+                starts.append(k)
+                at = k
+        n = len(lines)
+        if at < n and n - at < least and len(starts) > 1:
+            starts.pop()
+        out.append(starts if starts[-1] == n else [*starts, n])
     return out
 
 
-def runs(lines: list[bytes], least: int) -> Iterator[tuple[int, bytes]]:
-    """(first line, hash) of every `least` consecutive lines with some word."""
-    words = [bool(line.strip()) for line in lines]
-    for k in range(len(lines) - least + 1):
-        if any(words[k : k + least]):
-            yield k, xxhash.xxh3_128_digest(b"\n".join(lines[k : k + least]))
+def chunks(lines: list[bytes], *cut: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(first line of the chunk before, first line, stop, stop of the chunk behind, body) of every chunk of
+    `least` lines and some word, once if families agree."""
+    least = cut[2]
+    seen = set()
+    for starts in cuts(lines, *cut):
+        for k in range(len(starts) - 1):
+            a, b = starts[k], starts[k + 1]
+            if b - a < least or (a, b) in seen:
+                continue
+            seen.add((a, b))
+            body = b"\n".join(lines[a:b])
+            if body.strip():
+                yield starts[max(0, k - 1)], a, b, starts[min(k + 2, len(starts) - 1)], body
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def equal_run(lines: list[bytes], a: int, b: int, first: int, before: list[bytes], behind: list[bytes], same: bool) -> tuple[int, int]:
+    """The run around lines[a:b] that equals the lines around line `first` of another place, where
+    `before` and `behind` stand around the chunk; same: in the same text, where it may not overlap."""
+    x, y, n = a, b, b - a
+    for k, line in enumerate(reversed(before), 1):
+        if a - k < 0 or lines[a - k] != line or (same and a - k < first + n):
+            break
+        x = a - k
+    for k, line in enumerate(behind):
+        if b + k >= len(lines) or lines[b + k] != line or (same and first + n + k >= x):
+            break
+        y = b + k + 1
+    return x, y
 
 
 def dedup_lines(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = 2,
-    spacing: int = 3,
+    window: int = 1,
+    spacing: int = 2,
     least: int = 2,
     most: int = 64,
+    families: int = FAMILIES,
 ) -> DataFrame:
-    """df without repeated multi-line chunks and repeated runs of lines.
+    """df without repeated multi-line chunks and the equal lines around them.
 
     Of equal chunks with `least` (at least two) lines and some word, that in the smallest id, then
-    earliest in its text, stays; so with equal runs of `least` lines, but that a run which overlaps
-    the first in one document is no repeat. The columns of df stay, but for `text_col` (what is left; null
-    stays null) and new n_lines, n_lines_removed and n_chunks_removed, which replace columns of
-    these names. An empty text has one empty line. A null id neither removes nor loses lines. Rows
-    with one id count as one document: chunks at the same place of both are no repeats, and a place
-    removed from one is removed from the other.
+    earliest in its text, stays. The others are removed after their bytes were compared with it, and so
+    are lines next to them, as far as they equal the lines next to the first, within the chunk before and
+    the chunk behind. A repeated run that holds no whole chunk of any family stays. All is judged on
+    the input, and each line that goes equals an earlier line that stays. The columns of df stay, but
+    for `text_col` (what is left; null stays null) and new n_lines, n_lines_removed and n_chunks_removed
+    (chunks found repeated, of any family), which replace columns of these names. An empty text has one
+    empty line. Ids must be integers; a null id neither removes nor loses lines. Rows with one id count
+    as one document: chunks at the same place of both are no repeats.
     """
-    if least < 2 or most < least or window < 1 or spacing < 1:
-        raise ValueError("2 <= least <= most, window and spacing positive")
+    if least < 2 or most < least or window < 1 or spacing < 1 or not 1 <= families <= 4:
+        raise ValueError("2 <= least <= most, 1 <= families <= 4, window and spacing positive")
     spark = df.sparkSession
-    size = buckets(spark, text_bytes(df, text_col))
-    groups = size + 1
-    shift = 64 - (size.bit_length() - 1)
+    groups = buckets(spark, text_bytes(df, text_col)) + 1
     df = is_long(df, id_col)
+    cut = (window, spacing, least, most, families)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each chunk hash of a block and group of texts: the first place and how many there are."""
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), utf8(b.column(1))
+            to = spread(ids, groups)
+            for i, j in slices(texts, BLOCK_BYTES):
+                hashes, docs, lines, grps = [], [], [], []
+                for k in range(i, j):
+                    for _, a, _, _, body in chunks(texts[k].split(b"\n"), *cut):
+                        hashes.append(xxhash.xxh3_64_intdigest(body))
+                        docs.append(ids[k])
+                        lines.append(a)
+                        grps.append(to[k])
+                if not hashes:
+                    continue
+                h, d, at, g = np.array(hashes, np.uint64).view(np.int64), np.array(docs, np.int64), np.array(lines, np.int32), np.array(grps, np.int32)
+                order = np.lexsort((at, d, g, h))
+                h, d, at, g = h[order], d[order], at[order], g[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+                n = np.diff(np.append(new, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[new], d[new], at[new], g[new], n.astype(np.int64))], names=["hash", "doc", "line", "grp", "n"])
+
     texts = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
-    cut = (window, spacing, least, most)
-    #: Places of a document: twice the number of a chunk, or twice that of a run's first line and one.
-    overlap = lambda a, b: a[0] == b[0] and abs(b[1] - a[1]) < 2 * least
+    seen = texts.mapInArrow(count, "hash long, doc long, line int, grp int, n long")
+    repeated = seen.groupBy("hash").agg(F.min(F.struct("doc", "line")).alias("first"), F.sum("n").alias("n"), F.collect_set("grp").alias("grps")).where("n > 1")
+    wanted = repeated.select("hash", "first.doc", "first.line", "grps", spread_column(F.col("first.doc"), groups).alias("grp"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group = fresh(df, "grp")
+    left = squeezed(df, text_col).withColumn(group, spread_column(F.coalesce(F.col(id_col), F.xxhash64(text_col)), groups))
+
+    def quote(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        """The bytes of asked chunks and of the chunks around them, for the groups that have them."""
+        by: dict[int, dict[tuple[int, int], list[int]]] = {}
+        for h, doc, line, grps in zip(*(asked.column(c).to_pylist() for c in ("hash", "doc", "line", "grps")), strict=True):
+            by.setdefault(doc, {})[line, h] = grps
+        rows = {}
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            ids, all_texts = b.column(0).to_numpy(zero_copy_only=False), utf8(b.column(1))
-            for i, j in slices(all_texts, BLOCK_BYTES):
-                seen: dict[bytes, tuple[int, int]] = {}
-                by: dict[int, list[tuple[int, int, bytes]]] = {}
-                known: dict[int, list[tuple[int, int]]] = {}
-                met: dict[bytes, tuple[int, int]] = {}
-                hashed: dict[int, list[tuple[int, int, bytes]]] = {}
-                for k in np.argsort(ids[i:j], kind="stable"):
-                    doc = int(ids[i + k])
-                    for line, run in runs(all_texts[i + k].split(b"\n"), least):
-                        place = (doc, 2 * line + 1)
-                        first = met.setdefault(run, place)
-                        to = (int.from_bytes(run[:8], "big")) >> shift
-                        if first == place or overlap(first, place):
-                            hashed.setdefault(to, []).append((*place, run))
-                        else:
-                            known.setdefault((to * 31 + doc) % size, []).append(place)
-                    for at, lines in enumerate(chunks(all_texts[i + k], *cut)):
-                        at = 2 * at
-                        if len(lines) < least:
-                            continue
-                        body = b"\n".join(lines)
-                        if not body.strip():
-                            continue
-                        first = seen.setdefault(body, (doc, at))
-                        to = xxhash.xxh64_intdigest(body) >> shift
-                        if first == (doc, at):
-                            by.setdefault(to, []).append((doc, at, body))
-                        else:
-                            known.setdefault((to * 31 + doc) % size, []).append((doc, at))
-                rows = []
-                for to, got in by.items():
-                    got = list(dict.fromkeys(got))
-                    doc, at = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
-                    rows.append((to, pack(*pack_places(doc, at), np.array([len(g[2]) for g in got], np.int32)), z.compress(b"".join(g[2] for g in got))))
-                for to, got in hashed.items():
-                    got = list(dict.fromkeys(got))
-                    doc, at = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
-                    rows.append((to, pack(*pack_places(doc, at)), b"".join(g[2] for g in got)))
-                for to, pairs in known.items():
-                    rows.append((to, pack(*pack_places(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))), None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                        names=["bucket", "places", "bodies"],
-                    )
-
-    def compare(table: pa.Table) -> pa.Table:
-        z = zstandard.ZstdDecompressor()
-        first: dict[bytes, tuple[int, int]] = {}
-        later: list[tuple[int, int]] = []
-        head: dict[bytes, tuple[int, int]] = {}
-        again: list[tuple[bytes, tuple[int, int]]] = []
-        for places, bodies in zip(table.column("places").to_pylist(), table.column("bodies").to_pylist(), strict=True):
-            ids, counts, pos, *sizes = unpack(places)
-            pairs = list(zip(*(x.tolist() for x in unpack_places(ids, counts, pos)), strict=True))
-            if bodies is None:
-                later += pairs
+        for doc, t in zip(docs.column(id_col).to_pylist(), unsqueezed(docs.column(text_col)), strict=True):
+            if doc not in by or t is None:
                 continue
-            if not sizes:
-                for n, pair in enumerate(pairs):
-                    run = bodies[16 * n : 16 * n + 16]
-                    had = head.setdefault(run, pair)
-                    if pair < had:
-                        head[run] = pair
-                        again.append((run, had))
-                    elif pair > had:
-                        again.append((run, pair))
-                continue
-            raw, at = z.decompress(bodies), 0
-            for pair, n in zip(pairs, sizes[0].tolist(), strict=True):
-                body = raw[at : at + n]
-                at += n
-                had = first.setdefault(body, pair)
-                if pair < had:
-                    first[body] = pair
-                    later.append(had)
-                elif pair > had:
-                    later.append(pair)
-        later += [pair for run, pair in again if not overlap(head[run], pair)]
-        doc, pos = np.array([p[0] for p in later], np.int64), np.array([p[1] for p in later], np.int64)
-        return packed_by_group(doc, pos, groups)
-
-    found = texts.mapInArrow(send, "bucket int, places binary, bodies binary").groupBy("bucket").applyInArrow(compare, "grp int, places binary")
+            lines = t.split(b"\n")
+            for p, a, b, q, body in chunks(lines, *cut):
+                h = signed(xxhash.xxh3_64_intdigest(body))
+                if (a, h) in by[doc]:
+                    rows[h] = (h, doc, a, b - a, a - p, z.compress(b"\n".join(lines[p:q])), by[doc][a, h])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+        columns = list(zip(*rows.values(), strict=True)) or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "doc", "line", "size", "before", "body", "grps"])
+
+    quoted = left.groupBy(group).cogroup(wanted.groupBy("grp")).applyInArrow(quote, "hash long, doc long, line int, size int, before int, body binary, grps array<int>")
+    quoted = quoted.select(F.explode("grps").alias("grp"), "hash", "doc", "line", "size", "before", "body")
+
     counts = ["n_lines", "n_lines_removed", "n_chunks_removed"]
     new = [T.StructField(text_col, T.StringType()), *(T.StructField(c, T.LongType()) for c in counts)]
     schema = replaced(df.schema, new)
     kept_names = [f.name for f in schema.fields[: -len(new)]]
 
-    def rebuild(docs: pa.Table, places: pa.Table) -> pa.Table:
-        gone = places_of(places)
+    def rebuild(docs: pa.Table, firsts: pa.Table) -> pa.Table:
+        known = {h: k for k, h in enumerate(firsts.column("hash").to_pylist())}
+        place = list(zip(*(firsts.column(c).to_pylist() for c in ("doc", "line", "size", "before")), strict=True))
+        bodies, z = firsts.column("body"), zstandard.ZstdDecompressor()
         out: list[str | None] = []
         numbers: list[tuple[int, int, int]] = []
         for i, t in zip(docs.column(id_col).to_pylist(), unsqueezed(docs.column(text_col)), strict=True):
-            drop = set(gone[i].tolist()) if i in gone else set()
-            n = 0 if t is None else t.count(b"\n") + 1
-            if t is None or not drop:
+            if t is None or i is None or not known:
                 out.append(None if t is None else t.decode())
-                numbers.append((n, 0, 0))
+                numbers.append((0 if t is None else t.count(b"\n") + 1, 0, 0))
                 continue
-            parts = chunks(t, *cut)
-            stays = [2 * k not in drop for k, lines in enumerate(parts) for _ in lines]
-            for place in drop:
-                if place % 2:
-                    stays[place // 2 : place // 2 + least] = [False] * least
-            kept = [line for line, stay in zip(t.split(b"\n"), stays, strict=True) if stay]
-            out.append(b"\n".join(kept).decode())
-            numbers.append((n, n - len(kept), sum(2 * k in drop for k in range(len(parts)))))
+            lines, found = t.split(b"\n"), 0
+            gone = bytearray(len(lines))
+            for _, a, b, _, body in chunks(lines, *cut):
+                k = known.get(signed(xxhash.xxh3_64_intdigest(body)))
+                if k is None or (i, a) <= place[k][:2]:
+                    continue
+                doc, line, size, before = place[k]
+                other = z.decompress(bodies[k].as_py()).split(b"\n")
+                if other[before : before + size] != lines[a:b]:
+                    continue
+                x, y = equal_run(lines, a, b, line, other[:before], other[before + size :], doc == i)
+                gone[x:y] = b"\1" * (y - x)
+                found += 1
+            kept = [line for line, g in zip(lines, gone, strict=True) if not g]
+            out.append(b"\n".join(kept).decode() if found else t.decode())
+            numbers.append((len(lines), len(lines) - len(kept), found))
         new = [pa.array(out, pa.string()), *(pa.array([x[k] for x in numbers], pa.int64()) for k in range(3))]
         return pa.table([*(docs.column(c) for c in kept_names), *new], names=[*kept_names, text_col, *counts])
 
-    group = fresh(df, "grp")
-    left = squeezed(df, text_col).withColumn(group, spread_column(F.coalesce(F.col(id_col), F.xxhash64(text_col)), groups))
-    return left.groupBy(group).cogroup(found.groupBy("grp")).applyInArrow(rebuild, schema)
+    return left.groupBy(group).cogroup(quoted.groupBy("grp")).applyInArrow(rebuild, schema)
