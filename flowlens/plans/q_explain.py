@@ -73,15 +73,37 @@ def contributions(spark, folder, target=None):
     return explain.occlusion(rows, FEATURES, [*KEY, "label"], classifier(spark, folder).transform, medians, target, EDGE)
 
 
-@every("occlusion", f"with {OCC} select {KEYS}, feature, round_even(c, 4) + 0.0 as contribution from occ join xs on occ.i = xs.i")
+def _wide(target: int | None) -> str:
+    """A row a record with a contribution a feature: distances, probabilities and log odds as plain columns."""
+    codes, variants = range(4), ["", *FEATURES]
+    mid = WHOLE[WHOLE.index("mid as") : WHOLE.index("cen as")].replace("from xs)", "from li)").rstrip(", \n")
+    far = ", ".join(f"sqrt({' + '.join(f'({f"m_{c}" if c == v else c} - c{k}_{c}) ** 2' for c in FEATURES)}) as d_{v}_{k}" for v in variants for k in codes)
+    least = {v: f"least({', '.join(f'd_{v}_{k}' for k in codes)})" for v in variants}
+    weights = ", ".join(f"exp({least[v]} - d_{v}_{k}) as w_{v}_{k}" for v in variants for k in codes)
+    shares = ", ".join(f"w_{v}_{k} / ({' + '.join(f'w_{v}_{j}' for j in codes)}) as p_{v}_{k}" for v in variants for k in codes)
+    first = " ".join(f"when {' and '.join(f'p__{k} >= p__{j}' for j in codes if j > k) or 'true'} then {k}" for k in codes)
+    chosen = {v: f"case k {' '.join(f'when {k} then p_{v}_{k}' for k in codes)} end" for v in variants}
+    return f"""{LI}, {mid},
+cen as (select {", ".join(f"avg({c}) filter (where label = '{name}') as c{k}_{c}" for k, name in enumerate(("base", "deep", "big", "rare")) for c in FEATURES)} from li),
+far as (select {KEYS}, {far} from li, mid, cen), wts as (select {KEYS}, {weights} from far), prob as (select {KEYS}, {shares} from wts),
+own as (select *, {"case " + first + " end" if target is None else target} as k from prob)
+select {KEYS}, {", ".join(f"round_even({_odds(chosen[''])} - {_odds(chosen[f])}, 4) + 0.0 as {f}" for f in FEATURES)} from own"""
+
+
+def wide(spark, folder, target=None):
+    """A row a record: the contribution of each feature under its name."""
+    long = contributions(spark, folder, target)
+    return long.groupBy(*KEY).pivot("feature", FEATURES).agg((rounded(F.first("contribution"), 4) + 0.0)).select(*KEY, *FEATURES)
+
+
+@every("occlusion", f"with {_wide(None)}")
 def _(spark, folder):
-    return contributions(spark, folder).select(*KEY, "feature", (rounded(F.col("contribution"), 4) + 0.0).alias("contribution"))
+    return wide(spark, folder)
 
 
-@every("occlusion_of_class", f"with {OCC}, one as (select a.i, b.feature, {_odds('a.p')} - {_odds('b.p')} as c from prob a join prob b on a.i = b.i and a.k = b.k where a.k = 2 and a.feature = '' and b.feature != '') select {KEYS}, feature, round_even(c, 4) + 0.0 as contribution from one join xs on one.i = xs.i")
+@every("occlusion_of_class", f"with {_wide(2)}")
 def _(spark, folder):
-    out = contributions(spark, folder, 2)
-    return out.select(*KEY, "feature", (rounded(F.col("contribution"), 4) + 0.0).alias("contribution"))
+    return wide(spark, folder, 2)
 
 
 @every("top_contributions", f"""with {OCC}, r as (select *, row_number() over (partition by i order by round(abs(c), 9) desc, feature) as place from occ)
