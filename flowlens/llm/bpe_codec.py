@@ -14,7 +14,6 @@ level by level; a shorter word is joined within its task.
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 import os
 import re
@@ -23,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +32,8 @@ from flowlens.llm.textops import fresh, replaced, slices, utf8
 
 LEAF = 1024  # symbols of a piece that is encoded at once
 SPLIT = 1 << 16  # bytes of a word whose leaves are dealt over the cluster
-CACHED = 1 << 18  # words a worker remembers, and as many that it used before those,
+CACHED = 1 << 17  # words a worker remembers, and as many that it used before those,
 CACHED_BYTES = 64  # each of so many bytes at most
-AT_ONCE = 1 << 20  # ids that are decoded at once
 IDS = T.ArrayType(T.IntegerType())
 #: With this pattern of pieces (a fixed value) a match that begins with a letter or digit ends before a stop.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -255,38 +252,22 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", out: str = "ids",
     return short if spread.isEmpty() else short.unionByName(_spread(spread, spec, text_col, out, leaf, split))
 
 
-def parted(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about AT_ONCE ids; a longer row stands alone."""
-    for b in batches:
-        upto = np.cumsum(pc.fill_null(pc.list_value_length(b.column(ids_col)), 0).to_numpy()) // AT_ONCE
-        edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), b.num_rows]
-        yield from (b.slice(i, j - i) for i, j in zip(edges, edges[1:], strict=False))
-
-
 def decode(df: DataFrame, spec: str, ids_col: str = "ids", out: str = "decoded", digest: str | None = None) -> DataFrame:
     """df with the text of the ids: tokens with a blank between, as a vocabulary without a decoder has it.
 
     digest: a column for the hex SHA-256 of the ids as little-endian unsigned 32-bit integers, too.
     Special tokens stay. Null ids give null, an id outside the vocabulary nothing; columns named as the
-    new ones are replaced.
+    new ones are replaced. The tokens are a literal of the plan; no Python runs.
     """
-    schema = replaced(df.schema, [T.StructField(c, T.StringType()) for c in (out, digest) if c])
-    new = 1 + bool(digest)
-    keep, tokens = [f.name for f in schema.fields[:-new]], codec(spec, LEAF).tokens
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, blank = pa.array(tokens, pa.large_string()), pa.scalar(" ", pa.large_string())
-        for b in parted(batches, ids_col):
-            ids = b.column(ids_col)
-            flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
-            known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(words))).fill_null(False).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[known]
-            edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
-            text = pc.binary_join(pa.LargeListArray.from_arrays(edges, words.take(flat.filter(pa.array(known)))), blank).cast(pa.string())
-            columns = [pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), text)]
-            if digest:
-                raw = (None if x.values is None else np.asarray(x.values, dtype="<u4").tobytes() for x in ids)
-                columns.append(pa.array([None if r is None else hashlib.sha256(r).hexdigest() for r in raw], pa.string()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *columns], names=[*keep, *schema.names[-new:]])
-
-    return df.mapInArrow(run, schema)
+    tokens = codec(spec, LEAF).tokens
+    if any(" " in t for t in tokens):
+        raise ValueError("tokens with blanks are not supported")
+    # A split of a constant is folded to an array once; the list is as long as the vocabulary.
+    words = F.split(F.lit(" ".join(tokens)), " ")
+    known = F.filter(ids_col, lambda i: (i >= 0) & (i < len(tokens)))
+    columns = {out: F.array_join(F.transform(known, lambda i: F.element_at(words, i + 1)), " ")}
+    if digest:
+        hexes = F.split(F.lit(" ".join(i.to_bytes(4, "little").hex() for i in range(len(tokens)))), " ")
+        columns[digest] = F.sha2(F.unhex(F.array_join(F.transform(known, lambda i: F.element_at(hexes, i + 1)), "")), 256)
+    new = {c.lower() for c in columns}
+    return df.select(*(df[f"`{c}`"] for c in df.columns if c.lower() not in new), *(c.alias(name) for name, c in columns.items()))
