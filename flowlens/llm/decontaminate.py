@@ -1,11 +1,14 @@
 """Benchmark decontamination with a BM25 index of the test items.
 
-Items are the indexed side: a posting list for each term, cut into blocks of items with the largest
-impact of each block. Every training passage is a query. The threshold is fixed, so block-max WAND
-opens the blocks whose summed block maxima reach it, whatever order its pivot takes; here the sums of
-all blocks that a slice's passages touch are made at once, without the terms that together add next
-to nothing. What reaches the threshold is bounded again with all terms, then scored in full, then
-verified on the overlap of question and answer.
+Items are the indexed side: a posting list for each term, in blocks of entries with the largest impact of
+each block. Every training passage is a query against a fixed threshold. A WAND pivot is the term at
+which the summed maxima reach the threshold, and nothing is touched through the terms behind it. As the
+threshold is fixed and impacts are shares of what an entry scores against itself, the pivot of each
+entry is known beforehand: its terms stand in order of rarity, those behind the pivot add less than a
+stated share of the threshold. Lists up to the pivots are short, for they hold an entry under its rare
+terms alone; a passage adds them up, skips entries that with all behind their pivot stay below, and opens
+the blocks of the rest: block maxima bound them with all terms, then postings score them in full. What
+reaches the threshold is verified on the overlap of question and answer.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.storage import stored
-from flowlens.llm.textops import Words, is_long, slices, utf8
+from flowlens.llm.textops import Words, is_long, mix64, rolling, slices, utf8
 
 #: Bytes other than ASCII letters, digits and non-ASCII.
 SEPARATOR = np.ones(256, dtype=bool)
@@ -31,23 +34,28 @@ CHUNK = 64  # words; a passage is two neighbouring chunks, so it holds any run o
 BLOCK = 4  # entries of a posting block
 WHOLE = 5  # items of fewer words must stand in a text as they are
 INDEX_BYTES = 16 << 20  # benchmark text indexed, and broadcast, at once
-CELLS = 1 << 22  # sums of passages by blocks made at once
-SLACK = 0.1  # of the threshold, which terms of small impact may add together
+CELLS = 1 << 22  # sums of passages by entries made at once
+BEHIND = 0.5  # of the threshold: what the terms behind an entry's pivot add is less
+THRESHOLD = 0.6
+RUN = 3  # words of a run that question and passage share
 K1, B = 1.2, 0.75
 PLACE = "item_id bigint, score double, question_overlap double, answer_overlap double, start bigint"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Terms by rising largest impact; block_at, block, block_top: a term's posting blocks and their
-    largest impacts; block_key: term and block as one number; post_*: the postings of each block;
-    item: the item of an entry; question and answer of an item: hashes of their words."""
+    """largest: the largest impact of a term; front_*: a term's entries whose pivot is not before it;
+    behind: what the terms behind its pivot add to an entry; block_top: the largest impact of a posting
+    block; block_key: term and block as one number; post_*: the postings of each block; item: the item
+    of an entry; parts: hashes of the words of an item's question and answer; run_*: hashes of each part's
+    runs of RUN words, question before answer, none of a shorter part."""
 
     terms: np.ndarray
-    number: np.ndarray
     largest: np.ndarray
-    block_at: np.ndarray
-    block: np.ndarray
+    front_at: np.ndarray
+    front_entry: np.ndarray
+    front_impact: np.ndarray
+    behind: np.ndarray
     block_top: np.ndarray
     block_key: np.ndarray
     post_at: np.ndarray
@@ -56,6 +64,8 @@ class Index:
     item: np.ndarray
     ids: list[int]
     parts: list[tuple[np.ndarray, np.ndarray]]
+    run_at: np.ndarray
+    run_hash: np.ndarray
 
     @property
     def blocks(self) -> int:
@@ -90,8 +100,9 @@ def entries(text: str, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndar
     return q, a, np.array_split(both, -(-len(both) // CHUNK)) if len(both) >= max(1, least) else []
 
 
-def build(items: list[tuple[int, str]], known: Statistics | None = None, least: int = 3) -> Index:
-    """The index of (id, text), with the statistics of the whole benchmark (default: of the items)."""
+def build(items: list[tuple[int, str]], known: Statistics | None = None, least: int = 3, threshold: float = THRESHOLD) -> Index:
+    """The index of (id, text), with the statistics of the whole benchmark (default: of the items), for
+    searches with `threshold` or more."""
     ids, parts, words, item = [], [], [], []
     for i, text in items:
         q, a, runs = entries(text, least)
@@ -114,16 +125,20 @@ def build(items: list[tuple[int, str]], known: Statistics | None = None, least:
     impact /= np.bincount(entry, impact, n)[entry]  # of what the entry scores against itself
     largest = np.zeros(len(terms))
     np.maximum.at(largest, term, impact)
-    rise = np.argsort(largest, kind="stable")
-    number = np.empty(len(terms), dtype=np.int64)
-    number[rise] = np.arange(len(terms))
-    order = np.lexsort((entry, number[term]))
-    term, entry, impact = number[term][order], entry[order], impact[order]
+    order = np.lexsort((term, -df[term], entry))  # an entry's terms, common ones first
+    upto = np.cumsum(impact[order])
+    begin = np.searchsorted(entry[order], np.arange(n))
+    upto -= (upto[begin] - impact[order][begin])[entry[order]]
+    late = upto < BEHIND * threshold
+    behind = np.bincount(entry[order][late], impact[order][late], n)
+    front = np.sort(order[~late])  # by term
     key = term * (n // BLOCK + 1) + entry // BLOCK
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
     return Index(
-        terms, number, largest[rise], np.searchsorted(term[first], np.arange(len(terms) + 1)), entry[first] // BLOCK,
+        terms, largest, np.searchsorted(term[front], np.arange(len(terms) + 1)), entry[front], impact[front], behind,
         np.maximum.reduceat(impact, first) if n else impact, key[first], np.append(first, len(key)), entry, impact, np.array(item, np.int64), ids, parts,
+        np.concatenate([[0], np.cumsum([max(0, len(x) - RUN + 1) for p in parts for x in p], dtype=np.int64)]).astype(np.int64),
+        np.concatenate([np.zeros(0, np.uint64), *(rolling(x, RUN) for p in parts for x in p)]),
     )
 
 
@@ -134,35 +149,36 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[owner], owner
 
 
-def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float, work: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, entry, score) of all scores from the threshold up.
 
-    passage and term: distinct pairs by passage, then term number.
+    passage and term: distinct pairs by passage, then term. work: adds up the pairs of passage and entry
+    there are, those touched, and the pairs of passage and block opened.
     """
     least = threshold - 1e-9
     if not len(term):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1], [True]]))
-    n = np.diff(edge)
+    n, size = np.diff(edge), len(index.item)
     own = np.repeat(np.arange(len(n)), n)
-    sums = np.cumsum(index.largest[term])
-    upto = sums - (sums - index.largest[term])[edge[:-1]][own]
-    small = upto < SLACK * threshold
-    low = np.maximum.reduceat(np.where(small, upto, 0.0), edge[:-1])  # the most that the small ones add
-    use = np.flatnonzero(~small & (upto[edge[1:] - 1] >= least)[own])
-    keys, step = [], max(1, CELLS // index.blocks)
+    use = np.flatnonzero((np.add.reduceat(index.largest[term], edge[:-1]) >= least)[own])
+    keys, step, touched = [], max(1, CELLS // size), 0
     cuts = np.searchsorted(own[use], np.arange(0, len(n) + step, step))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a == b:
             continue
         part = use[a:b]
-        at, owner = _ranges(index.block_at[term[part]], index.block_at[term[part] + 1])
-        cell = (own[part][owner] - k * step) * index.blocks + index.block[at]
-        bound = np.bincount(cell, index.block_top[at], minlength=min(step, len(n) - k * step) * index.blocks)
-        some = np.flatnonzero(bound > 0)
-        some = some[bound[some] + low[some // index.blocks + k * step] >= least]
-        keys.append(some + k * step * index.blocks)
+        at, owner = _ranges(index.front_at[term[part]], index.front_at[term[part] + 1])
+        cell = (own[part] - k * step)[owner] * size + index.front_entry[at]
+        bound = np.bincount(cell, index.front_impact[at], minlength=min(step, len(n) - k * step) * size)
+        some = np.flatnonzero(bound)
+        touched += len(some)
+        some = some[bound[some] + index.behind[some % size] >= least - 1e-9]
+        keys.append(np.unique((some // size + k * step) * index.blocks + some % size // BLOCK))
     key = np.concatenate([np.zeros(0, np.int64), *keys])
+    if work is not None:
+        for name, m in (("pairs", len(n) * size), ("touched", touched), ("opened", len(key))):
+            work[name] = work.get(name, 0) + m
     # Every term of the passage in each open block: their maxima bound again, their postings score.
     pairs, owner = _ranges(edge[key // index.blocks], edge[key // index.blocks + 1])
     want = term[pairs] * index.blocks + (key % index.blocks)[owner]
@@ -172,14 +188,13 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, threshold: flo
     got, owner = got[hit], owner[hit]
     hit = np.flatnonzero(np.bincount(owner, index.block_top[got], len(key))[owner] >= least)
     posts, who = _ranges(index.post_at[got[hit]], index.post_at[got[hit] + 1])
-    size = len(index.item)
     pair, back = np.unique((key // index.blocks)[owner[hit][who]] * size + index.post_entry[posts], return_inverse=True)
     score = np.bincount(back, index.post_impact[posts], len(pair))
     keep = np.flatnonzero(score >= least)
     return passage[edge[:-1]][pair[keep] // size], pair[keep] % size, score[keep]
 
 
-def overlap(part: np.ndarray, passage: list[int], n: int = 3) -> float:
+def overlap(part: np.ndarray, passage: list[int], n: int = RUN) -> float:
     """The share of a part's runs of n words (all, if fewer) that the passage has; 1 of no words."""
     n = min(n, len(part))
     own = part.tolist()
@@ -203,6 +218,26 @@ def verified(question: np.ndarray, answer: np.ndarray, words: np.ndarray, start:
     return overlap(question, own), overlap(answer, own)
 
 
+def plausible(index: Index, items: np.ndarray, words: Words, lo: np.ndarray, hi: np.ndarray, question: float, answer: float) -> np.ndarray:
+    """Which pairs of an item and words[lo:hi] share enough runs to be verified, by hashes of the runs of
+    all pairs at once. Equal runs have equal hashes, so no pair that verifies is lost."""
+    windows, own = np.unique(lo * (len(words.hash) + 1) + hi, return_inverse=True)
+    first, stop = windows // (len(words.hash) + 1), windows % (len(words.hash) + 1)
+    at, owner = _ranges(first, np.maximum(first, stop - RUN + 1))
+    salt = lambda h, window: mix64(h + window.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    have = np.sort(salt(rolling(words.hash, RUN)[at], owner))
+    good = np.ones(len(items), dtype=bool)
+    for part, share in ((0, question), (1, answer)):
+        begin, end = index.run_at[2 * items + part], index.run_at[2 * items + part + 1]
+        at, owner = _ranges(begin, end)
+        want = salt(index.run_hash[at], own[owner])
+        found = np.searchsorted(have, want)
+        found[found == len(have)] = 0
+        hits = np.bincount(owner[have[found] == want] if len(have) else owner[:0], minlength=len(items))
+        good &= hits >= share * (end - begin) - 1e-9
+    return good
+
+
 def find_leaks(
     df: DataFrame,
     items: DataFrame,
@@ -210,7 +245,7 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    threshold: float = 0.6,
+    threshold: float = THRESHOLD,
     question: float = 0.7,
     answer: float = 0.7,
     least: int = 3,
@@ -237,7 +272,7 @@ def find_leaks(
     found = None
     for turn in range(turns):
         own = bench.where(F.col("turn") == turn).orderBy("i", "t").collect()
-        index = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in own], known(turn), least))
+        index = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in own], known(turn), least, threshold))
         part = docs.mapInArrow(_search(index, id_col, threshold, question, answer), f"{id_col} bigint, {PLACE}")
         found = part if found is None else found.union(part)
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "start"), F.struct("score", -F.col("start"), "question_overlap", "answer_overlap"))
@@ -272,6 +307,7 @@ def _statistics(bench: DataFrame, least: int) -> Callable[[int], Statistics]:
 def _search(shared, id_col: str, threshold: float, question: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        sizes = np.array([len(q) + len(a) for q, a in index.parts], dtype=np.int64)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), utf8(b.column(1))
             rows: list[tuple] = []
@@ -285,16 +321,21 @@ def _search(shared, id_col: str, threshold: float, question: float, answer: floa
                 base = np.cumsum(per) - per
                 doc = w.doc[hit]
                 chunk = base[doc] + (hit - w.first[doc]) // CHUNK
-                term = index.number[at[hit]]
+                term = at[hit]
                 wide = len(index.terms)
                 begins = hit - w.first[doc] >= CHUNK
                 pair = np.unique(np.concatenate([chunk * wide + term, (chunk[begins] - 1) * wide + term[begins]]))
-                for passage, entry, score in zip(*retrieve(index, pair // wide, pair % wide, threshold), strict=True):
-                    d = int(np.searchsorted(base, passage, side="right")) - 1
-                    start, item = int(passage - base[d]) * CHUNK, index.item[entry]
-                    q, a = verified(*index.parts[item], w.hash[w.first[d] : w.first[d + 1]], start)
+                passage, entry, score = retrieve(index, pair // wide, pair % wide, threshold)
+                d = np.searchsorted(base, passage, side="right") - 1
+                start, item = (passage - base[d]) * CHUNK, index.item[entry]
+                size = sizes[item]
+                around = np.where(size > CHUNK, size, 0)
+                lo = w.first[d] + np.maximum(0, start - around)
+                hi = np.minimum(w.first[d + 1], w.first[d] + start + 2 * CHUNK + around)
+                for k in np.flatnonzero(plausible(index, item, w, lo, hi, question, answer)).tolist():
+                    q, a = verified(*index.parts[item[k]], w.hash[w.first[d[k]] : w.first[d[k] + 1]], int(start[k]))
                     if q >= question and a >= answer:
-                        rows.append((ids[i + d], index.ids[item], round(float(score), 9), q, a, start))
+                        rows.append((ids[i + int(d[k])], index.ids[item[k]], round(float(score[k]), 9), q, a, int(start[k])))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             if rows:
                 names = [id_col, "item_id", "score", "question_overlap", "answer_overlap", "start"]

@@ -296,28 +296,46 @@ def test_leaks_by_brute_force(spark, small, monkeypatch, size):
     assert got == want and 60 < len(want) and len({i for _, i in want if i >= 1000}) == 3
 
 
-def test_retrieval_finds_all_above_the_threshold(spark, small):
+@pytest.mark.parametrize("threshold", [0.1, 0.6])
+def test_retrieval_finds_all_above_the_threshold(spark, small, threshold):
     """Against scores of every passage and item."""
     import numpy as np
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    index = decontaminate.build(items)
+    index = decontaminate.build(items, threshold=threshold)
     rng = np.random.default_rng(1)
     n = len(index.terms)
     passages = [np.unique(rng.integers(0, n, 60)) for _ in range(60)]
-    passages += [np.unique(index.number[np.searchsorted(index.terms, np.concatenate(p))]) for p in index.parts]
+    own = [np.unique(np.searchsorted(index.terms, np.concatenate(p))) for p in index.parts]
+    passages += own + [np.unique(np.append(rng.choice(p, 1 + len(p) * 2 // 3), rng.integers(0, n, 20))) for p in own]
     passage = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    got = {(a, b): s for a, b, s in zip(*decontaminate.retrieve(index, passage, np.concatenate(passages), 0.1), strict=True)}
+    got = {(a, b): s for a, b, s in zip(*decontaminate.retrieve(index, passage, np.concatenate(passages), threshold), strict=True)}
     impact = np.zeros((n, len(index.item)))
-    for term in range(n):
-        for e in range(index.block_at[term], index.block_at[term + 1]):
-            at = slice(index.post_at[e], index.post_at[e + 1])
-            impact[term, index.post_entry[at]] = index.post_impact[at]
+    for e, key in enumerate(index.block_key):
+        at = slice(index.post_at[e], index.post_at[e + 1])
+        impact[key // index.blocks, index.post_entry[at]] = index.post_impact[at]
     scores = np.stack([impact[p].sum(axis=0) for p in passages])
-    want = {(a, b): scores[a, b] for a, b in zip(*np.nonzero(scores >= 0.1), strict=True)}
+    want = {(a, b): scores[a, b] for a, b in zip(*np.nonzero(scores >= threshold), strict=True)}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > len(index.ids)
 
 
+def test_few_entries_are_touched_and_fewer_blocks_opened():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    draw = lambda size: " ".join(vocabulary[np.minimum(rng.zipf(1.3, size), len(vocabulary)) - 1])
+    items = [(k, f"{draw(30)}. {draw(10)}") for k in range(4_000)]
+    index = decontaminate.build(items)
+    passages = [np.flatnonzero(np.isin(index.terms, decontaminate.Words([draw(128).encode()], True, decontaminate.SEPARATOR).hash)) for _ in range(200)]
+    passages += [np.unique(np.searchsorted(index.terms, np.concatenate(p))) for p in index.parts[:20]]
+    work = {}
+    passage = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    got = set(zip(*(x.tolist() for x in decontaminate.retrieve(index, passage, np.concatenate(passages), 0.6, work)[:2]), strict=True))
+    assert {(200 + k, k) for k in range(20)} <= got
+    assert work["pairs"] == 220 * 4_000 and work["touched"] < 0.35 * work["pairs"] and work["opened"] < 0.05 * work["touched"] + 200
+
+
 def test_quality_by_brute_force(docs, texts, spark):
     more = {20: "a b c d e f g h i " * 3, 21: "dup\ndup\n\n \nx\n" * 9, 22: "#$ % & " * 30, 23: "q w e r t y u i o p a s d f g h j k l z x " * 2}
     df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string")).withColumn("fail_bits", F.lit("mine")).withColumn("_ledger_h", F.lit(5))
