@@ -152,21 +152,31 @@ class Scanner:
         return found, matches
 
     def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans of templates with enough words covered by matches in order and near each other."""
+        """Spans of templates with enough words covered by matches in order and near each other.
+
+        Matches come by their first word, so a span that ends more than `gap` before one takes no later
+        one either: only spans that still can grow are looked at, and the work is that of the matches.
+        """
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for k, *place in matches:
+            by.setdefault(k, []).append(tuple(place))
         out = []
-        for k in sorted({m[0] for m in matches}):
-            open_: list[list[int]] = []  # start, stop, end in the template, words covered
-            for _, start, stop, end in sorted(m for m in matches if m[0] == k):
+        for k, places in sorted(by.items()):
+            spans: list[list[int]] = []  # start, stop, end in the template, words covered
+            growing: list[list[int]] = []
+            for start, stop, end in sorted(places):
                 n = stop - start
-                for c in reversed(open_):
+                growing = [c for c in growing if c[1] >= start - self.gap]
+                for c in reversed(growing):
                     skipped = end - n - c[2]
-                    if 0 <= start - c[1] <= self.gap and -n < skipped <= 2 * self.gap and end > c[2]:
+                    if 0 <= start - c[1] and -n < skipped <= 2 * self.gap and end > c[2]:
                         c[3] += min(n, end - c[2])
                         c[1], c[2] = stop, end
                         break
                 else:
-                    open_.append([start, stop, end, n])
-            out += [(self.labels[k], c[0], c[1], min(1.0, c[3] / self.sizes[k])) for c in open_ if c[3] >= self.coverage * self.sizes[k]]
+                    spans.append([start, stop, end, n])
+                    growing.append(spans[-1])
+            out += [(self.labels[k], c[0], c[1], min(1.0, c[3] / self.sizes[k])) for c in spans if c[3] >= self.coverage * self.sizes[k]]
         return sorted(out)
 
 

@@ -687,3 +687,34 @@ def test_texts_beyond_a_slice(spark):
     assert got == {i: (n, m, hashlib.sha256(t.encode()).hexdigest()) for i, (n, m, t) in want.items()}
     joined = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
     assert joined == jaccard(dict(rows)) and joined[2][1] == 1
+
+
+def test_a_text_of_fragments_takes_time_in_proportion(spark):
+    """A mebibyte of notice fragments that chain to nothing, with one whole notice in it."""
+    import time
+
+    words_ = license_scan.TEMPLATES[0][1].split()
+    part = " ".join(f"{' '.join(words_[k % 20 : k % 20 + 6])} x{k} y z u v w a b c d" for k in range(2_000))
+    seconds, spans = [], []
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.PHRASES, 4, 8, 0.7)
+    for n in (2, 12):
+        matches = []
+        w = license_scan.Words([f"{(part + ' ') * n} {license_scan.TEMPLATES[0][1]} {part}".encode()], True, license_scan.SEPARATOR)
+        tokens = license_scan.np.searchsorted(scanner.vocabulary, w.hash).tolist()
+        known = [t < len(scanner.vocabulary) and scanner.vocabulary[t] == h for t, h in zip(tokens, w.hash, strict=True)]
+        at = 0
+        while at < len(tokens):
+            stop = at
+            while stop < len(tokens) and known[stop]:
+                stop += 1
+            if stop > at:
+                matches += scanner.run(tokens[at:stop], at)[1]
+            at = stop + 1
+        began = time.process_time()
+        spans.append(scanner.chain(matches))
+        seconds.append((time.process_time() - began) / len(matches))
+    assert all(license_scan.TEMPLATES[0][0] in {s[0] for s in x} for x in spans)
+    assert seconds[1] < 4 * seconds[0]
+    big = spark.createDataFrame([(1, (part + " ") * 8 + license_scan.TEMPLATES[0][1]), (2, part)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(big).collect()}
+    assert license_scan.TEMPLATES[0][0] in got[1].split(",") and got[2] == ""
