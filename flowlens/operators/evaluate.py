@@ -1,8 +1,8 @@
 """Evaluation of probability tables (key, code, proba).
 
 Count metrics come from one shuffle on (code, predicted); curves from one on (class, score). Curves
-need a global order: scores lie in [0, 1], so they are summed within SLICES equal ranges of score and
-the totals of lower ranges are added, and no task orders a whole class.
+need a global order: scores are cut into ranges by rank and summed within them, the totals of the ranges
+above are added, and no task orders a whole class.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from flowlens.functions.portable import ratio, rounded
 from flowlens.operators.score import checked_proba
 from flowlens.sources.stage import stored
 
-SLICES = 4096
-
 
 def predicted(proba: str = "proba") -> Column:
     """The code of the largest probability, the lowest of ties; -1 without probabilities.
@@ -122,12 +120,17 @@ def score_table(df: DataFrame, by: Sequence[str], score: str, positive: str) ->
     return df.groupBy(*by, score).agg(F.sum(hit).cast("long").alias("pos"), F.sum(1 - hit).cast("long").alias("neg"))
 
 
+def by_ranges(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """df, stored, with _slice: its range of (by, score), rising. Ranges are cut by rank, so they hold about
+    as many rows each however close the scores lie."""
+    return stored(df.repartitionByRange(*by, score).withColumn("_slice", F.spark_partition_id()), "scores")
+
+
 def cumulated(scores: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     """A score table with cum_pos and cum_neg: rows of that score or above; and totals p and n.
 
-    The table is stored first, for the sums of slices and the places inside them both read it."""
-    scores = stored(scores, "scores")
-    sliced = scores.withColumn("_slice", F.least(F.greatest(F.floor(F.col(score) * SLICES), F.lit(0)), F.lit(SLICES)).cast("int"))
+    Rows are summed within ranges of scores, and the totals of the ranges above are added."""
+    sliced = by_ranges(scores, by, score)
     totals = sliced.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -188,7 +191,7 @@ def sweep(curve: DataFrame, by: Sequence[str] = (), score: str = "score", most:
     if most is None:
         return out.drop("_at")
     # The place of a point among its curve's points, again without ordering a curve in one task.
-    sliced = out.withColumn("_slice", F.least(F.greatest(F.floor(F.col("threshold") * SLICES), F.lit(0)), F.lit(SLICES)).cast("int"))
+    sliced = by_ranges(out, by, "threshold")
     n = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
     n = n.withColumns({"_before": F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*by))})
     placed = sliced.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(F.desc("threshold")))).join(n.drop("_n"), [*by, "_slice"])

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.functions import ranks
 from flowlens.functions.local import local_table
 from flowlens.operators.clean import finite
 
@@ -50,10 +51,12 @@ class Stats:
         return local_table(df.sparkSession, [(r.feature, r.raw_median, r.constant, r.lower, r.upper, r.median, r.centre, r.spread) for r in self.rows], schema)
 
 
-def quantile(c: str | Column, q: float | list[float], accuracy: int | None = None) -> Column:
-    """Interpolated quantile; with an accuracy, Spark's approximate one, for very large tables."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.percentile(c, q) if accuracy is None else F.percentile_approx(c, q, accuracy)
+def quantiles(df: DataFrame, wanted: dict[str, list[float]], accuracy: int | None = None, counts: dict[str, int] | None = None) -> dict[tuple[str, float], float | None]:
+    """Interpolated quantiles, exact in five scans; with an accuracy, Spark's approximate ones in one."""
+    if accuracy is None:
+        return ranks.quantiles(df, wanted, counts)
+    measures = {(c, q): F.percentile_approx(c, q, accuracy) for c, qs in wanted.items() for q in qs}
+    return _row(df, measures) if measures else {}
 
 
 def clip(c: Column, lower: float | None, upper: float | None) -> Column:
@@ -72,47 +75,58 @@ def _row(df: DataFrame, measures: dict[tuple[str, str], Column]) -> dict[tuple[s
 
 
 def fit(df: DataFrame, features: Sequence[str], q: float = 0.999, scaler: str = "standard", drop_constant: bool = True, accuracy: int | None = None) -> Stats:
-    """Three aggregations: raw medians, bounds and constants; medians once clipped; moments once imputed."""
+    """Statistics of every feature. One aggregation counts and finds constants, quantiles() the medians
+    and bounds, and one aggregation the moments once imputed; the robust scaler takes quantiles again.
+    Clipping keeps the order, so the median once clipped comes from the same order statistics."""
     if scaler not in SCALERS:
         raise ValueError(f"scaler is one of {SCALERS}")
     if not 0.5 < q < 1.0:
         raise ValueError("the clip quantile lies between 0.5 and 1")
     raw = df.select(*(finite(F.col(c).cast("double")).alias(c) for c in features))
-    first = {}
-    for c in features:
-        first["median", c], first["bounds", c] = quantile(c, 0.5, accuracy), quantile(c, [1 - q, q], accuracy)
-        first["constant", c] = F.min(c).eqNullSafe(F.max(c))
+    first = {(k, c): x for c in features for k, x in (("n", F.count(c)), ("constant", F.min(c).eqNullSafe(F.max(c))))}
     got = _row(raw, first)
+    n = {c: got["n", c] for c in features}
+    sides = {c: ranks.places(n[c], 0.5) for c in features if n[c]}
+    if accuracy is None:
+        wanted = {c: [1 - q, q] for c in features}
+        ends = {(c, p): ranks.places(n[c], p) for c in sides for p in wanted[c]}
+        value = ranks.order_statistics(raw, {c: [*sides[c][:2], *(r for p in wanted[c] for r in ends[c, p][:2])] for c in sides})
+        found = {(c, p): ranks.between(value[c, e[0]], value[c, e[1]], e[2]) for (c, p), e in ends.items()}
+        middle = {c: (value[c, sides[c][0]], value[c, sides[c][1]]) for c in sides}
+    else:
+        found = quantiles(raw, {c: [1 - q, q, 0.5] for c in sides}, accuracy)
+        middle = {c: (found[c, 0.5], found[c, 0.5]) for c in sides}
+    share = {c: e[2] for c, e in sides.items()}
     stats = []
     for c in features:
-        low, high = got["bounds", c] or (None, None)
+        low, high = found.get((c, 1 - q)), found.get((c, q))
         if low is not None and low > high:
             low = None
-        stats.append(Fitted(c, got["median", c] or 0.0, bool(got["constant", c]) and drop_constant, low, high))
+        stats.append(Fitted(c, ranks.between(*middle[c], share[c]) if c in middle else 0.0, bool(got["constant", c]) and drop_constant, low, high))
     used = [s for s in stats if not s.constant]
     if not used:
         raise ValueError("no feature is left: all are constant")
+    held = lambda s, v: min(max(v, s.lower if s.lower is not None else v), s.upper if s.upper is not None else v)
+    medians = {s.feature: ranks.between(*(held(s, v) for v in middle[s.feature]), share[s.feature]) if s.feature in middle else 0.0 for s in used}
     clipped = raw.select(*(clip(F.col(s.feature), s.lower, s.upper).alias(s.feature) for s in used))
-    medians = _row(clipped, {("median", s.feature): quantile(s.feature, 0.5, accuracy) for s in used})
-    filled = clipped.select(*(F.coalesce(F.col(s.feature), F.lit(medians["median", s.feature] or 0.0)).alias(s.feature) for s in used))
-    moments = {}
-    for s in used if scaler != "none" else []:
-        c = s.feature
-        if scaler == "standard":
-            moments["centre", c], moments["spread", c] = F.avg(c), F.stddev_pop(c)
-        elif scaler == "minmax":
-            moments["centre", c], moments["spread", c] = F.min(c), F.max(c) - F.min(c)
-        else:
-            moments["centre", c], moments["spread", c] = quantile(c, 0.5, accuracy), F.element_at(quantile(c, [0.25, 0.75], accuracy), 2) - F.element_at(quantile(c, [0.25, 0.75], accuracy), 1)
-    found = _row(filled, moments) if moments else {}
+    filled = clipped.select(*(F.coalesce(F.col(s.feature), F.lit(medians[s.feature])).alias(s.feature) for s in used))
+    if scaler == "robust":
+        rows = _row(filled, {"n": F.count(F.lit(1))})["n"]
+        cut = quantiles(filled, {s.feature: [0.25, 0.5, 0.75] for s in used}, accuracy, {s.feature: rows for s in used})
+        moments = {(k, s.feature): v for s in used for k, v in (("centre", cut[s.feature, 0.5]), ("spread", cut[s.feature, 0.75] - cut[s.feature, 0.25]))}
+    elif scaler == "none":
+        moments = {}
+    else:
+        pair = (lambda c: (F.avg(c), F.stddev_pop(c))) if scaler == "standard" else (lambda c: (F.min(c), F.max(c) - F.min(c)))
+        moments = _row(filled, {(k, s.feature): x for s in used for k, x in zip(("centre", "spread"), pair(s.feature), strict=True)})
     out = []
     for s in stats:
         if s.constant:
             out.append(s)
             continue
-        spread = found.get(("spread", s.feature), 1.0)
+        spread = moments.get(("spread", s.feature), 1.0)
         spread = 1.0 if spread is None or not math.isfinite(spread) or spread < 1e-12 else spread
-        out.append(replace(s, median=medians["median", s.feature] or 0.0, centre=found.get(("centre", s.feature), 0.0) or 0.0, spread=spread))
+        out.append(replace(s, median=medians[s.feature], centre=moments.get(("centre", s.feature), 0.0) or 0.0, spread=spread))
     return Stats(out)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import ratio
-from flowlens.operators.prep import quantile
+from flowlens.operators.prep import quantiles
 from flowlens.operators.sample import bootstrap, budgeted
 
 
@@ -52,10 +54,10 @@ def chi2(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 32, accuracy: int | None = None) -> DataFrame:
     """(feature, score): mutual information (nats) of equal-frequency bins and class, within [0, H(class)]."""
     cuts = [i / bins for i in range(bins + 1)]
-    row = df.agg(*(quantile(c, cuts, accuracy).alias(f"q{i}") for i, c in enumerate(features))).first()
+    found = quantiles(df, {c: cuts for c in features}, accuracy)
     binned = {}
-    for i, c in enumerate(features):
-        edges = sorted(set(row[f"q{i}"] or []))
+    for c in features:
+        edges = sorted({found[c, q] for q in cuts} - {None})
         inner = edges[1:-1]
         binned[c] = F.when(F.col(c).isNotNull(), sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in inner), F.lit(0))) if len(edges) >= 3 else F.lit(0)
     cells = unpivot(df.where(F.col(label).isNotNull()).select(label, *(x.cast("double").alias(c) for c, x in binned.items())), features, [label])
@@ -69,15 +71,29 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(a, b, r) of every pair of features, 0 where undefined: one aggregation of centred moments."""
-    means = df.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in features)).first()
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    centred = df.select(*((F.col(c) - F.lit(float(means[c]))).alias(c) for c in features))
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)] + [F.sum(F.col(c) ** 2).alias(f"s{i}") for i, c in enumerate(features)]
-    row, at = centred.agg(*sums), {c: i for i, c in enumerate(features)}
-    r = lambda i, a, b: ratio(F.col(f"p{i}"), F.sqrt(F.col(f"s{at[a]}") * F.col(f"s{at[b]}")))
-    out = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(i, a, b).alias("r")) for i, (a, b) in enumerate(pairs)))
-    return row.select(F.explode(out).alias("x")).select("x.*")
+    """(a, b, r) of every pair of features, 0 where undefined; a null takes no part in a sum.
+
+    Each task adds up the products of its centred columns as one matrix, batch by batch; the sums of
+    tasks, a row a pair, are added in Spark. The plan stays the same size for any number of features.
+    """
+    means = df.agg(*(F.coalesce(F.avg(f"`{c}`"), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(features))).first()
+    centred = df.select(*((F.col(f"`{c}`").cast("double") - F.lit(float(means[i]))).alias(f"x{i}") for i, c in enumerate(features)))
+    d = len(features)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for b in batches:
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            total += x.T @ x
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "p"])
+
+    sums = centred.mapInArrow(products, "i long, j long, p double").groupBy("i", "j").agg(F.sum("p").alias("p"))
+    own = sums.where("i = j").select("i", F.col("p").alias("s"))
+    pairs = sums.where("i < j").join(own, "i").join(own.select(F.col("i").alias("j"), F.col("s").alias("t")), "j")
+    names = F.array(*(F.lit(c) for c in features))
+    at = lambda c: F.element_at(names, (F.col(c) + 1).cast("int"))
+    return pairs.select(at("i").alias("a"), at("j").alias("b"), ratio(F.col("p"), F.sqrt(F.col("s") * F.col("t"))).alias("r"))
 
 
 def prune(correlated: dict[tuple[str, str], float], features: Sequence[str], priority: dict[str, float], threshold: float = 0.95) -> tuple[list[str], dict[str, str]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions import ranks
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import rounded
 from flowlens.operators import balance, select
@@ -58,6 +59,21 @@ def _(spark, folder):
     return select.correlations(beds.li(spark, folder), FEATURES).withColumn("r", rounded(F.col("r")))
 
 
+@query("correlations_wide", """with x as (select vec_id, unnest(embedding)::double as v, unnest(range(len(embedding))) as i from embeddings)
+select 'x' || a.i as a, 'x' || b.i as b, round_even(corr(a.v, b.v), 6) as r from x a join x b on a.vec_id = b.vec_id and a.i < b.i group by a.i, b.i""")
+def _(spark, folder):
+    """All 2,016 pairs of the 64 dimensions of the embeddings."""
+    wide = beds.table(spark, folder, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    return select.correlations(wide, wide.columns).withColumn("r", rounded(F.col("r")))
+
+
+@query("exact_quantiles", f"with {LI} " + " union all ".join(
+    f"select '{c}' as feature, {q!r} as q, round_even(quantile_cont({c}, {q!r}), 6) as value from li" for c in FEATURES for q in (0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0)))
+def _(spark, folder):
+    found = ranks.quantiles(beds.li(spark, folder), {c: [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0] for c in FEATURES})
+    return local_table(spark, [(c, q, v) for (c, q), v in found.items()], "feature string, q double, value double").withColumn("value", rounded(F.col("value")))
+
+
 RANKING = f"""{LI}, {CELLS}, {ANOVA}, {CHI}, {MI},
 scores as (select 'anova' as method, feature, round(score, 9) as score from anova union all select 'chi2', feature, round(score, 9) from chi union all select 'mutual_info', feature, round(score, 9) from mi),
 places as (select *, rank() over (partition by method order by score desc) as r from scores),
