@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import key_hash
+from flowlens.operators.trees import Ensemble, extra_trees, softmax_boosting
 from flowlens.sources.stage import moved
 
 
@@ -38,7 +39,7 @@ class Model:
     run: Callable[[DataFrame], DataFrame]
     importance: list[float] | None = None
     stages: PipelineModel | None = None
-    present: list[int] | None = None  # of a boosted model: the classes with a stage, in order
+    grown: Ensemble | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.run(df)
@@ -84,8 +85,6 @@ def _estimator(kind: str, params: dict, weight: str | None, k: int, width: int):
         return ml.DecisionTreeClassifier(**shared, **{"maxDepth": 18, "minInstancesPerNode": 2, **params})
     if kind == "forest":
         return ml.RandomForestClassifier(**shared, **{"numTrees": 300, "maxDepth": 14, "featureSubsetStrategy": "sqrt", "seed": 7, **params})
-    if kind == "extra":  # no such estimator in Spark: a forest without bootstrap stands in
-        return ml.RandomForestClassifier(**shared, **{"numTrees": 300, "maxDepth": 14, "featureSubsetStrategy": "sqrt", "bootstrap": False, "seed": 7, **params})
     if kind == "mlp":  # takes no weights
         layers = [width, *params.pop("hidden", [128, 64]), k]
         return ml.MultilayerPerceptronClassifier(featuresCol="_x", labelCol="_y", layers=layers, **{"maxIter": 100, "seed": 7, **params})
@@ -96,13 +95,19 @@ KINDS = ("logistic", "bayes", "tree", "forest", "extra", "mlp", "boosted")
 
 
 def fit(kind: str, df: DataFrame, features: Sequence[str], code: str, k: int, weight: str | None = None, held: str | None = None, **params) -> Model:
-    """Fits a Spark ML classifier. held: a boolean column of validation rows for early stopping of
-    `boosted`; other kinds leave them out."""
+    """Fits a classifier: of Spark ML, or for `extra` and `boosted` of trees.py. held: a boolean column of
+    validation rows for early stopping of `boosted`; other kinds leave them out."""
     features = list(features)
+    if kind in ("extra", "boosted"):
+        named = {"numTrees": "trees", "maxDepth": "depth", "maxIter": "rounds", "stepSize": "rate", "maxBins": "bins", "minInstancesPerNode": "least"}
+        own = {named.get(p, p): v for p, v in params.items()}
+        if kind == "boosted":
+            grown = softmax_boosting(df, features, code, k, weight, held, **own)
+        else:
+            grown = extra_trees(df.where(~F.coalesce(F.col(held), F.lit(False))) if held else df, features, code, k, weight, **{"trees": 300, **own})
+        return Model(features, k, grown.transform, grown.importance(), grown=grown)
     rows = df.where(F.col(code).isNotNull()).withColumn("_y", F.col(code).cast("double"))
     assembler = VectorAssembler(inputCols=features, outputCol="_x")
-    if kind == "boosted":
-        return _boosted(assembler.transform(rows), assembler, features, k, weight, held, params)
     if held:
         rows = rows.where(~F.col(held))
     fitted = _estimator(kind, dict(params), weight, k, len(features)).fit(assembler.transform(rows))
@@ -115,23 +120,6 @@ def fit(kind: str, df: DataFrame, features: Sequence[str], code: str, k: int, we
     return Model(features, k, _one(stages, k), importance, stages)
 
 
-def _boosted(rows: DataFrame, assembler: VectorAssembler, features: list[str], k: int, weight: str | None, held: str | None, params: dict) -> Model:
-    """One binary boosted model per class; their probabilities, normalised."""
-    there = {int(r[0]) for r in rows.select("_y").distinct().collect()}
-    rows = rows.persist()
-    boosters = []
-    for c in sorted(there):
-        extra = {"weightCol": weight} if weight else {}
-        extra |= {"validationIndicatorCol": held} if held else {}
-        booster = ml.GBTClassifier(featuresCol="_x", labelCol="_b", predictionCol=f"_o{c}", seed=7, **{"maxIter": 20, "maxDepth": 4, **params}, **extra)
-        booster = booster.setRawPredictionCol(f"_r{c}").setProbabilityCol(f"_p{c}")
-        boosters.append(booster.fit(rows.withColumn("_b", (F.col("_y") == c).cast("double"))))
-    rows.unpersist()
-    weights = [m.featureImportances.toArray() for m in boosters]
-    stages, present = PipelineModel([assembler, *boosters]), sorted(there)
-    return Model(features, k, _several(stages, present, k), sum(weights).tolist() if weights else None, stages, present)
-
-
 def _one(stages: PipelineModel, k: int) -> Callable[[DataFrame], DataFrame]:
     """Probabilities of a single classifier over all k classes."""
 
@@ -142,20 +130,6 @@ def _one(stages: PipelineModel, k: int) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
-def _several(stages: PipelineModel, present: list[int], k: int) -> Callable[[DataFrame], DataFrame]:
-    """Probabilities of binary classifiers of the classes `present`, normalised."""
-
-    def run(table: DataFrame) -> DataFrame:
-        one = [F.element_at(vector_to_array(f"_p{c}"), 2) if c in present else F.lit(0.0) for c in range(k)]
-        out = stages.transform(table).withColumn("proba", F.array(*one))
-        total = F.aggregate("proba", F.lit(0.0), lambda a, p: a + p)
-        even = F.array(*(F.lit(1.0 / k) for _ in range(k)))
-        out = out.withColumn("_t", total).withColumn("proba", F.when(F.col("_t") > 0, F.transform("proba", lambda p: p / F.col("_t"))).otherwise(even))
-        return out.drop("_x", "_t", *(f"{x}{c}" for c in present for x in ("_r", "_p", "_o")))
-
-    return run
-
-
 def foreign(features: Sequence[str], k: int, predict: Callable[[pd.DataFrame], list]) -> Model:
     """Any Python model: predict() takes a pandas table of the features and gives rows of k probabilities."""
     features = list(features)
@@ -190,11 +164,15 @@ def save(model: Model | Centroids, path: str, df: DataFrame, key: Sequence[str],
     if isinstance(model, Centroids):
         means = {str(c): m for c, m in sorted(model.means.items())}
         manifest |= {"kind": "centroids", "means": means, "digest": hashlib.sha256(json.dumps(means).encode()).hexdigest()}
+    elif model.grown is not None:
+        grown = json.dumps(model.grown.as_dict())
+        local_table(spark, [(grown,)], "value string").coalesce(1).write.text(f"{staging}/trees")
+        manifest |= {"kind": "grown", "digest": hashlib.sha256(grown.encode()).hexdigest()}
     elif model.stages is None:
         raise ValueError("a foreign model has nothing to write")
     else:
         model.stages.write().save(f"{staging}/stages")
-        manifest |= {"kind": "boosted" if model.present is not None else "single", "present": model.present, "digest": _digest(spark, f"{staging}/stages")}
+        manifest |= {"kind": "single", "digest": _digest(spark, f"{staging}/stages")}
     local_table(spark, [(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
     sample = df.orderBy(key_hash("save", key), *key).limit(rows)
     a, b = (m.transform(sample).select(*key, F.col("proba").alias(name)) for m, name in ((model, "_a"), (load(spark, staging), "_b")))
@@ -215,13 +193,17 @@ def load(spark: SparkSession, path: str) -> Model | Centroids:
     features, k = told["features"], told["k"]
     if told["kind"] == "centroids":
         found = hashlib.sha256(json.dumps(told["means"]).encode()).hexdigest()
+    elif told["kind"] == "grown":
+        trees = "".join(r["value"] for r in spark.read.text(f"{path}/trees", wholetext=True).collect()).rstrip("\n")
+        found = hashlib.sha256(trees.encode()).hexdigest()
     else:
         found = _digest(spark, f"{path}/stages")
     if found != told["digest"]:
         raise ValueError(f"{path} is not as it was written")
     if told["kind"] == "centroids":
         return Centroids(features, {int(c): m for c, m in told["means"].items()}, k)
+    if told["kind"] == "grown":
+        grown = Ensemble.of_dict(json.loads(trees))
+        return Model(features, k, grown.transform, grown.importance(), grown=grown)
     stages = PipelineModel.load(f"{path}/stages")
-    if told["kind"] == "boosted":
-        return Model(features, k, _several(stages, told["present"], k), None, stages, told["present"])
     return Model(features, k, _one(stages, k), None, stages)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.portable import rounded
-from flowlens.operators import clean, evaluate, models, prep, tune
+from flowlens.operators import clean, evaluate, models, prep, trees, tune
 from flowlens.operators.normalise import encode
 from flowlens.operators.sample import budgeted, split
 from flowlens.plans import beds
@@ -79,6 +80,62 @@ for _kind, _params in {
     _register(_kind, _params)
 
 
+def _extra_level(p: int) -> str:
+    """Cuts of level p of a tree, drawn by hashes, from boxes node{p} and rows at{p}."""
+    return f"""draw{p} as (select *, lo + cast(cast('0x' || substr(md5('extra|0|' || path || '|' || f || '|cut'), 1, 8) as bigint) as double) / cast(4294967296 as double) * (hi - lo) as cut
+  from (select *, row_number() over (partition by path order by md5('extra|0|' || path || '|' || f)) - 1 as j from node{p} where lo < hi) where j < 2),
+cell{p} as (select d.path, d.j, d.f, d.cut, y, count(*) filter (v <= cut) as a, count(*) filter (v > cut) as b from at{p} x join draw{p} d on x.path = d.path and x.f = d.f group by all),
+sum{p} as (select path, j, f, cut, sum(a) as a, sum(b) as b, coalesce(sum(a * a) / nullif(sum(a), 0), 0) + coalesce(sum(b * b) / nullif(sum(b), 0), 0) - sum((a + b) * (a + b)) / sum(a + b) as g from cell{p} group by all),
+best{p} as materialized (select * from (select *, row_number() over (partition by path order by a > 0 and b > 0 desc, round(g / (a + b), 9) desc, j) as r from sum{p}) where r = 1 and a > 0 and b > 0),
+node{p + 1} as (select n.path * 2 + s as path, n.f, case when n.f = b.f and s = 1 then cut else lo end as lo, case when n.f = b.f and s = 0 then cut else hi end as hi from best{p} b join node{p} n on n.path = b.path, (select unnest([0, 1]) as s)),
+side{p} as (select x.i, x.path * 2 + cast(v > cut as int) as path from at{p} x join best{p} b on x.path = b.path and x.f = b.f),
+at{p + 1} as materialized (select x.i, s.path, y, f, v from at{p} x join side{p} s on x.i = s.i)"""
+
+
+_LONG = f"""{beds.LI}, num as (select *, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as y, row_number() over () as i from li),
+at0 as materialized ({" union all ".join(f"select i, 1 as path, y, '{c}' as f, cast({c} as double) as v from num" for c in FEATURES)})"""
+
+
+@query("extra_tree", f"""with {_LONG}, node0 as (select 1 as path, f, min(v) as lo, max(v) as hi from at0 group by f), {_extra_level(0)}, {_extra_level(1)}
+select cast(path as integer) as path, f as feature, round_even(cut, 6) as cut, cast(a as double) as n_left, cast(b as double) as n_right from (select * from best0 union all select * from best1)""")
+def _(spark, folder):
+    """The nodes of an extremely randomised tree of depth two over all rows."""
+    rows = encode(beds.li(spark, folder), "label", beds.codec(spark))
+    tree = trees.extra_trees(rows, FEATURES, "code", 4, trees=1, depth=2, tries=2).trees[0]
+    out, waiting = [], [(0, 1)]
+    while waiting:
+        at, path = waiting.pop()
+        if tree.feature[at] >= 0:
+            left = tree.left[at]
+            out.append((path, FEATURES[tree.feature[at]], tree.cut[at], tree.cover[left], tree.cover[left + 1]))
+            waiting += [(left, 2 * path), (left + 1, 2 * path + 1)]
+    return local_table(spark, out, "path int, feature string, cut double, n_left double, n_right double").withColumn("cut", rounded(F.col("cut")))
+
+
+@query("boosted_round", f"""with {_LONG}, cut as (select distinct f, unnest([{", ".join(f"quantile_cont(v, {b / 8!r})" for b in range(1, 8))}]) as cut from at0 group by f),
+g as (select i, f, v, c, 0.25 - cast(y = c as int) as g, 0.1875 as h from at0, (select unnest([0, 1, 2, 3]) as c)),
+t as (select c, f, cast(sum(g) as double) as g, cast(sum(h) as double) as h from g group by 1, 2),
+l as (select c, g.f, cut, cast(sum(g) filter (v <= cut) as double) as gl, cast(sum(h) filter (v <= cut) as double) as hl, count(*) filter (v > cut) as nr from g join cut on g.f = cut.f group by 1, 2, 3),
+s as (select l.*, g - gl as gr, h - hl as hr, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) as gain from l join t on l.c = t.c and l.f = t.f where nr > 0),
+r as (select *, row_number() over (partition by c order by round(gain, 9) desc, list_position({list(FEATURES)!r}, f), cut) as r from s)
+select cast(c as integer) as code, f as feature, round_even(cut, 6) as cut, round_even(-0.3 * gl / (hl + 1), 6) as left_margin, round_even(-0.3 * gr / (hr + 1), 6) as right_margin from r where r = 1""")
+def _(spark, folder):
+    """The cut and margins of each class after one round of boosting of depth one over all rows."""
+    rows = encode(beds.li(spark, folder), "label", beds.codec(spark))
+    grown = trees.softmax_boosting(rows, FEATURES, "code", 4, rounds=1, depth=1, bins=8).trees
+    out = [(t.target, FEATURES[t.feature[0]], t.cut[0], t.value[1][0], t.value[2][0]) for t in grown if t.feature[0] >= 0]
+    return local_table(spark, out, "code int, feature string, cut double, left_margin double, right_margin double").select("code", "feature", *(rounded(F.col(c)).alias(c) for c in ("cut", "left_margin", "right_margin")))
+
+
+@query("tree_contributions")
+def _(spark, folder):
+    """What each feature adds to every row's probability of `big`, by the trees of a Spark forest."""
+    rows = encode(beds.li(spark, folder), "label", beds.codec(spark))
+    forest = models.fit("forest", rows, FEATURES, "code", 4, numTrees=10, maxDepth=4)
+    out = trees.tree_contributions(rows, trees.of_spark(forest.stages.stages[-1], FEATURES), KEY, 2)
+    return out.select(*KEY, *(rounded(F.col(c)).alias(c) for c in (*FEATURES, "expected", "score")))
+
+
 @query("model_importance")
 def _(spark, folder):
     rows = encode(beds.li(spark, folder), "label", beds.codec(spark))
