@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from flowlens.sources.stage import stored
 
 #: Rows of a block, about; pairs of blocks are compared.
 BLOCK = 8192
+#: Parts of a class in the index at most, and its rows for each part, about.
+PARTS, PART_ROWS = 256, 1024
 
 
 def targets(counts: dict[str, int], ratio: float = 0.25, expansion: float = 20.0, least: int = 0) -> dict[str, tuple[int, bool]]:
@@ -67,15 +69,13 @@ def _nearest(k: int):
         # a row is no neighbour of itself, and a key lies in one block
         codes = {x: n for n, x in enumerate(dict.fromkeys(right.column("_k").to_pylist()))}
         own_q, own_d = (np.array([codes.get(x, -1) for x in t.column("_k").to_pylist()]) for t in (left, right))
-        same = left.column("_i")[0].as_py() == left.column("_j")[0].as_py()
         norms = (d * d).sum(axis=1)
         who, near, far = [], [], []
         for at in range(0, len(q), 128):
             x = q[at : at + 128]
             length = (x * x).sum(axis=1)
             squares = length[:, None] + norms[None, :] - 2 * (x @ d.T)
-            if same:
-                squares[own_q[at : at + 128, None] == own_d[None, :]] = np.inf
+            squares[own_q[at : at + 128, None] == own_d[None, :]] = np.inf
             top = np.partition(squares, min(k, len(d)) - 1, axis=1)[:, min(k, len(d)) - 1]
             # room for the error of the product and for ties once rounded
             slack = 1e-11 * (length + norms.max()) + 4e-6 * np.sqrt(np.maximum(top, 0)) + 1e-11
@@ -92,28 +92,116 @@ def _nearest(k: int):
     return run
 
 
-def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, classes: Sequence[str | int] | None = None, block: int = BLOCK) -> DataFrame:
+def _pivots(rows: DataFrame, sizes: DataFrame) -> dict[object, np.ndarray]:
+    """Class -> vectors that its rows gather around, by hash order; PARTS a class at most."""
+    share = F.pmod(F.xxhash64("_k", F.lit("pivot")), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    some = rows.join(F.broadcast(sizes.where("_parts > 1")), F.col("_c") == F.col("_own")).withColumn("_h", share)
+    some = some.where(F.col("_h") < (2 * F.col("_parts") + 8) / F.col("_n"))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("_h", "_k"))
+    out: dict[object, list] = {}
+    for r in some.withColumn("_at", place).where(F.col("_at") <= F.col("_parts")).select("_c", "_v").collect():
+        out.setdefault(r["_c"], []).append(r["_v"])
+    return {c: np.array(v, dtype=float) for c, v in out.items()}
+
+
+def _away(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots, exact to some 1e-12."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _by_class(b: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
+    labels = b.column(b.schema.get_field_index("_c")).to_pylist()
+    places: dict[object, list[int]] = {}
+    for n, c in enumerate(labels):
+        places.setdefault(c, []).append(n)
+    return ((c, np.array(at)) for c, at in places.items())
+
+
+def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, classes: Sequence[str | int] | None = None, block: int = BLOCK, part_rows: int = PART_ROWS, work: dict[str, int] | None = None) -> DataFrame:
     """(key, neighbour, distance, place): the k nearest rows of the same class, itself excluded.
 
     vector: array<double>, finite. Distances are rounded to 6 digits, ties go by key; k shrinks to the
-    class. Exact at any size: a class is cut into blocks of about `block` rows by hash of the key, each
-    pair of blocks is one group and returns k rows a row; these merge by key. The work grows with the
-    square of a class.
+    class. Exact at any size, by a metric index: each row belongs to the part of its nearest pivot (PARTS
+    a class at most), and finds the k nearest of its part first. The k-th distance then bounds the other
+    parts it meets: by the triangle inequality no row of a part is nearer than the part's radii leave, nor
+    than half the difference of the two pivots' distances. Rows are sent to parts whose bound reaches the
+    k-th distance alone. Parts are cut into blocks of about `block` rows, and each pair of blocks is one
+    group. Where vectors have no clusters, few parts are left out and the work grows with the square of a
+    class. The driver holds the pivots and a row of radii a part. work: gets the numbers of pairs of row
+    and part, and of those opened.
     """
+    spark = df.sparkSession
     rows = df if classes is None else df.where(F.col(label).isin(*classes))
     rows = rows.select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("_c").isNotNull())
     kinds = dict(rows.dtypes)
-    sizes = rows.groupBy("_c").count().select(F.col("_c").alias("_own"), F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
-    cut = rows.join(F.broadcast(sizes), F.col("_c") == F.col("_own")).withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = cut.select("_c", F.col("_b").alias("_i"), every.alias("_j"), "_k", "_v")
+    count = F.count("*")
+    sizes = stored(rows.groupBy(F.col("_c").alias("_own")).agg(count.alias("_n"), F.least(F.lit(PARTS), F.ceil(count / part_rows)).alias("_parts")), "neighbour-sizes")
+    pivots = spark.sparkContext.broadcast(_pivots(rows, sizes))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            x, part, far = _vectors(pa.table(b)), np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for c, at in _by_class(b):
+                if c in pivots.value:
+                    d = _away(x[at], pivots.value[c])
+                    part[at] = d.argmin(axis=1)
+                    far[at] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part), pa.array(far)], names=[*b.schema.names, "_p", "_r"])
+
+    parts = stored(rows.mapInArrow(assign, f"_k {kinds['_k']}, _c {kinds['_c']}, _v array<double>, _p int, _r double"), "neighbour-parts")
+    blocks = F.ceil(F.count("*") / block).cast("int")
+    stats = stored(parts.groupBy(F.col("_c").alias("_own"), F.col("_p").alias("_part")).agg(blocks.alias("_blocks"), F.min("_r").alias("_low"), F.max("_r").alias("_high")), "neighbour-radii")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
     again = lambda c: F.col(c).alias(c)
-    right = cut.select(again("_c"), every.alias("_i"), F.col("_b").alias("_j"), again("_k"), again("_v"))
-    by = ["_c", "_i", "_j"]
-    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_nearest(k), f"_k {kinds['_k']}, _n {kinds['_k']}, _d double").withColumn("_d", rounded(F.col("_d")))
+    by, out = ["_c", "_p", "_i", "_j"], f"_k {kinds['_k']}, _n {kinds['_k']}, _d double"
+    met = lambda a, b: a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(_nearest(k), out).withColumn("_d", rounded(F.col("_d")))
+    in_part = lambda t, p="_p": (t["_c"] == F.col("_own")) & (F.col(p) == F.col("_part"))
+    cut = parts.join(F.broadcast(stats), in_part(parts)).select("_c", "_p", "_k", "_v", "_blocks", at("_blocks").alias("_b"))
+    left = cut.select("_c", "_p", F.col("_b").alias("_i"), each("_blocks").alias("_j"), "_k", "_v")
+    right = cut.select(again("_c"), again("_p"), each("_blocks").alias("_i"), F.col("_b").alias("_j"), again("_k"), again("_v"))
     place = F.row_number().over(Window.partitionBy("_k").orderBy("_d", "_n"))
-    out = near.withColumn("place", place).where(F.col("place") <= k)
-    return out.select(F.col("_k").alias(key), F.col("_n").alias("neighbour"), F.col("_d").alias("distance"), "place")
+    near = met(left, right).withColumn("place", place).where(F.col("place") <= k)
+    if pivots.value:
+        near = stored(near, "neighbour-own")
+        radii: dict[object, list[tuple[int, float, float]]] = {}
+        for r in stats.collect():  # a row a part
+            radii.setdefault(r["_own"], []).append((r["_part"], r["_low"], r["_high"]))
+        kth = near.groupBy("_k").agg(F.when(F.count("*") >= k, F.max("_d")).otherwise(F.lit(float("inf"))).alias("_t"))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(row, part) for every other part that may hold a row as near as the k-th."""
+            for b in (b for b in batches if b.num_rows):
+                x, own, far = _vectors(pa.table(b)), *(b.column(b.schema.get_field_index(c)).to_numpy() for c in ("_p", "_r"))
+                top = b.column(b.schema.get_field_index("_t")).fill_null(float("inf")).to_numpy(zero_copy_only=False)
+                who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                for c, rows_ in _by_class(b):
+                    if c not in pivots.value:
+                        continue
+                    d = _away(x[rows_], pivots.value[c])
+                    for part, low, high in radii[c]:
+                        bound = np.maximum.reduce([d[:, part] - high, low - d[:, part], (d[:, part] - far[rows_]) / 2])
+                        hit = rows_[(own[rows_] != part) & (bound <= top[rows_] + 2e-6)]  # room for rounded distances
+                        who.append(hit)
+                        what.append(np.full(len(hit), part, np.int32))
+                take = pa.array(np.concatenate(who))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(what))], names=["_k", "_c", "_p"])
+
+        asked = parts.join(kth, "_k", "left").select("_k", "_c", "_v", "_p", "_r", "_t")
+        asked = stored(asked.mapInArrow(ask, f"_k {kinds['_k']}, _c {kinds['_c']}, _p int"), "neighbour-asked")
+        if work is not None:
+            pairs = parts.join(F.broadcast(sizes), F.col("_c") == F.col("_own")).agg(F.sum("_parts")).first()[0] or 0
+            work |= {"pairs": pairs, "opened": parts.count() + asked.count()}
+        asking = asked.groupBy(F.col("_c").alias("_ac"), F.col("_p").alias("_ap")).agg(F.ceil(F.count("*") / block).cast("int").alias("_asking"))
+        both = stored(stats.join(asking, (F.col("_own") == F.col("_ac")) & (F.col("_part") == F.col("_ap"))).select("_own", "_part", "_blocks", "_asking"), "neighbour-blocks")
+        vectors = parts.select("_k", "_v")
+        queries = asked.join(F.broadcast(both), in_part(asked)).select("_c", "_p", at("_asking").alias("_i"), each("_blocks").alias("_j"), "_k").join(vectors, "_k")
+        data = parts.join(F.broadcast(both), in_part(parts)).select(again("_c"), again("_p"), each("_asking").alias("_i"), at("_blocks").alias("_j"), again("_k"), again("_v"))
+        near = near.drop("place").unionByName(met(queries.select(*by, "_k", "_v"), data))
+        near = near.withColumn("place", place).where(F.col("place") <= k)
+    elif work is not None:
+        work |= {"pairs": parts.count(), "opened": parts.count()}
+    return near.select(F.col("_k").alias(key), F.col("_n").alias("neighbour"), F.col("_d").alias("distance"), "place")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -151,13 +239,13 @@ def smote(df: DataFrame, key: str, label: str, vector: str, wanted: dict, k: int
     return joined.select(F.col("_c").alias(label), F.col("_i").alias("i"), between.alias(vector))
 
 
-def tomek_links(df: DataFrame, key: str, label: str, vector: str, block: int = BLOCK) -> DataFrame:
+def tomek_links(df: DataFrame, key: str, label: str, vector: str, block: int = BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
     """(key, other): mutual nearest neighbours of different classes, each pair once from either side.
 
-    Every pair of rows is compared, block by block as in neighbours().
+    Nearest neighbours come from the metric index of neighbours(), over all classes at once.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v"), F.lit(0).alias("_all"))
-    nearest = neighbours(rows, "_k", "_all", "_v", 1, block=block).select("_k", "neighbour")
+    nearest = neighbours(rows, "_k", "_all", "_v", 1, block=block, part_rows=part_rows).select("_k", "neighbour")
     both = nearest.alias("a").join(nearest.alias("b"), (F.col("a.neighbour") == F.col("b._k")) & (F.col("b.neighbour") == F.col("a._k")))
     pairs = both.select(F.col("a._k").alias("_k"), F.col("a.neighbour").alias("_m"))
     classes = rows.select("_k", "_c")
