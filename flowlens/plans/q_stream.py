@@ -85,6 +85,14 @@ def _(spark, folder):
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "class", "n")
 
 
+@query("stream_distinct_windows", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type as class, count(*) as n from events group by 1, 2")
+def _(spark, folder):
+    """Events, of which every third comes twice, by hour: de-duplicated, then counted, in one query."""
+    twice = streaming.closed(events(spark, folder), "ts").withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1))))
+    out = streaming.run_available(streaming.distinct_windows(twice, ["event_id"], "event_type"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "class", "n")
+
+
 @query("stream_sliding_windows", """select strftime(date_trunc('hour', ts) - to_minutes(cast(30 * o as integer)) + case when minute(ts) >= 30 then interval 30 minute else interval 0 minute end, '%Y-%m-%d %H:%M') as start, event_type as class, count(*) as n
   from events, (select unnest([0, 1]) as o) group by 1, 2""")
 def _(spark, folder):

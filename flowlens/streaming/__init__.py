@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowlens.functions.local import local_table
 from flowlens.operators.sample import bernoulli
 from flowlens.sources.stage import new_folder
 
+KEPT = 10_000
 END = "9999-01-01 00:00:00"
 
 
@@ -58,6 +60,12 @@ def deduplicated(df: DataFrame, key: Sequence[str], ts: str = "ts", delay: str =
     return event_time(df, ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def distinct_windows(df: DataFrame, key: Sequence[str], label: str, ts: str = "ts", delay: str = "10 minutes", size: str = "1 hour") -> DataFrame:
+    """(start, end, class, n) of distinct keys: de-duplication feeds windows in one append query. Both
+    states go by the same watermark; a row behind it is dropped by the first and counted in its progress."""
+    return windowed(deduplicated(df, key, ts, delay), label, ts, size)
+
+
 def windowed(df: DataFrame, label: str, ts: str = "ts", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(start, end, class, n); df has a watermark on ts in a stream."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
@@ -71,8 +79,25 @@ def sessions(df: DataFrame, source: str, ts: str = "ts", gap: str = "30 minutes"
     return out.select(source, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_available(df: DataFrame, mode: str = "append", folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def keep_progress(query: StreamingQuery, path: str) -> None:
+    """Appends to a Parquet table, for each batch and stateful operator of a query that has ended, the rows
+    it read and those it dropped as late: (run, batch, operator, position, rows_in, late)."""
+    rows = []
+    for p in query.recentProgress:
+        for at, op in enumerate(p["stateOperators"]):
+            rows.append((str(p["runId"]), int(p["batchId"]), op["operatorName"], at, int(p["numInputRows"]), int(op["numRowsDroppedByWatermark"])))
+    spark = SparkSession.active()
+    local_table(spark, rows, "run string, batch long, operator string, position int, rows_in long, late long").coalesce(1).write.mode("append").parquet(path)
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(operator, position, late) over all runs of a progress table."""
+    return spark.read.parquet(path).groupBy("operator", "position").agg(F.sum("late").alias("late"))
+
+
+def run_available(df: DataFrame, mode: str = "append", folder: str | None = None, checkpoint: str | None = None, progress: str | None = None) -> DataFrame:
     """Runs a stream over what is there now, and reads its result from `folder` (default: a new one).
+    progress: a table that keep_progress() adds the run's batches to, KEPT of them at most.
 
     Append mode uses the file sink. In complete mode each batch writes the whole result so far to a
     folder of its own, over what a lost attempt of it left, and the last one is read; in update mode
@@ -85,10 +110,15 @@ def run_available(df: DataFrame, mode: str = "append", folder: str | None = None
     def add(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
+    had = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(KEPT))
+    query = writer.format("parquet").start(folder) if mode == "append" else writer.foreachBatch(add).start()
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", had)
+    query.awaitTermination()
+    if progress:
+        keep_progress(query, progress)
     if mode == "append":
-        writer.format("parquet").start(folder).awaitTermination()
         return spark.read.schema(df.schema).parquet(folder)
-    writer.foreachBatch(add).start().awaitTermination()
     out = spark.read.parquet(folder)
     return out if mode == "update" else out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
 
