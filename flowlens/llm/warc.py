@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.storage import shared_folder, stored
+from flowlens.llm.textops import partitions
 
 INDEX = "archive string, offset bigint, length bigint, record_id bigint, url string, digest string, record_type string"
 RECORD = "record_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 LEAST = 100  # bytes of a payload that revisits may refer to
-SALTS = 16
 #: Reading tasks up to which each reads about `most` bytes; beyond, bytes of a task.
 TASKS, TASK_BYTES = 20_000, 256 << 20
 CRLF = b"\r\n"
@@ -90,10 +90,16 @@ def digests(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     each = df.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), (F.octet_length(payload) >= LEAST).alias("large"))
     each = stored(each.distinct(), "warc-digests")
+    # A digest may be that of a third of the rows: those with more than a mean partition are split into as
+    # many parts as that takes. There are fewer of them than partitions, so the table of them is small.
+    mean = max(1, -(-each.count() // partitions(df.sparkSession)))
     first = each.where("large and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")  # a digest may be that of a third of the rows
-    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = each.withColumn("salt", salt).join(first, ["digest", "salt"], "left")
+    first = stored(first.select("digest", "first", F.ceil(F.col("n") / mean).cast("int").alias("parts")), "warc-first")
+    hot = first.where("parts > 1").select(F.col("digest").alias("hot"), F.col("parts").alias("own"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int")
+    split = each.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left").select("id", "digest", part.alias("part"))
+    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    out = split.join(first, ["digest", "part"], "left")
     return out.select("id", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
 
 

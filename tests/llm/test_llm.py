@@ -718,3 +718,15 @@ def test_a_text_of_fragments_takes_time_in_proportion(spark):
     big = spark.createDataFrame([(1, (part + " ") * 8 + license_scan.TEMPLATES[0][1]), (2, part)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in license_scan.scan(big).collect()}
     assert license_scan.TEMPLATES[0][0] in got[1].split(",") and got[2] == ""
+
+
+def test_hot_payloads_are_split_by_their_number(spark):
+    """A third of the pages are one payload; another stands twice."""
+    hot, two = "h" * 200, "t" * 150
+    rows = [(i, f"http://x/{i}", hot if i % 3 == 0 else f"{i} " * 60) for i in range(300)] + [(900, "u", two), (901, "u", two), (None, "n", hot), (None, "n", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["id"]: r["refers_to"] for r in warc.digests(df, "page_id", "html").collect()}
+    want = {i: 0 if i % 3 == 0 and i else None for i in range(300)} | {900: None, 901: 900, None: None}
+    assert got == want
+    back = warc.read_records(warc.write_archives(df)).collect()
+    assert len(back) == len(rows) and sum(r["record_type"] == "revisit" for r in back) == 100
