@@ -87,8 +87,8 @@ def test_trees_learn_and_do_not_depend_on_partitions(table):
 
 def test_early_stopping_keeps_the_best_rounds(table):
     noise = table.withColumn("code", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int"))
-    model = trees.softmax_boosting(noise, NAMES, "code", 3, held="held", rounds=9, depth=3, rate=0.9, patience=2)
-    assert len(model.trees) < 27
+    model = trees.softmax_boosting(noise, NAMES, "code", 3, held="held", rounds=8, depth=2, rate=0.9, patience=2)
+    assert len(model.trees) < 24
     kept = trees.softmax_boosting(table, NAMES, "code", 3, held="held", rounds=4, depth=3)
     loss = lambda m: m.transform(table.where("held")).agg(F.avg(-F.ln(F.element_at("proba", F.col("code") + 1)))).first()[0]
     first = trees.Ensemble(NAMES, 3, "softmax", kept.trees[:3], kept.present)
@@ -98,10 +98,10 @@ def test_early_stopping_keeps_the_best_rounds(table):
 def test_shared_probabilities_beat_a_model_for_each_class(spark, table):
     """Held-out log loss against binary models, one a class and normalised, of as many rounds."""
     train, rest = table.where("not held"), table.where("held")
-    joint = trees.softmax_boosting(train, NAMES, "code", 3, rounds=4, depth=3)
+    joint = trees.softmax_boosting(train, NAMES, "code", 3, rounds=3, depth=3)
     x = np.array([[r[c] for c in NAMES] for r in rest.orderBy("id").collect()])
     y = np.array([r["code"] for r in rest.orderBy("id").collect()])
-    apart = np.stack([trees.softmax_boosting(train.withColumn("code", (F.col("code") == c).cast("int")), NAMES, "code", 2, rounds=4, depth=3).probabilities(x)[:, 1] for c in range(3)], axis=1)
+    apart = np.stack([trees.softmax_boosting(train.withColumn("code", (F.col("code") == c).cast("int")), NAMES, "code", 2, rounds=3, depth=3).probabilities(x)[:, 1] for c in range(3)], axis=1)
     apart /= apart.sum(axis=1, keepdims=True)
     loss = lambda p: -np.log(p[np.arange(len(y)), y]).mean()
     assert loss(joint.probabilities(x)) < 1.02 * loss(apart)
