@@ -7,14 +7,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import ranks
 from flowlens.functions.local import local_table
 from flowlens.operators.clean import finite
+from flowlens.operators.impute import knn_impute  # noqa: F401
 
 SCALERS = ("standard", "minmax", "robust", "none")
 
@@ -164,76 +163,3 @@ def with_weights(df: DataFrame, label: str, weights: DataFrame) -> DataFrame:
     table = weights.select(F.col("class").alias("_class"), "weight")
     out = df.join(F.broadcast(table), df[label] == table["_class"], "left")
     return out.select(*(df[c] for c in df.columns), F.coalesce("weight", F.lit(1.0)).alias("weight"))
-
-
-#: Rows of a block of incomplete rows, and of a block of all rows, about.
-QUERIES, ROWS = 4096, 65_536
-
-
-def _nearest_cells(features: Sequence[str], k: int):
-    """For each missing cell of a block of rows its k nearest of another block: (query features, _cell, _d, _h, _value)."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        values = lambda t: np.stack([t.column(c).to_numpy().astype(float) for c in features], axis=1)
-        x, ref, h = values(left), values(right), right.column("_h").to_numpy()
-        there = ~np.isnan(ref)
-        who, cell, far, tie, found = [], [], [], [], []
-        known = ~np.isnan(x)
-        for pattern in np.unique(known, axis=0) if len(ref) else ():
-            same, own = np.flatnonzero((known == pattern).all(axis=1)), np.flatnonzero(pattern)
-            n = there[:, own].sum(axis=1)
-            for at in range(0, len(same), 64):
-                q = same[at : at + 64]
-                d = np.zeros((len(q), len(ref)))
-                for f in own:
-                    d += np.where(there[:, f], (ref[:, f] - x[q, f, None]) ** 2, 0.0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(n > 0, d * len(features) / n, np.inf)
-                for f in np.flatnonzero(~pattern):
-                    rows = np.flatnonzero(there[:, f] & (n > 0))
-                    if not len(rows):
-                        continue
-                    near = d[:, rows]
-                    most = min(k, len(rows))
-                    r, c = np.nonzero(near <= np.partition(near, most - 1, axis=1)[:, most - 1 : most])
-                    order = np.lexsort((ref[rows[c], f], h[rows[c]], near[r, c], r))
-                    r, c = r[order], c[order]
-                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                    r, c = r[keep], c[keep]
-                    who.append(q[r])
-                    cell.append(np.full(len(r), f, np.int32))
-                    far.append(near[r, c])
-                    tie.append(h[rows[c]])
-                    found.append(ref[rows[c], f])
-        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        at = pa.array(joined(who, np.int64))
-        return pa.table({**{c: left.column(c).take(at) for c in features}, "_cell": joined(cell, np.int32), "_d": joined(far, float), "_h": joined(tie, np.int64), "_value": joined(found, float)})
-
-    return run
-
-
-def knn_impute(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int = 5, seed: str = "knn") -> DataFrame:
-    """Missing cells as the mean over the k nearest of all rows that have them.
-
-    Distance: Euclidean over the features both rows have, scaled up to all; ties go by hash of the key.
-    Distinct incomplete rows are cut into blocks that meet blocks of all rows; each pair of blocks
-    returns k rows a cell, which merge. No neighbour: the cell stays null.
-    """
-    rows = df.withColumns({c: finite(F.col(c).cast("double")) for c in features})
-    gap = lambda f: F.expr(" or ".join(f"`{c}` is {f}null" for c in features))
-    asked = rows.where(gap("") & gap("not ")).select(*features).distinct()
-    queries, data = (max(1, -(-d.count() // n)) for d, n in ((asked, QUERIES), (rows, ROWS)))
-    tie = F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in key))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.pmod(F.xxhash64(*features), F.lit(queries)).cast("int").alias("_i"), every(data).alias("_j"), *(F.col(c).alias(c) for c in features))
-    right = rows.select(every(queries).alias("_i"), F.pmod(tie, F.lit(data)).cast("int").alias("_j"), tie.alias("_h"), *(F.col(c).alias(c) for c in features))
-    kind = ", ".join(f"`{c}` double" for c in features) + ", _cell int, _d double, _h long, _value double"
-    near = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(_nearest_cells(features, k), kind)
-    place = F.row_number().over(Window.partitionBy(*features, "_cell").orderBy("_d", "_h", "_value"))
-    best = near.withColumn("_place", place).where(F.col("_place") <= k)
-    means = best.groupBy(*features).agg(*(F.avg(F.when(F.col("_cell") == i, F.col("_value"))).alias(f"_m{i}") for i in range(len(features))))
-    means = means.select(*(F.col(c).alias(f"_q{i}") for i, c in enumerate(features)), *(f"_m{i}" for i in range(len(features))))
-    same = [F.col(c).eqNullSafe(F.col(f"_q{i}")) for i, c in enumerate(features)]
-    place_of = {c: i for i, c in enumerate(features)}
-    filled = rows.join(means, same, "left")
-    return filled.select(*(F.coalesce(c, f"_m{place_of[c]}").alias(c) if c in place_of else F.col(c) for c in df.columns))

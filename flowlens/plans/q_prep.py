@@ -107,6 +107,23 @@ def _(spark, folder):
     return out.groupBy("label").agg(rounded(F.sum("weight"), 4).alias("total"))
 
 
-@query("knn_impute")
+def _impute_sql(k: int = 5) -> str:
+    """Every pair of incomplete row and row with the cell, as the nearest k by (distance, hash, value)."""
+    tie = f"cast('0x' || substr({beds.md5('knn')}, 1, 15) as bigint)"
+    some = " or ".join(f"{c} is not null" for c in FEATURES)
+    both = " + ".join(f"case when q.{c} is not null and r.{c} is not null then 1 else 0 end" for c in FEATURES)
+    far = " + ".join(f"coalesce((r.{c} - q.{c}) * (r.{c} - q.{c}), 0.0)" for c in FEATURES)
+    cells = ", ".join(f"m{i} as (select q.i, list_avg([x.v for x in min(struct_pack(d := ({far}) * {len(FEATURES)} / ({both}), h := r.h, v := r.{c}), {k})]) as v "
+                      f"from asked q, dat r where q.{c} is null and r.{c} is not null and ({both}) > 0 group by 1)" for i, c in enumerate(FEATURES))
+    same = " and ".join(f"f.{c} is not distinct from a.{c}" for c in FEATURES)
+    joins = " ".join(f"left join m{i} on m{i}.i = a.i" for i in range(len(FEATURES)))
+    filled = ", ".join(f"round_even(coalesce(f.{c}, m{i}.v), 4) as {c}" for i, c in enumerate(FEATURES))
+    return (f"with {FIN}, dat as materialized (select {tie} as h, {', '.join(FEATURES)} from fin where {some}), "
+            f"asked as materialized (select row_number() over () as i, * from (select distinct {', '.join(FEATURES)} from dat where {' or '.join(f'{c} is null' for c in FEATURES)})), {cells} "
+            f"select f.{', f.'.join(KEY)}, f.label, {filled} from fin f left join asked a on {same} {joins}")
+
+
+@query("knn_impute", _impute_sql())
 def _(spark, folder):
-    return prep.knn_impute(beds.lid(spark, folder), FEATURES, KEY).select(*KEY, "label", *FEATURES)
+    out = prep.knn_impute(beds.lid(spark, folder), FEATURES, KEY)
+    return out.select(*KEY, "label", *(rounded(F.col(c), 4).alias(c) for c in FEATURES))
