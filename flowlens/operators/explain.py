@@ -3,13 +3,15 @@ grows by the number of features, so take a bounded sample first."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.portable import key_hash, ratio
+from flowlens.functions.portable import key_hash, numbered, ratio
 from flowlens.operators.evaluate import predicted
+from flowlens.sources.stage import stored
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -89,33 +91,67 @@ def measured(scored: DataFrame, by: Sequence[str], code: str, metric: str) -> Da
     return classes.groupBy(*by).agg(value.alias("value"))
 
 
+#: Rounds of the bijection, and how often a number outside the rows is walked on.
+ROUNDS, WALK = 6, 16
+
+
+def partner(number: Column, n: int, seed: str, repeat: Column) -> Column:
+    """Another number from 0 to n - 1 for each: a bijection by seed and repeat, computed row by row.
+
+    A number is a place in a grid of about sqrt(n) by sqrt(n); rounds shift one coordinate by a hash of
+    the other, which can be undone. The grid has fewer than sqrt(n) places too many; from one of those the
+    rounds are walked again until a number of a row is met. That takes WALK passes at most up to 256 rows
+    and, beyond, with odds of n^(-WALK / 2) of failing, which is an error.
+    """
+    across = math.isqrt(max(n - 1, 0)) + 1
+    down = max(1, -(-n // across))
+    mixed = lambda j, v: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), repeat.cast("string"), (j % ROUNDS).cast("string"), v.cast("string"))), 1, 8), 16, 10).cast("long")
+    here = lambda s: s["x"] + s["y"] * F.lit(across).cast("long")
+
+    def step(s: Column, j: Column) -> Column:
+        done = s["done"] | ((j > 0) & (j % ROUNDS == 0) & (here(s) < n))
+        x = F.when(done | (j % 2 == 1), s["x"]).otherwise((s["x"] + mixed(j, s["y"])) % across)
+        y = F.when(done | (j % 2 == 0), s["y"]).otherwise((s["y"] + mixed(j, s["x"])) % down)
+        return F.struct(x.alias("x"), y.alias("y"), done.alias("done"))
+
+    x = number.cast("long") % across
+    start = F.struct(x.alias("x"), ((number - x) / across).cast("long").alias("y"), F.lit(False).alias("done"))
+    found = lambda s: F.when(here(s) < n, here(s)).otherwise(F.raise_error(F.lit("no partner within the walk")).cast("long"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * WALK - 1)), start, step, found)
+
+
+def permuted(df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, repeats: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows; repeat, feature, code, features): every row once for each feature and repeat, with that
+    feature's value from its partner. Rows are numbered by key, code and values in ranges; one join
+    brings a partner's whole row, so all features of a repeat move alike, each on its own."""
+    rows = df.select(*key, code, *(F.col(f).cast("double").alias(f) for f in features))
+    rows = stored(numbered(rows, [*key, code, *features], "_i"), "numbered-rows")
+    n = rows.count()
+    asked = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_p", partner(F.col("_i"), n, seed, F.col("repeat")))
+    other = rows.select(F.col("_i").alias("_p"), *(F.col(f).alias(f"_v{k}") for k, f in enumerate(features)))
+    pairs = asked.join(other, "_p").withColumn("feature", F.explode(F.array(*(F.lit(f) for f in features))))
+    moved = [F.when(F.col("feature") == f, F.col(f"_v{k}")).otherwise(F.col(f)).alias(f) for k, f in enumerate(features)]
+    return rows.drop("_i"), pairs.select("repeat", "feature", code, *moved)
+
+
 def permutation_importance(
     df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, score: Scorer, repeats: int = 3, seed: str = "permute", metric: str = "accuracy",
 ) -> DataFrame:
     """(feature, raw_drop, importance): how much worse a metric of measured() gets when a feature's values
-    change places, mean over repeats; importance is 0 where it would be negative. df should be a
-    bounded sample: its rows are numbered in one window."""
-    rows = df.select(*key, code, *(F.col(f).cast("double").alias(f) for f in features)).withColumn("_i", F.row_number().over(Window.orderBy(*key)))
+    change places over all rows, mean over repeats; importance is 0 where it would be negative."""
+    rows, variants = permuted(df, features, key, code, repeats, seed)
     base = measured(score(rows).withColumn("_one", F.lit(1)), ["_one"], code, metric).select(F.col("value").alias("b"))
-    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("_v")) for f in features)))
-    grid = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select(*key, "repeat", cells.alias("_c")).select(*key, "repeat", "_c.*")
-    mixed = F.md5(F.concat_ws("|", F.lit(seed), F.col("repeat").cast("string"), "feature", *(F.col(c).cast("string") for c in key)))
-    moved = grid.withColumn("_i", F.row_number().over(Window.partitionBy("repeat", "feature").orderBy(mixed, *key))).select("repeat", "feature", "_i", "_v")
-    variants = rows.join(moved, "_i").withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
     hits = measured(score(variants), ["feature", "repeat"], code, metric).groupBy("feature").agg(F.avg("value").alias("a"))
     drop = F.col("a") - F.col("b") if metric == "log_loss" else F.col("b") - F.col("a")
     return hits.crossJoin(F.broadcast(base)).select("feature", drop.alias("raw_drop"), F.greatest(drop, F.lit(0.0)).alias("importance"))
 
 
 def recall_drop(df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, score: Scorer, seed: str = "permute") -> DataFrame:
-    """(feature, code, drop): the fall in each class's recall, one repeat; df should be a bounded sample."""
-    rows = df.select(*key, code, *(F.col(f).cast("double").alias(f) for f in features)).withColumn("_i", F.row_number().over(Window.orderBy(*key)))
-    base = score(rows).groupBy(code).agg(F.avg((predicted() == F.col(code)).cast("double")).alias("b"))
-    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("_v")) for f in features)))
-    mixed = F.md5(F.concat_ws("|", F.lit(seed), F.lit("1"), "feature", *(F.col(c).cast("string") for c in key)))
-    moved = rows.select(*key, cells.alias("_c")).select(*key, "_c.*").withColumn("_i", F.row_number().over(Window.partitionBy("feature").orderBy(mixed, *key))).select("feature", "_i", "_v")
-    variants = rows.join(moved, "_i").withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
-    hits = score(variants).groupBy("feature", code).agg(F.avg((predicted() == F.col(code)).cast("double")).alias("a"))
+    """(feature, code, drop): the fall in each class's recall over all rows, one repeat."""
+    rows, variants = permuted(df, features, key, code, 1, seed)
+    right = F.avg((predicted() == F.col(code)).cast("double"))
+    base = score(rows).groupBy(code).agg(right.alias("b"))
+    hits = score(variants).groupBy("feature", code).agg(right.alias("a"))
     return hits.join(base, code).select("feature", code, (F.col("b") - F.col("a")).alias("drop"))
 
 

@@ -15,13 +15,12 @@ from flowlens.plans.q_features import ANOVA, CELLS
 N = 400
 
 
-def sample(spark, folder):
-    """A bounded sample with codes; attributions multiply rows by the number of features."""
-    return encode(beds.li(spark, folder).orderBy(explain.key_hash("x", KEY), *KEY).limit(N), "label", beds.codec(spark))
+def coded(spark, folder):
+    return encode(beds.li(spark, folder), "label", beds.codec(spark))
 
 
 def classifier(spark, folder):
-    return models.fit_centroids(encode(beds.li(spark, folder), "label", beds.codec(spark)), FEATURES, "code", 4)
+    return models.fit_centroids(coded(spark, folder), FEATURES, "code", 4)
 
 
 SAMPLE = f"""{LI}, xs as materialized (select *, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as code, row_number() over (order by {KEYS}) as i from (select * from li order by {beds.md5('x')}, {KEYS} limit {N})),
@@ -158,33 +157,44 @@ def _(spark, folder):
     return local_table(spark, sorted(medians.items()), "feature string, median double").withColumn("median", rounded(F.col("median")))
 
 
-PERM = f"""{SAMPLE}, reps as (select unnest([1, 2]) as rep), cells as (select i, feature, rep, {KEYS}, case feature {' '.join(f"when '{c}' then {c}" for c in FEATURES)} end as v from xs, fs, reps where feature != ''),
-moved as (select rep, feature, row_number() over (partition by rep, feature order by md5(concat_ws('|', 'permute', cast(rep as varchar), feature, {beds._KEY})), {KEYS}) as i, v from cells),
-pv as (select x.i, rep, feature, code, {', '.join(f"case when feature = '{c}' then v else {c} end as {c}" for c in FEATURES)} from xs x join moved m on x.i = m.i
-  union all select i, 0, '', code, {', '.join(FEATURES)} from xs),
-{scored('pv', 'i, rep, feature')},
-said as (select i, rep, feature, k from (select *, row_number() over (partition by i, rep, feature order by p desc, k) as r from prob) where r = 1)"""
+def _nearest(value) -> str:
+    """The code of the nearest centroid, the lowest of ties; value: a feature's SQL."""
+    far = [" + ".join(f"({value(c)} - c{k}_{c}) * ({value(c)} - c{k}_{c})" for c in FEATURES) for k in range(4)]
+    return f"list_position([{', '.join(f'sqrt({d})' for d in far)}], least({', '.join(f'sqrt({d})' for d in far)})) - 1"
 
 
-@query("permutation_importance", f"""with {PERM}, a as (select feature, avg(case when k = code then 1.0 else 0.0 end) as acc from said join xs on said.i = xs.i group by 1)
+#: Rows numbered from 0; each one's partner by six rounds on a grid, walked on where it is none of the rows.
+_ROUND = "cast('0x' || substr(md5(concat_ws('|', 'permute', cast(rep as varchar), cast(j % 6 as varchar), cast({} as varchar))), 1, 8) as bigint)"
+PERM = f"""recursive {LI}, num as materialized (select *, list_position(['base', 'deep', 'big', 'rare'], label) - 1 as code, row_number() over (order by {KEYS}) - 1 as i from li),
+sz as materialized (select count(*) as n, cast(ceil(sqrt(count(*))) as bigint) as a, cast(ceil(count(*) / ceil(sqrt(count(*)))) as bigint) as b from li),
+cen as materialized (select {', '.join(f'avg({c}) filter (code = {k}) as c{k}_{c}' for k in range(4) for c in FEATURES)} from num),
+walk as (select i, rep, 0 as j, i % a as x, i // a as y from num, sz, (select unnest([1, 2]) as rep) union all
+  select i, rep, j + 1, case when j % 2 = 0 then (x + {_ROUND.format('y')}) % a else x end, case when j % 2 = 1 then (y + {_ROUND.format('x')}) % b else y end from walk, sz
+  where j < 96 and (j = 0 or j % 6 > 0 or x + y * a >= n)),
+pairs as materialized (select w.rep, s.i, s.code, {', '.join(f's.{c}, t.{c} as v_{c}' for c in FEATURES)} from walk w, sz, num s, num t where j > 0 and j % 6 = 0 and x + y * a < n and s.i = w.i and t.i = x + y * a),
+said as materialized (select 0 as rep, '' as feature, code, {_nearest(lambda c: c)} as k from num, cen union all {' union all '.join(
+    f"select rep, '{f}', code, {_nearest(lambda c, f=f: f'v_{c}' if c == f else c)} from pairs, cen" for f in FEATURES)})"""
+
+
+@query("permutation_importance", f"""with {PERM}, a as (select feature, avg(case when k = code then 1.0 else 0.0 end) as acc from said group by 1)
 select feature, round_even((select acc from a where feature = '') - acc, 6) as raw_drop, round_even(greatest((select acc from a where feature = '') - acc, 0), 6) as importance from a where feature != ''""")
 def _(spark, folder):
-    out = explain.permutation_importance(sample(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform, 2)
+    out = explain.permutation_importance(coded(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform, 2)
     return out.select("feature", rounded(F.col("raw_drop")).alias("raw_drop"), rounded(F.col("importance")).alias("importance"))
 
 
-@query("permutation_importance_f1", f"""with {PERM}, a as (select rep, feature, code, count(*) as n, count(*) filter (k = code) as tp from said join xs on said.i = xs.i group by 1, 2, 3),
+@query("permutation_importance_f1", f"""with {PERM}, a as (select rep, feature, code, count(*) as n, count(*) filter (k = code) as tp from said group by 1, 2, 3),
   p as (select rep, feature, k as code, count(*) as said from said group by 1, 2, 3), f as (select a.rep, a.feature, avg(2 * tp / (n + coalesce(said, 0))) as f1 from a left join p on a.rep = p.rep and a.feature = p.feature and a.code = p.code group by 1, 2)
 select feature, round_even((select f1 from f where feature = '') - avg(f1), 6) as raw_drop, round_even(greatest((select f1 from f where feature = '') - avg(f1), 0), 6) as importance from f where feature != '' group by 1""")
 def _(spark, folder):
-    out = explain.permutation_importance(sample(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform, 2, metric="macro_f1")
+    out = explain.permutation_importance(coded(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform, 2, metric="macro_f1")
     return out.select("feature", rounded(F.col("raw_drop")).alias("raw_drop"), rounded(F.col("importance")).alias("importance"))
 
 
-@query("recall_drop", f"""with {PERM}, a as (select feature, code, avg(case when k = code then 1.0 else 0.0 end) as acc from said join xs on said.i = xs.i where rep <= 1 group by 1, 2)
+@query("recall_drop", f"""with {PERM}, a as (select feature, code, avg(case when k = code then 1.0 else 0.0 end) as acc from said where rep <= 1 group by 1, 2)
 select a.feature, cast(a.code as integer) as code, round_even(b.acc - a.acc, 6) as "drop" from a join a b on a.code = b.code and b.feature = '' where a.feature != ''""")
 def _(spark, folder):
-    out = explain.recall_drop(sample(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform)
+    out = explain.recall_drop(coded(spark, folder), FEATURES, KEY, "code", classifier(spark, folder).transform)
     return out.withColumn("drop", rounded(F.col("drop")))
 
 

@@ -13,7 +13,7 @@ FAST = [
     "normalise_labels", "coerce_numbers", "clean_rows", "clean_report", "audit_counts", "capped_sample", "two_pass_sample", "budgeted_sample", "stratified_split", "stratified_folds",
     "holdout", "bootstrap", "prep_fit_robust", "prep_transform_standard", "prep_inverse", "class_weights_balanced", "rank_anova", "rank_chi2", "rank_mutual_information", "correlations", "correlations_wide", "model_bayes", "exact_quantiles", "prep_fit_standard", "one_vs_rest_areas", "macro_areas",
     "oversample", "verdict_table", "repair_report", "verdict_overview", "triage", "class_metrics", "top_k_accuracy", "calibration_error",
-    "areas_with_ties", "binary_metrics", "threshold_sweep", "recommended_thresholds", "permutation_importance", "permutation_importance_f1", "evaluation_report", "sampling_report", "prune_correlated", "rank_stability", "prep_constant", "knn_impute",
+    "areas_with_ties", "binary_metrics", "threshold_sweep", "recommended_thresholds", "permutation_importance", "permutation_importance_f1", "recall_drop", "evaluation_report", "sampling_report", "prune_correlated", "rank_stability", "prep_constant", "knn_impute",
     "stream_tally", "stream_scoring", "stream_evaluation", "stream_sample", "stream_dedup", "stream_windows", "stream_sliding_windows", "stream_sessions",
 ]
 
