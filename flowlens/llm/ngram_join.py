@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.graph import components
@@ -31,6 +31,8 @@ SKETCH_PARTS, SKETCH_LEAST, SKETCH_MOST = 64, 16, 24
 #: Texts of a block of the first look; shingles of members, and queries, of an opened block; about.
 LOOK, SHINGLES, QUERIES = 64, 32_000, 128
 BLOCK_BYTES = 8 << 20
+#: Tokens of more texts than this are frequent: they find groups only for queries that have many of them.
+FREQUENT = 1024
 #: A rare shingle more for each so many of a text; its links share as many more.
 STEP = 20
 
@@ -185,7 +187,7 @@ def _send_prefixes(width: int, percent: int, bits: int, cell_bits: int, counts:
 
 
 def _shared_tokens(table: pa.Table) -> pa.Table:
-    """(token, id, n) of the bucket's tokens that two texts have."""
+    """(token, id, n, held) of the bucket's tokens that two texts have; held: by how many."""
     hashes, docs, sizes = [], [], []
     for blob in table.column("blob").to_pylist():
         places, per, n, *low = unpack(blob)
@@ -200,7 +202,10 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
     by = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     # Leading bytes left out in the blob are the same in a bucket: with it they make the token unique.
     token = mix64(h[by] + np.uint64(table.column("bucket")[0].as_py() * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return pa.table({"token": pa.array(token.view(np.int64)), "id": pa.array(doc[by]), "n": pa.array(n[by].astype(np.int64))})
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+    sizes = np.diff(np.append(first, len(token)))
+    held = np.repeat(sizes, sizes).astype(np.int32)
+    return pa.table({"token": pa.array(token.view(np.int64)), "id": pa.array(doc[by]), "n": pa.array(n[by].astype(np.int64)), "held": pa.array(held)})
 
 
 def _texts(table: pa.Table) -> list[bytes]:
@@ -269,6 +274,32 @@ def _open(width: int, percent: int):
     return run
 
 
+def _overlaps(tokens: DataFrame, percent: int) -> DataFrame:
+    """(query, comp, n, grp): the queries whose overlap with a group's union reaches what a link must share.
+
+    A token of many texts would meet all their groups, a square of their number. A query with fewer such
+    tokens than a link must share has another token in common with whatever it links with; so those find
+    its groups, and its frequent tokens are then counted with the groups found, one row of the matrix each.
+    Queries that share so many frequent tokens are searched by all.
+    """
+    matrix = tokens.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    queries = tokens.select("token", F.col("id").alias("query"), "n", F.col("grp").alias("own"), "comp", "held")
+    fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    apart = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))
+    counted = lambda met: met.where(apart & fits).groupBy("query", "comp", "n", "grp").agg(F.count("*").alias("overlap"))
+    search = lambda asking: counted(asking.join(matrix, "token").where(F.col("own") <= F.col("grp")))
+    least = F.floor(F.ceil(percent * F.col("n") / 100) / STEP) + 1
+    often = queries.where(F.col("held") > FREQUENT)
+    if often.isEmpty():
+        return search(queries).where(F.col("overlap") >= least).select("query", "comp", "n", "grp")
+    often = stored(often.withColumn("frequent", F.count("*").over(Window.partitionBy("query", "n"))), "join-frequent")
+    late, early = often.where(F.col("frequent") < least), often.where(F.col("frequent") >= least)
+    found = stored(search(queries.where(F.col("held") <= FREQUENT).unionByName(early.drop("frequent"))), "join-met")
+    pairs = late.select("query", "n", "comp", "token").join(found.select("query", "n", "grp"), ["query", "n"])
+    overlap = found.unionByName(counted(pairs.join(matrix, ["token", "grp"]))).groupBy("query", "comp", "n", "grp").agg(F.sum("overlap").alias("overlap"))
+    return overlap.where(F.col("overlap") >= least).select("query", "comp", "n", "grp")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): a row per row of df; its other columns are ignored.
 
@@ -310,20 +341,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # The token-group matrix, over the shingles that a link must share.
     bits = buckets(spark, size).bit_length() - 1
     sent = known.mapInArrow(_send_prefixes(width, percent, bits, cell_bits, frequency), "bucket int, blob binary")
-    shared = sent.groupBy("bucket").applyInArrow(_shared_tokens, "token bigint, id bigint, n bigint")
+    shared = sent.groupBy("bucket").applyInArrow(_shared_tokens, "token bigint, id bigint, n bigint, held int")
     firsts = classes.groupBy("id").agg(F.max("n").alias("size"))
     keys = placed.select("id", F.col("key").alias("grp"))
     labels = firsts.join(keys, "id", "left").join(grouped.withColumnRenamed("node", "id"), "id", "left")
     labels = stored(labels.select("id", "size", F.coalesce("grp", "id").alias("grp"), F.coalesce("component", "id").alias("comp")), "join-groups")
-    tokens = stored(shared.join(labels, "id").select("token", "id", "n", "grp", "comp"), "join-tokens")
-    matrix = tokens.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    queries = tokens.select("token", F.col("id").alias("query"), "n", F.col("grp").alias("own"), "comp")
-    fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
-    apart = (F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp"))
-    met = queries.join(matrix, "token").where((F.col("own") <= F.col("grp")) & apart & fits)
-    overlap = met.groupBy("query", "comp", "n", "grp").agg(F.count("*").alias("overlap"))  # with the group's union
-    least = F.floor(F.ceil(percent * F.col("n") / 100) / STEP) + 1
-    wanted = stored(overlap.where(F.col("overlap") >= least).select("query", "comp", "grp").distinct(), "join-wanted")
+    tokens = stored(shared.join(labels, "id").select("token", "id", "n", "grp", "comp", "held"), "join-tokens")
+    wanted = stored(_overlaps(tokens, percent).select("query", "comp", "grp").distinct(), "join-wanted")
 
     # Open the groups: bounded blocks of members and of queries meet.
     asked = wanted.groupBy("grp").agg(F.count("*").alias("asking"))

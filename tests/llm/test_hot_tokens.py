@@ -1,0 +1,39 @@
+"""Operator 8 where many texts hold one token: the same groups, from a bounded number of pairs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowlens.llm import ngram_join
+from tests.llm.test_llm import jaccard
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_frequent_tokens_change_no_group(spark, monkeypatch, seed):
+    """Tokens held by few and by most, queries with none, some and only frequent ones; one id with two sizes."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(160):
+        n, tokens = rng.choice([12, 30, 60]), {rng.randrange(4) for _ in range(rng.randrange(5))} | {10 + rng.randrange(90) for _ in range(rng.randrange(6))}
+        rows += [(t, i, n, i % 9 if i % 3 else i, i % 40) for t in tokens]
+    rows += [(t, 500, n, 500, 500) for n in (12, 60) for t in (0, 1, 11, 12)]
+    tokens = spark.createDataFrame(rows, "token long, id long, n long, grp long, comp long")
+    tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").cast("int").alias("held")), "token").where("held > 1")
+    got = []
+    for frequent in (10**9, 20):
+        monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+        got.append({tuple(r) for r in ngram_join._overlaps(tokens, 80).collect()})
+    assert got[0] and got[0] == got[1]
+
+
+def test_texts_of_one_header(spark, monkeypatch):
+    """A header in all texts, own words behind it; some are near copies, some hold little else."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 30)
+    head = [f"h{i}" for i in range(34)]
+    rows = {k: " ".join(head + [f"w{k}-{i}" for i in range(10 if k % 5 else 2 + k % 7)]) for k in range(240)}
+    rows |= {1000 + k: " ".join([*head, *(f"w{k}-{i}" for i in range(9)), "other"]) for k in range(1, 60, 4)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == jaccard(rows)
+    assert len({c for _, c in got.values()}) < len(rows)
