@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
 import hashlib
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +33,37 @@ def discover(spark: SparkSession, folder: str) -> list[str]:
     return paths
 
 
+#: Bytes of a file's head that are read at a time, and paths that one task opens, about.
+HEAD_BYTES, PATHS = 1 << 16, 64
+
+
+def _head(path: str, charset: str) -> list[str] | None:
+    """The cells of a file's first line that isn't blank; only so much is read, unpacked if it is compressed."""
+    files, place = fs.FileSystem.from_uri(quote(path, safe=":/%") if urlsplit(path).scheme else f"file://{quote(path)}")
+    text, decode = "", codecs.getincrementaldecoder(charset)()
+    with files.open_input_stream(place) as stream:
+        while True:
+            part = stream.read(HEAD_BYTES)
+            text = (text + decode.decode(part, not part)).lstrip("\r\n")
+            if not part or "\n" in text or "\r" in text[:-1]:
+                break
+    line = next((x for x in text.splitlines() if x.strip()), None)
+    return None if line is None else next(csv.reader([line.lstrip("\ufeff")]))
+
+
+def headers(spark: SparkSession, paths: Sequence[str], charset: str = CHARSET) -> DataFrame:
+    """(path, header): the first line's cells of many CSV files, null of empty ones, in one job whose
+    tasks read the heads alone. For file systems that pyarrow opens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_head(p, charset) for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(got, pa.list_(pa.string()))], ["path", "header"])
+
+    table = local_table(spark, [(p,) for p in paths], "path string")
+    return table.repartition(max(1, -(-len(paths) // PATHS))).mapInArrow(run, "path string, header array<string>")
+
+
 def header(spark: SparkSession, path: str, charset: str = CHARSET) -> list[str]:
     """The cells of a CSV file's first line, which readers rename where they repeat."""
     head = spark.read.option("encoding", charset).option("header", False).option("inferSchema", False).csv(path).first()
@@ -36,12 +72,12 @@ def header(spark: SparkSession, path: str, charset: str = CHARSET) -> list[str]:
     return ["" if h is None else h for h in head]
 
 
-def read_csv(spark: SparkSession, path: str | list[str], charset: str = CHARSET, file: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], charset: str = CHARSET, file: str | None = None, raw: Sequence[str] | None = None) -> DataFrame:
     """A CSV table, all cells as text, under its own headers; repeated headers keep their first column.
 
-    Several files must have one header. file: a column to take the path of each row's file.
+    Several files must have one header; raw: that header, if known. file: a column to take the path of each row's file.
     """
-    raw = header(spark, path if isinstance(path, str) else path[0], charset)
+    raw = header(spark, path if isinstance(path, str) else path[0], charset) if raw is None else raw
     names = [f"_c{i}" for i in range(len(raw))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", charset).csv(path)
@@ -65,11 +101,13 @@ def read_flow(spark: SparkSession, path: str, label: str = dims.LABEL, require_l
 
 
 def scan(spark: SparkSession, paths: Sequence[str], charset: str = CHARSET, file: str = "source_file") -> list[DataFrame]:
-    """The tables of many files, one for each header among them, with the file of each row."""
-    by: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        by.setdefault(tuple(header(spark, p, charset)), []).append(p)
-    return [read_csv(spark, same, charset, file) for same in by.values()]
+    """The tables of many files, one for each header among them, with the file of each row. Headers come
+    from one job, grouped there; the driver holds the paths, as any reader of them does."""
+    found = headers(spark, paths, charset).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    empty = [p for r in found if r["header"] is None for p in r["paths"]]
+    if empty:
+        raise ValueError(f"{min(empty)} is empty")
+    return [read_csv(spark, r["paths"], charset, file, r["header"]) for r in sorted(found, key=lambda r: r["paths"][0])]
 
 
 def file_counts(parts: Sequence[DataFrame], label: str, file: str = "source_file") -> DataFrame:
