@@ -37,12 +37,14 @@ def _values(batch: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarra
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
-    """The variance of each column's values, 0 where there are fewer than two."""
+    """The variance of each column's values, 0 where there are fewer than two different ones."""
     there = ~np.isnan(x)
+    several = np.where(there, x, np.inf).min(axis=0) < np.where(there, x, -np.inf).max(axis=0)
     n = np.maximum(there.sum(axis=0), 1)
     zero = np.where(there, x, 0.0)
     mean = zero.sum(axis=0) / n
-    return np.where(there, (zero - mean) ** 2, 0.0).sum(axis=0) / n
+    # a mean is rounded, so equal values may lie beside it
+    return np.where(several, np.where(there, (zero - mean) ** 2, 0.0).sum(axis=0) / n, 0.0)
 
 
 @dataclass

@@ -78,3 +78,11 @@ def test_empty_complete_and_clashing(spark):
     df = spark.createDataFrame([(1, 1.0, float("nan"), "x", 7), (2, 1.0, 4.0, "y", 8), (3, float("inf"), 9.0, "z", 9)], "k int, f0 double, _q double, _m0 string, _part int")
     got = sorted(tuple(r) for r in prep.knn_impute(df, ["f0", "_q"], ["k"], 1).collect())
     assert got == [(1, 1.0, 4.0, "x", 7), (2, 1.0, 4.0, "y", 8), (3, 1.0, 9.0, "z", 9)]
+
+
+def test_equal_cells_beside_their_rounded_mean():
+    """The mean of three cells of 0.1 isn't 0.1; such a leaf can't be cut."""
+    rows = np.array([[0.1, np.nan], [0.1, np.nan], [0.1, np.nan]])
+    assert (impute._spread(rows) == 0).all()
+    tree = impute.Tree.fit(rows, np.array([[0.1, np.nan]]), 4)
+    assert tree.feature == [-1]
