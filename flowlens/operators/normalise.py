@@ -78,9 +78,11 @@ def label_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def normalise_labels(df: DataFrame, label: str, merge_rare: bool = True) -> DataFrame:
-    """df with canonical labels; null where the label is null or blank."""
+    """df with canonical labels; null where the label is null or blank.
+
+    The table of distinct labels is broadcast: a class may hold most rows, and a join by label would sort it in one task."""
     table = label_table(df, label)
-    out = df.join(table, df[label] == table["raw"], "left")
+    out = df.join(F.broadcast(table), df[label] == table["raw"], "left")
     value = merged(F.col("canonical")) if merge_rare else F.col("canonical")
     return out.select(*(value.alias(c) if c == label else df[c] for c in df.columns))
 
