@@ -76,11 +76,13 @@ def class_rank(df: DataFrame, label: str, key: Sequence[str], seed: str, name: s
     return out.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
-    """df with each row's number, from 0, in an order without ties: rows are cut into ranges, numbered
-    inside them, and the sizes of earlier ranges added. No task holds more than a range."""
-    cut = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number", keep: Sequence[str] | None = None) -> DataFrame:
+    """df with each row's number, from 0, in an order without ties: rows are cut into ranges and sorted,
+    numbered inside them, and the sizes of earlier ranges added. One shuffle, stored; no task holds more
+    than a range. keep: the columns wanted, by default all."""
+    keep = df.columns if keep is None else list(keep)
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("_id"))
+    cut = stored(cut, "numbered").select(*keep, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
     upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = cut.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (upto - F.col("_n")).alias("_before"))  # a row a partition
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return cut.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + at).select(*df.columns, name)
+    return cut.join(F.broadcast(before), "_range").select(*keep, (F.col("_before") + F.col("_at")).alias(name))

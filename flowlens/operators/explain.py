@@ -3,15 +3,18 @@ grows by the number of features, so take a bounded sample first."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.portable import key_hash, numbered, ratio
 from flowlens.operators.evaluate import predicted
-from flowlens.sources.stage import stored
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -95,29 +98,46 @@ def measured(scored: DataFrame, by: Sequence[str], code: str, metric: str) -> Da
 ROUNDS, WALK = 6, 16
 
 
+@functools.lru_cache(maxsize=4 * ROUNDS)
+def _shifts(seed: str, repeat: int, j: int, n: int) -> np.ndarray:
+    """The shift of a round for each value, from 0 to n - 1, of the other coordinate: 32 bits of MD5."""
+    return np.array([int(hashlib.md5(f"{seed}|{repeat}|{j}|{v}".encode()).hexdigest()[:8], 16) for v in range(n)], np.int64)
+
+
+def _partners(number: np.ndarray, n: int, seed: str, repeat: int) -> np.ndarray:
+    across = math.isqrt(max(n - 1, 0)) + 1
+    down = max(1, -(-n // across))
+    x, y = number % across, number // across
+    at = np.arange(len(number))
+    for _ in range(WALK):
+        for j in range(0, ROUNDS, 2):
+            x[at] = (x[at] + _shifts(seed, repeat, j, down)[y[at]]) % across
+            y[at] = (y[at] + _shifts(seed, repeat, j + 1, across)[x[at]]) % down
+        at = at[x[at] + y[at] * across >= n]
+        if not len(at):
+            return x + y * across
+    raise ValueError("no partner within the walk")
+
+
 def partner(number: Column, n: int, seed: str, repeat: Column) -> Column:
     """Another number from 0 to n - 1 for each: a bijection by seed and repeat, computed row by row.
 
     A number is a place in a grid of about sqrt(n) by sqrt(n); rounds shift one coordinate by a hash of
-    the other, which can be undone. The grid has fewer than sqrt(n) places too many; from one of those the
+    the other, which can be undone. A coordinate has about sqrt(n) values, so a worker hashes each once and
+    looks shifts up. The grid has fewer than sqrt(n) places too many; from one of those the
     rounds are walked again until a number of a row is met. That takes WALK passes at most up to 256 rows
     and, beyond, with odds of n^(-WALK / 2) of failing, which is an error.
     """
-    across = math.isqrt(max(n - 1, 0)) + 1
-    down = max(1, -(-n // across))
-    mixed = lambda j, v: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), repeat.cast("string"), (j % ROUNDS).cast("string"), v.cast("string"))), 1, 8), 16, 10).cast("long")
-    here = lambda s: s["x"] + s["y"] * F.lit(across).cast("long")
 
-    def step(s: Column, j: Column) -> Column:
-        done = s["done"] | ((j > 0) & (j % ROUNDS == 0) & (here(s) < n))
-        x = F.when(done | (j % 2 == 1), s["x"]).otherwise((s["x"] + mixed(j, s["y"])) % across)
-        y = F.when(done | (j % 2 == 0), s["y"]).otherwise((s["y"] + mixed(j, s["x"])) % down)
-        return F.struct(x.alias("x"), y.alias("y"), done.alias("done"))
+    @F.pandas_udf("long")
+    def run(numbers: pd.Series, repeats: pd.Series) -> pd.Series:
+        out = np.zeros(len(numbers), np.int64)
+        for r in repeats.unique():
+            own = (repeats == r).to_numpy()
+            out[own] = _partners(numbers.to_numpy()[own], n, seed, int(r))
+        return pd.Series(out)
 
-    x = number.cast("long") % across
-    start = F.struct(x.alias("x"), ((number - x) / across).cast("long").alias("y"), F.lit(False).alias("done"))
-    found = lambda s: F.when(here(s) < n, here(s)).otherwise(F.raise_error(F.lit("no partner within the walk")).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * WALK - 1)), start, step, found)
+    return run(number.cast("long"), repeat.cast("long"))
 
 
 def permuted(df: DataFrame, features: Sequence[str], key: Sequence[str], code: str, repeats: int, seed: str) -> tuple[DataFrame, DataFrame]:
@@ -125,13 +145,13 @@ def permuted(df: DataFrame, features: Sequence[str], key: Sequence[str], code: s
     feature's value from its partner. Rows are numbered by key, code and values in ranges; one join
     brings a partner's whole row, so all features of a repeat move alike, each on its own."""
     rows = df.select(*key, code, *(F.col(f).cast("double").alias(f) for f in features))
-    rows = stored(numbered(rows, [*key, code, *features], "_i"), "numbered-rows")
-    n = rows.count()
-    asked = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_p", partner(F.col("_i"), n, seed, F.col("repeat")))
-    other = rows.select(F.col("_i").alias("_p"), *(F.col(f).alias(f"_v{k}") for k, f in enumerate(features)))
+    placed = numbered(rows, [*key, code, *features], "_i", [code, *features])
+    n = placed.count()
+    asked = placed.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_p", partner(F.col("_i"), n, seed, F.col("repeat"))).drop("_i")
+    other = placed.select(F.col("_i").alias("_p"), *(F.col(f).alias(f"_v{k}") for k, f in enumerate(features)))
     pairs = asked.join(other, "_p").withColumn("feature", F.explode(F.array(*(F.lit(f) for f in features))))
     moved = [F.when(F.col("feature") == f, F.col(f"_v{k}")).otherwise(F.col(f)).alias(f) for k, f in enumerate(features)]
-    return rows.drop("_i"), pairs.select("repeat", "feature", code, *moved)
+    return rows, pairs.select("repeat", "feature", code, *moved)
 
 
 def permutation_importance(

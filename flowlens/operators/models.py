@@ -51,6 +51,10 @@ class Model:
         return local_table(spark, rows, "feature string, importance double")
 
 
+#: Terms of all distances up to which centroids are scored in plain columns; beyond, in arrays.
+PLAIN = 128
+
+
 @dataclass(frozen=True)
 class Centroids:
     """Nearest centroid with a softmax over negative distances; plain expressions, so SQL can repeat it."""
@@ -60,6 +64,21 @@ class Centroids:
     k: int
 
     def transform(self, df: DataFrame) -> DataFrame:
+        return self._plain(df) if self.k * len(self.features) <= PLAIN else self._arrays(df)
+
+    def _plain(self, df: DataFrame) -> DataFrame:
+        """A column a class: functions over arrays are interpreted, which took most of the time."""
+        out = df.withColumns({f"_x{i}": F.col(f).cast("double") for i, f in enumerate(self.features)})
+        square = lambda i, v: (F.col(f"_x{i}") - F.lit(v)) * (F.col(f"_x{i}") - F.lit(v))
+        far = lambda m: F.sqrt(sum((square(i, v) for i, v in enumerate(m)), F.lit(0.0)))
+        d, w = ([f"_{kind}{c}" for c in range(self.k)] for kind in "dw")
+        out = out.withColumns({n: far(self.means[c]) if c in self.means else F.lit(float("inf")) for c, n in enumerate(d)})
+        out = out.withColumn("_least", F.least(*d) if self.k > 1 else F.col(d[0]))
+        out = out.withColumns({n: F.exp(F.col("_least") - F.col(x)) for n, x in zip(w, d, strict=True)})
+        out = out.withColumn("_t", sum((F.col(n) for n in w), F.lit(0.0)))
+        return out.withColumn("proba", F.array(*(F.col(n) / F.col("_t") for n in w))).drop(*(f"_x{i}" for i in range(len(self.features))), *d, *w, "_least", "_t")
+
+    def _arrays(self, df: DataFrame) -> DataFrame:
         far = F.lit(float("inf"))
         out = df.withColumn("_x", F.array(*(F.col(f).cast("double") for f in self.features)))
         squares = lambda m: F.aggregate(F.zip_with("_x", F.array(*(F.lit(v) for v in m)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v)

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import normalise
+from flowlens.functions.portable import numbered
+from flowlens.operators import explain, models, normalise
 
 
 @pytest.fixture
@@ -24,3 +25,30 @@ def test_labels_are_not_sorted(unsized):
     out = normalise.normalise_labels(df, "label")
     assert "SortMergeJoin" not in plan(out)
     assert out.count() == 40
+
+
+def test_partners_hash_each_coordinate_once(spark):
+    """A row's walk looks its shifts up: sqrt(n) hashes a round, where each row had twelve or more of its own."""
+    assert len(explain._shifts("s", 1, 0, 1000)) == 1000
+    df = spark.range(5000).select("id", explain.partner(F.col("id"), 5000, "s", F.lit(1)).alias("p"))
+    assert "md5" not in plan(df)
+    assert df.select("p").distinct().count() == 5000
+
+
+def test_numbering_takes_one_shuffle(spark):
+    df = spark.range(100).select(F.pmod(F.col("id") * 37, F.lit(100)).alias("a"), F.lit("x").alias("b"))
+    out = numbered(df, ["a"], "n", ["a"])
+    assert "row_number" not in plan(out) and out.columns == ["a", "n"]
+    assert out.where("a != n").count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 128])
+def test_centroids_in_columns_or_arrays(spark, monkeypatch, limit):
+    """The same probabilities to the last bit; plain columns for few terms, without interpreted functions."""
+    df = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, 1.0), (2, 9.5, -4.0), (2, 0.1, 7.0), (None, 5.0, None)], "code int, a double, b double")
+    model = models.fit_centroids(df, ["a", "b"], "code", 3)
+    want = [r["proba"] for r in model._arrays(df).collect()]
+    monkeypatch.setattr(models, "PLAIN", limit)
+    out = model.transform(df)
+    assert [r["proba"] for r in out.collect()] == want and out.columns == [*df.columns, "proba"]
+    assert ("lambda" in plan(out)) == (limit == 0)
