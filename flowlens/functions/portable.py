@@ -38,6 +38,12 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, its later steps compiled apart from those so far. Spark makes one method of a chain of projections, and
+    the JVM only interprets methods of over 8,000 bytes. No partition is merged: there are never so many."""
+    return df.coalesce(1 << 30)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 where b is 0 or either is null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

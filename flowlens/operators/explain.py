@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.portable import key_hash, numbered, ratio
+from flowlens.functions.portable import apart, key_hash, numbered, ratio
 from flowlens.operators.evaluate import predicted
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -37,19 +37,47 @@ def log_odds(p: Column, edge: float = 1e-12) -> Column:
     return F.ln(q / (1 - q))
 
 
+def occlusion_columns(df: DataFrame, features: Sequence[str], key: Sequence[str], score: Scorer, medians: dict[str, float], target: int | None = None, edge: float = 1e-12) -> DataFrame:
+    """(key, _v0 and so on, _c0 and so on): the values of the features and their contributions, a row a
+    record. Narrow: a row's variants are scored one after the other beside it, so nothing is exploded and
+    brought together again. score keeps the columns it gets and adds proba."""
+    features = list(features)
+    value = [f"_v{i}" for i in range(len(features))]
+    rows = df.select(*key, *(F.col(f).cast("double").alias(n) for f in features for n in (f, value[features.index(f)])))
+    want = F.lit(target) if target is not None else predicted()
+    out = score(apart(rows)).withColumn("_k", want).withColumn("_base", log_odds(F.element_at("proba", F.col("_k") + 1), edge)).drop("proba")
+    for i, f in enumerate(features):
+        out = score(apart(out).withColumn(f, F.lit(float(medians[f])))).withColumn(f"_c{i}", F.col("_base") - log_odds(F.element_at("proba", F.col("_k") + 1), edge))
+        out = out.withColumn(f, F.col(value[i])).drop("proba")
+    return apart(out.select(*key, *value, *(f"_c{i}" for i in range(len(features)))))
+
+
 def occlusion(df: DataFrame, features: Sequence[str], key: Sequence[str], score: Scorer, medians: dict[str, float], target: int | None = None, edge: float = 1e-12) -> DataFrame:
     """(key, feature, contribution, value): the fall in log odds of the target class when the feature
     takes its median. target: a class code; by default each row's predicted class."""
-    keep = list(key)
-    rows = df.select(*keep, *(F.col(f).cast("double").alias(f) for f in features))
-    whole = score(rows).select(*keep, *features, F.col("proba").alias("_p0"))
-    want = F.lit(target) if target is not None else predicted("_p0")
-    whole = whole.withColumn("_k", want).withColumn("_base", log_odds(F.element_at("_p0", F.col("_k") + 1), edge))
-    variants = whole.withColumn("feature", F.explode(F.array(*(F.lit(f) for f in features))))
-    value = F.coalesce(*(F.when(F.col("feature") == f, F.col(f)) for f in features))
-    variants = variants.withColumn("value", value).withColumns({f: F.when(F.col("feature") == f, F.lit(medians[f])).otherwise(F.col(f)) for f in features})
-    scored = score(variants)
-    return scored.select(*keep, "feature", (F.col("_base") - log_odds(F.element_at("proba", F.col("_k") + 1), edge)).alias("contribution"), "value")
+    out = occlusion_columns(df, features, key, score, medians, target, edge)
+    cells = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_c{i}").alias("contribution"), F.col(f"_v{i}").alias("value")) for i, f in enumerate(features)))
+    return out.select(*key, F.explode(cells).alias("_x")).select(*key, "_x.*")
+
+
+def wide_occlusion(df: DataFrame, features: Sequence[str], key: Sequence[str], score: Scorer, medians: dict[str, float], target: int | None = None, edge: float = 1e-12) -> DataFrame:
+    """occlusion() as a row a record: key, and each feature's contribution under its name."""
+    return occlusion_columns(df, features, key, score, medians, target, edge).select(*key, *(F.col(f"_c{i}").alias(f) for i, f in enumerate(features)))
+
+
+def top_reasons(
+    df: DataFrame, features: Sequence[str], key: Sequence[str], score: Scorer, medians: dict[str, float], n: int, target: int | None = None, edge: float = 1e-12, digits: int = 9,
+    shown: Callable[[str, Column], Column] = lambda f, v: v,
+) -> DataFrame:
+    """(key, reasons): the n largest contributions of each record by size, in order, as structs of place,
+    feature, contribution, value (as shown() gives it) and direction: ranked_contributions() within each row."""
+    out = occlusion_columns(df, features, key, score, medians, target, edge)
+    size = lambda i: F.coalesce(-F.round(F.abs(F.col(f"_c{i}")), digits), F.lit(float("inf")))
+    cells = F.array(*(F.struct(size(i).alias("size"), F.lit(f).alias("feature"), F.col(f"_c{i}").alias("contribution"), shown(f, F.col(f"_v{i}")).alias("value")) for i, f in enumerate(features)))
+    out = out.withColumn("_s", F.sort_array(cells))
+    side = lambda c: F.when(c > 0, "supports").when(c < 0, "opposes").otherwise("neutral")
+    each = lambda i: F.struct(F.lit(i + 1).alias("place"), *(F.col("_s")[i][c].alias(c) for c in ("feature", "contribution", "value")), side(F.col("_s")[i]["contribution"]).alias("direction"))
+    return apart(out).select(*key, F.array(*(each(i) for i in range(min(n, len(features))))).alias("reasons"))
 
 
 def ranked_contributions(contributions: DataFrame, key: Sequence[str], n: int, digits: int = 9) -> DataFrame:

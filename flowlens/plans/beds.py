@@ -6,6 +6,8 @@ cells and rows. PR: LI with class probabilities. EM: embeddings as one column pe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +54,8 @@ def lid(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_h", "_copy")
 
 
-def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b", shares: bool = True, rows: DataFrame | None = None) -> DataFrame:
-    """shares=False: proba as the numbers whose shares the probabilities are."""
+def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b", shares: bool = True, rows: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """shares=False: proba as the numbers whose shares the probabilities are. keep: columns of li() to keep."""
     rows = li(spark, folder, rows)
     code = F.array_position(F.array(*(F.lit(c) for c in CLASSES)), F.col("label")).cast("int") - 1
     rows = rows.withColumn("code", code)
@@ -61,7 +63,7 @@ def pr(spark: SparkSession, folder: str, p: str = "p", b: str = "b", shares: boo
     rows = rows.withColumns({f"_r{k}": 1 + F.col(f"_h{k}") + F.when((F.col("code") == k) & F.col("_b"), 150).otherwise(0) for k in range(4)})
     total = F.col("_r0") + F.col("_r1") + F.col("_r2") + F.col("_r3")
     proba = F.array(*(F.col(f"_r{k}") / total if shares else F.col(f"_r{k}").cast("double") for k in range(4)))
-    return rows.select(*KEY, "label", "code", proba.alias("proba"))
+    return rows.select(*KEY, *keep, "label", "code", proba.alias("proba"))
 
 
 def codec(spark: SparkSession) -> DataFrame:
