@@ -73,23 +73,34 @@ def _row(df: DataFrame, measures: dict[tuple[str, str], Column]) -> dict[tuple[s
     return dict(zip(measures, got, strict=True))
 
 
+def _unfilled(rank: int, n: int, missing: int, middle: int) -> int | None:
+    """The rank among n values of what has this rank once `missing` copies of their median are put in
+    behind rank `middle`, the lower of the median's two; none for a copy."""
+    return rank if rank <= middle else None if rank <= middle + missing else rank - missing
+
+
 def fit(df: DataFrame, features: Sequence[str], q: float = 0.999, scaler: str = "standard", drop_constant: bool = True, accuracy: int | None = None) -> Stats:
     """Statistics of every feature. One aggregation counts and finds constants, quantiles() the medians
-    and bounds, and one aggregation the moments once imputed; the robust scaler takes quantiles again.
-    Clipping keeps the order, so the median once clipped comes from the same order statistics."""
+    and bounds, and one aggregation the moments once imputed. Clipping keeps the order and imputing puts
+    copies of the median in the middle, so the median once clipped and the robust scaler's quantiles come
+    from the same order statistics, in the same five scans."""
     if scaler not in SCALERS:
         raise ValueError(f"scaler is one of {SCALERS}")
     if not 0.5 < q < 1.0:
         raise ValueError("the clip quantile lies between 0.5 and 1")
     raw = df.select(*(finite(F.col(c).cast("double")).alias(c) for c in features))
     first = {(k, c): x for c in features for k, x in (("n", F.count(c)), ("constant", F.min(c).eqNullSafe(F.max(c))))}
-    got = _row(raw, first)
+    got = _row(raw, first | {("rows", ""): F.count(F.lit(1))})
     n = {c: got["n", c] for c in features}
     sides = {c: ranks.places(n[c], 0.5) for c in features if n[c]}
+    again = (0.25, 0.5, 0.75) if scaler == "robust" and accuracy is None else ()
+    rows = got["rows", ""]
     if accuracy is None:
         wanted = {c: [1 - q, q] for c in features}
         ends = {(c, p): ranks.places(n[c], p) for c in sides for p in wanted[c]}
-        value = ranks.order_statistics(raw, {c: [*sides[c][:2], *(r for p in wanted[c] for r in ends[c, p][:2])] for c in sides})
+        filled_rank = {c: (lambda r, c=c: _unfilled(r, n[c], rows - n[c], sides[c][0])) for c in sides}
+        later = {c: sorted({x for p in again for r in ranks.places(rows, p)[:2] if (x := filled_rank[c](r)) is not None}) for c in sides}
+        value = ranks.order_statistics(raw, {c: [*sides[c][:2], *(r for p in wanted[c] for r in ends[c, p][:2]), *later[c]] for c in sides})
         found = {(c, p): ranks.between(value[c, e[0]], value[c, e[1]], e[2]) for (c, p), e in ends.items()}
         middle = {c: (value[c, sides[c][0]], value[c, sides[c][1]]) for c in sides}
     else:
@@ -110,8 +121,11 @@ def fit(df: DataFrame, features: Sequence[str], q: float = 0.999, scaler: str =
     clipped = raw.select(*(clip(F.col(s.feature), s.lower, s.upper).alias(s.feature) for s in used))
     filled = clipped.select(*(F.coalesce(F.col(s.feature), F.lit(medians[s.feature])).alias(s.feature) for s in used))
     if scaler == "robust":
-        rows = _row(filled, {"n": F.count(F.lit(1))})["n"]
-        cut = quantiles(filled, {s.feature: [0.25, 0.5, 0.75] for s in used}, accuracy, {s.feature: rows for s in used})
+        if accuracy is None:
+            at = lambda s, r: medians[s.feature] if s.feature not in sides or (x := filled_rank[s.feature](r)) is None else held(s, value[s.feature, x])
+            cut = {(s.feature, p): ranks.between(at(s, e[0]), at(s, e[1]), e[2]) if rows else None for s in used for p in again for e in (ranks.places(rows, p),)}
+        else:
+            cut = quantiles(filled, {s.feature: [0.25, 0.5, 0.75] for s in used}, accuracy)
         moments = {(k, s.feature): v for s in used for k, v in (("centre", cut[s.feature, 0.5]), ("spread", cut[s.feature, 0.75] - cut[s.feature, 0.25]))}
     elif scaler == "none":
         moments = {}
