@@ -18,6 +18,8 @@ from flowlens.sources.stage import stored
 
 #: Rows of a block, about; pairs of blocks are compared.
 BLOCK = 8192
+#: Zones that the parts of a class are packed into, until a zone has ZONE blocks of rows; a row is sent to a zone once.
+ZONES, ZONE = 12, 8
 #: Parts of a class in the index at most, and its rows for each part, about.
 PARTS, PART_ROWS = 256, 1024
 
@@ -109,6 +111,84 @@ def _away(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+def _bounds(d: np.ndarray, own: np.ndarray, parts: Sequence[int], radii: dict[int, tuple[float, float]]) -> np.ndarray:
+    """(row, part): what the distance from a row to any row of the part can't fall under. d: the rows' distances to the
+    parts' pivots; own: to the pivots of their own parts."""
+    low, high = (np.array([radii[p][n] for p in parts]) for n in (0, 1))
+    return np.maximum.reduce([d - high, low - d, (d - own[:, None]) / 2])
+
+
+def _closer(k: int, pivots, radii: dict):
+    """The k nearest rows of a zone to each row that asks it, as far as they reach the k-th distance that the row has.
+
+    A part is compared with the rows whose bound reaches it alone, and what they find lowers their k-th distance for
+    the next part. Of equal vectors of a zone the first k by key are enough.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"_k": left.column("_k").slice(0, 0), "_n": left.column("_k").slice(0, 0), "_d": pa.array([], pa.float64())})
+        right = right.take(pc.sort_indices(right.column("_k")))
+        q, d = _vectors(left), np.ascontiguousarray(_vectors(right))
+        own, far, top = (left.column(c).to_numpy() for c in ("_p", "_r", "_t"))
+        part, top = right.column("_p").to_numpy(), top.copy()
+        c = left.column("_c")[0].as_py()
+        same = np.unique(d.view(np.dtype((np.void, d.itemsize * d.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+        order = np.argsort(same, kind="stable")
+        rows = np.sort(order[np.arange(len(d)) - np.searchsorted(same[order], same[order]) < k])
+        there = np.unique(part)
+        bound = _bounds(_away(q, pivots.value[c][there]), far, there, radii[c])
+        near, what = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        length = (q * q).sum(axis=1)
+        wide = np.concatenate([q, np.ones((len(q), 1))], axis=1)
+        for n, p in enumerate(there):
+            at = rows[part[rows] == p]
+            asks = np.flatnonzero((own != p) & (bound[:, n] <= top + 2e-6))  # a row has met its own part; room for rounded distances
+            if not len(asks):
+                continue
+            norms = (d[at] * d[at]).sum(axis=1)
+            turned = np.concatenate([-2 * d[at], norms[:, None]], axis=1).T
+            step = max(16, (1 << 20) // len(at))
+            for a in range(0, len(asks), step):
+                own_rows = asks[a : a + step]
+                limit = (top[own_rows] + 2e-6) ** 2 + 1e-11 * (length[own_rows] + norms.max() + 1) - length[own_rows]
+                hit = np.flatnonzero((wide[own_rows] @ turned <= limit[:, None]).ravel())
+                if not len(hit):
+                    continue
+                r, h = own_rows[hit // len(at)], at[hit % len(at)]
+                exact = np.concatenate([np.sqrt(((q[r[m : m + 65536]] - d[h[m : m + 65536]]) ** 2).sum(axis=1)) for m in range(0, len(r), 65536)])
+                some = np.unique(r)
+                r, exact, h = np.concatenate([r, np.repeat(some, k)]), np.concatenate([exact, near[some].ravel()]), np.concatenate([h, what[some].ravel()])
+                order = np.lexsort((h, np.round(exact, 6), r))
+                r, exact, h = r[order], exact[order], h[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                keep = place < k
+                near[r[keep], place[keep]], what[r[keep], place[keep]] = exact[keep], h[keep]
+                top[some] = np.minimum(top[some], near[some, k - 1])
+        who, place = np.nonzero(what >= 0)
+        return pa.table({"_k": left.column("_k").take(pa.array(who)), "_n": right.column("_k").take(pa.array(what[who, place])), "_d": pa.array(near[who, place])})
+
+    return run
+
+
+def _zones(stats: list, block: int) -> dict[tuple[object, int], tuple[int, int]]:
+    """(class, part) -> (zone, slices): parts packed into zones of some 1/ZONES of the class, of ZONE blocks at most; a
+    part that is larger is a zone of several slices."""
+    sizes: dict[object, list[tuple[int, int]]] = {}
+    for r in sorted(stats, key=lambda r: r["_part"]):
+        sizes.setdefault(r["_own"], []).append((r["_part"], r["_rows"]))
+    out = {}
+    for c, parts in sizes.items():
+        most = min(ZONE * block, -(-sum(n for _, n in parts) // ZONES))
+        zone, held = 0, 0
+        for p, n in parts:
+            if held and held + n > most:
+                zone, held = zone + 1, 0
+            held += n
+            out[c, p] = (zone, max(1, -(-n // (ZONE * block))))
+    return out
+
+
 def _by_class(b: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
     labels = b.column(b.schema.get_field_index("_c")).to_pylist()
     places: dict[object, list[int]] = {}
@@ -124,11 +204,12 @@ def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, cla
     class. Exact at any size, by a metric index: each row belongs to the part of its nearest pivot (PARTS
     a class at most), and finds the k nearest of its part first. The k-th distance then bounds the other
     parts it meets: by the triangle inequality no row of a part is nearer than the part's radii leave, nor
-    than half the difference of the two pivots' distances. Rows are sent to parts whose bound reaches the
-    k-th distance alone. Parts are cut into blocks of about `block` rows, and each pair of blocks is one
-    group. Where vectors have no clusters, few parts are left out and the work grows with the square of a
-    class. The driver holds the pivots and a row of radii a part. work: gets the numbers of pairs of row
-    and part, and of those opened.
+    than half the difference of the two pivots' distances. Parts are packed into zones (_zones()), and a row
+    is sent once to each zone with a part whose bound reaches the k-th distance; there it meets these parts
+    alone (_closer()). So a row and its copies for others are sent ZONES times each, about, while a class has
+    up to ZONES * ZONE * block rows. Where vectors have no clusters, few parts are left out and the comparisons
+    grow with the square of a class. The driver holds the pivots, and a row of radii a part. work: gets the
+    numbers of pairs of row and part, and of those whose bound reached when they were asked.
     """
     spark = df.sparkSession
     rows = df if classes is None else df.where(F.col(label).isin(*classes))
@@ -150,7 +231,7 @@ def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, cla
 
     parts = stored(rows.mapInArrow(assign, f"_k {kinds['_k']}, _c {kinds['_c']}, _v array<double>, _p int, _r double"), "neighbour-parts")
     blocks = F.ceil(F.count("*") / block).cast("int")
-    stats = stored(parts.groupBy(F.col("_c").alias("_own"), F.col("_p").alias("_part")).agg(blocks.alias("_blocks"), F.min("_r").alias("_low"), F.max("_r").alias("_high")), "neighbour-radii")
+    stats = stored(parts.groupBy(F.col("_c").alias("_own"), F.col("_p").alias("_part")).agg(F.count("*").alias("_rows"), blocks.alias("_blocks"), F.min("_r").alias("_low"), F.max("_r").alias("_high")), "neighbour-radii")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
     again = lambda c: F.col(c).alias(c)
@@ -164,40 +245,55 @@ def neighbours(df: DataFrame, key: str, label: str, vector: str, k: int = 5, cla
     near = met(left, right).withColumn("place", place).where(F.col("place") <= k)
     if pivots.value:
         near = stored(near, "neighbour-own")
-        radii: dict[object, list[tuple[int, float, float]]] = {}
-        for r in stats.collect():  # a row a part
-            radii.setdefault(r["_own"], []).append((r["_part"], r["_low"], r["_high"]))
+        known = stats.collect()  # a row a part
+        radii: dict[object, dict[int, tuple[float, float]]] = {}
+        for r in known:
+            radii.setdefault(r["_own"], {})[r["_part"]] = (r["_low"], r["_high"])
+        zones = _zones(known, block)
         kth = near.groupBy("_k").agg(F.when(F.count("*") >= k, F.max("_d")).otherwise(F.lit(float("inf"))).alias("_t"))
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """(row, part) for every other part that may hold a row as near as the k-th."""
+            """Rows with the zones of every other part that may hold a row as near as the k-th, and how many parts these are."""
             for b in (b for b in batches if b.num_rows):
                 x, own, far = _vectors(pa.table(b)), *(b.column(b.schema.get_field_index(c)).to_numpy() for c in ("_p", "_r"))
-                top = b.column(b.schema.get_field_index("_t")).fill_null(float("inf")).to_numpy(zero_copy_only=False)
-                who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                top = b.column(b.schema.get_field_index("_t")).to_numpy(zero_copy_only=False)
+                asked, opened = [[]] * len(x), np.zeros(len(x), np.int32)
                 for c, rows_ in _by_class(b):
                     if c not in pivots.value:
                         continue
-                    d = _away(x[rows_], pivots.value[c])
-                    for part, low, high in radii[c]:
-                        bound = np.maximum.reduce([d[:, part] - high, low - d[:, part], (d[:, part] - far[rows_]) / 2])
-                        hit = rows_[(own[rows_] != part) & (bound <= top[rows_] + 2e-6)]  # room for rounded distances
-                        who.append(hit)
-                        what.append(np.full(len(hit), part, np.int32))
-                take = pa.array(np.concatenate(who))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(what))], names=["_k", "_c", "_p"])
-
-        asked = parts.join(kth, "_k", "left").select("_k", "_c", "_v", "_p", "_r", "_t")
-        asked = stored(asked.mapInArrow(ask, f"_k {kinds['_k']}, _c {kinds['_c']}, _p int"), "neighbour-asked")
+                    names = np.array(sorted(radii[c]))
+                    hit = _bounds(_away(x[rows_], pivots.value[c][names]), far[rows_], names, radii[c]) <= top[rows_, None] + 2e-6  # room for rounded distances
+                    hit &= own[rows_, None] != names[None, :]
+                    opened[rows_] = hit.sum(axis=1)
+                    zone = np.array([zones[c, p][0] for p in names.tolist()])
+                    first = np.flatnonzero(np.diff(zone, prepend=-1))  # parts of a zone follow each other
+                    which = np.logical_or.reduceat(hit, first, axis=1)
+                    for n, r in enumerate(rows_):
+                        asked[r] = zone[first[which[n]]].tolist()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(asked, pa.list_(pa.int32())), pa.array(opened)], names=[*b.schema.names, "_zones", "_opened"])
+
+        asked = parts.join(kth, "_k", "left").select("_k", "_c", "_v", "_p", "_r", F.coalesce("_t", F.lit(float("inf"))).alias("_t"))
+        asked = stored(asked.mapInArrow(ask, f"_k {kinds['_k']}, _c {kinds['_c']}, _v array<double>, _p int, _r double, _t double, _zones array<int>, _opened int"), "neighbour-asked")
         if work is not None:
             pairs = parts.join(F.broadcast(sizes), F.col("_c") == F.col("_own")).agg(F.sum("_parts")).first()[0] or 0
-            work |= {"pairs": pairs, "opened": parts.count() + asked.count()}
-        asking = asked.groupBy(F.col("_c").alias("_ac"), F.col("_p").alias("_ap")).agg(F.ceil(F.count("*") / block).cast("int").alias("_asking"))
-        both = stored(stats.join(asking, (F.col("_own") == F.col("_ac")) & (F.col("_part") == F.col("_ap"))).select("_own", "_part", "_blocks", "_asking"), "neighbour-blocks")
-        vectors = parts.select("_k", "_v")
-        queries = asked.join(F.broadcast(both), in_part(asked)).select("_c", "_p", at("_asking").alias("_i"), each("_blocks").alias("_j"), "_k").join(vectors, "_k")
-        data = parts.join(F.broadcast(both), in_part(parts)).select(again("_c"), again("_p"), each("_asking").alias("_i"), at("_blocks").alias("_j"), again("_k"), again("_v"))
-        near = near.drop("place").unionByName(met(queries.select(*by, "_k", "_v"), data))
+            work |= {"pairs": pairs, "opened": parts.count() + (asked.agg(F.sum("_opened")).first()[0] or 0)}
+        asking = asked.select("_c", F.explode("_zones").alias("_z")).groupBy("_c", "_z").count().collect()  # a row a zone
+        sizes_of: dict[tuple, int] = {}
+        for r in known:
+            z = (r["_own"], zones[r["_own"], r["_part"]][0])
+            sizes_of[z] = sizes_of.get(z, 0) + r["_rows"]
+        # blocks of asking rows are of a zone's size
+        even = {c: max(n for (own, _), n in sizes_of.items() if own == c) for c in radii}
+        turns = {(r["_c"], r["_z"]): max(1, -(-r["count"] // min(even[r["_c"]], ZONE * block))) for r in asking}
+        slices = {(c, z): n for (c, _), (z, n) in zones.items()}
+        by_zone = local_table(spark, [(c, z, slices[c, z], n) for (c, z), n in turns.items()], f"_own {kinds['_c']}, _zone int, _slices int, _asking int")
+        of_part = local_table(spark, [(c, p, z, n, turns[c, z]) for (c, p), (z, n) in zones.items() if (c, z) in turns], f"_own {kinds['_c']}, _part int, _z int, _slices int, _asking int")
+        queries = asked.select("*", F.explode("_zones").alias("_z")).join(F.broadcast(by_zone), (F.col("_c") == F.col("_own")) & (F.col("_z") == F.col("_zone")))
+        queries = queries.select("_c", "_z", at("_asking").alias("_i"), each("_slices").alias("_j"), "_k", "_v", "_p", "_r", "_t")
+        data = parts.join(F.broadcast(of_part), in_part(parts)).select(again("_c"), again("_z"), each("_asking").alias("_i"), at("_slices").alias("_j"), again("_k"), again("_v"), again("_p"))
+        by = ["_c", "_z", "_i", "_j"]
+        found = queries.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(_closer(k, pivots, radii), out).withColumn("_d", rounded(F.col("_d")))
+        near = near.drop("place").unionByName(found)
         near = near.withColumn("place", place).where(F.col("place") <= k)
     elif work is not None:
         work |= {"pairs": parts.count(), "opened": parts.count()}
@@ -245,7 +341,7 @@ def tomek_links(df: DataFrame, key: str, label: str, vector: str, block: int = B
     Nearest neighbours come from the metric index of neighbours(), over all classes at once.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(label).alias("_c"), F.col(vector).cast("array<double>").alias("_v"), F.lit(0).alias("_all"))
-    nearest = neighbours(rows, "_k", "_all", "_v", 1, block=block, part_rows=part_rows).select("_k", "neighbour")
+    nearest = stored(neighbours(rows, "_k", "_all", "_v", 1, block=block, part_rows=part_rows).select("_k", "neighbour"), "nearest")  # read twice
     both = nearest.alias("a").join(nearest.alias("b"), (F.col("a.neighbour") == F.col("b._k")) & (F.col("b.neighbour") == F.col("a._k")))
     pairs = both.select(F.col("a._k").alias("_k"), F.col("a.neighbour").alias("_m"))
     classes = rows.select("_k", "_c")

@@ -65,3 +65,12 @@ def test_links_of_parts(spark):
     kind = {i: c for i, c, _ in rows}
     assert one == many == sorted((i, j) for i, j in near.items() if near[j] == i and kind[i] != kind[j])
     assert balance.neighbours(df.limit(0), "id", "c", "v").count() == 0
+
+
+def test_a_row_is_sent_to_few_zones():
+    """Whatever the number of parts, they fill some ZONES zones, of ZONE blocks of rows at most each slice."""
+    part = lambda p, n: {"_own": "c", "_part": p, "_rows": n}
+    zones = balance._zones([part(p, 2000 + p) for p in range(256)], 8192)
+    assert len(zones) == 256 and len({z for z, _ in zones.values()}) <= balance.ZONES + 2 and {n for _, n in zones.values()} == {1}
+    one = balance._zones([part(0, 100), part(1, 1_000_000)], 8192)
+    assert one["c", 0][0] != one["c", 1][0] and one["c", 1][1] == -(-1_000_000 // (balance.ZONE * 8192))
