@@ -163,17 +163,25 @@ def holdout(df: DataFrame, label: str, key: Sequence[str], fraction: float, seed
     return out.withColumn("held", F.col("_rank") <= F.col("quota")).select(*df.columns, "held")
 
 
-def bootstrap(df: DataFrame, key: Sequence[str], seed: str, replicates: int = 1) -> DataFrame:
-    """df with rows repeated as in samples with replacement: a Poisson(1) number of times by hash, in
-    each replicate."""
+def bootstrap_times(df: DataFrame, key: Sequence[str], seed: str, replicates: int = 1) -> DataFrame:
+    """df by replicate with _times, how often a row is drawn: a Poisson(1) number by hash; rows never drawn are left out.
+
+    A hash is compared with the steps as hex digits, which order as the numbers do."""
     steps, total = [], 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), *(F.col(c).cast("string") for c in key))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    return each.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+        steps.append(f"{math.ceil(total * (1 << 32)):08x}")  # eight digits: below 2**32
+    names = F.when(F.coalesce(*(F.col(c).cast("string") for c in key)).isNotNull(), F.concat_ws("|", *(F.col(c).cast("string") for c in key)))
+    hashed = df.withColumn("_name", names).select(*df.columns, *(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(str(r)), "_name")), 1, 8).alias(f"_h{r}") for r in range(replicates)))
+    times = lambda r: sum((F.when(F.col(f"_h{r}") >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    each = F.inline(F.array(*(F.struct(F.lit(r).alias("replicate"), times(r).alias("_times")) for r in range(replicates))))
+    return hashed.select(*df.columns, each).where("_times > 0")
+
+
+def bootstrap(df: DataFrame, key: Sequence[str], seed: str, replicates: int = 1) -> DataFrame:
+    """df with rows repeated as in samples with replacement: a Poisson(1) number of times by hash, in
+    each replicate."""
+    return bootstrap_times(df, key, seed, replicates).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
 def representatives(df: DataFrame, label: str, key: Sequence[str], proba: str = "proba", code: str = "code") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import ratio
 from flowlens.operators.prep import quantiles
-from flowlens.operators.sample import bootstrap, budgeted
+from flowlens.operators.sample import bootstrap_times, budgeted
 
 
 def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -23,10 +23,20 @@ def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Data
     return df.select(*keep, F.explode(pairs).alias("_x")).select(*keep, "_x.*")
 
 
-def anova(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, feature, score): F of between-class to within-class variance; 0 where undefined."""
-    cells = unpivot(df, features, [*by, label]).where(F.col("value").isNotNull())
-    groups = cells.groupBy(*by, "feature", label).agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+def anova(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = (), times: str | None = None, about: Sequence[float] = ()) -> DataFrame:
+    """(by, feature, score): F of between-class to within-class variance; 0 where undefined. times: a column of
+    how often a row counts; then squares are summed about these values, so that they don't cancel. Each row is aggregated once, all its features together; groups become rows after that."""
+    x = {f"{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(features)}
+    if times is None:
+        sums = [f(v).alias(f"{n}{i}") for i, v in x.items() for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]
+        cells = {i: (F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"v{i}")) for i in x}
+    else:
+        w, about = F.col(times), dict(zip(x, about or [0.0] * len(x), strict=True))
+        sums = [s.alias(f"{n}{i}") for i, v in x.items() for d in (v - F.lit(float(about[i])),) for n, s in (("n", F.sum(F.when(v.isNotNull(), w))), ("s", F.sum(w * d)), ("q", F.sum(w * d * d)))]
+        m = {i: F.col(f"s{i}") / F.col(f"n{i}") for i in x}
+        cells = {i: (F.col(f"n{i}"), m[i] + F.lit(float(about[i])), F.col(f"q{i}") / F.col(f"n{i}") - m[i] * m[i]) for i in x}
+    cell = F.array(*(F.struct(F.lit(c).alias("feature"), n.alias("n"), m.alias("m"), v.alias("v")) for c, (n, m, v) in zip(features, cells.values(), strict=True)))
+    groups = df.groupBy(*by, label).agg(*sums).select(*by, label, F.explode(cell).alias("_x")).select(*by, label, "_x.*").where("n > 0")
     mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy(*by, "feature")) / F.sum("n").over(Window.partitionBy(*by, "feature"))
     sums = groups.withColumn("g", mean).groupBy(*by, "feature").agg(
         F.sum(F.col("n") * (F.col("m") - F.col("g")) ** 2).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"), F.count("*").alias("k"), F.sum("n").alias("n")
@@ -162,8 +172,9 @@ def select_features(df: DataFrame, features: Sequence[str], label: str, key: Seq
 
 def stability(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], n: int, replicates: int = 5, seed: str = "stab") -> DataFrame:
     """(feature, frequency, fragile): how often ANOVA puts a feature in the first n, over bootstraps
-    that are scored together in one job."""
-    scores = anova(bootstrap(df, key, seed, replicates), features, label, by=["replicate"])
+    that are scored together in one job; a row is weighed by its repeats, not repeated."""
+    means = df.agg(*(F.coalesce(F.avg(F.col(f"`{c}`").cast("double")), F.lit(0.0)) for c in features)).first()
+    scores = anova(bootstrap_times(df, key, seed, replicates), features, label, ["replicate"], "_times", list(means))
     place = F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("score"), "feature"))
     chosen = scores.withColumn("place", place).groupBy("feature").agg((F.count_if(F.col("place") <= n) / F.lit(float(replicates))).alias("frequency"))
     return chosen.withColumn("fragile", F.col("frequency") < 0.6)

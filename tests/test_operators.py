@@ -392,3 +392,17 @@ def test_numbers_follow_the_order(spark):
     got = sorted((r["number"], r["a"], r["b"]) for r in numbered(df, ["a", "b"]).collect())
     assert [g[0] for g in got] == list(range(500)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
     assert numbered(df.limit(0), ["a"]).count() == 0
+
+
+def test_bootstraps_weigh_rows(spark):
+    """ANOVA of weighed rows is that of repeated rows, far from 0 and with nulls, and stability repeats no row."""
+    from flowlens.operators.sample import bootstrap, bootstrap_times
+
+    rows = [(i, None if i % 17 == 0 else 1e6 + i % 7, float(i * i % 11), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, c string")
+    weighed = bootstrap_times(df, ["k"], "s", 3)
+    assert weighed.groupBy("k", "replicate").count().where("count > 1").count() == 0
+    assert weighed.agg(F.sum("_times")).first()[0] == bootstrap(df, ["k"], "s", 3).count() > 1000
+    want = {(r["replicate"], r["feature"]): r["score"] for r in select.anova(bootstrap(df, ["k"], "s", 3), ["x", "y"], "c", ["replicate"]).collect()}
+    got = {(r["replicate"], r["feature"]): r["score"] for r in select.anova(weighed, ["x", "y"], "c", ["replicate"], "_times", [1e6, 5.0]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
