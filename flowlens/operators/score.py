@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.portable import rounded
+from flowlens.functions.portable import once, rounded
 from flowlens.operators.normalise import canonical_columns, missing_and_extra, numbers
 from flowlens.operators.prep import Stats, align, transform
 from flowlens.sources import dims
@@ -101,11 +101,11 @@ def what_if(overrides: DataFrame, stats: Stats, key: Sequence[str]) -> DataFrame
 
 
 def queue(table: DataFrame, attacks: bool = False, review: bool = False, n: int | None = None, key: Sequence[str] = ()) -> DataFrame:
-    """A view of verdicts by severity, then attack probability."""
+    """A view of verdicts by severity, then attack probability. The wanted rows are marked first: a filter on the
+    columns themselves is pushed through all of the scoring and repeats it in every condition."""
     out = table
-    if attacks:
-        out = out.where("is_attack")
-    if review:
-        out = out.where("status = 'review'")
+    if attacks or review:
+        wanted = (F.col("is_attack") if attacks else F.lit(True)) & ((F.col("status") == "review") if review else F.lit(True))
+        out = once(out, {"_wanted": wanted}).where("_wanted").drop("_wanted")
     out = out.orderBy(F.desc("severity"), F.desc("attack_probability"), *key)
     return out if n is None else out.limit(n)

@@ -406,3 +406,13 @@ def test_bootstraps_weigh_rows(spark):
     want = {(r["replicate"], r["feature"]): r["score"] for r in select.anova(bootstrap(df, ["k"], "s", 3), ["x", "y"], "c", ["replicate"]).collect()}
     got = {(r["replicate"], r["feature"]): r["score"] for r in select.anova(weighed, ["x", "y"], "c", ["replicate"], "_times", [1e6, 5.0]).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
+
+
+def test_queue_filters_scored_rows_once(spark):
+    """The conditions of the queue stay above the scoring: its plan ranks the classes once, as that of the verdicts does."""
+    df = spark.createDataFrame([(i, [0.5, 0.3 + i / 1000, 0.2 - i / 1000]) for i in range(20)], "k int, proba array<double>")
+    table = score.verdicts(df, ["a", "b", "c"], "a").withColumn("severity", F.col("pred"))
+    ranks = lambda t: t._jdf.queryExecution().optimizedPlan().toString().count("array_sort")
+    queue = score.queue(table, True, True, 5, ["k"])
+    assert ranks(queue) <= ranks(table)
+    assert [r["k"] for r in queue.collect()] == [r["k"] for r in table.where("is_attack and status = 'review'").orderBy(F.desc("severity"), F.desc("attack_probability"), "k").limit(5).collect()]
