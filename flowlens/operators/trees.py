@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.ranks import quantiles
+from flowlens.sources.stage import stored
 
 CELLS = 1 << 22  # sums that a task holds; levels with more nodes take several aggregations
 
@@ -230,7 +231,8 @@ def softmax_boosting(
     """Gradient boosting of the multiclass log loss: each round grows a tree for every class on the same
     probabilities, level by level, from sums of gradients and curvatures by (class, node, feature, bin).
 
-    Cuts are exact quantiles of the training rows, `bins` - 1 at most a feature. A cut takes the largest gain
+    Cuts are exact quantiles of the training rows, `bins` - 1 at most a feature. Rows matter by their bins and class
+    alone, so those that share them are summed once (_binned()), and levels read these sums. A cut takes the largest gain
     sum(g)^2 / (sum(h) + l2); both sides need `least` curvature. held: a boolean column; its rows are left
     out, and rounds end once their log loss has not fallen for `patience` of them; the best number stays.
     """
@@ -240,7 +242,10 @@ def softmax_boosting(
     classes = sorted(r[0] for r in rows.select("y").distinct().collect())
     found = quantiles(rows, {f"x{i}": [b / bins for b in range(1, bins)] for i in range(d)})
     cuts = [sorted({found[f"x{i}", b / bins] for b in range(1, bins)} - {None}) for i in range(d)]
+    rows = _binned(rows, cuts)
+    # grown on numbers of bins; `real` has the cuts themselves
     model, best = Ensemble(features, k, "softmax", present=classes), (math.inf, 0)
+    real = lambda: Ensemble(features, k, "softmax", [replace(t, cut=[cuts[i][int(c)] if i >= 0 else c for i, c in zip(t.feature, t.cut, strict=True)]) for t in model.trees], classes)
     for _ in range(rounds):
         grown = [Tree(target=c) for c in classes]
         open_ = [(t, 0) for t in range(len(grown))]
@@ -253,14 +258,14 @@ def softmax_boosting(
                 if i is None:
                     continue
                 sides = ((gl, hl), (g - gl, h - hl))
-                child = grown[t].grow(node, i, cuts[i][b], [[-rate * a / (c + l2)] for a, c in sides], (nl, n - nl))
+                child = grown[t].grow(node, i, float(b), [[-rate * a / (c + l2)] for a, c in sides], (nl, n - nl))
                 split += [(t, child), (t, child + 1)]
             open_ = split
             if not open_:
                 break
         model.trees += grown
         if held:
-            rest = model.transform(df.where(F.col(held) & F.col(code).isNotNull()))
+            rest = real().transform(df.where(F.col(held) & F.col(code).isNotNull()))
             p = F.greatest(F.element_at("proba", F.col(code).cast("int") + 1), F.lit(1e-15))
             loss = rest.agg(F.avg(-F.ln(p))).first()[0]
             best = min(best, (math.inf if loss is None else loss, len(model.trees)))
@@ -268,11 +273,27 @@ def softmax_boosting(
                 break
     if held and math.isfinite(best[0]):
         model.trees = model.trees[: best[1]]
-    return model
+    return real()
+
+
+def _binned(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """rows of _table() with the numbers of their bins in place of the features, one for all rows of equal bins and
+    class with the sum of their weights; stored, as every level reads it. A null or NaN is in the last bin."""
+    d = len(cuts)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, w = _arrays(b, d)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.searchsorted(np.array(c), x[:, i], side="left").astype(np.int32)) for i, c in enumerate(cuts)), pa.array(y.astype(np.int32)), pa.array(w)], names=names)
+
+    names = [*(f"x{i}" for i in range(d)), "y", "w"]
+    numbered = rows.mapInArrow(number, ", ".join([*(f"{n} int" for n in names[:-1]), "w double"]))
+    return stored(numbered.groupBy(*names[:-1]).agg(F.sum("w").alias("w")), "binned")
 
 
 def _gradient_cuts(rows: DataFrame, model: Ensemble, grown: list[Tree], nodes: list[tuple[int, int]], cuts: list[list[float]], least: float, l2: float) -> Iterator[tuple]:
-    """(node, feature or None, bin, sums of the node, sums of the left side), sums: gradient, curvature, weight."""
+    """(node, feature or None, bin, sums of the node, sums of the left side), sums: gradient, curvature, weight; rows are
+    those of _binned()."""
     d, wide = len(cuts), max([len(c) for c in cuts], default=0) + 1
     by: dict[int, list[int]] = {}
     for f, (t, _) in enumerate(nodes):
@@ -283,7 +304,7 @@ def _gradient_cuts(rows: DataFrame, model: Ensemble, grown: list[Tree], nodes: l
         for b in batches:
             x, y, w = _arrays(b, d)
             p = model.probabilities(x)
-            bins = [np.searchsorted(np.array(c), x[:, i], side="left") for i, c in enumerate(cuts)]
+            bins = x.astype(np.int64).T
             for t, own in by.items():
                 slot = np.full(len(grown[t].feature), -1)
                 slot[[nodes[f][1] for f in own]] = own

@@ -124,3 +124,10 @@ def test_trees_as_sql_has_them(spark, small, tables, name):  # noqa: F811
     got = catalog.QUERIES[name](spark, small).toPandas()
     want = tables.execute(catalog.ORACLES[name]).df()
     assert len(got) >= 2 and rows(got) == rows(want)
+
+
+def test_boosting_reads_sums_of_bins(spark):
+    """Rows of equal bins and class are one row of the table that the levels read, with the sum of their weights."""
+    rows = spark.createDataFrame([(float(i % 50), i % 2, 2.0) for i in range(1000)] + [(None, 0, 1.0), (float("nan"), 0, 1.0)], "x0 double, y int, w double")
+    got = sorted(map(tuple, trees._binned(rows, [[9.0, 24.0]]).collect()))
+    assert got == [(0, 0, 200.0), (0, 1, 200.0), (1, 0, 320.0), (1, 1, 280.0), (2, 0, 482.0), (2, 1, 520.0)]
