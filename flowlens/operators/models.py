@@ -110,6 +110,16 @@ def _estimator(kind: str, params: dict, weight: str | None, k: int, width: int):
     raise ValueError(f"unknown model {kind}")
 
 
+#: Rows of a partition of Spark ML's trees, about: they keep their rows in memory, some 200 bytes each.
+FIT_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """rows in partitions of some `most`, however their files are cut; few rows stay as they are."""
+    n = -(-rows.count() // most)
+    return rows if n <= 1 else rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 KINDS = ("logistic", "bayes", "tree", "forest", "extra", "mlp", "boosted")
 
 
@@ -129,6 +139,9 @@ def fit(kind: str, df: DataFrame, features: Sequence[str], code: str, k: int, we
     assembler = VectorAssembler(inputCols=features, outputCol="_x")
     if held:
         rows = rows.where(~F.col(held))
+    rows = rows.select(*features, "_y", *([weight] if weight else []))
+    if kind in ("tree", "forest"):
+        rows = dealt(rows)
     fitted = _estimator(kind, dict(params), weight, k, len(features)).fit(assembler.transform(rows))
     stages = PipelineModel([assembler, fitted])
     importance = None

@@ -416,3 +416,11 @@ def test_queue_filters_scored_rows_once(spark):
     queue = score.queue(table, True, True, 5, ["k"])
     assert ranks(queue) <= ranks(table)
     assert [r["k"] for r in queue.collect()] == [r["k"] for r in table.where("is_attack and status = 'review'").orderBy(F.desc("severity"), F.desc("attack_probability"), "k").limit(5).collect()]
+
+
+def test_fits_of_trees_deal_rows(spark):
+    """No partition of a fit holds many more rows than stated, however the input is cut; none is lost."""
+    rows = spark.range(5000).coalesce(1)
+    sizes = [len(p) for p in models.dealt(rows, 500).rdd.glom().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 5000 and max(sizes) <= 600
+    assert models.dealt(rows, 5000).rdd.getNumPartitions() == 1
