@@ -14,12 +14,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml import classification as ml
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.local import local_table
 from flowlens.functions.portable import key_hash
+from flowlens.operators import perceptron
 from flowlens.operators.trees import Ensemble, extra_trees, softmax_boosting
 from flowlens.sources.stage import moved
 
@@ -142,7 +144,11 @@ def fit(kind: str, df: DataFrame, features: Sequence[str], code: str, k: int, we
     rows = rows.select(*features, "_y", *([weight] if weight else []))
     if kind in ("tree", "forest"):
         rows = dealt(rows)
-    fitted = _estimator(kind, dict(params), weight, k, len(features)).fit(assembler.transform(rows))
+    estimator = _estimator(kind, dict(params), weight, k, len(features))
+    if kind == "mlp" and estimator.getSolver() == "l-bfgs":
+        fitted = _perceptron(estimator, assembler, rows, features)
+    else:
+        fitted = estimator.fit(assembler.transform(rows))
     stages = PipelineModel([assembler, fitted])
     importance = None
     if hasattr(fitted, "featureImportances"):
@@ -152,6 +158,14 @@ def fit(kind: str, df: DataFrame, features: Sequence[str], code: str, k: int, we
     return Model(features, k, _one(stages, k), importance, stages)
 
 
+def _perceptron(estimator, assembler: VectorAssembler, rows: DataFrame, features: Sequence[str]):
+    """Spark ML's model with weights that perceptron.py finds from Spark ML's start; its summary tells nothing of the fit."""
+    none = assembler.transform(local_table(rows.sparkSession, [(0.0,) * (len(features) + 1)], ", ".join(f"`{c}` double" for c in (*features, "_y"))))
+    still = lambda start=None: estimator.copy({estimator.maxIter: 0, **({estimator.initialWeights: start} if start is not None else {})}).fit(none)
+    start = estimator.getInitialWeights() if estimator.isSet(estimator.initialWeights) else still().weights
+    return still(Vectors.dense(perceptron.weights(rows, features, "_y", estimator.getLayers(), start.toArray(), estimator.getMaxIter(), estimator.getTol())))
+
+
 def _one(stages: PipelineModel, k: int) -> Callable[[DataFrame], DataFrame]:
     """Probabilities of a single classifier over all k classes."""
 

@@ -1,0 +1,171 @@
+"""Weights of a multilayer perceptron by L-BFGS: losses and gradients are sums over the rows, by Spark.
+
+Layers are those of Spark ML (sigmoid, at last softmax) and weights have its order. An evaluation is one aggregation over
+the rows; the driver gets a number a weight.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes of a partition's rows, about; fewer rows than FEW aren't dealt anew.
+BYTES, FEW = 32 << 20, 200_000
+BLOCK = 2048  # rows computed at once: their outputs stay in a core's cache
+
+
+def unpacked(w: np.ndarray, layers: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The matrix and the intercepts of each layer: views of w."""
+    out, at = [], 0
+    for a, b in zip(layers, layers[1:], strict=False):
+        out.append((w[at : at + a * b].reshape(a, b), w[at + a * b : at + a * b + b]))
+        at += (a + 1) * b
+    return out
+
+
+def loss_and_gradient(w: np.ndarray, layers: Sequence[int], x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sums over the rows of the log loss and its gradient. x: a line a feature, so that operations run along rows."""
+    weights, outs, rows = unpacked(w, layers), [x], np.arange(x.shape[1])
+    for m, c in weights:
+        z = m.T @ outs[-1]
+        z += c[:, None]
+        if len(outs) < len(weights):
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += 1.0
+            np.reciprocal(z, out=z)
+        outs.append(z)
+    delta = outs.pop()
+    delta -= delta.max(axis=0)
+    own = delta[y, rows]
+    np.exp(delta, out=delta)
+    total = delta.sum(axis=0)
+    loss = float(np.log(total).sum() - own.sum())
+    delta /= total
+    delta[y, rows] -= 1.0
+    gradient = np.empty_like(w)
+    for (m, _), (gm, gc), a in zip(reversed(weights), reversed(unpacked(gradient, layers)), reversed(outs), strict=True):
+        np.matmul(a, delta.T, out=gm)
+        delta.sum(axis=1, out=gc)
+        if a is not x:
+            delta = m @ delta
+            delta *= a
+            np.subtract(1.0, a, out=a)
+            delta *= a
+    return loss, gradient
+
+
+def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int, tolerance: float, memory: int = 10) -> np.ndarray:
+    """L-BFGS with steps that meet the strong Wolfe conditions. It ends after `rounds`, once the last 20 rounds lowered f by no
+    more than `tolerance` of its first value, with a gradient as small, or where no step lowers f."""
+    value, g = f(w)
+    values, pairs = [value], []
+    for _ in range(rounds):
+        if np.linalg.norm(g) <= max(tolerance * abs(values[0]), 1e-8):
+            break
+        d, shares = -g, []
+        for s, v in reversed(pairs):
+            shares.append((s @ d) / (s @ v))
+            d = d - shares[-1] * v
+        if pairs:
+            s, v = pairs[-1]
+            d = d * ((s @ v) / (v @ v))
+        for (s, v), share in zip(pairs, reversed(shares), strict=True):
+            d = d + (share - (v @ d) / (s @ v)) * s
+        found = _step(f, w, d, value, g, 1.0 if pairs else 1.0 / np.linalg.norm(d))
+        if found is None:
+            break
+        step, value, after = found
+        w, s, v, g = w + step * d, step * d, after - g, after
+        if s @ v > 0:
+            pairs = [*pairs, (s, v)][-memory:]
+        values.append(value)
+        if max(values[-21:]) - value <= tolerance * abs(values[0]):
+            break
+    return w
+
+
+def _step(f: Callable, w: np.ndarray, d: np.ndarray, value: float, g: np.ndarray, step: float) -> tuple[float, float, np.ndarray] | None:
+    """(step, value, gradient) along d: strong Wolfe conditions (1e-4, 0.9) by bracketing and cubic interpolation; in default
+    of such a step the lowest found, none if no step lowers f."""
+    slope = g @ d
+    low, high, best = (0.0, value, slope), None, None
+    for _ in range(20):
+        now, after = f(w + step * d)
+        along = after @ d
+        if np.isfinite(now) and now < value and (best is None or now < best[1]):
+            best = (step, now, after)
+        if not np.isfinite(now) or now > value + 1e-4 * step * slope or (low[0] and now >= low[1]):
+            high = (step, now, along)
+        elif abs(along) <= -0.9 * slope:
+            return step, now, after
+        else:
+            if along * ((high[0] if high else np.inf) - low[0]) >= 0:
+                high = low
+            low = (step, now, along)
+        step = step * 2 if high is None else _between(low, high)
+    return best
+
+
+def _between(a: tuple[float, float, float], b: tuple[float, float, float]) -> float:
+    """The minimum of the cubic through two points and slopes, at least a tenth of the way from both."""
+    middle, reach = (a[0] + b[0]) / 2, abs(b[0] - a[0])
+    if not all(map(np.isfinite, b)):
+        return middle
+    one = a[2] + b[2] - 3 * (a[1] - b[1]) / (a[0] - b[0])
+    square = one * one - a[2] * b[2]
+    if square < 0:
+        return middle
+    two = np.sign(b[0] - a[0]) * np.sqrt(square)
+    step = b[0] - (b[0] - a[0]) * (b[2] + two - one) / (b[2] - a[2] + 2 * two) if b[2] - a[2] + 2 * two else middle
+    edge = min(a[0], b[0])
+    return float(min(max(step, edge + 0.1 * reach), edge + 0.9 * reach)) if np.isfinite(step) else middle
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: their features, a line each, and their classes, as bytes."""
+    for b in batches:
+        x, y = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)]), b.column(d).to_numpy(zero_copy_only=False)
+        parts = [slice(at, at + BLOCK) for at in range(0, len(y), BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[:, p].tobytes() for p in parts], pa.binary()), pa.array([y[p].tobytes() for p in parts], pa.binary())], names=["x", "y"])
+
+
+def weights(rows: DataFrame, features: Sequence[str], code: str, layers: Sequence[int], start: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
+    """The weights that minimise the mean log loss of the rows, from `start`. Rows are kept by Spark between the evaluations."""
+    d, k = len(features), layers[-1]
+    table = rows.select(*(F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)), F.col(f"`{code}`").cast("int").alias("y"))
+    checked = table.agg(F.count("*"), F.count_if(F.col("y").isNull() | (F.col("y") < 0) | (F.col("y") >= k)), *(F.count_if(F.col(f"x{i}").isNull() | F.isnan(f"x{i}")) for i in range(d))).first()
+    if any(checked[1:]):
+        raise ValueError("a feature without a value, or a class beyond the last")
+    n, cores = checked[0], rows.sparkSession.sparkContext.defaultParallelism
+    if not n:
+        raise ValueError("no rows to fit")
+    if n >= FEW:
+        table = table.repartition(cores * -(-n * 8 * (d + 1) // (BYTES * cores)))
+    table = table.mapInArrow(lambda batches: _blocks(batches, d), "x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            np.seterr(over="ignore")  # of exp: the output is 0 there
+            total = np.zeros(len(w) + 1)
+            for b in batches:
+                for x, y in zip(b.column(0), b.column(1), strict=True):
+                    loss, gradient = loss_and_gradient(w, layers, np.frombuffer(x.as_buffer()).reshape(d, -1), np.frombuffer(y.as_buffer(), np.int32))
+                    total[0] += loss
+                    total[1:] += gradient
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+
+        out = np.zeros(len(w) + 1)
+        for i, v in table.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v")).collect():
+            out[i] = v
+        return float(out[0] / n), out[1:] / n
+
+    try:
+        return minimised(evaluate, np.asarray(start, dtype=float), rounds, tolerance)
+    finally:
+        table.unpersist()

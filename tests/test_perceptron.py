@@ -1,0 +1,31 @@
+"""The perceptron's gradient against differences, and fits against partitions."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flowlens.operators import models, perceptron
+
+
+def test_gradient_is_that_of_the_loss():
+    r, layers = np.random.default_rng(3), [3, 5, 4, 2]
+    w = r.normal(0, 1, sum((a + 1) * b for a, b in zip(layers, layers[1:], strict=False)))
+    x, y = r.normal(0, 2, (3, 40)), r.integers(0, 2, 40)
+    got = perceptron.loss_and_gradient(w, layers, x, y)[1]
+    loss = lambda v: perceptron.loss_and_gradient(v, layers, x, y)[0]
+    want = [(loss(w + 1e-6 * e) - loss(w - 1e-6 * e)) / 2e-6 for e in np.eye(len(w))]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_steps_find_the_least_value():
+    f = lambda w: (float((1 - w[0]) ** 2 + 100 * (w[1] - w[0] ** 2) ** 2), np.array([-2 * (1 - w[0]) - 400 * w[0] * (w[1] - w[0] ** 2), 200 * (w[1] - w[0] ** 2)]))
+    assert np.allclose(perceptron.minimised(f, np.array([-1.2, 1.0]), 100, 1e-12), 1.0, atol=1e-4)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    """Each row counts alike: Spark ML's blocks of 128 rows do, so a partition's last, smaller one weighed more a row."""
+    rows = spark.range(1500).select((F.col("id") % 37 / 37.0).alias("x"), (F.col("id") % 11 / 11.0).alias("y"), (F.col("id") % 37 > 20).cast("int").alias("code"))
+    few, many = (models.fit("mlp", rows.repartition(n), ["x", "y"], "code", 3, hidden=[4], maxIter=8) for n in (1, 12))
+    assert np.allclose(few.stages.stages[-1].weights.toArray(), many.stages.stages[-1].weights.toArray(), atol=1e-6)
+    with pytest.raises(Exception, match="without a value"):
+        models.fit("mlp", rows.withColumn("x", F.when(F.col("x") > 0.5, F.col("x"))), ["x", "y"], "code", 3, hidden=[4], maxIter=2)
