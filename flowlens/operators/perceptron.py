@@ -10,13 +10,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a partition's rows, about; fewer rows than FEW aren't dealt anew.
-BYTES, FEW = 32 << 20, 200_000
-BLOCK = 2048  # rows computed at once: their outputs stay in a core's cache
+from flowlens.functions.blocks import blocks, opened
+
+CHUNK = 2048  # rows computed at once: the outputs of a layer stay in a core's cache
 
 
 def unpacked(w: np.ndarray, layers: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -127,14 +126,6 @@ def _between(a: tuple[float, float, float], b: tuple[float, float, float]) -> fl
     return float(min(max(step, edge + 0.1 * reach), edge + 0.9 * reach)) if np.isfinite(step) else middle
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows: their features, a line each, and their classes, as bytes."""
-    for b in batches:
-        x, y = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)]), b.column(d).to_numpy(zero_copy_only=False)
-        parts = [slice(at, at + BLOCK) for at in range(0, len(y), BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[:, p].tobytes() for p in parts], pa.binary()), pa.array([y[p].tobytes() for p in parts], pa.binary())], names=["x", "y"])
-
-
 def weights(rows: DataFrame, features: Sequence[str], code: str, layers: Sequence[int], start: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
     """The weights that minimise the mean log loss of the rows, from `start`. Rows are kept by Spark between the evaluations."""
     d, k = len(features), layers[-1]
@@ -142,22 +133,21 @@ def weights(rows: DataFrame, features: Sequence[str], code: str, layers: Sequenc
     checked = table.agg(F.count("*"), F.count_if(F.col("y").isNull() | (F.col("y") < 0) | (F.col("y") >= k)), *(F.count_if(F.col(f"x{i}").isNull() | F.isnan(f"x{i}")) for i in range(d))).first()
     if any(checked[1:]):
         raise ValueError("a feature without a value, or a class beyond the last")
-    n, cores = checked[0], rows.sparkSession.sparkContext.defaultParallelism
+    n = checked[0]
     if not n:
         raise ValueError("no rows to fit")
-    if n >= FEW:
-        table = table.repartition(cores * -(-n * 8 * (d + 1) // (BYTES * cores)))
-    table = table.mapInArrow(lambda batches: _blocks(batches, d), "x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
+    table = blocks(table.withColumn("w", F.lit(1.0)), d, n)
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")  # of exp: the output is 0 there
             total = np.zeros(len(w) + 1)
             for b in batches:
-                for x, y in zip(b.column(0), b.column(1), strict=True):
-                    loss, gradient = loss_and_gradient(w, layers, np.frombuffer(x.as_buffer()).reshape(d, -1), np.frombuffer(y.as_buffer(), np.int32))
-                    total[0] += loss
-                    total[1:] += gradient
+                for x, y, _ in opened(b, d):
+                    for at in range(0, len(y), CHUNK):
+                        loss, gradient = loss_and_gradient(w, layers, x[:, at : at + CHUNK], y[at : at + CHUNK])
+                        total[0] += loss
+                        total[1:] += gradient
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
         out = np.zeros(len(w) + 1)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.functions.blocks import blocks, opened
 from flowlens.functions.ranks import quantiles
 from flowlens.sources.stage import stored
 
@@ -48,11 +49,32 @@ class Tree:
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row; a NaN goes right."""
-        feature, cut, left = (np.array(a) for a in (self.feature, self.cut, self.left))
-        at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-        while (inner := feature[at] >= 0).any():
-            go = x[rows, np.maximum(feature[at], 0)] <= cut[at]
-            at = np.where(inner, left[at] + ~go, at)
+        return _Router(self).leaves(np.ascontiguousarray(x.T))
+
+
+class _Router:
+    """A tree as arrays. A leaf has itself as both its children, so all rows take as many steps as the tree is deep."""
+
+    def __init__(self, tree: Tree) -> None:
+        feature, left = np.array(tree.feature), np.array(tree.left)
+        inner, own = feature >= 0, np.arange(len(feature))
+        self.feature, self.cut = np.where(inner, feature, 0), np.array(tree.cut, dtype=float)
+        self.children = np.stack([np.where(inner, left, own), np.where(inner, left + 1, own)], axis=1).ravel()
+        depth = [0] * len(own)
+        for at in np.flatnonzero(inner).tolist():  # children stand behind their node
+            depth[tree.left[at]] = depth[tree.left[at] + 1] = depth[at] + 1
+        self.depth = max(depth)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row; a NaN goes right. x: a line a feature."""
+        n = x.shape[1]
+        at, rows, cells, line = np.zeros(n, dtype=np.int64), np.arange(n), x.ravel(), self.feature * n
+        for _ in range(self.depth):
+            go = np.less_equal(cells.take(line.take(at) + rows), self.cut.take(at))
+            at *= 2
+            at += 1
+            at -= go
+            at = self.children.take(at)
         return at
 
 
@@ -148,38 +170,42 @@ def extra_trees(df: DataFrame, features: Sequence[str], code: str, k: int, weigh
     """
     features = list(features)
     rows, d = _table(df, features, code, weight), len(features)
-    ends = rows.agg(*(f(f"x{i}") for i in range(d) for f in (F.min, F.max))).first()
+    ends = rows.agg(*(f(f"x{i}") for i in range(d) for f in (F.min, F.max)), F.count("*")).first()
     low, high = [float(ends[2 * i] or 0.0) for i in range(d)], [float(ends[2 * i + 1] or 0.0) for i in range(d)]
     m = tries or max(1, round(math.sqrt(d)))
     out = Ensemble(features, k, "mean", [Tree(value=[[0.0] * k]) for _ in range(trees)])
     open_ = [_Node(t, 0, 1, low, high) for t in range(trees)]
-    for level in range(depth):
-        for n in open_:
-            names = sorted((i for i in range(d) if n.low[i] < n.high[i]), key=lambda i: digest(seed, n.tree, n.path, features[i]))
-            n.tries = [(i, n.low[i] + int(digest(seed, n.tree, n.path, features[i], "cut")[:8], 16) / 2**32 * (n.high[i] - n.low[i])) for i in names[:m]]
-        open_ = [n for n in open_ if n.tries]
-        step = max(1, CELLS // (m * 2 * k))
-        below = []
-        for a in range(0, len(open_), step):
-            part = open_[a : a + step]
-            for f, j, left, right in _gini_cuts(rows, out, part, m, d):
-                n = part[f]
-                tree, (i, cut) = out.trees[n.tree], n.tries[j]
-                sums = [sum(left), sum(right)]
-                if level == 0:
-                    both = [x + y for x, y in zip(left, right, strict=True)]
-                    tree.value[0], tree.cover[0] = [x / sum(both) for x in both], sum(both)
-                if min(sums) <= 0:
-                    continue
-                child = tree.grow(n.node, i, cut, [[x / s for x in c] for c, s in zip((left, right), sums, strict=True)], sums)
-                for side, (counts, total) in enumerate(zip((left, right), sums, strict=True)):
-                    if total >= least and max(counts) < total:
-                        lo, hi = list(n.low), list(n.high)
-                        (lo if side else hi)[i] = cut
-                        below.append(_Node(n.tree, child + side, 2 * n.path + side, lo, hi))
-        open_ = below
-        if not open_:
-            break
+    kept = blocks(rows, d, ends[-1])
+    try:
+        for level in range(depth):
+            for n in open_:
+                names = sorted((i for i in range(d) if n.low[i] < n.high[i]), key=lambda i: digest(seed, n.tree, n.path, features[i]))
+                n.tries = [(i, n.low[i] + int(digest(seed, n.tree, n.path, features[i], "cut")[:8], 16) / 2**32 * (n.high[i] - n.low[i])) for i in names[:m]]
+            open_ = [n for n in open_ if n.tries]
+            step = max(1, CELLS // (m * 2 * k))
+            below = []
+            for a in range(0, len(open_), step):
+                part = open_[a : a + step]
+                for f, j, left, right in _gini_cuts(kept, out, part, m, d):
+                    n = part[f]
+                    tree, (i, cut) = out.trees[n.tree], n.tries[j]
+                    sums = [sum(left), sum(right)]
+                    if level == 0:
+                        both = [x + y for x, y in zip(left, right, strict=True)]
+                        tree.value[0], tree.cover[0] = [x / sum(both) for x in both], sum(both)
+                    if min(sums) <= 0:
+                        continue
+                    child = tree.grow(n.node, i, cut, [[x / s for x in c] for c, s in zip((left, right), sums, strict=True)], sums)
+                    for side, (counts, total) in enumerate(zip((left, right), sums, strict=True)):
+                        if total >= least and max(counts) < total:
+                            lo, hi = list(n.low), list(n.high)
+                            (lo if side else hi)[i] = cut
+                            below.append(_Node(n.tree, child + side, 2 * n.path + side, lo, hi))
+            open_ = below
+            if not open_:
+                break
+    finally:
+        kept.unpersist()
     return out
 
 
@@ -196,19 +222,30 @@ def _gini_cuts(rows: DataFrame, model: Ensemble, nodes: list[_Node], m: int, d:
     number = np.array([n.node for n in nodes])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(nodes) * m * 2 * k)
+        total = np.zeros((len(nodes), m, 2 * k))
+        ways = []
+        for t, own in by.items():
+            slot = np.full(len(trees[t].feature), -1)
+            slot[number[own]] = np.arange(len(own))
+            ways.append((_Router(trees[t]), slot, own, np.zeros((m, len(own) * 2 * k))))
         for b in batches:
-            x, y, w = _arrays(b, d)
-            for t, own in by.items():
-                slot = np.full(len(trees[t].feature), -1)
-                slot[number[own]] = own
-                f = slot[trees[t].leaves(x)]
-                at = np.flatnonzero(f >= 0)
-                for j in range(m):
-                    i = feature[f[at], j]
-                    go = at[i >= 0]
-                    right = ~(x[go, feature[f[go], j]] <= cut[f[go], j])
-                    total += np.bincount(((f[go] * m + j) * 2 + right) * k + y[go], weights=w[go], minlength=len(total))
+            for x, y, w in opened(b, d):
+                cells, n = x.ravel(), len(y)
+                for router, slot, own, sums in ways:
+                    f = slot.take(router.leaves(x))
+                    at = np.flatnonzero(f >= 0)
+                    f, first, weight = f.take(at), y.take(at), w.take(at)
+                    first = first + f * (2 * k)
+                    for j in range(m):
+                        i, c = feature[own, j], cut[own, j]
+                        if (i < 0).all():
+                            continue
+                        right = ~np.less_equal(cells.take((np.maximum(i, 0) * n).take(f) + at), c.take(f))
+                        sums[j] += np.bincount(first + right * k, weights=weight, minlength=len(sums[j]))
+        for _, _, own, sums in ways:
+            total[own] = sums.reshape(m, len(own), 2 * k).swapaxes(0, 1)
+        total[feature < 0] = 0
+        total = total.ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "w"])
 

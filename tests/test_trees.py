@@ -131,3 +131,20 @@ def test_boosting_reads_sums_of_bins(spark):
     rows = spark.createDataFrame([(float(i % 50), i % 2, 2.0) for i in range(1000)] + [(None, 0, 1.0), (float("nan"), 0, 1.0)], "x0 double, y int, w double")
     got = sorted(map(tuple, trees._binned(rows, [[9.0, 24.0]]).collect()))
     assert got == [(0, 0, 200.0), (0, 1, 200.0), (1, 0, 320.0), (1, 1, 280.0), (2, 0, 482.0), (2, 1, 520.0)]
+
+
+def test_levels_read_rows_kept_as_blocks(spark, table, monkeypatch):
+    """Extra trees read their rows once: levels read blocks of bytes, which are let go in the end."""
+    seen, cuts = [], trees._gini_cuts
+    monkeypatch.setattr(trees, "_gini_cuts", lambda rows, *rest: seen.append((rows.columns, rows.storageLevel.useMemory)) or cuts(rows, *rest))
+    model = trees.extra_trees(table.withColumn("w", F.lit(2.0)), NAMES, "code", 3, "w", trees=2, depth=3)
+    assert seen == [(["x", "y", "w"], True)] * 3 and all(t.cover[0] == 1800 for t in model.trees)
+    nan = np.array([[np.nan] * 4, [0.5, -0.5, 0.1, 2.0]])
+    for t in model.trees:
+        want = []
+        for row in nan:
+            at = 0
+            while t.feature[at] >= 0:
+                at = t.left[at] + (not row[t.feature[at]] <= t.cut[at])
+            want.append(at)
+        assert t.leaves(nan).tolist() == want
